@@ -1,0 +1,58 @@
+"""Small aggregate shapes used by several reports."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+
+def one_row(df: DataFrame, *aggs: Column) -> Column:
+    """A global aggregate as a scalar struct column: runs once, needs no join."""
+    return df.agg(*aggs).select(F.struct("*").alias("s")).scalar()
+
+
+def most_common(df: DataFrame, column: str) -> Column:
+    """The most frequent value as a scalar; ties go to the smallest value, NULLs last."""
+    counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+    first = counts.orderBy(F.desc("n"), F.asc_nulls_last(column)).limit(1)
+    return first.select(column).scalar()
+
+
+def count_where(condition: Column, name: str) -> Column:
+    return F.count_if(condition).alias(name)
+
+
+def latest_per_key(df: DataFrame, key: str, order: list[str], columns: list[str]) -> DataFrame:
+    """The row with the largest `order` values per key, by one map-side combined aggregate."""
+    parts = list(dict.fromkeys([*order, *columns]))
+    return (
+        df.groupBy(key)
+        .agg(F.max(F.struct(*parts)).alias("__last"))
+        .select(key, *[F.col(f"__last.{c}").alias(c) for c in columns])
+    )
+
+
+def facet_values(df: DataFrame, *columns: str) -> DataFrame:
+    """Distinct value combinations of a table's columns."""
+    return df.select(*columns).distinct()
+
+
+def numbered_facet(df: DataFrame, column: str, number: str = "id") -> DataFrame:
+    """Distinct values numbered 1..n in value order.
+
+    Values are numbered inside their two-letter prefix and shifted by the size of all
+    earlier prefixes, so no task sorts the whole set; only the prefix counts meet in one.
+    """
+    values = df.select(column).distinct().withColumn("__p", F.substring(F.col(column), 1, 2))
+    sizes = values.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
+    before = W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)
+    shifts = sizes.select(
+        F.col("__p").alias("__q"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__shift")
+    )
+    within = F.row_number().over(W.partitionBy("__p").orderBy(column))
+    return (
+        values.withColumn("__r", within)
+        .join(shifts, F.col("__p").eqNullSafe(F.col("__q")))
+        .select((F.col("__r") + F.col("__shift")).cast("bigint").alias(number), column)
+    )
