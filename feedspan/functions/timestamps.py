@@ -5,24 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Layouts tried in this order by parse_any_timestamp.
-LAYOUTS = [
-    "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS][XXX][XX][X]",
-    "yyyy-MM-dd HH:mm:ss[.SSSSSS][.SSS][ XXX][ XX][ X][XXX]",
-    "d MMM yyyy HH:mm[:ss] XX",
-    "d MMM yyyy HH:mm[:ss] zzz",
-    "d MMM yyyy HH:mm[:ss]",
-    "MMM d yyyy HH:mm[:ss]",
-    "MMM d, yyyy",
-    "d MMM yyyy",
-    "yyyy/MM/dd HH:mm[:ss]",
-    "yyyy/MM/dd",
-    "M/d/yyyy HH:mm[:ss]",
-    "M/d/yyyy",
-    "yyyy-MM-dd HH:mm",
-    "yyyy-MM-dd",
-    "yyyyMMdd",
-]
+# Layouts by the shape of the text, tried in this order.
+LAYOUTS = {
+    r"^\d{4}-\d{1,2}-\d{1,2}T": ["yyyy-M-d'T'HH:mm[:ss][.SSSSSSSSS][.SSSSSS][.SSS][XXX][XX][X]"],
+    r"^\d{4}-\d{1,2}-\d{1,2} ": ["yyyy-M-d HH:mm[:ss][.SSSSSS][.SSS][ XXX][ XX][XXX][ zzz]"],
+    r"^\d{4}-\d{1,2}-\d{1,2}$": ["yyyy-M-d"],
+    r"^\d{4}/": ["yyyy/M/d[ HH:mm][:ss]"],
+    r"^\d{1,2}/": ["M/d/yyyy[ HH:mm][:ss]"],
+    r"^\d{1,2} [A-Z]": ["d MMM yyyy[ HH:mm][:ss][ XX][ XXX]", "d MMM yyyy HH:mm[:ss] zzz"],
+    r"^[A-Z][a-z]{2} \d": [
+        "MMM d, yyyy[ HH:mm][:ss]", "MMM d yyyy[ HH:mm][:ss]", "MMM d HH:mm:ss yyyy"
+    ],
+    r"^\d{8}$": ["yyyyMMdd"],
+}
 
 WEEKDAY = r"^(?i)(mon|tue|wed|thu|fri|sat|sun)[a-z]*,?\s+"
 
@@ -37,25 +32,35 @@ def minutes(n: Column | int) -> Column:
     return n.cast("bigint") * F.expr("INTERVAL '1' MINUTE")
 
 
-def parse_any_timestamp(text: Column) -> Column:
-    """First layout that fits, else NULL. Weekday names are dropped, month names may be long."""
-    clean = F.regexp_replace(F.trim(text), WEEKDAY, "")
-    clean = F.regexp_replace(
-        clean,
-        r"(?i)\b(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\b",
-        "$1",
-    )
-    # Month names parse in their capitalised form only.
-    month = F.regexp_extract(clean, r"(?i)\b(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)\b", 1)
-    clean = F.when(month != "", F.replace(clean, month, F.initcap(month))).otherwise(clean)
-    clean = F.regexp_replace(clean, r"\s+", " ")
+MONTH = r"(?i)\b(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\b"
+
+
+def _by_shape(clean: Column) -> Column:
+    """Try the layouts of the first shape that fits; then epoch digits."""
+    parsed = None
+    for shape, layouts in LAYOUTS.items():
+        fit = F.coalesce(*[F.try_to_timestamp(clean, F.lit(p)) for p in layouts])
+        hit = clean.rlike(shape)
+        parsed = F.when(hit, fit) if parsed is None else parsed.when(hit, fit)
     digits = clean.try_cast("bigint")
-    epoch = (
-        F.when(clean.rlike(r"^\d{10}$"), F.timestamp_micros(digits * 1_000_000))
+    return (
+        parsed.when(clean.rlike(r"^\d{10}$"), F.timestamp_micros(digits * 1_000_000))
         .when(clean.rlike(r"^\d{13}$"), F.timestamp_micros(digits * 1_000))
         .when(clean.rlike(r"^\d{16}$"), F.timestamp_micros(digits))
     )
-    return F.coalesce(*[F.try_to_timestamp(clean, F.lit(p)) for p in LAYOUTS], epoch)
+
+
+def parse_any_timestamp(text: Column) -> Column:
+    """A timestamp from any known layout, else NULL.
+
+    Weekday names are dropped and month names shortened. The cleaned text is bound to a
+    lambda, so it is computed once per row and not once per layout.
+    """
+    clean = F.regexp_replace(F.trim(text), WEEKDAY, "")
+    month = F.initcap(F.substring(F.regexp_extract(clean, MONTH, 0), 1, 3))
+    clean = F.when(clean.rlike(MONTH), F.regexp_replace(clean, F.lit(MONTH), month)).otherwise(clean)
+    clean = F.regexp_replace(clean, r"\s+", " ")
+    return F.transform(F.array(clean), _by_shape)[0]
 
 
 def format_timestamp(text: Column) -> Column:

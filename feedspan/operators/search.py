@@ -9,8 +9,12 @@ from feedspan.functions.text import tokens
 
 
 def token_index(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(token, key), one row per distinct token of a text."""
-    return docs.select(F.explode(tokens(F.col(text))).alias("token"), F.col(key))
+    """(token, key), one row per distinct token of a text.
+
+    The outer explode keeps Catalyst from inferring a filter that would tokenise twice.
+    """
+    exploded = docs.select(F.explode_outer(tokens(F.col(text))).alias("token"), F.col(key))
+    return exploded.filter(F.col("token").isNotNull())
 
 
 def search_all(
@@ -31,7 +35,9 @@ def search_all(
     """
     index = token_index(docs, key, text)
     wanted = searches.select(search_key, tokens(F.col(search_text)).alias("__wanted"))
-    terms = wanted.select(search_key, "__wanted", F.explode("__wanted").alias("token"))
+    terms = wanted.select(
+        search_key, "__wanted", F.explode_outer("__wanted").alias("token")
+    ).filter(F.col("token").isNotNull())
     # Document frequency, only for tokens somebody searches for.
     asked = terms.select("token").distinct()
     frequency = (

@@ -99,11 +99,16 @@ def parse_channels(raw: DataFrame, body: str = "body") -> DataFrame:
 
 
 def parse_feed_documents(raw: DataFrame, body: str = "body") -> DataFrame:
-    """One row per item of every RSS or Atom body; bodies that are neither give no rows."""
+    """One row per item of every RSS or Atom body; bodies that are neither give no rows.
+
+    The outer explode matters: an inner one lets Catalyst infer a filter on the array,
+    push it to the scan, and parse every body again for it.
+    """
     parsed = parse_channels(raw, body)
     items = parsed.select(
-        *[c for c in parsed.columns if c != "items"], F.posexplode("items").alias("item_no", "__i")
-    )
+        *[c for c in parsed.columns if c != "items"],
+        F.posexplode_outer("items").alias("item_no", "__i"),
+    ).filter(F.col("item_no").isNotNull())
     return items.select(
         *[c for c in items.columns if c != "__i"],
         *[F.col(f"__i.{f}").alias(f"item_{f}") for f in ITEM_FIELDS],
@@ -135,10 +140,14 @@ def post_rows(items: DataFrame, fetched_at: Column, compat: bool = False) -> Dat
         if compat
         else some("item_description")
     )
-    dated = items.withColumn("__at", parse_any_timestamp(F.col("item_published")))
-    return dated.filter(
-        F.col("__at").isNotNull() & is_valid_url(F.col("item_link"))
-    ).select(
+    # The date passes through an explode, so the filter on it stays above and it is parsed once.
+    at = F.array(parse_any_timestamp(F.col("item_published")))
+    dated = (
+        items.filter(is_valid_url(F.col("item_link")))
+        .select("*", F.explode_outer(at).alias("__at"))
+        .filter(F.col("__at").isNotNull())
+    )
+    return dated.select(
         "feed_id", "document_id", "item_no",
         F.col("channel_title").alias("channeltitle"),
         some("channel_link").alias("channelurl"),

@@ -164,11 +164,22 @@ def expired_challenges(
     )
 
 
-def timeline_fan_out(posts: DataFrame, follows: DataFrame) -> DataFrame:
-    """New posts joined to the followers of their feed: one row per reader and post."""
-    return posts.join(follows.select("user_id", "feed_id"), "feed_id").select(
-        "user_id", "feed_id", F.col("id").alias("post_id"), "created_at"
-    )
+def run_timeline_fan_out(
+    posts: DataFrame, follows: DataFrame, path: str, checkpoint: str
+) -> StreamingQuery:
+    """Append one row per new post and follower of its feed.
+
+    The join runs inside the micro-batch, where AQE sees the batch's size and splits hot
+    feeds. Keep `follows` bucketed by feed_id (`write_bucketed`) to spare its shuffle.
+    """
+    readers = follows.select("user_id", "feed_id")
+
+    def fan_out(batch: DataFrame) -> DataFrame:
+        return batch.join(readers, "feed_id").select(
+            "user_id", "feed_id", F.col("id").alias("post_id"), "created_at"
+        )
+
+    return append_to(posts, path, checkpoint, fan_out)
 
 
 def purge_stream_table(spark: SparkSession, path: str, schema: str, as_of: Column, minutes_kept: int):

@@ -1367,9 +1367,7 @@ def stream_timeline(p):
         "event_id AS id", "user_id AS feed_id", "ts AS created_at"
     )
     path, checkpoint = _stream(p.spark, "timeline")
-    jobs.append_to(
-        jobs.timeline_fan_out(views, p.feed_follows), path, checkpoint
-    ).awaitTermination()
+    jobs.run_timeline_fan_out(views, p.feed_follows, path, checkpoint).awaitTermination()
     return read_batches(
         p.spark, path, "user_id bigint, feed_id bigint, post_id bigint, created_at timestamp_ntz"
     )
