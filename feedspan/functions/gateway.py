@@ -46,30 +46,37 @@ def _data_fields() -> list[str]:
     return names
 
 
-def unknown_fields(body: Column) -> Column:
-    """Names at the top level or inside `data` that the reply does not define."""
-    top = F.coalesce(F.json_object_keys(body), F.array())
-    inner = F.coalesce(F.json_object_keys(F.get_json_object(body, "$.data")), F.array())
+def unknown_fields(body: Column, top: Column) -> Column:
+    """Names at the top level (`top`) or inside `data` that the reply does not define."""
+    inner = F.when(top.isNotNull(), F.json_object_keys(F.get_json_object(body, "$.data")))
     lit_array = lambda xs: F.array(*[F.lit(x) for x in xs])
     return F.concat(
-        F.array_except(top, lit_array(TOP_FIELDS)),
-        F.array_except(inner, lit_array(_data_fields())),
+        F.array_except(F.coalesce(top, F.array()), lit_array(TOP_FIELDS)),
+        F.array_except(F.coalesce(inner, F.array()), lit_array(_data_fields())),
     )
 
 
 def parse_gateway_payloads(raw: DataFrame, body: str = "body") -> DataFrame:
     """Adds `reply` (struct) and `problem` (NULL when the reply is usable)."""
     text = F.col(body)
-    reply = F.from_json(text, REPLY, {"mode": "PERMISSIVE"})
+    blank = text.isNull() | (F.trim(text) == "")
+    large = F.octet_length(text) > MAX_BYTES
+    keys = F.when(~(blank | large), F.json_object_keys(text))
+    read = raw.withColumn("__keys", keys)
+    read = read.withColumn("__unknown", unknown_fields(text, F.col("__keys")))
     problem = (
-        F.when(text.isNull() | (F.trim(text) == ""), F.lit("body must not be empty"))
-        .when(F.octet_length(text) > MAX_BYTES, F.lit("body must not be larger than 1048576 bytes"))
-        .when(F.json_object_keys(text).isNull(), F.lit("body contains badly-formed JSON"))
+        F.when(blank, F.lit("body must not be empty"))
+        .when(large, F.lit("body must not be larger than 1048576 bytes"))
+        .when(F.col("__keys").isNull(), F.lit("body contains badly-formed JSON"))
         .when(
-            F.size(unknown_fields(text)) > 0,
-            F.concat(F.lit("body contains unknown key "), unknown_fields(text)[0]),
+            F.size("__unknown") > 0,
+            F.concat(F.lit("body contains unknown key "), F.col("__unknown")[0]),
         )
     )
-    return raw.withColumn("problem", problem).withColumn(
+    # The one-element array keeps filters on `problem` above the parsing: each body is
+    # read three times (keys, data keys, fields), not again for every use of a result.
+    checked = read.select("*", F.explode_outer(F.array(problem)).alias("problem"))
+    reply = F.from_json(text, REPLY, {"mode": "PERMISSIVE"})
+    return checked.drop("__keys", "__unknown").withColumn(
         "reply", F.when(F.col("problem").isNull(), reply)
     )

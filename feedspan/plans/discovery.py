@@ -13,6 +13,10 @@ from feedspan.operators.paging import check_page, count_of, page_of, top_per_key
 
 
 
+# Most public rows handed to every user; ten pages deep at the largest page size would be 1,000.
+MAX_SHARED_ROWS = 10_000
+
+
 def _newest(created: str = "created_at", key: str = "id") -> list[Column]:
     return [F.col(created).desc(), F.col(key).asc()]
 
@@ -62,10 +66,13 @@ def feed_catalog_with_follow_flag(
 
     All users share the public feeds and differ only in their own hidden ones. A page
     can only hold the newest `page * page_size` of either, so those few public rows are
-    taken once, handed to each user, and merged with the user's own.
+    taken once, handed to each user, and merged with the user's own. Past
+    `MAX_SHARED_ROWS`, pass only the feeds that sort after the last page shown.
     """
     limit, offset = check_page(page, page_size)
     reach = limit + offset
+    if reach > MAX_SHARED_ROWS:
+        raise ValueError("too deep for one array: filter feeds to those after the last page shown")
     keep = (F.col("approval_status") == "approved") & token_match(F.col("name"), search)
     if feed_type:
         keep = keep & (F.col("feed_type") == feed_type)

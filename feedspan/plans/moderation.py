@@ -263,7 +263,8 @@ def unread_inbox(users: DataFrame, announcements: DataFrame, reads: DataFrame) -
     """Every user's unread active announcements as one array per user.
 
     Readers are reduced to their distinct active announcements; users are never paired
-    with announcements row by row. Users who read nothing get the whole active list.
+    with announcements row by row. Users who read nothing get the whole active list, so
+    the list is part of result rows and has to fit one in any case.
     """
     active = announcements.filter("is_active").select(F.col("id").alias("announcement_id"))
     everything = active.agg(F.array_sort(F.collect_set("announcement_id")).alias("a")).scalar()

@@ -15,6 +15,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Deep pages per key still get cut in every task before the shuffle.
+    "spark.sql.optimizer.windowGroupLimitThreshold": "100000",
 }
 
 ROCKSDB_PROVIDER = (

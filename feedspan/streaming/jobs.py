@@ -99,6 +99,8 @@ def run_post_ingest(
     known = posts.select("itemurl")
 
     def insert(batch: DataFrame, batch_id: int) -> None:
+        # The search for duplicates reads the batch several times; it is parsed once.
+        batch.persist()
         fresh = insert_unique(known, batch, ["itemurl"], ["document_id", "item_no"]).changed
         if batch_id > 0:
             earlier = read_batches(spark, path, schema, before=batch_id).select("itemurl")
@@ -107,6 +109,7 @@ def run_post_ingest(
         clean = fresh.withColumn("__s", sanitize_fields({c: F.col(c) for c in POST_TEXT}, strict))
         clean = clean.withColumns({c: F.col(f"__s.{c}") for c in POST_TEXT}).drop("__s")
         write_batch(clean, path, batch_id)
+        batch.unpersist()
 
     return (
         rows.writeStream.option("checkpointLocation", checkpoint)

@@ -291,3 +291,15 @@ def test_renewals_have_one_outcome(spark, platform):
     assert done.challenged.count() == 1 and done.renewed.count() == 2 and done.failed.count() == 1
     assert sorted(r["id"] for r in done.subscriptions.changed.collect()) == [1, 2]
     assert done.subscriptions.table.count() == subs.count()
+
+
+def test_view_sizes_at_sf001(spark):
+    from feedspan.sources.platform import Platform
+
+    p = Platform(spark, "/root/testdata/sf0.01")
+    sizes = {"users": 1500, "feeds": 2000, "feed_follows": 59391, "posts": 1000, "favorites": 1985,
+             "comments": 512, "subscriptions": 15000, "challenged_transactions": 11058}
+    assert {n: getattr(p, n).count() for n in sizes} == sizes
+    assert p.feeds.filter("approval_status = 'approved'").count() == 1200
+    assert p.feeds.filter("last_fetched_at IS NULL").count() == 182
+    assert p.comments.filter("parent_comment_id IS NOT NULL").count() == 412

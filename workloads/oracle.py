@@ -46,7 +46,7 @@ VIEWS = {
     "feed_rejections": """
         SELECT l_partkey AS feed_id, l_shipdate AS rejected_at, l_suppkey AS rejected_by,
                'returned by order ' || l_orderkey AS reason
-        FROM lineitem WHERE l_returnflag = 'R' AND l_partkey % 5 = 1""",
+        FROM lineitem WHERE l_returnflag = 'R'""",
     "posts": """
         SELECT doc_id AS id, doc_id % 200 AS feed_id, source AS channeltitle,
                'https://' || source || '.example.com' AS channelurl,
@@ -191,7 +191,7 @@ VIEWS = {
                coalesce(l.occurrence_count, 0) + coalesce(n.n, 0) AS occurrence_count,
                coalesce(l.occurred_at, n.first_ts) AS occurred_at,
                greatest(l.last_occurrence, n.last_ts) AS last_occurrence
-        FROM (SELECT * FROM scraper_error_logs WHERE feed_id >= 20 OR error_type = 'FeedType') l
+        FROM (SELECT * FROM scraper_error_logs WHERE occurred_at < TIMESTAMP '2024-01-05') l
         FULL JOIN (
           SELECT error_type, feed_id, count(*) AS n, min(id) AS first_id, min(ts) AS first_ts,
                  max(ts) AS last_ts, arg_max(message, id) AS message,
@@ -501,10 +501,12 @@ SQL["scraper_error_board_filtered"] = (
 )
 SQL["unread_announcements"] = """
     SELECT a.* FROM announcements a LEFT JOIN announcement_reads r
-      ON a.id = r.announcement_id AND r.user_id = 7 AND r.announcement_id <> 4
+      ON a.id = r.announcement_id AND r.user_id = 7 AND r.read_at < TIMESTAMP '2024-01-12'
     WHERE a.is_active AND r.id IS NULL"""
 SQL["unread_unexpired_announcements"] = f"""
-    SELECT * FROM announcements WHERE is_active AND expires_at > {EVENTS}"""
+    SELECT a.* FROM announcements a LEFT JOIN announcement_reads r
+      ON a.id = r.announcement_id AND r.user_id = 7 AND r.read_at < TIMESTAMP '2024-01-12'
+    WHERE a.is_active AND a.expires_at > {EVENTS} AND r.id IS NULL"""
 SQL["unread_inbox"] = """
     SELECT u.id AS user_id, coalesce(x.ids, '') AS unread_ids FROM users u LEFT JOIN (
       SELECT v.id, string_agg(CAST(a.id AS VARCHAR), ',' ORDER BY a.id) AS ids

@@ -373,17 +373,19 @@ def scraper_error_board_filtered(p):
     )
 
 
+def _early_reads(p):
+    return p.announcement_reads.filter("read_at < TIMESTAMP_NTZ'2024-01-12 00:00:00'")
+
+
 @query
 def unread_announcements(p):
-    return moderation.unread_announcements(
-        p.announcements, p.announcement_reads.filter("announcement_id <> 4"), 7
-    )
+    return moderation.unread_announcements(p.announcements, _early_reads(p), 7)
 
 
 @query
 def unread_unexpired_announcements(p):
     return moderation.unread_announcements(
-        p.announcements, p.announcement_reads.limit(0), 7, as_ntz(EVENTS)
+        p.announcements, _early_reads(p), 7, as_ntz(EVENTS)
     )
 
 
@@ -677,9 +679,14 @@ def classify_scrape_errors(p):
     return ingest.classify_scrape_errors(p.scrape_attempts)
 
 
+def _known_errors(p):
+    """The error table as it was after four days."""
+    return p.scraper_error_logs.filter("occurred_at < TIMESTAMP_NTZ'2024-01-05 00:00:00'")
+
+
 @query
 def scrape_error_upsert(p):
-    known = p.scraper_error_logs.filter("feed_id >= 20 OR error_type = 'FeedType'")
+    known = _known_errors(p)
     counted = ingest.error_counters(ingest.classify_scrape_errors(p.scrape_attempts))
     return ingest.scrape_error_upsert(known, counted).drop("resolution_notes")
 
@@ -1317,7 +1324,7 @@ def stream_scrape_errors(p):
         "error_type string, feed_id bigint, n bigint, first_id bigint, first_ts timestamp_ntz,"
         " last_ts timestamp_ntz, first_retries int, message string, status_code int"
     )
-    known = p.scraper_error_logs.filter("feed_id >= 20 OR error_type = 'FeedType'")
+    known = _known_errors(p)
     return jobs.current_errors(known, read_batches(p.spark, path, schema)).drop("resolution_notes")
 
 
