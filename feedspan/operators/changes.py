@@ -314,7 +314,8 @@ def cascade_delete(
             keys = frames[0]
             for other in frames[1:]:
                 keys = keys.union(other)
-            asked = keys.toDF("__d").distinct()
+            # Not made distinct: a plain shuffle on both sides lets AQE split a hot parent.
+            asked = keys.toDF("__d")
             part = kept.join(asked, F.col(column) == F.col("__d"), "left_semi")
             kept = kept.join(asked, F.col(column) == F.col("__d"), "left_anti")
             gone = part if gone is None else gone.unionByName(part)

@@ -38,13 +38,8 @@ def search_all(
     terms = wanted.select(
         search_key, "__wanted", F.explode_outer("__wanted").alias("token")
     ).filter(F.col("token").isNotNull())
-    # Document frequency, only for tokens somebody searches for.
-    asked = terms.select("token").distinct()
-    frequency = (
-        index.join(asked, "token", "left_semi")
-        .groupBy("token")
-        .agg(F.count(F.lit(1)).alias("__df"))
-    )
+    # Counted before any join, so a token of every text is one row per task.
+    frequency = index.groupBy("token").agg(F.count(F.lit(1)).alias("__df"))
     rarest = (
         terms.join(frequency, "token", "left")
         .groupBy(search_key)

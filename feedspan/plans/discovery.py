@@ -10,6 +10,7 @@ from feedspan.functions.text import token_match
 from feedspan.functions.timestamps import interval_seconds
 from feedspan.operators.aggregates import count_where, latest_per_key
 from feedspan.operators.paging import check_page, count_of, page_of, top_per_key
+from feedspan.operators.skew import join_sliced
 
 
 
@@ -96,8 +97,8 @@ def feed_catalog_with_follow_flag(
     flags = follows.select("user_id", "feed_id", F.col("id").alias("follow_id"))
     return (
         refs.drop("created_at").withColumnRenamed("id", "feed_id")
-        .join(flags, ["user_id", "feed_id"], "left")
         .join(own_totals, "user_id", "left")
+        .join(flags, ["user_id", "feed_id"], "left")
         .join(listed.withColumnRenamed("id", "feed_id"), "feed_id")
         .withColumn("is_followed", F.col("follow_id").isNotNull())
         .withColumn("total_records", count_of(public) + F.coalesce("__own", F.lit(0)))
@@ -126,7 +127,7 @@ def followed_feeds(
     totals = refs.groupBy("user_id").agg(F.count(F.lit(1)).alias("total_records"))
     rows = top_per_key(refs, ["user_id"], _newest(key="feed_id"), limit, offset, "row_num")
     detail = found.select(F.col("id").alias("feed_id"), "name", "url", "feed_type", "img_url")
-    return rows.join(detail, "feed_id").join(totals, "user_id")
+    return rows.join(totals, "user_id").join(detail, "feed_id")
 
 
 def user_timeline(
@@ -138,13 +139,14 @@ def user_timeline(
     feed_id: int | str | None = None,
     page: int = 1,
     page_size: int = 20,
+    hot_rows: int = 1_000_000,
 ) -> DataFrame:
     """Newest posts of the feeds each user follows: one page per user, with the user's total.
 
     A page can only hold the newest `page * page_size` posts of any one feed. So each
     feed is first cut to that many post keys, kept as one row per feed, and only those
-    fan out to the followers; post text joins the finished pages. Followers of a hot
-    feed meet a single small row, which AQE may broadcast or split.
+    fan out to the followers; post text joins the finished pages. Followers of a feed with
+    more than `hot_rows` of them are sliced over several tasks.
     """
     limit, offset = check_page(page, page_size)
     found = posts.filter(token_match(F.col("itemtitle"), search))
@@ -156,15 +158,16 @@ def user_timeline(
         F.collect_list(F.struct("created_at", F.col("id").alias("post_id"))).alias("recent")
     )
     sizes = found.groupBy("feed_id").agg(F.count(F.lit(1)).alias("n"))
-    fanned = mine.join(recent, "feed_id").select("user_id", F.inline("recent"))
-    totals = mine.join(sizes, "feed_id").groupBy("user_id").agg(F.sum("n").alias("total_records"))
+    reading = join_sliced(mine, recent.join(sizes, "feed_id"), "feed_id", "user_id", min_rows=hot_rows)
+    totals = reading.groupBy("user_id").agg(F.sum("n").alias("total_records"))
     page_rows = top_per_key(
-        fanned, ["user_id"], _newest(key="post_id"), limit, offset, "row_num"
+        reading.select("user_id", F.inline("recent")),
+        ["user_id"], _newest(key="post_id"), limit, offset, "row_num",
     ).drop("created_at")
     liked = favorites.select("user_id", "post_id").distinct().withColumn("__liked", F.lit(True))
     return (
-        page_rows.join(liked, ["user_id", "post_id"], "left")
-        .join(totals, "user_id")
+        page_rows.join(totals, "user_id")
+        .join(liked, ["user_id", "post_id"], "left")
         .join(newest.withColumnRenamed("id", "post_id"), "post_id")
         .withColumn("is_favorite", F.coalesce("__liked", F.lit(False)))
         .drop("__liked")
@@ -195,8 +198,8 @@ def favorite_timeline(
     followed = follows.select("user_id", "feed_id").distinct().withColumn("__f", F.lit(True))
     detail = found.drop("feed_id", "created_at").withColumnRenamed("id", "post_id")
     return (
-        rows.join(followed, ["user_id", "feed_id"], "left")
-        .join(totals, "user_id")
+        rows.join(totals, "user_id")
+        .join(followed, ["user_id", "feed_id"], "left")
         .join(detail, "post_id")
         .withColumn("is_favorite", F.lit(True))
         .withColumn("is_followed_feed", F.coalesce("__f", F.lit(False)))

@@ -9,6 +9,7 @@ from feedspan.operators.aggregates import latest_per_key, most_common, numbered_
 from feedspan.operators.lookup import key_lookup
 from feedspan.operators.paging import check_page, page_after, page_metadata, page_of, top_per_key
 from feedspan.operators.search import search_all
+from feedspan.operators.skew import hot_keys, join_sliced
 from feedspan.plans import discovery, moderation, subscriptions
 
 from conftest import rows
@@ -81,6 +82,19 @@ def test_latest_per_key_and_one_row(spark):
     assert spark.range(1).select(one_row(df, F.max("t").alias("m"))["m"].alias("m")).first()["m"] == 7
 
 
+def test_join_sliced_splits_hot_keys_and_keeps_everything(spark):
+    big = spark.range(3000).select(
+        F.col("id").alias("who"), F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id") % 100).alias("k")
+    )
+    per_key = big.select("k").distinct().withColumn("v", F.col("k") * 2)
+    hot = {r["k"]: r["__slices"] for r in hot_keys(big, "k", max_hot=1, min_rows=10).collect()}
+    assert hot == {-1: 100}
+    want = rows(big.join(per_key, "k").select("who", "k", "v"))
+    for max_hot in (1, 50):
+        joined = join_sliced(big, per_key, "k", "who", max_hot=max_hot, min_rows=10)
+        assert rows(joined.select("who", "k", "v")) == want
+
+
 # Lookup and search
 
 
@@ -232,9 +246,10 @@ def test_timeline_equals_plain_join_under_skew(spark):
     per_user = {}
     for r in plain.collect():
         per_user.setdefault(r["user_id"], []).append(r)
-    for page, size in [(1, 5), (3, 4)]:
+    for page, size, hot in [(1, 5, 1_000_000), (3, 4, 7)]:
         got = {}
-        for r in discovery.user_timeline(posts, follows, likes, page=page, page_size=size).collect():
+        timeline = discovery.user_timeline(posts, follows, likes, page=page, page_size=size, hot_rows=hot)
+        for r in timeline.collect():
             got.setdefault(r["user_id"], []).append((r["row_num"], r["post_id"], r["is_favorite"], r["total_records"]))
         for user, all_rows in per_user.items():
             ordered = sorted(all_rows, key=lambda r: (-r["created_at"].timestamp(), r["id"]))
