@@ -49,15 +49,19 @@ DROPPED_WITH_TEXT = frozenset(
 )
 NEED_ATTRIBUTES = frozenset(["a", "area", "img", "map"])
 VOID = frozenset(["area", "br", "col", "frame", "hr", "img", "wbr"])
-ESCAPES = str.maketrans(
-    {"&": "&amp;", "<": "&lt;", ">": "&gt;", '"': "&#34;", "'": "&#39;", "\r": "&#13;"}
-)
+# The ampersand comes first, or it would escape the other entities.
+ESCAPES = [
+    ("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&#34;"), ("'", "&#39;"), ("\r", "&#13;")
+]
 
 _SCHEME = re.compile(r"\s*([a-zA-Z][a-zA-Z0-9+.-]*):")
 
 
 def escape(text: str) -> str:
-    return text.translate(ESCAPES)
+    for char, entity in ESCAPES:
+        if char in text:
+            text = text.replace(char, entity)
+    return text
 
 
 def _safe_url(url: str | None) -> bool:
