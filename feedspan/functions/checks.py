@@ -236,6 +236,13 @@ def grant_rules(codes="codes", user="user_id"):
     ]
 
 
+def revoke_rules(code="code", user="user_id"):
+    return [
+        Rule("codes", provided(F.col(code)), "must be provided"),
+        Rule("user_id", non_zero(F.col(user)), "must be provided"),
+    ]
+
+
 def feed_moderation_rules(approval="approval_status", priority="priority"):
     return [
         Rule("approval_status", provided(F.col(approval)), "must be provided"),

@@ -334,8 +334,9 @@ def top_feed_creators(
     page: int = 1,
     page_size: int = 5,
     jitter_seed: str | None = None,
+    by_score: bool = False,
 ) -> DataFrame:
-    """Creators with the most follows, one page, scored.
+    """Creators with the most follows, one page, scored; `by_score` ranks all by score instead.
 
     Follows and likes shrink to one row per feed before they meet the feeds, so a hot
     feed is one row. The average gap between an owner's feeds telescopes to
@@ -360,30 +361,32 @@ def top_feed_creators(
             (F.max("created_at") - F.min("created_at")).alias("__span"),
         )
     )
-    top = per_owner.orderBy(F.desc("total_follows"), F.asc("user_id"))
-    top = (top.offset(offset) if offset else top).limit(limit)
     commented = comments.groupBy("user_id").agg(F.count("id").alias("total_comments"))
     gap = F.when(
         F.col("__n") > 1, interval_seconds(F.col("__span")) / 86400.0 / (F.col("__n") - 1)
     ).otherwise(F.lit(0.0))
-    scored = (
-        top.join(commented, "user_id", "left")
-        .join(
-            users.select(F.col("id").alias("user_id"), "name", "user_img"), "user_id", "left"
-        )
-        .withColumn("avg_time_between_feeds", gap)
-        .withColumn("total_comments", F.coalesce("total_comments", F.lit(0)))
-    )
+    order = [F.desc("score" if by_score else "total_follows"), F.asc("user_id")]
+
+    def cut(df: DataFrame) -> DataFrame:
+        df = df.orderBy(*order)
+        return (df.offset(offset) if offset else df).limit(limit)
+
     jitter = unit_hash(F.col("user_id"), jitter_seed) if jitter_seed is not None else None
     score = creator_score(
         F.col("total_follows"), F.col("total_likes"), F.col("total_comments"),
         F.col("total_created_feeds"), F.col("avg_time_between_feeds"), jitter,
     )
-    return (
-        scored.withColumn("score", score)
+    ranked = per_owner if by_score else cut(per_owner)
+    scored = (
+        ranked.join(commented, "user_id", "left")
+        .withColumn("avg_time_between_feeds", gap)
+        .withColumn("total_comments", F.coalesce("total_comments", F.lit(0)))
+        .withColumn("score", score)
         .drop("__n", "__span")
-        .orderBy(F.desc("total_follows"), F.asc("user_id"))
     )
+    names = users.select(F.col("id").alias("user_id"), "name", "user_img")
+    page_rows = cut(scored) if by_score else scored
+    return page_rows.join(names, "user_id", "left").orderBy(*order)
 
 
 def comment_threads(comments: DataFrame, users: DataFrame, viewer: int | None = None) -> DataFrame:

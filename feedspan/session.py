@@ -7,6 +7,10 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+ROCKSDB_PROVIDER = (
+    "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+)
+
 # Runtime-changeable settings the jobs are designed for. The skew-join setting
 # lets AQE split a hot key even where the split costs one more exchange.
 SETTINGS = {
@@ -15,15 +19,11 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.streaming.stateStore.providerClass": ROCKSDB_PROVIDER,
     # Deep pages per key still get cut in every task before the shuffle.
     "spark.sql.optimizer.windowGroupLimitThreshold": "100000",
 }
 
-ROCKSDB_PROVIDER = (
-    "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-)
-
-
 def build_session(app: str = "feedspan", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings above; `conf` keys use `__` for `.`."""
     builder = SparkSession.builder.appName(app)

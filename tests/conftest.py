@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from feedspan.session import ROCKSDB_PROVIDER, build_session  # noqa: E402
+from feedspan.session import build_session  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
@@ -15,7 +15,6 @@ def spark():
     session = build_session(
         "tests", "local[*]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false",
         spark__ui__showConsoleProgress="false",
-        spark__sql__streaming__stateStore__providerClass=ROCKSDB_PROVIDER,
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from feedspan.functions import checks, gateway
+from feedspan.functions.ids import stable_uuid
 from feedspan.functions.scoring import creator_score, unit_hash
 from feedspan.functions.text import token_match, tokens
 from feedspan.functions.timestamps import (
@@ -129,6 +130,12 @@ def test_uuid_and_url(spark):
     assert over(spark, urls, checks.is_valid_url) == [True, False, False, False, False, False]
 
 
+def test_stable_uuid(spark):
+    ids = [one(spark, stable_uuid(*map(F.lit, k))) for k in [("ab", "c"), ("a", "bc"), ("ab", "c")]]
+    assert ids[0] == ids[2] != ids[1]
+    assert one(spark, checks.is_valid_uuid(F.lit(ids[0])))
+
+
 def test_first_message_per_field_wins(spark):
     df = spark.createDataFrame(
         [("", "x", "", "t", "d"), ("n", "https://a.b/", "https://a.b/i.png", "t" * 501, "é" * 250)],
@@ -162,6 +169,8 @@ def test_other_rule_sets(spark):
     assert errors(checks.announcement_read_rules(), announcement_id=0) == {
         "announcement_id": "must be provided"}
     assert errors(checks.grant_rules(), codes=[], user_id=1) == {"permissions": "must be provided"}
+    assert errors(checks.revoke_rules(), code="", user_id=0) == {
+        "codes": "must be provided", "user_id": "must be provided"}
     assert errors(checks.error_log_rules(), resolution_notes="") == {"resolution_notes": "must be provided"}
 
 

@@ -140,3 +140,11 @@ def test_staged(spark):
 @pytest.mark.parametrize("table", ["events"])
 def test_table_stream_reads_only_its_table(spark, table):
     assert jobs.table_stream(spark, SF, table).isStreaming
+
+
+def test_stream_table_retention(spark, tmp_path):
+    notes = spark.createDataFrame([(1, "2024-01-01 00:00:00"), (2, "2024-01-01 02:00:00")], "id int, created_at string")
+    write_batch(notes.withColumn("created_at", F.to_timestamp("created_at")), str(tmp_path), 0)
+    kept = jobs.purge_stream_table(
+        spark, str(tmp_path), "id int, created_at timestamp", F.to_timestamp(F.lit("2024-01-01 03:00:00")), 100)
+    assert rows(kept.select("id")) == [(2,)]

@@ -362,6 +362,11 @@ SQL["top_feed_creators_jitter"] = f"""
     SELECT user_id, round({_SCORE}
         + 0.05 * CAST('0x' || substr(md5('j' || user_id), 1, 8) AS BIGINT) / 4294967296.0, 6) AS score
     FROM creators ORDER BY total_follows DESC, user_id LIMIT 10 OFFSET 10"""
+SQL["top_feed_creators_by_score"] = f"""
+    SELECT user_id, name, user_img, total_follows, total_likes, total_created_feeds,
+           round(avg_time_between_feeds, 6) AS avg_time_between_feeds, total_comments,
+           round({_SCORE}, 6) AS score
+    FROM creators ORDER BY {_SCORE} DESC, user_id LIMIT 15 OFFSET 15"""
 SQL["comment_threads"] = """
     SELECT c.id, c.post_id, c.user_id, c.parent_comment_id, md5(c.comment_text) AS comment_text,
            c.version, c.created_at, u.name AS user_name, c.user_id = 7 AS is_editable
@@ -740,6 +745,11 @@ SQL["insert_feed_follows"] = _insert(
     _PAIR.format("feed_id"), "user_id, feed_id",
     "(user_id, feed_id) IN (SELECT (user_id, feed_id) FROM feed_follows)", "seq, user_id, feed_id",
 )
+SQL["new_follow_ids"] = f"""
+    SELECT DISTINCT regexp_replace(md5(user_id || chr(31) || feed_id),
+             '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '\\1-\\2-\\3-\\4-\\5') AS id, user_id, feed_id
+    FROM ({_PAIR.format("feed_id")})
+    WHERE (user_id, feed_id) NOT IN (SELECT (user_id, feed_id) FROM feed_follows)"""
 SQL["insert_favorites"] = _insert(
     _PAIR.format("post_id"), "user_id, post_id",
     "(user_id, post_id) IN (SELECT (user_id, post_id) FROM favorites)", "seq, user_id, post_id",

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from feedspan.functions import checks, gateway
 from feedspan.functions.html import sanitize_html
+from feedspan.functions.ids import stable_uuid
 from feedspan.functions.timestamps import (
     as_ntz,
     format_timestamp,
@@ -219,6 +220,11 @@ def top_feed_creators_jitter(p):
     return _creators(p, page=2, page_size=10, jitter_seed="j").select("user_id", "score")
 
 
+@query
+def top_feed_creators_by_score(p):
+    return _creators(p, page=2, page_size=15, by_score=True)
+
+
 @query
 def comment_threads(p):
     return hashed(discovery.comment_threads(p.comments, p.users, viewer=7), "comment_text")
@@ -733,6 +739,16 @@ def insert_feed_follows(p):
     return _split(done, "seq", "user_id", "feed_id")
 
 
+@query
+def new_follow_ids(p):
+    done = changes.insert_unique(
+        p.feed_follows, _event_pairs(p, "feed_id"), ["user_id", "feed_id"], ["seq"]
+    )
+    return done.changed.select(
+        stable_uuid(F.col("user_id"), F.col("feed_id")).alias("id"), "user_id", "feed_id"
+    )
+
+
 @query
 def insert_favorites(p):
     done = changes.insert_unique(
