@@ -56,14 +56,22 @@ def post_counts(
     )
 
 
+def _trigger(every: str | None) -> dict:
+    return {"processingTime": every} if every else {"availableNow": True}
+
+
 def append_to(
-    stream: DataFrame, path: str, checkpoint: str, prepare=lambda batch: batch, mode: str = "append"
+    stream: DataFrame, path: str, checkpoint: str, prepare=lambda batch: batch,
+    every: str | None = None,
 ) -> StreamingQuery:
-    """Run over all available input and write each micro-batch to its own folder."""
+    """Write each micro-batch to its own folder.
+
+    Runs over all available input and stops, or keeps running with `every` (as in
+    "10 minutes") between micro-batches.
+    """
     return (
-        stream.writeStream.outputMode(mode)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        stream.writeStream.option("checkpointLocation", checkpoint)
+        .trigger(**_trigger(every))
         .foreachBatch(lambda batch, batch_id: write_batch(prepare(batch), path, batch_id))
         .start()
     )
@@ -71,17 +79,17 @@ def append_to(
 
 def run_new_post_notifications(
     posts: DataFrame, feeds: DataFrame, path: str, checkpoint: str,
-    interval_minutes: int = 10, lateness: str = "10 minutes",
+    interval_minutes: int = 10, lateness: str = "10 minutes", every: str | None = None,
 ) -> StreamingQuery:
     """Append one notification per feed and closed window."""
     names = feeds.select(F.col("id").alias("feed_id"), F.col("name").alias("feed_name"))
     counts = post_counts(posts, interval_minutes, lateness)
-    return append_to(counts, path, checkpoint, lambda batch: batch.join(names, "feed_id"))
+    return append_to(counts, path, checkpoint, lambda batch: batch.join(names, "feed_id"), every)
 
 
 def run_post_ingest(
     bodies: DataFrame, posts: DataFrame, path: str, checkpoint: str,
-    strict: bool = False, lateness: str | None = None,
+    strict: bool = False, lateness: str | None = None, every: str | None = None,
 ) -> StreamingQuery:
     """Insert posts from fetched bodies (feed_id, document_id, body, fetched_at).
 
@@ -113,16 +121,19 @@ def run_post_ingest(
 
     return (
         rows.writeStream.option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**_trigger(every))
         .foreachBatch(insert)
         .start()
     )
 
 
-def run_scrape_errors(attempts: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def run_scrape_errors(
+    attempts: DataFrame, path: str, checkpoint: str, every: str | None = None
+) -> StreamingQuery:
     """Append counters of each micro-batch; `current_errors` adds them up."""
     return append_to(
-        attempts, path, checkpoint, lambda batch: error_counters(classify_scrape_errors(batch))
+        attempts, path, checkpoint,
+        lambda batch: error_counters(classify_scrape_errors(batch)), every,
     )
 
 
@@ -168,7 +179,7 @@ def expired_challenges(
 
 
 def run_timeline_fan_out(
-    posts: DataFrame, follows: DataFrame, path: str, checkpoint: str
+    posts: DataFrame, follows: DataFrame, path: str, checkpoint: str, every: str | None = None
 ) -> StreamingQuery:
     """Append one row per new post and follower of its feed.
 
@@ -182,7 +193,7 @@ def run_timeline_fan_out(
             "user_id", "feed_id", F.col("id").alias("post_id"), "created_at"
         )
 
-    return append_to(posts, path, checkpoint, fan_out)
+    return append_to(posts, path, checkpoint, fan_out, every)
 
 
 def purge_stream_table(spark: SparkSession, path: str, schema: str, as_of: Column, minutes_kept: int):

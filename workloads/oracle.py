@@ -714,6 +714,14 @@ SQL["ingest_posts"] = f"""
            link AS itemurl, CAST(epoch(at_) AS BIGINT) AS itempublished_at,
            CASE WHEN fresh THEN 'accepted' ELSE 'duplicate' END AS outcome
     FROM candidate_items"""
+_STRIPPED = "html"
+for _tag in ("script", "style", "title", "noscript", "iframe", "object"):
+    _STRIPPED = f"regexp_replace({_STRIPPED}, '(?is)<{_tag}\\b[^>]*>.*?</{_tag}>', '', 'g')"
+_STRIPPED = f"regexp_replace({_STRIPPED}, '(?s)<!--.*?-->|<[^>]*>', '', 'g')"
+for _entity, _char in (("copy", "©"), ("quot", "\""), ("middot", "·"), ("nbsp", "\u00a0"), ("raquo", "»"), ("laquo", "«")):
+    _STRIPPED = f"replace({_STRIPPED}, '&{_entity};', '{_char}')"
+SQL["sanitized_pages_strict"] = f"""
+    SELECT page_id, md5(replace(replace({_STRIPPED}, '"', '&#34;'), '''', '&#39;')) AS text FROM pages"""
 SQL["sanitized_documents_strict"] = """
     SELECT id, md5(replace(replace(replace(replace(itemcontent, '&', '&amp;'), '"', '&#34;'),
                    '''', '&#39;'), '>', '&gt;')) AS text FROM posts"""

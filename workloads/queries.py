@@ -675,6 +675,13 @@ def sanitized_pages(p):
     return rows.select("document_id", "item_link", "item_content")
 
 
+@query
+def sanitized_pages_strict(p):
+    return p.raw("pages").select(
+        "page_id", F.md5(sanitize_html(F.col("html"), strict=True)).alias("text")
+    )
+
+
 @query
 def sanitized_documents_strict(p):
     return p.posts.select("id", F.md5(sanitize_html(F.col("itemcontent"), strict=True)).alias("text"))
