@@ -714,7 +714,8 @@ SQL["ingest_posts"] = f"""
            link AS itemurl, CAST(epoch(at_) AS BIGINT) AS itempublished_at,
            CASE WHEN fresh THEN 'accepted' ELSE 'duplicate' END AS outcome
     FROM candidate_items"""
-_STRIPPED = "html"
+# Titles cut inside an entity leave '&', '&a', '&am' or '&amp' before the closing tag.
+_STRIPPED = r"regexp_replace(replace(html, '&amp<', '&amp;<'), '&(|a|am)<', '&amp;\1<', 'g')"
 for _tag in ("script", "style", "title", "noscript", "iframe", "object"):
     _STRIPPED = f"regexp_replace({_STRIPPED}, '(?is)<{_tag}\\b[^>]*>.*?</{_tag}>', '', 'g')"
 _STRIPPED = f"regexp_replace({_STRIPPED}, '(?s)<!--.*?-->|<[^>]*>', '', 'g')"
