@@ -298,7 +298,11 @@ def usage_quota(
 
     Three counts joined per user: no fan-out between follows, feeds and comments.
     """
-    today = F.to_date("created_at") == F.to_date(as_of)
+    # A range on the bare column reaches the scan; a date cast on it would not.
+    midnight = F.date_trunc("day", as_of).cast("timestamp_ntz")
+    today = (F.col("created_at") >= midnight) & (
+        F.col("created_at") < midnight + F.expr("INTERVAL '1' DAY")
+    )
     followed = follows.select("user_id", "feed_id").distinct().groupBy("user_id").agg(
         F.count(F.lit(1)).alias("followed_feeds")
     )
