@@ -1,0 +1,10 @@
+"""Operators of a training-data pipeline: scans, classifiers, deduplication, mixing and packing.
+
+Functions of this package travel to the executors by value, so a cluster needs no copy of it.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
