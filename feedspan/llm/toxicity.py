@@ -204,10 +204,10 @@ def _distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def pick_terms(words: list[tuple[str, int, int]], n_toxic: int, n_clean: int) -> dict:
     """Lexicon from (word, toxic documents, clean documents).
 
-    A term occurs in two toxic documents at least and half a percent of them, at twenty times its
+    A term occurs in three toxic documents at least and half a percent of them, at twenty times its
     rate in clean ones.
     """
-    least = max(2 if n_toxic < 100 else 3, 0.005 * n_toxic)
+    least = max(3, 0.005 * n_toxic)
     terms = sorted(
         w for w, t, c in words
         if t >= least and (t + 0.5) / (n_toxic + 1) >= 20 * (c + 0.5) / (n_clean + 1)
