@@ -128,26 +128,27 @@ def adaptive_fences(signals: DataFrame, min_rows: int = 100) -> DataFrame:
         columns.append(F.max(F.when(mine, F.col("q3") + width * spread + above)).alias(f"high_{k}"))
         if under is not None:
             columns.append(F.max(F.when(mine, F.col("q1") - width * spread - under)).alias(f"low_{k}"))
-    wide = quartiles.groupBy("level", "lang", "source").agg(F.max("rows").alias("rows"), *columns)
+    wide = staged(quartiles.groupBy("level", "lang", "source").agg(F.max("rows").alias("rows"), *columns), "fences")
     names = [c for c in wide.columns if c.startswith(("high_", "low_"))]
 
     level = {
         n: wide.filter(F.col("level") == n).select(
             *("lang", "source")[: 2 - n], F.struct("rows", *names).alias(f"l{n}"))
-        for n in range(3)
+        for n in range(2)
     }
-    # Every group, also one whose rows all fail the base rules; the one-row total joins by a constant.
-    groups = signals.select("lang", "source").distinct().withColumn("one", F.lit(1))
+    overall = wide.filter("level = 2").first()  # one row, or none without a passing row
+    total = F.struct(*(F.lit(overall[c] if overall else None).cast(wide.schema[c].dataType).alias(c) for c in ["rows", *names]))
+    # Every group, also one whose rows all fail the base rules.
+    groups = signals.select("lang", "source").distinct()
     same = F.col("g.lang").eqNullSafe(F.col("s.lang"))
     joined = (
         groups.alias("g")
         .join(level[0].alias("s"), same & F.col("g.source").eqNullSafe(F.col("s.source")), "left")
         .select("g.*", "l0").alias("g")
         .join(level[1].alias("s"), same, "left").select("g.*", "l1")
-        .join(level[2].withColumn("one", F.lit(1)), "one", "left")
     )
     chosen = F.when(F.col("l0.rows") >= min_rows, F.col("l0")).when(F.col("l1.rows") >= min_rows, F.col("l1"))
-    return joined.select("lang", "source", chosen.otherwise(F.col("l2")).alias("f")).select("lang", "source", "f.*")
+    return joined.select("lang", "source", chosen.otherwise(total).alias("f")).select("lang", "source", "f.*")
 
 
 def quality_rules(docs: DataFrame, min_rows: int = 100) -> DataFrame:
