@@ -28,8 +28,8 @@ FIRST, GROWTH = 1e-3, 1.02
 SIGNALS = {
     "word_len": ("word_chars", "n_words", 3.0, 2.0, 1.5),
     "symbols": ("n_symbols", "n_words", 3.0, 0.1, None),
-    "dup_lines": ("n_dup_lines", "n_lines", 3.0, 0.3, None),
-    "repeats": ("n_repeat_words", "n_words", 3.0, 0.2, None),
+    "dup_lines": ("n_dup_lines", "n_lines", 3.0, 0.5, None),
+    "repeats": ("n_repeat_words", "n_words", 3.0, 0.35, None),
 }
 
 
