@@ -11,6 +11,7 @@ from feedspan.llm.crf_quality import quality_scores
 from feedspan.llm.html_text import extract_pages
 from feedspan.llm.language_id import language_id
 from feedspan.llm.license_scan import license_scan
+from feedspan.llm.minhash import duplicate_classes
 from feedspan.llm.mixing import take_counts, weight_table
 from feedspan.llm.packing import pack
 from feedspan.llm.quality_rules import quality_rules
@@ -33,6 +34,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.select("doc_id", "leaf_domain", "leaf_lang", "leaf_source", "n_tokens", "taken")
 
 
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return duplicate_classes(table(spark, sf_dir, "documents"))
+
+
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
 
@@ -60,6 +65,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_mixing": op2_mixing,
+    "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op5_html_extraction": op5_html_extraction,
     "op6_language_id": op6_language_id,
     "op7_packing": op7_packing,
