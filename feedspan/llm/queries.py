@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from feedspan.llm.common import table
 from feedspan.llm.crf_quality import quality_scores
+from feedspan.llm.embeddings import embedding_duplicates
 from feedspan.llm.html_text import extract_pages
 from feedspan.llm.language_id import language_id
 from feedspan.llm.license_scan import license_scan
@@ -38,6 +39,10 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicate_classes(table(spark, sf_dir, "documents"))
 
 
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
 
@@ -66,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_mixing": op2_mixing,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op4_embedding_near_dedup": op4_embedding_near_dedup,
     "op5_html_extraction": op5_html_extraction,
     "op6_language_id": op6_language_id,
     "op7_packing": op7_packing,
