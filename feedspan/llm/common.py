@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from feedspan.sources.storage import staged
+
 #: A word is a run of characters other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -36,3 +38,16 @@ def bounded_sample(rows: DataFrame, stratum: Column, limit: int, seed: int = 7)
     for value, n in counts.items():
         keep = keep | ((F.col("__stratum") == F.lit(value)) & (share < min(1.0, limit / n)))
     return rows.filter(keep).drop("__stratum")
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, limit: int, rest: Column) -> DataFrame:
+    """doc_id, text and label (`column`, 0 or 1) of about `limit` documents a label, for training.
+
+    `rest` is the fold to learn from, a condition on doc_id. The ids are sampled first; their number
+    is bounded, so they are broadcast and no text is shuffled to find its label. A label given twice
+    counts once, and so does a document; documents without a text or label don't count.
+    """
+    known = labels.select("doc_id", F.col(column).cast("int").alias(column)).filter(F.col(column).isin(0, 1) & rest)
+    ids = staged(bounded_sample(known.distinct(), F.col(column), limit), "label-sample")
+    texts = docs.select("doc_id", "text").filter("text IS NOT NULL").join(F.broadcast(ids), "doc_id")
+    return staged(texts.groupBy("doc_id", column).agg(F.min("text").alias("text")), "training-texts")

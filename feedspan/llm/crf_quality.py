@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedspan.llm.common import bounded_sample, fold
+from feedspan.llm.common import fold, labelled_sample
 
 ALL = bytes(range(256))
 NOT_UPPER = bytes(c for c in ALL if not 65 <= c <= 90)
@@ -186,15 +186,15 @@ def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def train(rows: DataFrame, per_label: int = 1000) -> dict:
-    """Fit on a bounded sample of `rows` (text, quality 0 or 1): about `per_label` whole texts a label."""
-    sample = bounded_sample(rows, F.col("quality"), per_label)
-    lines = sample.select(F.col("quality").cast("int"), "text").mapInArrow(
+def train(docs: DataFrame, labels: DataFrame, per_label: int) -> dict:
+    """Fit on about `per_label` whole texts a label, outside the held-out fold."""
+    sample = labelled_sample(docs, labels, "quality", per_label, fold(F.col("doc_id"), 5) != 0)
+    lines = sample.select("quality", "text").mapInArrow(
         _featurise, "quality int, features binary, sizes binary").collect()
     return train_model(sorted((
         (r["quality"], np.frombuffer(r["features"], dtype=np.float32).reshape(-1, len(FEATURES)),
          np.frombuffer(r["sizes"], dtype=np.float64))
-        for r in lines if r["quality"] in (0, 1)
+        for r in lines
     ), key=lambda d: (d[0], len(d[2]), d[1].tobytes())))
 
 
@@ -209,13 +209,6 @@ def scorer(docs: DataFrame, model: dict) -> Column:
     return score(F.col("text"))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, column: str, rest: Column) -> DataFrame:
-    """Rows of `docs` for training: those in the fold `rest` that have a label. Repeated labels give repeated rows."""
-    known = labels.select(F.col("doc_id").alias("__id"), column).filter(F.col(column).isNotNull())
-    rows = docs.select("doc_id", "text").filter(rest & F.col("text").isNotNull())
-    return rows.join(known, F.col("doc_id") == F.col("__id")).drop("__id")
-
-
 def quality_scores(docs: DataFrame, labels: DataFrame, per_label: int = 1000) -> DataFrame:
     """doc_id, held_out, score and predicted (score >= 0.3) of every row of `docs` (doc_id, text).
 
@@ -223,13 +216,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame, per_label: int = 1000) ->
     texts are scored as one empty line. Without labels every score is 0.5. Repeated rows get equal
     scores. Other columns are ignored. Empty input: no rows.
     """
-    part = fold(F.col("doc_id"), 5)
-    model = train(labelled(docs, labels, "quality", part != 0), per_label)
-    scored = docs.select("doc_id", F.coalesce(part == 0, F.lit(False)).alias("held_out"), scorer(docs, model).alias("score"))
+    held_out = F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out")
+    scored = docs.select("doc_id", held_out, scorer(docs, train(docs, labels, per_label)).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, per_label: int = 1000) -> DataFrame:
     """Rows of `docs` whose score is at least 0.3, with all their columns."""
-    model = train(labelled(docs, labels, "quality", fold(F.col("doc_id"), 5) != 0), per_label)
-    return docs.filter(scorer(docs, model) >= 0.3)
+    return docs.filter(scorer(docs, train(docs, labels, per_label)) >= 0.3)

@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedspan.llm.common import bounded_sample, fold
-from feedspan.llm.crf_quality import labelled, logistic
+from feedspan.llm.common import fold, labelled_sample
+from feedspan.llm.crf_quality import logistic
 
 TOKEN = re.compile(r"\w+")
 EXACT, STEM, FUZZY = 0, 1, 2
@@ -225,13 +225,12 @@ def pick_terms(words: list[tuple[str, int, int]], n_toxic: int, n_clean: int) ->
     return {"terms": terms, "stems": stems, "exceptions": exceptions}
 
 
-def train(rows: DataFrame, per_label: int = 4000) -> dict:
-    """Lexicon and weights from about `per_label` whole texts a label of `rows` (text, toxic 0 or 1).
+def train(docs: DataFrame, labels: DataFrame, per_label: int) -> dict:
+    """Lexicon and weights from about `per_label` whole texts a label, outside the held-out fold.
 
     Near copies among them count once, else the rare words of a copied text would look toxic.
     """
-    sample = bounded_sample(rows.filter("toxic IN (0, 1)"), F.col("toxic"), per_label).select(
-        F.col("toxic").cast("int"), "text")
+    sample = labelled_sample(docs, labels, "toxic", per_label, fold(F.col("doc_id"), 4) != 2).select("toxic", "text")
     listed = sample.mapInArrow(_distinct_words, "toxic int, print long, words array<string>").dropDuplicates(
         ["toxic", "print"])
     # An empty word in every document: its counts are those of the documents.
@@ -270,10 +269,6 @@ def scored(docs: DataFrame, model: dict) -> Column:
     return score(F.col("text"))
 
 
-def _model(docs: DataFrame, labels: DataFrame, per_label: int) -> dict:
-    return train(labelled(docs, labels, "toxic", fold(F.col("doc_id"), 4) != 2), per_label)
-
-
 def toxicity_scores(docs: DataFrame, labels: DataFrame, per_label: int = 4000) -> DataFrame:
     """doc_id, held_out, score and predicted (score >= 0.3) of every row of `docs` (doc_id, text).
 
@@ -282,10 +277,10 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, per_label: int = 4000) -
     Repeated rows get equal scores. Other columns are ignored. Empty input: no rows.
     """
     held_out = F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(False))
-    result = docs.select("doc_id", held_out.alias("held_out"), scored(docs, _model(docs, labels, per_label)).alias("score"))
+    result = docs.select("doc_id", held_out.alias("held_out"), scored(docs, train(docs, labels, per_label)).alias("score"))
     return result.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, per_label: int = 4000) -> DataFrame:
     """Rows of `docs` whose score is below 0.3, with all their columns."""
-    return docs.filter(scored(docs, _model(docs, labels, per_label)) < 0.3)
+    return docs.filter(scored(docs, train(docs, labels, per_label)) < 0.3)
