@@ -74,24 +74,24 @@ def leaf_budgets(
 
     The whole budget is `fraction` of all tokens; a leaf can give `max_epochs` times its own.
     """
-    sized = leaves.withColumn("capacity", (F.col("tokens") * max_epochs).cast("double"))
-    total = leaves.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("t"))
-    budget = F.lit((total.first()["t"]) * fraction)
-    parents = None
-    for level in range(len(LEVELS)):
-        path = LEAF[: level + 1]
-        nodes = sized.groupBy(*path).agg(F.sum("capacity").alias("capacity"), F.sum("tokens").alias("tokens"))
+    sized = leaves
+    for level, leaf in zip(LEVELS, LEAF, strict=True):
         if weights is None:
-            nodes = nodes.withColumn("weight", F.lit(1.0))
+            sized = sized.withColumn(f"w_{leaf}", F.lit(1.0))
         else:
-            named = weights.filter(F.col("level") == LEVELS[level]).select(F.col("name").alias(LEAF[level]), "weight")
-            nodes = nodes.join(named, LEAF[level], "left").fillna({"weight": 1.0})
-        # A weight of nothing is a capacity of nothing; the division needs some weight.
-        nodes = nodes.withColumns({
-            "capacity": F.when(F.col("weight") > 0, F.col("capacity")).otherwise(0.0),
-            "weight": F.greatest(F.col("weight"), F.lit(1e-12)),
-        })
-        parents = _share_out(nodes, parents, budget, level)
+            named = weights.filter(F.col("level") == level).select(F.col("name").alias(leaf), F.col("weight").alias(f"w_{leaf}"))
+            sized = sized.join(named, leaf, "left").fillna({f"w_{leaf}": 1.0})
+    # A weight of nothing anywhere above a leaf is a capacity of nothing, for its ancestors too.
+    wanted = F.least(*(F.col(f"w_{leaf}") for leaf in LEAF)) > 0
+    sized = sized.withColumn("capacity", F.when(wanted, (F.col("tokens") * max_epochs).cast("double")).otherwise(0.0))
+    total = leaves.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("t")).first()["t"]
+    parents = None
+    for level, leaf in enumerate(LEAF):
+        # The division needs some weight.
+        nodes = sized.groupBy(*LEAF[: level + 1]).agg(
+            F.sum("capacity").alias("capacity"), F.sum("tokens").alias("tokens"),
+            F.greatest(F.max(f"w_{leaf}"), F.lit(1e-12)).alias("weight"))
+        parents = _share_out(nodes, parents, F.lit(total * fraction), level)
     return parents
 
 
