@@ -4,7 +4,7 @@ The parser's events cut a page into lines, one per block element. Lines inside e
 never hold article text (navigation, footers, forms, adverts, comments ...) are dropped at
 once. Each other line has a ratio of text to tags; the ratios are smoothed with a Gaussian and
 runs above a threshold are content regions. A container whose text lies mostly in regions is
-content as a whole, so its short lines stay.
+content as a whole, with the containers inside it, so its short lines stay.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ BLOCK = frozenset(
     "footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre search section summary table tbody "
     "td tfoot th thead tr ul".split()
 )
-CONTAINER = frozenset("article aside body details div dialog fieldset figure html main section table td".split())
+CONTAINER = frozenset("article aside body div html main section".split())
 NEVER = frozenset(
     "head title script style noscript template iframe object svg math canvas audio video select option datalist "
     "textarea button input form nav footer aside menu dialog search fieldset".split()
@@ -74,7 +74,7 @@ class Lines(HTMLParser):
         self.stack: list[tuple[str, bool, int]] = []  # element, inside surroundings, container
         self.parts: list[str] = []
         self.tags = 0
-        self.containers = 0
+        self.parents = [-1]  # of each container; -1 for what hangs on the page itself
 
     def _where(self) -> tuple[str, bool, int]:
         return self.stack[-1] if self.stack else ("", False, 0)
@@ -103,8 +103,8 @@ class Lines(HTMLParser):
                     break
         _, inside, container = self._where()
         if tag in CONTAINER:
-            self.containers += 1
-            container = self.containers
+            self.parents.append(-1 if any(t in ("html", "body") for t, *_ in self.stack[-1:]) else container)
+            container = len(self.parents) - 1
         # A header names the page, but the headline in the header of an article belongs to it.
         header = tag == "header"
         kept = tag == "h1" and inside and any(t == "header" for t, *_ in self.stack) and any(
@@ -151,18 +151,30 @@ def smooth(x: np.ndarray, sigma: float) -> np.ndarray:
     return full / np.convolve(np.ones(len(x)), kernel)[radius : radius + len(x)]
 
 
-def content_lines(lines: list[tuple[str, int, int]], sigma: float = 1.0, share: float = 0.5) -> list[str]:
-    """Lines of the containers that hold at least `share` of their text in content regions."""
+def content_lines(
+    lines: list[tuple[str, int, int]], parents: list[int], sigma: float = 1.0, share: float = 0.5
+) -> list[str]:
+    """Lines of the containers that are content.
+
+    A container is content if `share` of its text lies in content regions and its own ratio isn't
+    far below the threshold (smoothing lifts a list of links between two paragraphs), or if it
+    stands inside one that is. The one with most text in regions always is.
+    """
     if not lines:
         return []
     size = np.array([len(t) for t, _, _ in lines], dtype=np.float64)
-    ratio = smooth(size / np.maximum([n for _, n, _ in lines], 1), sigma)
-    region = ratio >= min(ratio.std(), ratio.max())
-    container = np.unique([c for _, _, c in lines], return_inverse=True)[1]
-    total = np.bincount(container, size)
-    inside = np.bincount(container, size * region)
-    chosen = (inside >= share * total) | (inside >= inside.max())
-    return [t for (t, _, _), c in zip(lines, container, strict=True) if chosen[c]]
+    tags = np.maximum([n for _, n, _ in lines], 1)
+    ratio = smooth(size / tags, sigma)
+    threshold = min(ratio.std(), ratio.max())
+    place = np.array([c for _, _, c in lines])
+    total = np.bincount(place, size, len(parents))
+    inside = np.bincount(place, size * (ratio >= threshold), len(parents))
+    own = total / np.maximum(np.bincount(place, tags, len(parents)), 1)
+    chosen = (total > 0) & (inside >= share * total) & (own >= threshold / 2)
+    chosen[np.argmax(inside)] = True
+    for c, parent in enumerate(parents):  # parents come first
+        chosen[c] |= parent > 0 and chosen[parent]
+    return [t for t, _, c in lines if chosen[c]]
 
 
 def main_text(html: str | None) -> str:
@@ -174,7 +186,7 @@ def main_text(html: str | None) -> str:
         parser.close()
     except AssertionError:  # the parser gives up on some broken declarations; what it read counts
         parser._flush()
-    return "\n".join(content_lines(parser.lines))
+    return "\n".join(content_lines(parser.lines, parser.parents))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

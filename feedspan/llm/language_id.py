@@ -97,6 +97,8 @@ def build_model(langs: list[str], lang: np.ndarray, length: np.ndarray, gram: np
     per language when the gram is a context (0 where the language never saw the context).
     """
     tables: list[dict] = []
+    if not len(gram):
+        return {"langs": [], "tables": tables}
     for k in range(1, DEPTH + 1):
         mine = length == k
         keys, row = np.unique(gram[mine], return_inverse=True)

@@ -27,7 +27,7 @@ SENTENCES = [
     ("BsdBinary", r"\bredistributions in binary form must reproduce\b"),
     ("BsdEndorse", r"\bneither the names? of\b.*\bmay be used to endorse\b"),
     ("BsdAdvert", r"\ball advertising materials mentioning features\b"),
-    ("GplFree", r"\bthis (?:program|library|file) is free software\b.*\b(?P<gnu>lesser general|library general|affero general|general) public license\b(?:.*\bversion (?P<gnuv>[0-9](?:\.[0-9])?))?(?P<later>.*\bany later version\b)?"),
+    ("GplFree", r"\bthis (?:program|library|file) is free software\b.*?\b(?P<gnu>lesser general|library general|affero general|general) public license\b(?:.*\bversion (?P<gnuv>[0-9](?:\.[0-9])?))?(?P<later>.*\bany later version\b)?"),
     ("GplNoWarranty", r"\bdistributed in the hope that it will be useful\b"),
     ("GplCopy", r"\byou should have received a copy of the gnu\b"),
     ("Apache", r"\b(?:licensed|released|distributed|available|made available|provided|published|covered) (?:under|by) (?:the )?(?:terms of )?(?:the )?apache(?: software)?(?: license)?,?(?: (?:version|v\.?))? ?(?P<apache>[12](?:\.[0-9])?)?"),
@@ -163,10 +163,9 @@ def scan_text(text: str | None) -> tuple[list[tuple[str, int, int]], int]:
         return [], 0
     known = []
     for n, s in enumerate(sentences(text)):
-        if any(t in s for t in TRIGGERS) or "liable" in s or "software" in s or "mit " in s or "useful" in s:
-            found = identify_sentence(s)
-            if found:
-                known.append((n, *found))
+        found = identify_sentence(s)
+        if found:
+            known.append((n, *found))
     hits = match_rules(known)
     used = sum(1 for n, *_ in known if any(a <= n <= b for _, a, b in hits))
     return hits, len(known) - used
