@@ -1 +1,10 @@
-"""Batch and streaming analytics for content-feed platforms on Spark DataFrames."""
+"""Analytics for a content-feed platform on Spark.
+
+Functions of this package travel to the executors by value, so a cluster needs no copy of it.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Largest accepted body, and the reply's shape.
-MAX_BYTES = 1_048_576
+# The reply's shape.
 
 LOG = (
     "struct<start_time:bigint,time_spent:bigint,attempts:bigint,errors:bigint,success:boolean,"
@@ -56,17 +55,20 @@ def unknown_fields(body: Column, top: Column) -> Column:
     )
 
 
-def parse_gateway_payloads(raw: DataFrame, body: str = "body") -> DataFrame:
-    """Adds `reply` (struct) and `problem` (NULL when the reply is usable)."""
+def parse_gateway_payloads(raw: DataFrame, body: str = "body", max_bytes: int | None = None) -> DataFrame:
+    """Adds `reply` (struct), `problem` (NULL when the reply is usable) and `body_bytes`.
+
+    Replies of any size are parsed; `max_bytes` makes larger ones a problem.
+    """
     text = F.col(body)
     blank = text.isNull() | (F.trim(text) == "")
-    large = F.octet_length(text) > MAX_BYTES
+    large = F.octet_length(text) > max_bytes if max_bytes else F.lit(False)
     keys = F.when(~(blank | large), F.json_object_keys(text))
-    read = raw.withColumn("__keys", keys)
+    read = raw.withColumns({"__keys": keys, "body_bytes": F.octet_length(text)})
     read = read.withColumn("__unknown", unknown_fields(text, F.col("__keys")))
     problem = (
         F.when(blank, F.lit("body must not be empty"))
-        .when(large, F.lit("body must not be larger than 1048576 bytes"))
+        .when(large, F.lit(f"body must not be larger than {max_bytes} bytes"))
         .when(F.col("__keys").isNull(), F.lit("body contains badly-formed JSON"))
         .when(
             F.size("__unknown") > 0,

@@ -6,11 +6,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def _digest(natural_key: tuple[Column, ...]) -> Column:
+    return F.md5(F.concat_ws("\x1f", *[c.cast("string") for c in natural_key]))
+
+
+def stable_long(*natural_key: Column) -> Column:
+    """The first 60 bits of the natural key's hash: a positive bigint, the same on a rerun."""
+    return F.conv(F.substring(_digest(natural_key), 1, 15), 16, 10).cast("bigint")
+
+
 def stable_uuid(*natural_key: Column) -> Column:
     """A UUID-shaped hash of the natural key: the same row gets the same id on a rerun.
 
     Key parts are joined by a unit separator, so ('ab', 'c') and ('a', 'bc') differ.
     """
-    digest = F.md5(F.concat_ws("\x1f", *[c.cast("string") for c in natural_key]))
+    digest = _digest(natural_key)
     cuts = [(1, 8), (9, 4), (13, 4), (17, 4), (21, 12)]
     return F.concat_ws("-", *[F.substring(digest, start, n) for start, n in cuts])

@@ -5,21 +5,34 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Layouts by the shape of the text, tried in this order.
+# Layouts by the shape of the text, tried in this order. Zones are numeric here:
+# `_with_offset` has turned zone names into offsets, and AM and PM stand after one space.
+CLOCK = "[ H:mm:ss][ H:mm][.SSSSSSSSS][.SSSSSS][.SSS][ XXX][ XX][ X]"
+CLOCK_12 = " h:mm[:ss] a[ XXX][ XX]"
 LAYOUTS = {
-    r"^\d{4}-\d{1,2}-\d{1,2}T": ["yyyy-M-d'T'HH:mm[:ss][.SSSSSSSSS][.SSSSSS][.SSS][XXX][XX][X]"],
-    r"^\d{4}-\d{1,2}-\d{1,2} ": ["yyyy-M-d HH:mm[:ss][.SSSSSS][.SSS][ XXX][ XX][XXX][ zzz]"],
-    r"^\d{4}-\d{1,2}-\d{1,2}$": ["yyyy-M-d"],
-    r"^\d{4}/": ["yyyy/M/d[ HH:mm][:ss]"],
-    r"^\d{1,2}/": ["M/d/yyyy[ HH:mm][:ss]"],
-    r"^\d{1,2} [A-Z]": ["d MMM yyyy[ HH:mm][:ss][ XX][ XXX]", "d MMM yyyy HH:mm[:ss] zzz"],
-    r"^[A-Z][a-z]{2} \d": [
-        "MMM d, yyyy[ HH:mm][:ss]", "MMM d yyyy[ HH:mm][:ss]", "MMM d HH:mm:ss yyyy"
-    ],
+    r"^\d{4}-\d{1,2}-\d{1,2}T": ["yyyy-M-d'T'H:mm[:ss][.SSSSSSSSS][.SSSSSS][.SSS][XXX][XX][X][ XXX][ XX]"],
+    r"^\d{4}-\d{1,2}-\d{1,2}": ["yyyy-M-d" + CLOCK, "yyyy-M-d[ H:mm:ss][ H:mm][XXX][XX]", "yyyy-M-d" + CLOCK_12],
+    r"^\d{4}-\d{1,2}$": ["yyyy-M"],
+    r"^\d{4}-[A-Z]": ["yyyy-MMM-d"],
+    r"^\d{4}/": ["yyyy/M/d" + CLOCK, "yyyy/M/d" + CLOCK_12],
+    r"^\d{4}\.\d": ["yyyy.M.d" + CLOCK, "yyyy.M"],
+    r"^\d{1,2}[/.]\d{1,2}[/.]\d{4}": ["M/d/yyyy" + CLOCK, "M/d/yyyy" + CLOCK_12, "M.d.yyyy" + CLOCK],
+    r"^\d{1,2}[/.]\d{1,2}[/.]\d{2}\b": ["M/d/yy" + CLOCK, "M/d/yy" + CLOCK_12, "M.d.yy" + CLOCK],
+    r"^\d{1,2}[- ][A-Z][a-z]{2}[- ]\d{4}": ["d MMM yyyy" + CLOCK, "d MMM yyyy" + CLOCK_12, "d-MMM-yyyy" + CLOCK],
+    r"^\d{1,2}[- ][A-Z][a-z]{2}[- ]\d{2}\b": ["d MMM yy" + CLOCK, "d MMM yy" + CLOCK_12, "d-MMM-yy" + CLOCK],
+    r"^[A-Z][a-z]{2} \d{1,2} \d{1,2}:": ["MMM d H:mm:ss[ XXX][ XX] yyyy"],
+    r"^[A-Z][a-z]{2} \d": ["MMM d yyyy" + CLOCK, "MMM d yyyy" + CLOCK_12],
+    r"^[A-Z][a-z]{2} \d{4}$": ["MMM yyyy"],
+    r"^\d{4}[A-Z]": ["yyyyMMMd", "yyyy MMM d"],
+    r"^\d{14}$": ["yyyyMMddHHmmss"],
     r"^\d{8}$": ["yyyyMMdd"],
+    r"^\d{6}$": ["yyyyMM"],
+    r"^\d{4}$": ["yyyy"],
 }
+# Zone names of mail dates, in hours from UTC. Other names are read as UTC.
+ZONES = {"EST": -5, "EDT": -4, "CST": -6, "CDT": -5, "MST": -7, "MDT": -6, "PST": -8, "PDT": -7, "CET": 1, "CEST": 2, "BST": 1}
 
-WEEKDAY = r"^(?i)(mon|tue|wed|thu|fri|sat|sun)[a-z]*,?\s+"
+WEEKDAY = r"(?i)^(mon|tue|wed|thu|fri|sat|sun)[a-z]*[,.]?\s+"
 
 
 def as_ntz(moment: str | Column) -> Column:
@@ -50,17 +63,38 @@ def _by_shape(clean: Column) -> Column:
     )
 
 
+def _with_offset(clean: Column) -> Column:
+    """A zone name at the end, or before a closing year, as a numeric offset."""
+    named = F.regexp_extract(clean, r"(?<=\d|\s[AP]M|[+-]\d{4}) ([A-Z]{3,4})(?= \d{4}$|$)", 1)
+    hours = F.lit("+00:00")
+    for name, h in ZONES.items():
+        hours = F.when(named == name, F.lit(f"{h:+03d}:00")).otherwise(hours)
+    # Where a numeric offset stands already, the name after it only repeats it.
+    told = clean.rlike(r"[+-]\d{2}:?\d{2} [A-Z]{3,4}$")
+    bare = F.regexp_replace(clean, r"(?<=\d|\s[AP]M) [A-Z]{3,4}$", "")
+    whole = F.when(told, bare).otherwise(
+        F.regexp_replace(clean, F.lit(r"(?<=\d|\s[AP]M) ([A-Z]{3,4})(?= \d{4}$|$)"), F.concat(F.lit(" "), hours)))
+    is_zone = (named != "") & ~named.isin("AM", "PM") & ~F.initcap(named).isin(
+        *"Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split())
+    return F.when(is_zone | told, whole).otherwise(clean)
+
+
 def parse_any_timestamp(text: Column) -> Column:
-    """A timestamp from any known layout, else NULL.
+    """A timestamp from any known layout, else NULL; texts without a zone are UTC.
 
-    Weekday names are dropped and month names shortened. The cleaned text is bound to a
-    lambda, so it is computed once per row and not once per layout.
+    Weekday names, ordinal endings and commas are dropped, month names shortened, zone names turned
+    into offsets. Two-digit years are those of this century. Each cleaned text is bound to a lambda,
+    so it is computed once per row and not once per layout.
     """
-    clean = F.regexp_replace(F.trim(text), WEEKDAY, "")
+    clean = F.regexp_replace(F.regexp_replace(F.trim(text), r"\s+", " "), WEEKDAY, "")
+    clean = F.regexp_replace(clean, r"(?i)\b(\d{1,2})(st|nd|rd|th)\b", "$1")
+    clean = F.regexp_replace(F.regexp_replace(clean, r"\s*\([A-Za-z]+\)$", ""), r",\s*", " ")
+    clean = F.regexp_replace(clean, r"(?i)(\d)\s?(am|pm)\b", "$1 $2")
+    clean = F.regexp_replace(F.regexp_replace(clean, r"(?i)\bam\b", "AM"), r"(?i)\bpm\b", "PM")
     month = F.initcap(F.substring(F.regexp_extract(clean, MONTH, 0), 1, 3))
     clean = F.when(clean.rlike(MONTH), F.regexp_replace(clean, F.lit(MONTH), month)).otherwise(clean)
-    clean = F.regexp_replace(clean, r"\s+", " ")
-    return F.transform(F.array(clean), _by_shape)[0]
+    whole = F.transform(F.array(clean), _with_offset)
+    return F.transform(whole, _by_shape)[0]
 
 
 def format_timestamp(text: Column) -> Column:

@@ -62,7 +62,7 @@ def insert_unique(
     """Insert rows whose key is new; the first row in `order` wins inside the batch.
 
     `order` must be unique in the batch. Winners come from one map-side combined
-    aggregate and are matched back on (key, order), so a key repeated in a third of
+    grouping and are matched back on (key, order), so a key repeated in a third of
     the batch is spread over all tasks. A NULL in a key never clashes.
     """
     names = [f"__b{i}" for i in range(len(keys))]

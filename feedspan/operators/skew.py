@@ -10,32 +10,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def hot_keys(
-    big: DataFrame, key: str, max_hot: int = 10_000, min_rows: int = 1_000_000
-) -> DataFrame:
-    """(key, slices) of the at most `max_hot` largest keys with more than `min_rows` rows.
-
-    Keys left out have at most 1/`max_hot` of all rows each, so they need no slicing.
-    """
-    counts = big.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
-    largest = counts.filter(F.col("__n") > min_rows).orderBy(F.desc("__n"), F.asc(key)).limit(max_hot)
-    return largest.select(key, F.ceil(F.col("__n") / F.lit(min_rows)).cast("int").alias("__slices"))
+def hot_keys(big: DataFrame, key: str, min_rows: int = 1_000_000) -> DataFrame:
+    """(key, slices) of all keys with more than `min_rows` rows."""
+    counts = big.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > min_rows)
+    return counts.select(key, F.ceil(F.col("__n") / F.lit(min_rows)).cast("int").alias("__slices"))
 
 
 def join_sliced(
-    big: DataFrame,
-    per_key: DataFrame,
-    key: str,
-    spread: str,
-    max_hot: int = 10_000,
-    min_rows: int = 1_000_000,
+    big: DataFrame, per_key: DataFrame, key: str, spread: str, min_rows: int = 1_000_000
 ) -> DataFrame:
     """Inner join of `big` with one row per key, hot keys of `big` cut into slices.
 
     Rows of a hot key go to a slice by hash of `spread`, and the key's row is copied once
-    per slice. The list of hot keys is cut at `max_hot` rows, so it may be broadcast.
+    per slice. The list of hot keys has at most rows / `min_rows` entries; Spark broadcasts
+    it when its measured size is small and shuffles it otherwise.
     """
-    hot = F.broadcast(hot_keys(big, key, max_hot, min_rows))
+    hot = hot_keys(big, key, min_rows)
     n = F.coalesce("__slices", F.lit(1))
     left = big.join(hot, key, "left").withColumn("__slice", F.pmod(F.xxhash64(spread), n).cast("int"))
     right = per_key.join(hot, key, "left").withColumn(

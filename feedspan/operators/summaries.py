@@ -1,4 +1,4 @@
-"""Small aggregate shapes used by several reports."""
+"""Small summary shapes used by several reports."""
 
 from __future__ import annotations
 
@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from feedspan.sources.storage import staged
+
 
 def one_row(df: DataFrame, *aggs: Column) -> Column:
-    """A global aggregate as a scalar struct column: runs once, needs no join."""
+    """A global summary as a scalar struct column: runs once, needs no join."""
     return df.agg(*aggs).select(F.struct("*").alias("s")).scalar()
 
 
@@ -24,7 +26,7 @@ def count_where(condition: Column, name: str) -> Column:
 
 
 def latest_per_key(df: DataFrame, key: str, order: list[str], columns: list[str]) -> DataFrame:
-    """The row with the largest `order` values per key, by one map-side combined aggregate."""
+    """The row with the largest `order` values per key, by one map-side combined grouping."""
     parts = list(dict.fromkeys([*order, *columns]))
     return (
         df.groupBy(key)
@@ -39,20 +41,20 @@ def facet_values(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def numbered_facet(df: DataFrame, column: str, number: str = "id") -> DataFrame:
-    """Distinct values numbered 1..n in value order.
+    """Distinct values numbered 1..n in value order, NULL first.
 
-    Values are numbered inside their two-letter prefix and shifted by the size of all
-    earlier prefixes, so no task sorts the whole set; only the prefix counts meet in one.
+    Values are cut into even ranges, one per shuffle partition, and numbered inside each; a range
+    is shifted by the sizes of all earlier ones, a list as long as there are ranges. The ranges
+    are written once, since a second pass could cut them elsewhere.
     """
-    values = df.select(column).distinct().withColumn("__p", F.substring(F.col(column), 1, 2))
-    sizes = values.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
-    before = W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)
-    shifts = sizes.select(
-        F.col("__p").alias("__q"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__shift")
-    )
-    within = F.row_number().over(W.partitionBy("__p").orderBy(column))
-    return (
-        values.withColumn("__r", within)
-        .join(shifts, F.col("__p").eqNullSafe(F.col("__q")))
-        .select((F.col("__r") + F.col("__shift")).cast("bigint").alias(number), column)
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = df.select(column).distinct().repartitionByRange(ranges, F.asc_nulls_first(column))
+    values = staged(cut.withColumn("__p", F.spark_partition_id()), "facet-ranges")
+    sizes = (
+        values.groupBy("__p").agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.collect_list(F.struct("__p", "n")).alias("s")).scalar()
     )
+    earlier = F.filter("__sizes", lambda s: s["__p"] < F.col("__p"))
+    shift = F.aggregate(earlier, F.lit(0).cast("bigint"), lambda total, s: total + s["n"])
+    within = F.row_number().over(W.partitionBy("__p").orderBy(F.asc_nulls_first(column)))
+    return values.withColumn("__sizes", sizes).select((within + shift).cast("bigint").alias(number), column)

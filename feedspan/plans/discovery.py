@@ -3,21 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from feedspan.functions.scoring import creator_score, unit_hash
 from feedspan.functions.text import token_match
 from feedspan.functions.timestamps import interval_seconds
-from feedspan.operators.aggregates import count_where, latest_per_key
+from feedspan.operators.summaries import count_where, latest_per_key
 from feedspan.operators.paging import check_page, count_of, page_of, top_per_key
 from feedspan.operators.skew import join_sliced
 
 
-
-# Most public rows handed to every user; ten pages deep at the largest page size would be 1,000.
-MAX_SHARED_ROWS = 10_000
-
-
 def _newest(created: str = "created_at", key: str = "id") -> list[Column]:
     return [F.col(created).desc(), F.col(key).asc()]
 
@@ -65,43 +61,49 @@ def feed_catalog_with_follow_flag(
 ) -> DataFrame:
     """The catalogue page of every user in `users` (column `user_id`), with a follow flag.
 
-    All users share the public feeds and differ only in their own hidden ones. A page
-    can only hold the newest `page * page_size` of either, so those few public rows are
-    taken once, handed to each user, and merged with the user's own. Past
-    `MAX_SHARED_ROWS`, pass only the feeds that sort after the last page shown.
+    All users share the public feeds and differ only in their own hidden ones, so the page of a
+    user with h hidden feeds starts at most h public rows before the offset. Public rows from the
+    largest such start to the page's end are taken once, whole, and each user gets those that the
+    own page can hold; nothing is looked up by feed afterwards, where few feeds would be hot keys.
     """
     limit, offset = check_page(page, page_size)
-    reach = limit + offset
-    if reach > MAX_SHARED_ROWS:
-        raise ValueError("too deep for one array: filter feeds to those after the last page shown")
     keep = (F.col("approval_status") == "approved") & token_match(F.col("name"), search)
     if feed_type:
         keep = keep & (F.col("feed_type") == feed_type)
     listed = feeds.filter(keep).withColumnRenamed("user_id", "owner_id")
     public, hidden = listed.filter(~F.col("is_hidden")), listed.filter("is_hidden")
-    ref = ["created_at", "id"]
-    shared = (
-        public.select(*ref).orderBy(*_newest()).limit(reach)
-        .agg(F.collect_list(F.struct(*ref)).alias("a")).scalar()
-    )
     viewers = users.select("user_id").distinct()
-    for_all = viewers.select("user_id", F.inline(shared))
-    own = top_per_key(
-        hidden.select(F.col("owner_id").alias("user_id"), *ref), ["user_id"], _newest(), reach
-    )
-    own = own.join(viewers, "user_id", "left_semi")
-    refs = top_per_key(for_all.unionByName(own), ["user_id"], _newest(), limit, offset, "row_num")
-    own_totals = (
-        hidden.groupBy(F.col("owner_id").alias("user_id")).agg(F.count(F.lit(1)).alias("__own"))
-    )
-    flags = follows.select("user_id", "feed_id", F.col("id").alias("follow_id"))
+    own = hidden.select(F.col("owner_id").alias("user_id"), F.struct(*listed.columns).alias("f"), "created_at", "id").join(
+        viewers, "user_id", "left_semi")
+    own_totals = own.groupBy("user_id").agg(F.count(F.lit(1)).alias("__own"))
+    # Shared rows start at `skip`: without an offset nobody needs earlier ones.
+    skip = max(0, offset - (own_totals.agg(F.max("__own")).first()[0] or 0)) if offset else 0
+    rows = public.orderBy(*_newest())
+    rows = (rows.offset(skip) if skip else rows).limit(limit + offset - skip)
+    shared = rows.agg(F.collect_list(F.struct(*listed.columns)).alias("a")).scalar()
+    sorted_ = F.array_sort("__shared", lambda x, y: F.when(x["created_at"] > y["created_at"], -1).when(
+        x["created_at"] < y["created_at"], 1).when(x["id"] < y["id"], -1).when(x["id"] > y["id"], 1).otherwise(0))
+    counted = viewers.join(own_totals, "user_id", "left").withColumns(
+        {"__own": F.coalesce("__own", F.lit(0)), "__shared": shared})
+    # Public rows before `start` stand before every row of the user's page.
+    start = F.greatest(F.lit(0), F.lit(offset - skip) - F.col("__own")).cast("int")
+    reach = counted.select("user_id", "__own", start.alias("__start"), F.slice(sorted_, start + 1, limit + offset).alias("__a"))
+    for_all = reach.select("user_id", "__own", "__start", F.explode("__a").alias("f")).select(
+        "user_id", "__own", "__start", "f", "f.created_at", "f.id")
+    nearest = top_per_key(own, ["user_id"], _newest(), offset + limit).join(
+        reach.select("user_id", "__own", "__start"), "user_id")
+    both = for_all.unionByName(nearest)
+    # A user's rows are numbered from the first one handed out.
+    number = F.row_number().over(W.partitionBy("user_id").orderBy(*_newest())) + F.col("__start") + F.lit(skip)
+    paged = both.withColumn("row_num", number).filter(F.col("row_num").between(offset + 1, offset + limit))
+    flags = follows.select("user_id", F.col("feed_id").alias("__feed"), F.col("id").alias("follow_id"))
     return (
-        refs.drop("created_at").withColumnRenamed("id", "feed_id")
-        .join(own_totals, "user_id", "left")
-        .join(flags, ["user_id", "feed_id"], "left")
-        .join(listed.withColumnRenamed("id", "feed_id"), "feed_id")
+        paged.drop("created_at", "id").join(
+            flags, (paged["user_id"] == flags["user_id"]) & (F.col("f.id") == F.col("__feed")), "left")
+        .drop(flags["user_id"])
+        .select("user_id", "row_num", "follow_id", "__own", "f.*").withColumnRenamed("id", "feed_id")
         .withColumn("is_followed", F.col("follow_id").isNotNull())
-        .withColumn("total_records", count_of(public) + F.coalesce("__own", F.lit(0)))
+        .withColumn("total_records", count_of(public) + F.col("__own"))
         .drop("__own")
     )
 

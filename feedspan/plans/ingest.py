@@ -9,6 +9,7 @@ from feedspan.functions.checks import is_valid_url
 from feedspan.functions.html import sanitize_fields
 from feedspan.functions.timestamps import parse_any_timestamp
 from feedspan.operators.changes import Change, insert_unique, keyed_update
+from feedspan.operators.defaults import complete
 from feedspan.sources.storage import staged
 
 # Image of posts without one, error kinds with their messages, deadline status.
@@ -26,17 +27,26 @@ LINKS = "array<struct<_href:string,_rel:string,_type:string>>"
 RSS_ITEM = (
     "struct<title:string,link:string,description:string,`content:encoded`:string,pubDate:string,"
     "`dc:date`:string,image:struct<url:string>,`itunes:image`:struct<_href:string>,"
-    "`media:thumbnail`:struct<_url:string>>"
+    "`media:thumbnail`:struct<_url:string>,enclosure:array<struct<_url:string,_type:string>>,"
+    "`media:content`:array<struct<_url:string,_type:string,_medium:string>>>"
 )
 ATOM_ENTRY = (
     f"struct<title:string,link:{LINKS},summary:string,content:string,published:string,"
     "updated:string>"
 )
+# RSS 1.0 has its items beside the channel, RSS 2.0 inside it.
 DOCUMENT = (
-    "channel struct<title:string,link:string,description:string,language:string,"
-    f"item:array<{RSS_ITEM}>>, title string, subtitle string, `_xml:lang` string, link {LINKS}, "
-    f"entry array<{ATOM_ENTRY}>"
+    "channel struct<title:string,link:string,description:string,language:string,`dc:language`:string,"
+    f"item:array<{RSS_ITEM}>>, item array<{RSS_ITEM}>, title string, subtitle string, `_xml:lang` string, "
+    f"link {LINKS}, entry array<{ATOM_ENTRY}>"
 )
+JSON_FEED = (
+    "version string, title string, home_page_url string, description string, language string, "
+    "items array<struct<url:string,external_url:string,title:string,content_html:string,content_text:string,"
+    "summary:string,image:string,banner_image:string,date_published:string,date_modified:string>>"
+)
+# The root element stands after declarations, comments and white space; its prefix is optional.
+ROOT = r"(?s)^\x{FEFF}?(?:\s+|<\?.*?\?>|<!--.*?-->|<![^>]*>)*+<(?:(\w+):)?(rss|RDF|feed)[\s>]"
 ITEM_FIELDS = ["title", "link", "description", "content", "published", "image_url"]
 
 
@@ -44,9 +54,16 @@ def _blank(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
+def _first_url(array: Column, fit) -> Column:
+    return F.get(F.filter(array, lambda x: F.coalesce(fit(x), F.lit(False))), 0)["_url"]
+
+
 def _rss_item(item: Column) -> Column:
+    picture = lambda x: x["_type"].startswith("image/")
     image = F.coalesce(
-        item["image"]["url"], item["itunes:image"]["_href"], item["media:thumbnail"]["_url"]
+        item["image"]["url"], item["itunes:image"]["_href"], item["media:thumbnail"]["_url"],
+        _first_url(item["media:content"], lambda x: (x["_medium"] == "image") | picture(x)),
+        _first_url(item["enclosure"], picture),
     )
     return F.struct(
         _blank(item["title"]).alias("title"),
@@ -58,6 +75,12 @@ def _rss_item(item: Column) -> Column:
     )
 
 
+def _page_link(links: Column) -> Column:
+    """The link to the page itself: an alternate one or one without a relation, else the first."""
+    own = F.filter(links, lambda x: F.coalesce(x["_rel"] == "alternate", F.lit(True)))
+    return _blank(F.coalesce(F.get(own, 0)["_href"], F.get(links, 0)["_href"]))
+
+
 def _atom_item(entry: Column) -> Column:
     images = F.filter(
         entry["link"],
@@ -66,7 +89,7 @@ def _atom_item(entry: Column) -> Column:
     )
     return F.struct(
         _blank(entry["title"]).alias("title"),
-        _blank(F.get(entry["link"], 0)["_href"]).alias("link"),
+        _page_link(entry["link"]).alias("link"),
         _blank(entry["summary"]).alias("description"),
         _blank(entry["content"]).alias("content"),
         _blank(F.coalesce(entry["published"], entry["updated"])).alias("published"),
@@ -74,32 +97,60 @@ def _atom_item(entry: Column) -> Column:
     )
 
 
+def _json_item(item: Column) -> Column:
+    text = lambda *cs: _blank(F.trim(F.coalesce(*cs)))
+    return F.struct(
+        text(item["title"]).alias("title"),
+        text(item["url"], item["external_url"]).alias("link"),
+        text(item["summary"]).alias("description"),
+        text(item["content_html"], item["content_text"]).alias("content"),
+        text(item["date_published"], item["date_modified"]).alias("published"),
+        F.coalesce(item["image"], item["banner_image"], F.lit(DEFAULT_IMAGE)).alias("image_url"),
+    )
+
+
 def parse_channels(raw: DataFrame, body: str = "body") -> DataFrame:
-    """Adds kind ('rss', 'atom', NULL when neither), channel fields and the `items` array."""
-    doc = raw.withColumn("__d", F.from_xml(F.col(body), DOCUMENT, {"mode": "PERMISSIVE"}))
-    d = F.col("__d")
-    root = F.regexp_extract(F.col(body), r"<(?:\w+:)?(rss|RDF|feed)[\s>]", 1)
-    is_rss = (root == "rss") & d["channel"].isNotNull()
-    is_atom = (root == "feed") & (d["title"].isNotNull() | d["entry"].isNotNull())
-    kind = F.when(is_rss, "rss").when(is_atom, "atom")
-    pick = lambda rss, atom: _blank(F.when(is_rss, rss).when(is_atom, atom))
+    """Adds kind ('rss', 'atom', 'json', NULL when none), channel fields and the `items` array.
+
+    RSS 0.9x, 1.0 (RDF) and 2.0, Atom with or without a prefix, and JSON Feed.
+    """
+    text = F.col(body)
+    prefix, root = F.regexp_extract(text, ROOT, 1), F.regexp_extract(text, ROOT, 2)
+    plain = F.when(
+        (prefix != "") & (root == "feed"), F.regexp_replace(text, F.concat(F.lit("(</?)"), prefix, F.lit(":")), F.lit("$1"))
+    ).otherwise(text)
+    is_json = F.coalesce(F.ltrim(text).startswith("{"), F.lit(False))
+    doc = raw.withColumns({
+        "__root": root,
+        "__d": F.from_xml(F.when(~is_json, plain), DOCUMENT, {"mode": "PERMISSIVE"}),
+        "__j": F.from_json(F.when(is_json, text), JSON_FEED, {"mode": "PERMISSIVE"}),
+    })
+    d, j = F.col("__d"), F.col("__j")
+    is_rss = (F.col("__root").isin("rss", "RDF")) & d["channel"].isNotNull()
+    is_atom = (F.col("__root") == "feed") & (d["title"].isNotNull() | d["entry"].isNotNull())
+    is_feed = j["version"].contains("jsonfeed.org") & (j["title"].isNotNull() | j["items"].isNotNull())
+    kind = F.when(is_rss, "rss").when(is_atom, "atom").when(is_feed, "json")
+    pick = lambda rss, atom, json: _blank(
+        F.when(is_rss, rss).when(is_atom, atom).when(is_feed, F.trim(json)))
     items = (
-        F.when(is_rss, F.transform(d["channel"]["item"], _rss_item))
+        F.when(is_rss, F.transform(F.coalesce(d["channel"]["item"], d["item"]), _rss_item))
         .when(is_atom, F.transform(d["entry"], _atom_item))
+        .when(is_feed, F.transform(j["items"], _json_item))
     )
+    language = F.coalesce(d["channel"]["language"], d["channel"]["dc:language"])
     return (
         doc.withColumn("kind", kind)
-        .withColumn("channel_title", pick(d["channel"]["title"], d["title"]))
-        .withColumn("channel_link", pick(d["channel"]["link"], F.get(d["link"], 0)["_href"]))
-        .withColumn("channel_description", pick(d["channel"]["description"], d["subtitle"]))
-        .withColumn("channel_language", pick(d["channel"]["language"], d["_xml:lang"]))
+        .withColumn("channel_title", pick(d["channel"]["title"], d["title"], j["title"]))
+        .withColumn("channel_link", pick(d["channel"]["link"], _page_link(d["link"]), j["home_page_url"]))
+        .withColumn("channel_description", pick(d["channel"]["description"], d["subtitle"], j["description"]))
+        .withColumn("channel_language", pick(language, d["_xml:lang"], j["language"]))
         .withColumn("items", items)
-        .drop("__d", body)
+        .drop("__d", "__j", "__root", body)
     )
 
 
 def parse_feed_documents(raw: DataFrame, body: str = "body") -> DataFrame:
-    """One row per item of every RSS or Atom body; bodies that are neither give no rows.
+    """One row per item of every RSS, Atom or JSON body; bodies that are none give no rows.
 
     The outer explode matters: an inner one lets Catalyst infer a filter on the array,
     push it to the scan, and parse every body again for it.
@@ -129,8 +180,8 @@ def sanitize_items(items: DataFrame, strict: bool = False) -> DataFrame:
     return clean.withColumns({c: F.col(f"__s.{c}") for c in SANITISED}).drop("__s")
 
 
-def post_rows(items: DataFrame, fetched_at: Column, compat: bool = False) -> DataFrame:
-    """Items as post rows; items without a readable date or a valid link are dropped.
+def judged_rows(items: DataFrame, fetched_at: Column, compat: bool = False) -> DataFrame:
+    """Items as post rows with a `reason` why an item can't be one: no valid link, no readable date.
 
     `compat` keeps an empty item description when the channel has a description.
     """
@@ -140,13 +191,11 @@ def post_rows(items: DataFrame, fetched_at: Column, compat: bool = False) -> Dat
         if compat
         else some("item_description")
     )
-    # The date passes through an explode, so the filter on it stays above and it is parsed once.
+    # The date passes through an explode, so filters on it stay above and it is parsed once.
     at = F.array(parse_any_timestamp(F.col("item_published")))
-    dated = (
-        items.filter(is_valid_url(F.col("item_link")))
-        .select("*", F.explode_outer(at).alias("__at"))
-        .filter(F.col("__at").isNotNull())
-    )
+    dated = items.select("*", F.explode_outer(at).alias("__at"))
+    reason = F.when(~F.coalesce(is_valid_url(F.col("item_link")), F.lit(False)), "invalid link").when(
+        F.col("__at").isNull(), "unreadable date")
     return dated.select(
         "feed_id", "document_id", "item_no",
         F.col("channel_title").alias("channeltitle"),
@@ -160,9 +209,16 @@ def post_rows(items: DataFrame, fetched_at: Column, compat: bool = False) -> Dat
         F.col("item_link").alias("itemurl"),
         F.col("item_image_url").alias("img_url"),
         fetched_at.alias("created_at"),
+        fetched_at.alias("updated_at"),
+        reason.alias("reason"),
     )
 
 
+def post_rows(items: DataFrame, fetched_at: Column, compat: bool = False) -> DataFrame:
+    """Items as post rows; items without a readable date or a valid link are dropped."""
+    return judged_rows(items, fetched_at, compat).filter("reason IS NULL").drop("reason")
+
+
 def ingest_posts(
     raw: DataFrame, posts: DataFrame, fetched_at: Column, strict: bool = False
 ) -> Change:
@@ -170,10 +226,13 @@ def ingest_posts(
 
     Parsed items are staged, so bodies are parsed once and the search for duplicates
     reads keys only. Text is sanitised after the duplicates are gone, so Python sees
-    new items only.
+    new items only. `rejected` has every other item with a `reason`: duplicate, invalid
+    link or unreadable date.
     """
-    rows = staged(post_rows(parse_feed_documents(raw), fetched_at), "parsed-items")
-    fresh = insert_unique(posts, rows, ["itemurl"], ["document_id", "item_no"])
+    rows = complete(judged_rows(parse_feed_documents(raw), fetched_at), posts, "posts", fetched_at)
+    rows = staged(rows, "parsed-items")
+    good = rows.filter("reason IS NULL").drop("reason")
+    fresh = insert_unique(posts, good, ["itemurl"], ["document_id", "item_no"])
     fields = ["channeltitle", "channeldescription", "channellanguage",
               "itemtitle", "itemdescription", "itemcontent"]
     clean = fresh.changed.withColumn(
@@ -182,7 +241,8 @@ def ingest_posts(
     accepted = clean.withColumns({c: F.col(f"__s.{c}") for c in fields}).drop("__s")
     shared = [c for c in posts.columns if c in accepted.columns]
     table = posts.unionByName(accepted.select(*shared), allowMissingColumns=True)
-    return Change(table, accepted, fresh.rejected)
+    rejected = fresh.rejected.withColumn("reason", F.lit("duplicate")).unionByName(rows.filter("reason IS NOT NULL"))
+    return Change(table, accepted, rejected)
 
 
 def fetch_schedule(feeds: DataFrame, k: int) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from feedspan.functions.text import token_match
 from feedspan.functions.timestamps import interval_seconds
-from feedspan.operators.aggregates import count_where, most_common, one_row
+from feedspan.operators.summaries import count_where, most_common, one_row
 from feedspan.operators.paging import count_of, page_of
 
 # Label of a user without permissions, and the free-plan quotas.

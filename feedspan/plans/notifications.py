@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedspan.functions.timestamps import minutes
+from feedspan.operators.defaults import complete
 
 # Notification kinds and the length of a comment snippet.
 ON_FAVORITE = "Comment on Favorited Post"
@@ -28,9 +29,9 @@ def new_post_notifications(
     ).select("feed_id", "feed_name", "post_count")
 
 
-def notification_rows(counts: DataFrame, as_of: Column) -> DataFrame:
-    """Rows to append to the notifications table."""
-    return counts.withColumn("created_at", as_of)
+def notification_rows(counts: DataFrame, as_of: Column, notifications: DataFrame) -> DataFrame:
+    """Rows to append to the notifications table: one per feed and run, with an id."""
+    return complete(counts.withColumn("created_at", as_of), notifications, "notifications", as_of)
 
 
 def user_notifications(
@@ -43,9 +44,10 @@ def user_notifications(
     ).join(follows.select("user_id", "feed_id"), "feed_id")
 
 
-def comment_notification_rows(comments: DataFrame) -> DataFrame:
-    """One notification per new comment, carrying the commenter."""
-    return comments.select("user_id", "post_id", F.col("id").alias("comment_id"), "created_at")
+def comment_notification_rows(comments: DataFrame, notifications: DataFrame) -> DataFrame:
+    """One notification per new comment, replies included, carrying the commenter, with an id."""
+    rows = comments.select("user_id", "post_id", F.col("id").alias("comment_id"), "created_at")
+    return complete(rows, notifications, "comment_notifications", F.col("created_at"))
 
 
 def comment_notifications(
@@ -57,24 +59,22 @@ def comment_notifications(
 ) -> DataFrame:
     """For every viewer: comments on favourited posts, and replies to own comments.
 
-    One event can reach a viewer in both ways, and own comments are included. The post
-    title joins the events before they fan out to viewers.
+    One event can reach a viewer in both ways, and own comments are included. Events fan out as
+    keys, straight from a shuffle on both sides, so Spark can split a hot post; snippet and title
+    join afterwards on the notification, which no post makes hot.
     """
-    event = (
-        notifications.select(
-            F.col("id").alias("notification_id"), "post_id", "comment_id", "created_at"
-        )
-        .join(
-            comments.select(
-                F.col("id").alias("comment_id"), F.col("post_id").alias("__post"),
-                "parent_comment_id", F.left("comment_text", F.lit(SNIPPET)).alias("comment_snippet"),
-            ),
-            "comment_id",
-        )
-        .join(
-            posts.select(F.col("id").alias("__post"), F.col("itemtitle").alias("post_title")),
-            "__post",
-        )
+    event = notifications.select(
+        F.col("id").alias("notification_id"), "post_id", "comment_id", "created_at"
+    ).join(
+        comments.select(F.col("id").alias("comment_id"), F.col("post_id").alias("__post"), "parent_comment_id"),
+        "comment_id",
+    )
+    snippet = F.left("comment_text", F.lit(SNIPPET)).alias("comment_snippet")
+    texts = (
+        notifications.select(F.col("id").alias("notification_id"), F.col("comment_id").alias("__comment"))
+        .join(comments.select(F.col("id").alias("__comment"), F.col("post_id").alias("__on"), snippet), "__comment")
+        .join(posts.select(F.col("id").alias("__on"), F.col("itemtitle").alias("post_title")), "__on")
+        .select("notification_id", "comment_snippet", "post_title")
     )
     fans = favorites.select(F.col("user_id").alias("viewer_id"), F.col("post_id").alias("__post"))
     on_favorite = event.join(fans.distinct(), "__post").withColumn(
@@ -86,12 +86,13 @@ def comment_notifications(
     on_reply = event.join(authors, "parent_comment_id").withColumn(
         "notification_type", F.lit(ON_REPLY)
     )
-    out = [
+    keys = ["viewer_id", "notification_id", "post_id", "notification_type", "comment_id", "parent_comment_id", "created_at"]
+    reached = on_favorite.select(*keys).unionByName(on_reply.select(*keys))
+    return reached.join(texts, "notification_id").select(
         "viewer_id", "notification_id", "post_id", "notification_type", "comment_id",
         F.coalesce("parent_comment_id", no_parent).alias("replied_comment_id"),
         "comment_snippet", "post_title", "created_at",
-    ]
-    return on_favorite.select(*out).unionByName(on_reply.select(*out))
+    )
 
 
 def notifications_bundle(post_events: DataFrame, comment_events: DataFrame) -> DataFrame:

@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedspan.functions.timestamps import interval_seconds, plan_end_date
-from feedspan.operators.aggregates import count_where, most_common, one_row
+from feedspan.operators.summaries import count_where, most_common, one_row
 from feedspan.operators.changes import Change, keyed_update
-from feedspan.operators.paging import check_page, page_of, top_per_key
+from feedspan.operators.paging import check_page, count_of, page_of, top_per_key
 
 MONTH = "INTERVAL '30' DAY"
 
@@ -100,9 +100,12 @@ def renewal_candidates(
     )
 
 
-def next_renewals(candidates: DataFrame, page: int = 1, page_size: int = 5) -> DataFrame:
-    """The renewals one run handles: longest expired first."""
-    return page_of(candidates, [F.asc("end_date"), F.asc("subscription_id")], page, page_size)
+def next_renewals(candidates: DataFrame, page: int | None = None, page_size: int = 5) -> DataFrame:
+    """The renewals one run handles, longest expired first: all that are due, or one page of them."""
+    order = [F.asc("end_date"), F.asc("subscription_id")]
+    if page is None:
+        return candidates.withColumn("total_records", count_of(candidates)).orderBy(*order)
+    return page_of(candidates, order, page, page_size)
 
 
 def challenge_detail(challenges: DataFrame, subscriptions: DataFrame, users: DataFrame) -> DataFrame:
@@ -233,6 +236,7 @@ class Renewals:
     challenged: DataFrame  # new challenge rows
     renewed: DataFrame  # new active subscriptions
     failed: DataFrame  # failed charges
+    rejected: DataFrame  # replies for plans not on sale
     subscriptions: Change  # the table with renewed rows marked
 
 
@@ -240,24 +244,29 @@ def route_renewals(candidates: DataFrame, replies: DataFrame, plans: DataFrame,
     """Due subscriptions with their charge reply and exactly one outcome.
 
     `replies` holds one parsed reply per `subscription_id`: paused, status,
-    gateway_response, message, reference, transaction_id, authorization_url, channel.
-    Only plans on sale renew.
+    gateway_response, message, reference, transaction_id, authorization_url, channel and the
+    card columns card_last4, card_exp_month, card_exp_year, card_type.
+    A paused charge is challenged whatever its plan. Only plans on sale renew or fail; other
+    replies are `rejected`.
     """
     on_sale = plans.filter("status = 'active'").select(
-        F.col("id").alias("plan_id"), F.col("duration").alias("plan_duration")
+        F.col("id").alias("plan_id"), F.col("duration").alias("plan_duration"), F.lit(True).alias("__sold")
     )
     paid = (F.col("gateway_status") == "success") | (F.col("gateway_response") == "Approved")
     outcome = (
         F.when(F.coalesce("paused", F.lit(False)), "challenged")
+        .when(~F.col("on_sale"), "rejected")
         .when(F.coalesce(paid, F.lit(False)), "renewed")
         .otherwise("failed")
     )
     return (
         candidates.join(replies, "subscription_id")
-        .join(on_sale, "plan_id")
+        .join(on_sale, "plan_id", "left")
+        .withColumn("on_sale", F.coalesce("__sold", F.lit(False)))
+        .drop("__sold")
         .withColumn("outcome", outcome)
         .withColumn("new_start", as_of)
-        .withColumn("new_end", plan_end_date(F.col("plan_duration"), as_of))
+        .withColumn("new_end", F.when(F.col("on_sale"), plan_end_date(F.col("plan_duration"), as_of)))
     )
 
 
@@ -280,6 +289,7 @@ def renewal_actions(
         "user_id", "plan_id", F.col("new_start").alias("start_date"), F.col("new_end").alias("end_date"),
         "price", F.lit("active").alias("status"), "transaction_id",
         F.col("channel").alias("payment_method"), "authorization_code", "currency",
+        "card_last4", "card_exp_month", "card_exp_year", "card_type",
     )
     failed = routed.filter("outcome = 'failed'").select(
         "user_id", "subscription_id", as_of.alias("attempt_date"), "authorization_code", "reference",
@@ -288,4 +298,4 @@ def renewal_actions(
     )
     marks = paid.select(F.col("subscription_id").alias("id"), F.lit("renewed").alias("status"))
     marked = keyed_update(subscriptions, marks, ["id"], ["status"], ["id"], {"updated_at": as_of})
-    return Renewals(challenged, renewed, failed, marked)
+    return Renewals(challenged, renewed, failed, routed.filter("outcome = 'rejected'"), marked)

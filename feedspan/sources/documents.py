@@ -34,9 +34,10 @@ def _xml(text: str) -> str:
 
 
 def rendered_bodies(platform: Platform) -> DataFrame:
-    """One RSS or Atom body per document: every line is an item.
+    """One feed body per document, in five shapes: every line is an item.
 
-    German documents are Atom. The first line links to the document's known post URL,
+    German documents are Atom, those of odd ids with a prefix and behind a comment that names
+    another root; of the others ids decide on RSS 2.0, RSS 1.0 or JSON Feed. The first line links to the document's known post URL,
     other lines to the hash of their text, so repeated lines collide. Every tenth item
     has no readable date.
     """
@@ -69,6 +70,29 @@ def rendered_bodies(platform: Platform) -> DataFrame:
         " || '<link href=\"https://' || source || '.example.com\"/>' ||"
         f" array_join(transform({lines}, (line, i) -> {atom_item}), '') || '</feed>'"
     )
+    rdf_item = (
+        f"'<item rdf:about=\"' || {link} || '\"><title>' || {_xml('line')} || '</title><link>' || {link} || '</link>'"
+        f" || '<description>' || {_xml('line')} || '</description><dc:date>'"
+        f" || {when('iso')} || '</dc:date></item>'"
+    )
+    rdf = (
+        "'<rdf:RDF xmlns:rdf=\"http://www.w3.org/1999/02/22-rdf-syntax-ns#\" xmlns=\"http://purl.org/rss/1.0/\""
+        " xmlns:dc=\"http://purl.org/dc/elements/1.1/\"><channel rdf:about=\"x\"><title>' || source ||"
+        " '</title><link>https://' || source || '.example.com</link><description>' || source ||"
+        " ' channel</description><dc:language>' || lang || '</dc:language></channel>' ||"
+        f" array_join(transform({lines}, (line, i) -> {rdf_item}), '') || '</rdf:RDF>'"
+    )
+    prefixed = (
+        "'<?xml version=\"1.0\"?><!-- not <rss version=\"2.0\"> -->' ||"
+        f" regexp_replace(replace({atom}, ' xmlns=', ' xmlns:atom='), '(</?)(feed|title|subtitle|link|entry|summary|published)"
+        "(?=[ />])', '$1atom:$2')"
+    )
+    json = (
+        "to_json(named_struct('version', 'https://jsonfeed.org/version/1.1', 'title', source,"
+        " 'home_page_url', 'https://' || source || '.example.com', 'description', source || ' channel', 'language', lang,"
+        f" 'items', transform({lines}, (line, i) -> named_struct('title', line, 'url', {link}, 'summary', line,"
+        f" 'date_published', {when('iso')}))))"
+    )
     return (
         platform.raw("documents")
         .selectExpr(
@@ -79,7 +103,8 @@ def rendered_bodies(platform: Platform) -> DataFrame:
         .selectExpr(
             "doc_id AS document_id",
             "doc_id % 200 AS feed_id",
-            f"CASE WHEN lang = 'de' THEN {atom} ELSE {rss} END AS body",
+            f"CASE WHEN lang = 'de' AND doc_id % 2 = 0 THEN {atom} WHEN lang = 'de' THEN {prefixed}"
+            f" WHEN doc_id % 4 = 1 THEN {rdf} WHEN doc_id % 4 = 2 THEN {json} ELSE {rss} END AS body",
         )
     )
 

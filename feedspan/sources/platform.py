@@ -1,6 +1,6 @@
 """The platform's tables as views over a TPC-H-like data set.
 
-Each table is a fixed projection, join or aggregate of the given parquet tables, so
+Each table is a fixed projection, join or grouping of the given parquet tables, so
 it grows with them. Times are zone-less UTC. Left joins here are on unique keys, so
 Catalyst drops those whose columns a job does not read.
 """

@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from feedspan.functions.html import sanitize_fields
 from feedspan.operators.changes import existing_keys, insert_unique, purge_older_than
+from feedspan.operators.defaults import complete
 from feedspan.plans.ingest import (
     classify_scrape_errors,
     error_counters,
@@ -98,7 +99,7 @@ def run_post_ingest(
     dropped by keyed state before the batch.
     """
     spark = bodies.sparkSession
-    rows = post_rows(parse_feed_documents(bodies), F.col("fetched_at"))
+    rows = complete(post_rows(parse_feed_documents(bodies), F.col("fetched_at")), posts, "posts", F.col("fetched_at"))
     if lateness:
         rows = rows.withWatermark("created_at", lateness).dropDuplicatesWithinWatermark(["itemurl"])
     schema = ", ".join(

@@ -183,13 +183,16 @@ def test_other_rule_sets(spark):
         ('{"status":', "body contains badly-formed JSON"),
         ("", "body must not be empty"),
         (None, "body must not be empty"),
-        ('{"message":"' + "x" * gateway.MAX_BYTES + '"}', "body must not be larger than 1048576 bytes"),
+        ('{"message":"' + "x" * 1_048_576 + '"}', "body must not be larger than 1048576 bytes"),
     ],
 )
 def test_gateway_payloads(spark, body, problem):
     df = spark.createDataFrame([(body,)], "body string")
-    row = gateway.parse_gateway_payloads(df).first()
+    if problem and "larger" in problem:
+        unlimited = gateway.parse_gateway_payloads(df).first()
+        assert unlimited["problem"] is None and unlimited["body_bytes"] == len(body)
+    row = gateway.parse_gateway_payloads(df, max_bytes=1_048_576).first()
     assert row["problem"] == problem
     assert (row["reply"] is None) == (problem is not None)
-    if problem is None:
+    if problem is None and "data" in body:
         assert row["reply"]["data"]["log"]["history"][0]["type"] == "x"

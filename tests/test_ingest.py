@@ -1,18 +1,20 @@
+import collections
+
 from pyspark.sql import functions as F
 
 from feedspan.functions.timestamps import as_ntz
-from feedspan.plans import ingest
+from feedspan.plans import ingest, notifications
 
 RSS = """<?xml version="1.0" encoding="UTF-8"?>
 <rss version="2.0" xmlns:content="http://purl.org/rss/1.0/modules/content/" xmlns:atom="http://www.w3.org/2005/Atom">
-<channel><title>Lane's Blog</title><link>https://lane.example</link>
-<atom:link href="https://lane.example/index.xml" rel="self"/><description>About</description><language>en</language>
-<item><title>Special &amp; Unique Post</title><link>https://lane.example/1?a=1&amp;b=2</link>
+<channel><title>Ada's Notes</title><link>https://ada.example</link>
+<atom:link href="https://ada.example/index.xml" rel="self"/><description>About</description><language>en</language>
+<item><title>Salt &amp; Pepper</title><link>https://ada.example/1?a=1&amp;b=2</link>
 <content:encoded><![CDATA[<p>Hi <b>all</b><script>x()</script></p>]]></content:encoded>
-<pubDate>Mon, 02 Jan 2006 15:04:05 -0700</pubDate><image><url>https://i.example/1.png</url></image></item>
-<item><title>No date</title><link>https://lane.example/2</link></item>
+<pubDate>Tue, 03 Mar 2009 11:05:09 -0700</pubDate><image><url>https://i.example/1.png</url></image></item>
+<item><title>No date</title><link>https://ada.example/2</link></item>
 <item><title>Bad link</title><link>not a link</link><pubDate>2006-01-02</pubDate></item>
-<item><title>Repeat</title><link>https://lane.example/1?a=1&amp;b=2</link><pubDate>2006-01-02</pubDate></item>
+<item><title>Repeat</title><link>https://ada.example/1?a=1&amp;b=2</link><pubDate>2006-01-02</pubDate></item>
 </channel></rss>"""
 ATOM = """<feed xmlns="http://www.w3.org/2005/Atom" xml:lang="en"><title>Example Atom Feed</title>
 <subtitle>Sub</subtitle><link href="https://atom.example/"/>
@@ -32,7 +34,7 @@ def bodies(spark, *texts):
 def test_parse(spark):
     channels = {r["document_id"]: r for r in
                 ingest.parse_channels(bodies(spark, RSS, ATOM, EMPTY, *BROKEN)).collect()}
-    assert channels[0]["kind"] == "rss" and channels[0]["channel_title"] == "Lane's Blog"
+    assert channels[0]["kind"] == "rss" and channels[0]["channel_title"] == "Ada's Notes"
     assert channels[1]["kind"] == "atom" and channels[1]["channel_title"] == "Example Atom Feed"
     assert (channels[1]["channel_description"], channels[1]["channel_language"]) == ("Sub", "en")
     assert channels[2]["channel_title"] == ""
@@ -40,7 +42,7 @@ def test_parse(spark):
     items = {(r["document_id"], r["item_no"]): r for r in
              ingest.parse_feed_documents(bodies(spark, RSS, ATOM, EMPTY, *BROKEN)).collect()}
     assert set(items) == {(0, 0), (0, 1), (0, 2), (0, 3), (1, 0), (1, 1)}
-    assert items[0, 0]["item_link"] == "https://lane.example/1?a=1&b=2"
+    assert items[0, 0]["item_link"] == "https://ada.example/1?a=1&b=2"
     assert items[0, 0]["item_image_url"] == "https://i.example/1.png"
     assert items[0, 1]["item_image_url"] == ingest.DEFAULT_IMAGE
     assert items[1, 0]["item_image_url"] == "https://atom.example/1.png"
@@ -50,10 +52,10 @@ def test_parse(spark):
 
 def test_sanitised_fields(spark):
     row = ingest.sanitize_items(ingest.parse_feed_documents(bodies(spark, RSS))).orderBy("item_no").first()
-    assert row["channel_title"] == "Lane&#39;s Blog"
-    assert row["item_title"] == "Special &amp; Unique Post"
+    assert row["channel_title"] == "Ada&#39;s Notes"
+    assert row["item_title"] == "Salt &amp; Pepper"
     assert row["item_content"] == "<p>Hi <b>all</b></p>"
-    assert row["item_link"] == "https://lane.example/1?a=1&b=2"
+    assert row["item_link"] == "https://ada.example/1?a=1&b=2"
 
 
 def test_ingest(spark):
@@ -61,10 +63,46 @@ def test_ingest(spark):
     done = ingest.ingest_posts(bodies(spark, RSS, ATOM, RSS, *BROKEN), posts, as_ntz("2024-01-01 00:00:00"))
     new = done.changed.collect()
     assert [(r["document_id"], r["item_no"], r["itemurl"]) for r in new] == [
-        (0, 0, "https://lane.example/1?a=1&b=2")]
+        (0, 0, "https://ada.example/1?a=1&b=2")]
     assert new[0]["itemdescription"] is None and new[0]["channellanguage"] == "en"
     # The repeat in the body, both rows of the second copy, and the known Atom post.
-    assert done.rejected.count() == 4 and done.table.count() == 2
+    reasons = collections.Counter(r["reason"] for r in done.rejected.collect())
+    assert reasons == {"duplicate": 4, "unreadable date": 2, "invalid link": 3} and done.table.count() == 2
+    assert {r["id"] for r in done.table.collect()} > {1} and done.table.filter("id IS NULL").count() == 0
+
+
+def test_new_posts_are_counted_by_notifications(spark, platform):
+    """What ingest inserts has ids, so later jobs see it."""
+    posts = platform.posts.filter("id < 5")
+    done = ingest.ingest_posts(bodies(spark, RSS), posts, as_ntz("2024-02-01 00:00:00"))
+    feeds = spark.createDataFrame([(0, "zero")], "id bigint, name string")
+    counts = notifications.new_post_notifications(done.table, feeds, as_ntz("2024-02-01 00:05:00"), 10)
+    assert [(r["feed_id"], r["post_count"]) for r in counts.collect()] == [(0, 1)]
+
+
+RDF = """<?xml version="1.0"?><!DOCTYPE x><rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns="http://purl.org/rss/1.0/"
+ xmlns:dc="http://purl.org/dc/elements/1.1/"><channel rdf:about="c"><title>Old</title><link>https://old.example</link></channel>
+<item rdf:about="i"><title>First</title><link>https://old.example/1</link><dc:date>2005-10-07T10:00:00Z</dc:date></item></rdf:RDF>"""
+PREFIXED = """<!-- see <rss version="2.0"> --><a:feed xmlns:a="http://www.w3.org/2005/Atom"><a:title>P</a:title>
+<a:entry><a:title>E</a:title><a:link rel="self" href="https://p.example/feed"/><a:link rel="alternate" href="https://p.example/e"/>
+<a:updated>2003-12-13T18:30:02Z</a:updated></a:entry></a:feed>"""
+JSON = """ {"version":"https://jsonfeed.org/version/1","title":"J","home_page_url":"https://j.example","items":[
+{"id":"1","url":"https://j.example/1","title":"T","content_text":"c","image":"https://j.example/1.png","date_published":"2020-01-01T00:00:00Z"}]}"""
+IMAGES = """<rss version="2.0" xmlns:media="http://search.yahoo.com/mrss/"><channel><title>I</title>
+<item><title>a</title><enclosure url="https://i.example/a.mp3" type="audio/mpeg"/><enclosure url="https://i.example/a.jpg" type="image/jpeg"/></item>
+<item><title>b</title><media:content url="https://i.example/b.png" medium="image"/></item></channel></rss>"""
+
+
+def test_other_shapes(spark):
+    rows = ingest.parse_feed_documents(bodies(spark, RDF, PREFIXED, JSON, IMAGES, '{"version":"1"}')).collect()
+    got = {(r["document_id"], r["item_no"]): r for r in rows}
+    assert set(got) == {(0, 0), (1, 0), (2, 0), (3, 0), (3, 1)}
+    assert (got[0, 0]["kind"], got[0, 0]["item_link"], got[0, 0]["item_published"]) == (
+        "rss", "https://old.example/1", "2005-10-07T10:00:00Z")
+    assert (got[1, 0]["kind"], got[1, 0]["item_link"]) == ("atom", "https://p.example/e")
+    assert (got[2, 0]["kind"], got[2, 0]["channel_link"], got[2, 0]["item_content"], got[2, 0]["item_image_url"]) == (
+        "json", "https://j.example", "c", "https://j.example/1.png")
+    assert [got[3, i]["item_image_url"] for i in (0, 1)] == ["https://i.example/a.jpg", "https://i.example/b.png"]
 
 
 def test_description_compat(spark):

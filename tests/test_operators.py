@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from feedspan.functions.timestamps import as_ntz
 from feedspan.operators import changes
-from feedspan.operators.aggregates import latest_per_key, most_common, numbered_facet, one_row
+from feedspan.operators.summaries import latest_per_key, most_common, numbered_facet, one_row
 from feedspan.operators.lookup import key_lookup
 from feedspan.operators.paging import check_page, page_after, page_metadata, page_of, top_per_key
 from feedspan.operators.search import search_all
@@ -87,11 +87,11 @@ def test_join_sliced_splits_hot_keys_and_keeps_everything(spark):
         F.col("id").alias("who"), F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id") % 100).alias("k")
     )
     per_key = big.select("k").distinct().withColumn("v", F.col("k") * 2)
-    hot = {r["k"]: r["__slices"] for r in hot_keys(big, "k", max_hot=1, min_rows=10).collect()}
-    assert hot == {-1: 100}
+    hot = {r["k"]: r["__slices"] for r in hot_keys(big, "k", min_rows=100).collect()}
+    assert hot == {-1: 10}
     want = rows(big.join(per_key, "k").select("who", "k", "v"))
-    for max_hot in (1, 50):
-        joined = join_sliced(big, per_key, "k", "who", max_hot=max_hot, min_rows=10)
+    for min_rows in (1, 10, 100_000):
+        joined = join_sliced(big, per_key, "k", "who", min_rows=min_rows)
         assert rows(joined.select("who", "k", "v")) == want
 
 
@@ -294,20 +294,45 @@ def test_empty_subscriptions_are_guarded(spark, platform):
 
 def test_renewals_have_one_outcome(spark, platform):
     make = spark.createDataFrame
-    due = make([(i, "AUTH", 0, 10.0, "USD", 1) for i in range(4)],
+    # Plan 3 is not on sale: its paused charge is still challenged, its other reply rejected.
+    due = make([(i, "AUTH", 3 if i > 3 else 0, 10.0, "USD", 1) for i in range(6)],
                "subscription_id bigint, authorization_code string, plan_id bigint, price double, currency string, user_id bigint")
+    card = ("4081", "12", "2030", "visa")
     replies = make(
-        [(0, True, "success", "", "m", "r", 1, "u", "c"), (1, False, "success", "", "m", "r", 1, "u", "c"),
-         (2, False, "x", "Approved", "m", "r", 1, "u", "c"), (3, None, None, None, "m", "r", 1, "u", "c")],
+        [(0, True, "success", "", "m", "r", 1, "u", "c", *card), (1, False, "success", "", "m", "r", 1, "u", "c", *card),
+         (2, False, "x", "Approved", "m", "r", 1, "u", "c", *card), (3, None, None, None, "m", "r", 1, "u", "c", *card),
+         (4, True, "success", "", "m", "r", 1, "u", "c", *card), (5, False, "success", "", "m", "r", 1, "u", "c", *card)],
         "subscription_id bigint, paused boolean, gateway_status string, gateway_response string, message string,"
-        " reference string, transaction_id bigint, authorization_url string, channel string")
+        " reference string, transaction_id bigint, authorization_url string, channel string, card_last4 string,"
+        " card_exp_month string, card_exp_year string, card_type string")
     subs = platform.subscriptions
     done = subscriptions.renewal_actions(due, replies, platform.payment_plans, subs, as_ntz("2001-08-01 00:00:00"))
-    assert done.challenged.count() == 1 and done.renewed.count() == 2 and done.failed.count() == 1
+    ids = lambda df, c: sorted(r[c] for r in df.collect())
+    assert ids(done.challenged, "referenced_subscription_id") == [0, 4] and ids(done.failed, "subscription_id") == [3]
+    assert ids(done.rejected, "subscription_id") == [5]
+    assert [tuple(r[c] for c in ("card_last4", "card_exp_month", "card_exp_year", "card_type"))
+            for r in done.renewed.collect()] == [card, card]
     assert sorted(r["id"] for r in done.subscriptions.changed.collect()) == [1, 2]
     assert done.subscriptions.table.count() == subs.count()
 
 
+def test_inserted_rows_have_keys_and_defaults(spark, platform):
+    from feedspan.operators.defaults import DEFAULTS, NATURAL_KEYS, complete
+
+    now = as_ntz("2024-02-01 00:00:00")
+    for name, keys in NATURAL_KEYS.items():
+        table = getattr(platform, name)
+        given = [k for k in keys if k not in DEFAULTS.get(name, {})]
+        batch = table.limit(3).select(*[(F.col(k) if k in table.columns else F.lit("x").alias(k)) for k in given])
+        table = table.select("*", *[F.lit(None).cast("string").alias(k) for k in given if k not in table.columns])
+        done = changes.append_rows(table, complete(batch, table, name, now)).changed
+        row = done.first()
+        wanted = [c for c in ["id", *DEFAULTS.get(name, {})] if c in table.columns]
+        assert all(row[c] is not None for c in wanted), name
+        assert dict(done.dtypes)["id"] == dict(table.dtypes)["id"]
+        assert done.select("id").distinct().count() == batch.distinct().count()
+
+
 def test_view_sizes_at_sf001(spark):
     from feedspan.sources.platform import Platform
 

@@ -44,16 +44,12 @@ def test_entry(spark):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - STREAMS))
 def test_plan_scales(spark, name):
-    """No pairing without a key, and no window that gathers a table in one task.
-
-    The only unpartitioned window allowed is the running sum over prefix counts.
-    """
+    """No pairing without a key, and no window that gathers a table in one task."""
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan
     assert "BroadcastNestedLoopJoin" not in plan
-    if not name.startswith("facet_"):
-        lines = plan.splitlines()
-        for i, line in enumerate(lines):
-            if "Window [" in line:
-                below = "\n".join(lines[i : i + 4])
-                assert "Exchange SinglePartition" not in below
+    lines = plan.splitlines()
+    for i, line in enumerate(lines):
+        if "Window [" in line:
+            below = "\n".join(lines[i : i + 4])
+            assert "Exchange SinglePartition" not in below

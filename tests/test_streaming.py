@@ -58,10 +58,10 @@ def test_ingest_is_exact_across_restarts_and_replays(spark, tmp_path):
         return rows(read_batches(spark, out, "itemurl string"))
 
     feed(0, RSS)
-    assert run() == [("https://lane.example/1?a=1&b=2",)]
+    assert run() == [("https://ada.example/1?a=1&b=2",)]
     feed(1, RSS)
     feed(2, ATOM.replace("atom.example/1", "atom.example/new"))
-    want = [("https://atom.example/new",), ("https://lane.example/1?a=1&b=2",)]
+    want = [("https://atom.example/new",), ("https://ada.example/1?a=1&b=2",)]
     assert run() == want
     assert run() == want
     # Replaying a batch overwrites its own folder.
@@ -79,7 +79,7 @@ def test_ingest_with_keyed_state_gives_the_same(spark, tmp_path):
     df.withColumn("fetched_at", F.to_timestamp(F.lit("2024-01-01"))).write.parquet(src)
     none = spark.createDataFrame([], "itemurl string")
     jobs.run_post_ingest(stream_bodies(spark, src), none, out, ck, lateness="1 hour").awaitTermination()
-    assert rows(read_batches(spark, out, "itemurl string")) == [("https://lane.example/1?a=1&b=2",)]
+    assert rows(read_batches(spark, out, "itemurl string")) == [("https://ada.example/1?a=1&b=2",)]
 
 
 def test_error_counters_equal_batch_over_many_micro_batches(spark, platform, tmp_path):

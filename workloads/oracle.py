@@ -172,9 +172,10 @@ VIEWS = {
         FROM orders WHERE o_orderkey % 13 <> 0 AND o_orderkey % 11 <> 0""",
     "routes": """
         SELECT due.*, p.duration,
-               CASE WHEN paused THEN 'challenged' WHEN paid THEN 'renewed' ELSE 'failed' END AS outcome
+               CASE WHEN paused THEN 'challenged' WHEN p.id IS NULL THEN 'rejected' WHEN paid THEN 'renewed'
+                    ELSE 'failed' END AS outcome
         FROM due JOIN replies USING (subscription_id)
-        JOIN payment_plans p ON p.id = plan_id AND p.status = 'active'""",
+        LEFT JOIN payment_plans p ON p.id = plan_id AND p.status = 'active'""",
     "feed_edits": """
         SELECT o_orderkey AS seq, o_orderkey // 4 AS id, (o_orderkey // 4) % 97 AS user_id,
                1 + o_orderkey % 3 AS version, 'name ' || o_orderkey AS name,
@@ -560,7 +561,7 @@ SQL["all_subscriptions_page"] = (
 SQL["renewal_candidates"] = "SELECT * FROM due"
 SQL["next_renewals"] = """
     SELECT *, (SELECT count(*) FROM due) AS total_records FROM due
-    ORDER BY end_date, subscription_id LIMIT 5"""
+    ORDER BY end_date, subscription_id"""
 SQL["pending_challenges_by_user"] = """
     SELECT * FROM challenged_transactions
     WHERE status = 'pending' AND user_id IN (SELECT user_id FROM users_permissions)"""
@@ -616,7 +617,20 @@ SQL["new_vs_cancelled"] = f"""
            {_CHURNED} AS cancelled_subscriptions FROM subscriptions"""
 SQL["subscriptions_by_currency"] = """
     SELECT currency, count(*) AS currency_count FROM subscriptions GROUP BY 1"""
+VIEWS["kpis"] = SQL["subscription_kpis"]
+VIEWS["new_vs_cancelled"] = SQL["new_vs_cancelled"]
+_NUMBERS = [
+    "total_active_subscriptions", "churn_rate", "average_revenue_per_user", "average_duration", "total_revenue",
+    "most_subscribed_plan", "challenged_rate", "failed_status_count", "failed_transactions_count", "near_expiry_count",
+]
+_KPI_ROWS = " UNION ALL ".join(
+    [f"SELECT 'kpis' AS part, '{c}' AS name, CAST({c} AS DOUBLE) AS value FROM kpis" for c in _NUMBERS]
+    + ["SELECT 'kpis', 'most_popular_payment_method=' || most_popular_payment_method, 1.0 FROM kpis"]
+    + [f"SELECT 'new_vs_cancelled', '{c}', CAST({c} AS DOUBLE) FROM new_vs_cancelled"
+       for c in ("new_subscriptions", "cancelled_subscriptions")]
+)
 SQL["subscription_report"] = f"""
+    {_KPI_ROWS} UNION ALL
     SELECT 'revenue_by_plan' AS part, p.name AS name,
            CAST(round(sum(s.price), 0) AS DOUBLE) AS value
     FROM subscriptions s JOIN payment_plans p ON s.plan_id = p.id GROUP BY 2
@@ -633,6 +647,20 @@ SQL["subscription_report"] = f"""
 # Notifications
 
 
+def _key(name: str, *columns: str) -> str:
+    return "md5(" + " || chr(31) || ".join([f"'{name}'", *columns]) + ")"
+
+
+def _long_id(name: str, *columns: str) -> str:
+    """An id of a bigint table: the first 15 hex digits of the natural key's hash."""
+    return f"CAST('0x' || substr({_key(name, *columns)}, 1, 15) AS BIGINT)"
+
+
+def _uuid(name: str, *columns: str) -> str:
+    shape = "'^(.{8})(.{4})(.{4})(.{4})(.{12})$', '\\1-\\2-\\3-\\4-\\5'"
+    return f"regexp_replace({_key(name, *columns)}, {shape})"
+
+
 def _arrived(n: int) -> str:
     return f"""
     SELECT f.id AS feed_id, f.name AS feed_name, count(p.id) AS post_count
@@ -643,7 +671,8 @@ def _arrived(n: int) -> str:
 SQL["new_post_notifications"] = _arrived(1440)
 SQL["notification_rows"] = f"""
     SELECT id, feed_id, feed_name, post_count, created_at FROM notifications
-    UNION ALL SELECT NULL, feed_id, feed_name, post_count, {EVENTS} FROM ({_arrived(100)})"""
+    UNION ALL SELECT {_uuid("notifications", "feed_id", f"CAST({EVENTS} AS VARCHAR)")}, feed_id, feed_name, post_count,
+           {EVENTS} FROM ({_arrived(100)})"""
 VIEWS["recent_notifications"] = f"""
     SELECT ff.user_id, n.id AS notification_id, n.feed_id, n.feed_name, n.post_count, n.created_at
     FROM notifications n JOIN feed_follows ff ON n.feed_id = ff.feed_id
@@ -670,10 +699,10 @@ SQL["notifications_bundle"] = """
 SQL["purge_notifications"] = f"""
     SELECT *, CASE WHEN created_at > {EVENTS} - INTERVAL 10000 MINUTE THEN 'kept' ELSE 'purged' END
       AS outcome FROM notifications"""
-SQL["append_comment_notifications"] = """
+SQL["append_comment_notifications"] = f"""
     SELECT id, user_id, post_id, comment_id, created_at FROM comment_notifications
-    UNION ALL SELECT NULL, user_id, post_id, id, created_at FROM comments
-    WHERE parent_comment_id IS NULL"""
+    UNION ALL SELECT {_long_id("comment_notifications", "id", "user_id")}, user_id, post_id, id, created_at
+    FROM comments"""
 SQL["delete_read_comment_notifications"] = """
     SELECT *, CASE WHEN post_id IN (SELECT post_id FROM favorites) THEN 'deleted' ELSE 'kept' END
       AS outcome FROM comment_notifications"""
@@ -691,29 +720,34 @@ SQL["mark_fetched"] = f"""
     SELECT id, CASE WHEN id IN (SELECT id FROM scheduled) THEN {EVENTS} ELSE last_fetched_at END
       AS last_fetched_at FROM feeds"""
 SQL["parse_feed_documents"] = """
-    SELECT document_id, feed_id, CASE WHEN lang = 'de' THEN 'atom' ELSE 'rss' END AS kind,
+    SELECT document_id, feed_id, CASE WHEN lang = 'de' THEN 'atom' WHEN document_id % 4 = 2 THEN 'json' ELSE 'rss' END AS kind,
            source AS channel_title, 'https://' || source || '.example.com' AS channel_link,
            source || ' channel' AS channel_description, lang AS channel_language,
            CAST(item_no AS INTEGER) AS item_no, md5(line) AS item_title, link AS item_link,
            md5(line) AS item_description, '' AS item_content,
            CASE WHEN NOT dated THEN 'some day'
-                WHEN lang = 'de' THEN strftime(at_, '%Y-%m-%dT%H:%M:%SZ')
+                WHEN lang = 'de' OR document_id % 4 IN (1, 2) THEN strftime(at_, '%Y-%m-%dT%H:%M:%SZ')
                 ELSE strftime(at_, '%-d %b %Y %H:%M:%S +0000') END AS item_published
     FROM lines"""
+_IMAGE = (
+    "https://images.unsplash.com/photo-1542396601-dca920ea2807?q=80&w=1351&auto=format&fit=crop"
+    "&ixlib=rb-4.0.3&ixid=M3wxMjA3fDB8MHxwaG90by1wYWdlfHx8fGVufDB8fHx8fA%3D%3D"
+)
 _CLEAN = "replace(replace(replace(line, '&', '&amp;'), '\"', '&#34;'), '''', '&#39;')"
 VIEWS["candidate_items"] = """
     SELECT *, NOT EXISTS (SELECT 1 FROM posts WHERE itemurl = link)
               AND row_number() OVER (PARTITION BY link ORDER BY document_id, item_no) = 1 AS fresh
     FROM lines WHERE dated"""
 SQL["ingest_posts"] = f"""
-    SELECT document_id, CAST(item_no AS INTEGER) AS item_no, feed_id, source AS channeltitle,
-           'https://' || source || '.example.com' AS channelurl,
+    SELECT {_long_id("posts", "link")} AS id, document_id, CAST(item_no AS INTEGER) AS item_no, feed_id,
+           source AS channeltitle, CAST(NULL AS VARCHAR) AS itemcontent, '{_IMAGE}' AS img_url,
+           {EVENTS} AS created_at, {EVENTS} AS updated_at, 'https://' || source || '.example.com' AS channelurl,
            source || ' channel' AS channeldescription, lang AS channellanguage,
            CASE WHEN fresh THEN md5({_CLEAN}) END AS itemtitle,
            CASE WHEN fresh AND line <> '' THEN md5({_CLEAN}) END AS itemdescription,
-           link AS itemurl, CAST(epoch(at_) AS BIGINT) AS itempublished_at,
-           CASE WHEN fresh THEN 'accepted' ELSE 'duplicate' END AS outcome
-    FROM candidate_items"""
+           link AS itemurl, CASE WHEN dated THEN CAST(epoch(at_) AS BIGINT) END AS itempublished_at,
+           CASE WHEN fresh THEN 'accepted' WHEN dated THEN 'duplicate' ELSE 'unreadable date' END AS outcome
+    FROM (FROM candidate_items UNION ALL BY NAME SELECT *, false AS fresh FROM lines WHERE NOT dated)"""
 # Titles cut inside an entity leave '&', '&a', '&am' or '&amp' before the closing tag.
 _STRIPPED = r"regexp_replace(replace(html, '&amp<', '&amp;<'), '&(|a|am)<', '&amp;\1<', 'g')"
 for _tag in ("script", "style", "title", "noscript", "iframe", "object"):
@@ -743,46 +777,53 @@ def _insert(batch: str, keys: str, held: str, columns: str, order: str = "seq")
 _NEW_FEEDS = """SELECT o_orderkey AS seq, 'https://feeds.example.com/' || (o_orderkey // 2) AS url,
     o_custkey AS user_id FROM orders"""
 SQL["insert_feeds"] = _insert(
-    _NEW_FEEDS, "url", "url IN (SELECT url FROM feeds)", "seq, url, user_id"
+    _NEW_FEEDS, "url", "url IN (SELECT url FROM feeds)", f"{_long_id('feeds', 'url')} AS id, seq, url, user_id"
 )
 SQL["insert_feeds_table"] = f"""
-    SELECT id, url, user_id, approval_status FROM feeds
-    UNION ALL SELECT NULL, url, arg_min(user_id, seq), NULL FROM ({_NEW_FEEDS})
-    WHERE url NOT IN (SELECT url FROM feeds) GROUP BY url"""
+    SELECT id, url, user_id, version, img_url, feed_type, feed_description, is_hidden, approval_status, priority,
+           created_at, last_fetched_at FROM feeds
+    UNION ALL SELECT {_long_id("feeds", "url")}, url, arg_min(user_id, seq), 1,
+           'https://cdn.pixabay.com/photo/2017/06/25/14/38/rss-2440955_960_720.png', 'general',
+           'An interesting take on modern and latest changes in this field', false, 'pending', 'normal', {EVENTS}, NULL
+    FROM ({_NEW_FEEDS}) WHERE url NOT IN (SELECT url FROM feeds) GROUP BY url"""
 _PAIR = "SELECT event_id AS seq, user_id, CAST(floor(value) AS BIGINT) AS {} FROM events"
 SQL["insert_feed_follows"] = _insert(
     _PAIR.format("feed_id"), "user_id, feed_id",
-    "(user_id, feed_id) IN (SELECT (user_id, feed_id) FROM feed_follows)", "seq, user_id, feed_id",
+    "(user_id, feed_id) IN (SELECT (user_id, feed_id) FROM feed_follows)",
+    f"{_uuid('feed_follows', 'user_id', 'feed_id')} AS id, seq, user_id, feed_id, {EVENTS} AS created_at",
 )
 SQL["new_follow_ids"] = f"""
-    SELECT DISTINCT regexp_replace(md5(user_id || chr(31) || feed_id),
-             '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '\\1-\\2-\\3-\\4-\\5') AS id, user_id, feed_id
+    SELECT DISTINCT {_uuid("feed_follows", "user_id", "feed_id")} AS id, user_id, feed_id
     FROM ({_PAIR.format("feed_id")})
     WHERE (user_id, feed_id) NOT IN (SELECT (user_id, feed_id) FROM feed_follows)"""
 SQL["insert_favorites"] = _insert(
     _PAIR.format("post_id"), "user_id, post_id",
-    "(user_id, post_id) IN (SELECT (user_id, post_id) FROM favorites)", "seq, user_id, post_id",
+    "(user_id, post_id) IN (SELECT (user_id, post_id) FROM favorites)",
+    f"{_long_id('favorites', 'user_id', 'post_id')} AS id, seq, user_id, post_id, {EVENTS} AS created_at",
 )
 SQL["insert_subscriptions"] = _insert(
     """SELECT event_id AS seq, event_id // 3 AS transaction_id,
        'AUTH_' || (event_id // 3 + event_id % 2) AS authorization_code FROM events""",
     "transaction_id, authorization_code",
     "(transaction_id, authorization_code) IN (SELECT (transaction_id, authorization_code) FROM subscriptions)",
-    "seq, transaction_id, authorization_code",
+    f"{_long_id('subscriptions', 'transaction_id', 'authorization_code')} AS id, seq, transaction_id, authorization_code,"
+    f" 'USD' AS currency, {EVENTS} AS start_date",
 )
 SQL["insert_permissions"] = _insert(
     "SELECT s_suppkey AS seq, 'nation_' || (s_suppkey % 40) || ':read' AS code FROM supplier",
-    "code", "code IN (SELECT code FROM permissions)", "seq, code",
+    "code", "code IN (SELECT code FROM permissions)", f"{_long_id('permissions', 'code')} AS id, seq, code",
 )
 SQL["insert_plans"] = _insert(
     """SELECT n_nationkey AS seq, CASE WHEN n_nationkey % 2 = 0 THEN r_name ELSE n_name END AS name
        FROM nation JOIN region ON r_regionkey = n_regionkey""",
-    "name", "name IN (SELECT name FROM payment_plans)", "seq, name",
+    "name", "name IN (SELECT name FROM payment_plans)",
+    f"{_long_id('payment_plans', 'name')} AS id, seq, name, 'free' AS duration, 'active' AS status, 1 AS version",
 )
 SQL["insert_users"] = _insert(
     """SELECT s_suppkey AS seq, 'CUSTOMER#' || lpad(CAST((s_suppkey // 2) * 40 AS VARCHAR), 9, '0')
        || CASE WHEN s_suppkey % 2 = 0 THEN '@EXAMPLE.com' ELSE '@example.COM' END AS email FROM supplier""",
-    "lower(email)", "lower(email) IN (SELECT lower(email) FROM users)", "seq, email",
+    "lower(email)", "lower(email) IN (SELECT lower(email) FROM users)",
+    f"{_long_id('users', 'email')} AS id, seq, email, false AS activated, 1 AS version, {EVENTS} AS created_at",
 )
 SQL["grant_permissions"] = _insert(
     """SELECT s_suppkey AS user_id, p.id AS permission_id, p.code FROM supplier JOIN permissions p
@@ -796,17 +837,18 @@ SQL["append_comments"] = """
     UNION ALL BY NAME
     SELECT 1000000 + event_id AS id, event_id % 200 AS post_id, user_id, md5(props) AS comment_text,
            1 AS version, ts AS created_at FROM events WHERE event_type = 'purchase'"""
-SQL["append_challenges"] = """
+SQL["append_challenges"] = f"""
     SELECT * FROM challenged_transactions UNION ALL BY NAME
-    SELECT user_id, id AS referenced_subscription_id, 'new-' || id AS reference, 'pending' AS status,
+    SELECT {_long_id("challenged_transactions", "'new-' || id")} AS id,
+           {ORDERS} AS updated_at, user_id, id AS referenced_subscription_id, 'new-' || id AS reference, 'pending' AS status,
            end_date AS created_at FROM subscriptions WHERE status = 'expired'"""
-SQL["append_failed_transactions"] = """
+SQL["append_failed_transactions"] = f"""
     SELECT * FROM failed_transactions UNION ALL BY NAME
-    SELECT user_id, id AS subscription_id, 'new-' || id AS reference, 'Declined' AS failure_reason,
+    SELECT {_long_id("failed_transactions", "'new-' || id")} AS id, user_id, id AS subscription_id, 'new-' || id AS reference, 'Declined' AS failure_reason,
            end_date AS attempt_date FROM subscriptions WHERE status = 'cancelled'"""
-SQL["append_announcements"] = """
+SQL["append_announcements"] = f"""
     SELECT * FROM announcements UNION ALL BY NAME
-    SELECT 100 + CAST(n_nationkey AS BIGINT) AS id, n_name AS title, 'hello' AS message,
+    SELECT {EVENTS} AS created_at, 100 + CAST(n_nationkey AS BIGINT) AS id, n_name AS title, 'hello' AS message,
            n_nationkey % 2 = 0 AS is_active, 'low' AS urgency FROM nation"""
 SQL["append_announcement_reads"] = """
     SELECT * FROM announcement_reads UNION ALL BY NAME
@@ -980,8 +1022,10 @@ SQL["formatted_timestamps"] = """
                           WHEN event_type = 'click' THEN strftime(ts, '%Y-%m-%d 00:00:00')
                           ELSE '' END AS formatted FROM events"""
 SQL["parsed_timestamps"] = """
-    SELECT event_id, CASE WHEN event_type <> 'purchase'
-                          THEN CAST(epoch(date_trunc('second', ts)) AS BIGINT) END AS seconds FROM events"""
+    SELECT event_id, CAST(epoch(CASE WHEN k < 20 THEN date_trunc('second', ts) WHEN k < 23 THEN date_trunc('minute', ts)
+                                     WHEN k < 31 THEN date_trunc('day', ts) WHEN k = 31 THEN date_trunc('month', ts)
+                                     WHEN k = 32 THEN date_trunc('year', ts) END) AS BIGINT) AS seconds
+    FROM (SELECT *, event_id % 34 AS k FROM events)"""
 SQL["merged_feed_edits"] = """
     SELECT e.seq, e.id, e.user_id, e.version, e.name, coalesce(e.new_type, f.feed_type) AS feed_type,
            f.url, f.img_url, f.feed_description, f.is_hidden
@@ -1049,11 +1093,17 @@ SQL["gateway_payloads"] = """
     FROM (SELECT *, o_orderkey % 13 <> 0 AND o_orderkey % 11 <> 0 AS ok FROM orders)"""
 SQL["renewal_routes"] = f"""
     SELECT subscription_id, user_id, plan_id, outcome, price,
-           CASE duration WHEN 'month' THEN {ORDERS} + INTERVAL 1 MONTH ELSE {ORDERS} + INTERVAL 1 YEAR END
-             AS new_end FROM routes"""
+           CASE duration WHEN 'month' THEN {ORDERS} + INTERVAL 1 MONTH
+                         WHEN 'year' THEN {ORDERS} + INTERVAL 1 YEAR END AS new_end FROM routes"""
 SQL["renewal_actions"] = """
-    SELECT outcome AS part, user_id, count(*) AS n FROM routes GROUP BY 1, 2
-    UNION ALL SELECT 'marked', user_id, count(*) FROM routes WHERE outcome = 'renewed' GROUP BY 2"""
+    SELECT outcome AS part, CAST(user_id AS VARCHAR) AS user_id,
+           CASE WHEN outcome <> 'renewed' THEN CAST(subscription_id AS VARCHAR) END AS subscription_id,
+           CASE WHEN outcome = 'renewed' THEN CAST(subscription_id AS VARCHAR) ELSE 'r-' || subscription_id END AS reference,
+           CASE outcome WHEN 'challenged' THEN 'pending' WHEN 'renewed' THEN 'active'
+                        WHEN 'failed' THEN 'm' || subscription_id % 3 END AS status,
+           CASE WHEN outcome = 'renewed' THEN '4081' END AS card_last4 FROM routes
+    UNION ALL SELECT 'marked', CAST(user_id AS VARCHAR), CAST(subscription_id AS VARCHAR), NULL, 'renewed', NULL
+    FROM routes WHERE outcome = 'renewed'"""
 
 # Streams
 
@@ -1064,9 +1114,9 @@ SQL["stream_new_post_notifications"] = """
     WHERE slot + INTERVAL 1 HOUR <=
           (SELECT max(created_at) FROM post_arrivals) - INTERVAL 10 MINUTE"""
 SQL["stream_scrape_errors"] = "SELECT * FROM errors_after"
-SQL["stream_post_ingest"] = """
-    SELECT DISTINCT link AS itemurl, CAST(1 AS BIGINT) AS n FROM candidate_items
-    WHERE link NOT IN (SELECT itemurl FROM posts)"""
+SQL["stream_post_ingest"] = f"""
+    SELECT {_long_id("posts", "link")} AS id, link AS itemurl, CAST(epoch({EVENTS}) AS BIGINT) AS created_at, CAST(1 AS BIGINT) AS n
+    FROM candidate_items WHERE link NOT IN (SELECT itemurl FROM posts) GROUP BY link"""
 SQL["stream_timeline"] = """
     SELECT ff.user_id, p.feed_id, p.id AS post_id, p.created_at
     FROM post_arrivals p JOIN feed_follows ff ON ff.feed_id = p.feed_id"""

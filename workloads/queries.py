@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from feedspan.functions import checks, gateway
 from feedspan.functions.html import sanitize_html
-from feedspan.functions.ids import stable_uuid
 from feedspan.functions.timestamps import (
     as_ntz,
     format_timestamp,
@@ -23,12 +22,13 @@ from feedspan.functions.timestamps import (
     refine_interval,
 )
 from feedspan.operators import changes
-from feedspan.operators.aggregates import facet_values, numbered_facet
+from feedspan.operators.summaries import facet_values, numbered_facet
+from feedspan.operators.defaults import complete
 from feedspan.operators.lookup import key_lookup
 from feedspan.operators.paging import page_after, page_metadata
 from feedspan.operators.search import search_all, token_index
 from feedspan.plans import discovery, ingest, moderation, notifications, subscriptions
-from feedspan.session import shared_dir
+from feedspan.session import configure, shared_dir
 from feedspan.sources.documents import page_bodies, rendered_bodies
 from feedspan.sources.platform import EVENTS_AS_OF, ORDERS_AS_OF, Platform
 from feedspan.sources.storage import read_batches
@@ -43,7 +43,7 @@ ORDERS = ORDERS_AS_OF
 
 def query(build: Callable[[Platform], DataFrame]) -> Callable[[Platform], DataFrame]:
     """Register a job under its function name."""
-    QUERIES[build.__name__] = lambda spark, folder: plain(build(Platform(spark, folder)))
+    QUERIES[build.__name__] = lambda spark, folder: plain(build(Platform(configure(spark), folder)))
     return build
 
 
@@ -550,14 +550,22 @@ def subscriptions_by_currency(p):
 
 @query
 def subscription_report(p):
-    """All grouped parts of the report as (part, name, value)."""
+    """All parts of the report as (part, name, value)."""
     parts = subscriptions.subscription_report(
         p.subscriptions, p.payment_plans, p.challenged_transactions, p.failed_transactions,
         as_ntz(ORDERS),
     )
-    parts.pop("kpis")
-    parts.pop("new_vs_cancelled")
+    one_row = [parts.pop("kpis"), parts.pop("new_vs_cancelled")]
+    def pair(f):
+        """A column of a one-row part; a text becomes part of the name."""
+        if f.dataType.simpleString() == "string":
+            return F.struct(F.concat(F.lit(f"{f.name}="), F.col(f.name)).alias("name"), F.lit(1.0).alias("value"))
+        return F.struct(F.lit(f.name).alias("name"), F.round(F.col(f.name).cast("double"), 4).alias("value"))
+
     rows = [
+        df.select(F.lit(part).alias("part"), F.inline(F.array(*[pair(f) for f in df.schema.fields])))
+        for part, df in zip(["kpis", "new_vs_cancelled"], one_row, strict=True)
+    ] + [
         df.select(
             F.lit(part).alias("part"), F.col(df.columns[0]).cast("string").alias("name"),
             F.col(df.columns[1]).cast("double").alias("value"),
@@ -578,7 +586,7 @@ def new_post_notifications(p):
 @query
 def notification_rows(p):
     counts = notifications.new_post_notifications(p.post_arrivals, p.feeds, as_ntz(EVENTS), 100)
-    new = notifications.notification_rows(counts, as_ntz(EVENTS))
+    new = notifications.notification_rows(counts, as_ntz(EVENTS), p.notifications)
     return changes.append_rows(p.notifications, new).table
 
 
@@ -614,8 +622,7 @@ def purge_notifications(p):
 
 @query
 def append_comment_notifications(p):
-    fresh = p.comments.filter("parent_comment_id IS NULL")
-    new = notifications.comment_notification_rows(fresh)
+    new = notifications.comment_notification_rows(p.comments, p.comment_notifications)
     return changes.append_rows(p.comment_notifications, new).table
 
 
@@ -651,17 +658,16 @@ def parse_feed_documents(p):
     return hashed(rows, "item_title", "item_description").drop("item_image_url")
 
 
-POST_COLUMNS = ["document_id", "item_no", "feed_id", "channeltitle", "channelurl",
-                "channeldescription", "channellanguage", "itemtitle", "itemdescription",
-                "itemurl", "itempublished_at"]
+POST_COLUMNS = ["id", "document_id", "item_no", "feed_id", "channeltitle", "channelurl",
+                "channeldescription", "channellanguage", "itemtitle", "itemdescription", "itemcontent",
+                "itemurl", "img_url", "itempublished_at", "created_at", "updated_at"]
 
 
 @query
 def ingest_posts(p):
     done = ingest.ingest_posts(rendered_bodies(p), p.posts, as_ntz(EVENTS))
-    rows = outcomes(
-        accepted=done.changed.select(*POST_COLUMNS), duplicate=done.rejected.select(*POST_COLUMNS)
-    )
+    refused = done.rejected.select(*POST_COLUMNS, F.col("reason").alias("outcome"))
+    rows = outcomes(accepted=done.changed.select(*POST_COLUMNS)).unionByName(refused)
     # Duplicates are not sanitised, so their text stays out of the comparison.
     kept = F.col("outcome") == "accepted"
     return rows.withColumns(
@@ -719,7 +725,7 @@ def insert_feeds(p):
         "o_orderkey AS seq", "'https://feeds.example.com/' || (o_orderkey DIV 2) AS url",
         "o_custkey AS user_id",
     )
-    return _split(changes.insert_unique(p.feeds, batch, ["url"], ["seq"]), "seq", "url", "user_id")
+    return _split(changes.insert_unique(p.feeds, complete(batch, p.feeds, "feeds", as_ntz(EVENTS)), ["url"], ["seq"]), "id", "seq", "url", "user_id")
 
 
 @query
@@ -728,8 +734,12 @@ def insert_feeds_table(p):
         "o_orderkey AS seq", "'https://feeds.example.com/' || (o_orderkey DIV 2) AS url",
         "o_custkey AS user_id",
     )
+    batch = complete(batch, p.feeds, "feeds", as_ntz(EVENTS))
     done = changes.insert_unique(p.feeds, batch, ["url"], ["seq"])
-    return done.table.select("id", "url", "user_id", "approval_status")
+    return done.table.select(
+        "id", "url", "user_id", "version", "img_url", "feed_type", "feed_description", "is_hidden",
+        "approval_status", "priority", "created_at", "last_fetched_at",
+    )
 
 
 def _event_pairs(p, target):
@@ -741,27 +751,27 @@ def _event_pairs(p, target):
 @query
 def insert_feed_follows(p):
     done = changes.insert_unique(
-        p.feed_follows, _event_pairs(p, "feed_id"), ["user_id", "feed_id"], ["seq"]
+        p.feed_follows, complete(_event_pairs(p, "feed_id"), p.feed_follows, "feed_follows", as_ntz(EVENTS)), ["user_id", "feed_id"], ["seq"]
     )
-    return _split(done, "seq", "user_id", "feed_id")
+    return _split(done, "id", "seq", "user_id", "feed_id", "created_at")
 
 
 @query
 def new_follow_ids(p):
     done = changes.insert_unique(
-        p.feed_follows, _event_pairs(p, "feed_id"), ["user_id", "feed_id"], ["seq"]
+        p.feed_follows, complete(_event_pairs(p, "feed_id"), p.feed_follows, "feed_follows", as_ntz(EVENTS)), ["user_id", "feed_id"], ["seq"]
     )
     return done.changed.select(
-        stable_uuid(F.col("user_id"), F.col("feed_id")).alias("id"), "user_id", "feed_id"
+        "id", "user_id", "feed_id"
     )
 
 
 @query
 def insert_favorites(p):
     done = changes.insert_unique(
-        p.favorites, _event_pairs(p, "post_id"), ["user_id", "post_id"], ["seq"]
+        p.favorites, complete(_event_pairs(p, "post_id"), p.favorites, "favorites", as_ntz(EVENTS)), ["user_id", "post_id"], ["seq"]
     )
-    return _split(done, "seq", "user_id", "post_id")
+    return _split(done, "id", "seq", "user_id", "post_id", "created_at")
 
 
 @query
@@ -771,9 +781,9 @@ def insert_subscriptions(p):
         "'AUTH_' || (event_id DIV 3 + event_id % 2) AS authorization_code",
     )
     done = changes.insert_unique(
-        p.subscriptions, batch, ["transaction_id", "authorization_code"], ["seq"]
+        p.subscriptions, complete(batch, p.subscriptions, "subscriptions", as_ntz(EVENTS)), ["transaction_id", "authorization_code"], ["seq"]
     )
-    return _split(done, "seq", "transaction_id", "authorization_code")
+    return _split(done, "id", "seq", "transaction_id", "authorization_code", "currency", "start_date")
 
 
 @query
@@ -781,7 +791,7 @@ def insert_permissions(p):
     batch = p.raw("supplier").selectExpr(
         "s_suppkey AS seq", "'nation_' || (s_suppkey % 40) || ':read' AS code"
     )
-    return _split(changes.insert_unique(p.permissions, batch, ["code"], ["seq"]), "seq", "code")
+    return _split(changes.insert_unique(p.permissions, complete(batch, p.permissions, "permissions", as_ntz(EVENTS)), ["code"], ["seq"]), "id", "seq", "code")
 
 
 @query
@@ -790,7 +800,7 @@ def insert_plans(p):
     batch = p.raw("nation").join(regions, F.col("n_regionkey") == F.col("k")).selectExpr(
         "n_nationkey AS seq", "CASE WHEN n_nationkey % 2 = 0 THEN r_name ELSE n_name END AS name"
     )
-    return _split(changes.insert_unique(p.payment_plans, batch, ["name"], ["seq"]), "seq", "name")
+    return _split(changes.insert_unique(p.payment_plans, complete(batch, p.payment_plans, "payment_plans", as_ntz(EVENTS)), ["name"], ["seq"]), "id", "seq", "name", "duration", "status", "version")
 
 
 @query
@@ -800,8 +810,8 @@ def insert_users(p):
         "'CUSTOMER#' || lpad(CAST((s_suppkey DIV 2) * 40 AS STRING), 9, '0')"
         " || CASE WHEN s_suppkey % 2 = 0 THEN '@EXAMPLE.com' ELSE '@example.COM' END AS email",
     )
-    done = changes.insert_unique(p.users, batch, ["email"], ["seq"], ignore_case=True)
-    return _split(done, "seq", "email")
+    done = changes.insert_unique(p.users, complete(batch, p.users, "users", as_ntz(EVENTS)), ["email"], ["seq"], ignore_case=True)
+    return _split(done, "id", "seq", "email", "activated", "version", "created_at")
 
 
 @query
@@ -834,7 +844,7 @@ def append_challenges(p):
         "user_id", "id AS referenced_subscription_id", "'new-' || id AS reference",
         "'pending' AS status", "end_date AS created_at",
     )
-    return changes.append_rows(p.challenged_transactions, batch).table
+    return changes.append_rows(p.challenged_transactions, complete(batch, p.challenged_transactions, "challenged_transactions", as_ntz(ORDERS))).table
 
 
 @query
@@ -843,7 +853,7 @@ def append_failed_transactions(p):
         "user_id", "id AS subscription_id", "'new-' || id AS reference",
         "'Declined' AS failure_reason", "end_date AS attempt_date",
     )
-    return changes.append_rows(p.failed_transactions, batch).table
+    return changes.append_rows(p.failed_transactions, complete(batch, p.failed_transactions, "failed_transactions", as_ntz(ORDERS))).table
 
 
 @query
@@ -852,7 +862,7 @@ def append_announcements(p):
         "100 + CAST(n_nationkey AS BIGINT) AS id", "n_name AS title", "'hello' AS message",
         "n_nationkey % 2 = 0 AS is_active", "'low' AS urgency",
     )
-    return changes.append_rows(p.announcements, batch).table
+    return changes.append_rows(p.announcements, complete(batch, p.announcements, "announcements", as_ntz(EVENTS))).table
 
 
 @query
@@ -1119,19 +1129,24 @@ def formatted_timestamps(p):
 
 @query
 def parsed_timestamps(p):
-    """The same second written in seven layouts."""
-    at = "date_trunc('second', ts)"
-    layouts = {
-        "view": f"date_format({at}, \"yyyy-MM-dd'T'HH:mm:ss\") || 'Z'",
-        "click": f"date_format({at}, 'EEE, dd MMM yyyy HH:mm:ss') || ' +0000'",
-        "error": f"date_format({at}, 'd MMM yyyy HH:mm:ss') || ' GMT'",
-        "signup": f"date_format({at}, 'yyyy-MM-dd HH:mm:ss') || '+00:00'",
-    }
-    cases = " ".join(f"WHEN '{k}' THEN {v}" for k, v in layouts.items())
-    text = p.raw("events").selectExpr(
-        "event_id", f"CASE event_type {cases} ELSE 'in ' || CAST(value AS STRING) END AS shown"
-    )
-    return text.select("event_id", parse_any_timestamp(F.col("shown")).alias("seconds"))
+    """Moments written in 33 layouts: 20 to the second, 3 to the minute, 8 to the day, month, year."""
+    formats = [
+        "yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd'T'HH:mm:ss'+00:00'", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'", "yyyy-MM-dd'T'HH:mm:ss",
+        "EEE, dd MMM yyyy HH:mm:ss '+0000'", "EEE, dd MMM yyyy HH:mm:ss 'GMT'", "d MMM yyyy HH:mm:ss 'UTC'",
+        "EEEE, dd-MMM-yy HH:mm:ss 'UTC'", "EEE, dd MMM yy HH:mm:ss '+0000'", "EEE MMM d HH:mm:ss yyyy",
+        "EEE MMM d HH:mm:ss 'UTC' yyyy", "EEE MMM dd HH:mm:ss '+0000' yyyy", "yyyy-MM-dd HH:mm:ss'+00:00'",
+        "yyyy-MM-dd HH:mm:ss.SSS '+0000 UTC'", "yyyy-MM-dd HH:mm:ss", "yyyy/MM/dd HH:mm:ss", "M/d/yyyy HH:mm:ss",
+        "MMMM d, yyyy h:mm:ss a", "yyyyMMddHHmmss", "yyyy-MM-dd hh:mm:ss a",
+        "EEE, dd MMM yy HH:mm 'GMT'", "M/d/yy HH:mm", "d MMM yyyy, HH:mm",
+        "yyyy-MM-dd", "dd-MMM-yyyy", "yyyy.MM.dd", "yyyyMMdd", "MMM d, yyyy", "d MMMM yyyy", "M/d/yyyy", "yyyy-MMM-dd",
+        "yyyy-MM", "yyyy",
+    ]
+    # The second is cut first: a fraction in a layout is zero.
+    at = F.date_trunc("second", "ts")
+    shown = F.concat(F.lit("in "), F.col("value").cast("string"))
+    for k, layout in enumerate(formats):
+        shown = F.when(F.col("event_id") % (len(formats) + 1) == k, F.date_format(at, layout)).otherwise(shown)
+    return p.raw("events").select("event_id", parse_any_timestamp(shown).alias("seconds"))
 
 
 @query
@@ -1279,6 +1294,8 @@ def _replies(p):
         d["gateway_response"].alias("gateway_response"), d["message"].alias("message"),
         d["reference"].alias("reference"), d["id"].alias("transaction_id"),
         d["authorization_url"].alias("authorization_url"), d["channel"].alias("channel"),
+        d["authorization"]["last4"].alias("card_last4"), d["authorization"]["exp_month"].alias("card_exp_month"),
+        d["authorization"]["exp_year"].alias("card_exp_year"), d["authorization"]["card_type"].alias("card_type"),
     )
 
 
@@ -1300,12 +1317,15 @@ def renewal_routes(p):
 def renewal_actions(p):
     due, replies = _renewals(p)
     done = subscriptions.renewal_actions(due, replies, p.payment_plans, p.subscriptions, as_ntz(ORDERS))
-    count = lambda name, df: df.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).select(
-        F.lit(name).alias("part"), "user_id", "n")
+    columns = ["user_id", "subscription_id", "reference", "status", "card_last4"]
+    shown = lambda name, df, *cols: df.select(
+        F.lit(name).alias("part"), *[F.expr(c).cast("string").alias(n) for c, n in zip(cols, columns, strict=True)])
     parts = [
-        count("challenged", done.challenged), count("renewed", done.renewed),
-        count("failed", done.failed),
-        count("marked", done.subscriptions.table.filter("status = 'renewed'")),
+        shown("challenged", done.challenged, "user_id", "referenced_subscription_id", "reference", "status", "NULL"),
+        shown("renewed", done.renewed, "user_id", "NULL", "transaction_id", "status", "card_last4"),
+        shown("failed", done.failed, "user_id", "subscription_id", "reference", "failure_reason", "NULL"),
+        shown("rejected", done.rejected, "user_id", "subscription_id", "reference", "NULL", "NULL"),
+        shown("marked", done.subscriptions.changed, "user_id", "id", "NULL", "status", "NULL"),
     ]
     return reduce(DataFrame.unionByName, parts)
 
@@ -1365,9 +1385,8 @@ def stream_post_ingest(p):
     )
     path, checkpoint = _stream(p.spark, "ingest")
     jobs.run_post_ingest(stream, p.posts, path, checkpoint).awaitTermination()
-    return read_batches(p.spark, path, "itemurl string").groupBy("itemurl").agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    return read_batches(p.spark, path, "id bigint, itemurl string, created_at timestamp").groupBy(
+        "id", "itemurl", "created_at").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
