@@ -27,6 +27,7 @@ SHINGLE = 5
 BANDS, ROWS = 32, 6  # a pair of similarity 0.8 shares no band once in 17,000 times
 SIZE = BANDS * ROWS
 CHUNK = 200_000  # shingles signed at once
+FEW, BLOCK = 32, 1024  # texts of a bucket whose pairs are joined; texts of a larger one on one side of a comparison
 #: Five standard deviations of the estimate below 0.8: sparser candidates can't be links.
 SURELY_LESS = 0.65
 
@@ -139,7 +140,7 @@ def _signed(keys: pa.RecordBatch, parts: list) -> pa.RecordBatch:
     signature = sign(doc, np.concatenate([s for s, _ in parts]), np.concatenate([c for _, c in parts]), len(parts))
     bands = pa.ListArray.from_arrays(
         pa.array(np.arange(len(parts) + 1, dtype=np.int32) * BANDS), pa.array(band_hashes(signature).astype(np.int64).ravel()))
-    short = [row.tobytes() for row in signature.astype(np.uint16)]
+    short = [row.tobytes() for row in signature.astype(np.uint16)]  # of texts without words: never read
     return pa.RecordBatch.from_arrays(
         [*keys.columns, bands, pa.array(short, pa.binary())], names=["doc_id", "node", "bands", "signature"])
 
@@ -173,6 +174,25 @@ def _with_sides(pairs: DataFrame, values: DataFrame, column: str) -> DataFrame:
     return pairs.join(left, "u").join(right, "v").select("u", "v", "x", "y")
 
 
+def _compare_block(key: tuple, group: pa.Table) -> pa.Table:
+    """Likely links of one block of a bucket, or between two of its blocks, that join components."""
+    lo, hi = key[1].as_py(), key[2].as_py()
+    signature = np.stack([np.frombuffer(x, dtype=np.uint16) for x in group.column("signature").to_pylist()])
+    home = np.unique(np.array(group.column("home").to_pylist(), dtype=object), return_inverse=True)[1]
+    left_over = group.column("left_over").to_numpy(zero_copy_only=False)
+    block = group.column("block").to_numpy()
+    nodes = group.column("node").to_pylist()
+    left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+    us, vs = [], []
+    for i in left.tolist():
+        others = right if left_over[i] else right[left_over[right]]
+        others = others[(home[others] != home[i]) & ((others > i) | (lo != hi))]
+        near = others[(signature[others] == signature[i]).mean(1) >= SURELY_LESS]
+        us += [max(nodes[i], nodes[j]) for j in near.tolist()]
+        vs += [min(nodes[i], nodes[j]) for j in near.tolist()]
+    return pa.table({"u": pa.array(us, pa.binary()), "v": pa.array(vs, pa.binary())})
+
+
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """Pairs whose ends are in different components so far."""
     left = roots.select(F.col("node").alias("u"), F.col("root").alias("ru"))
@@ -190,15 +210,17 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
 
     Candidates are linear in the rows: in each bucket every text is compared with the bucket's
     first. Texts that join the first one's component are done with; each other one is compared with
-    the whole bucket, so no pair that shares a band is lost. The best candidate of each text is
+    the whole bucket, by signatures and in blocks, so no pair that shares a band is lost and only
+    likely links come out. The best candidate of each text is
     verified first, and candidates that meanwhile are in one component aren't verified at all.
     """
     words = plain_words()
-    worded = docs.select("doc_id", word_node(words).alias("node"), words.alias("words")).filter("node IS NOT NULL")
+    worded = docs.select("doc_id", word_node(words).alias("node"), words.alias("words"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
     signed = staged(worded.mapInArrow(
         _sign_batches, f"doc_id {id_type}, node binary, bands array<long>, signature binary"), "signatures")
-    rows = signed.select("node", F.explode("bands").alias("bucket")).distinct()
+    known = signed.filter("node IS NOT NULL")
+    rows = known.select("node", F.explode("bands").alias("bucket")).distinct()
     buckets = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("first")).filter("n > 1")
     members = staged(rows.join(buckets, "bucket").select("bucket", "node", "n", "first"), "members")
     stars = staged(
@@ -209,7 +231,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     # Multisets of the texts that have a candidate, each made once, whatever the number of its copies.
     wanted = members.select("node").distinct()
     one_each = (
-        signed.select("doc_id", "node").join(wanted, "node", "left_semi").groupBy("node")
+        known.select("doc_id", "node").join(wanted, "node", "left_semi").groupBy("node")
         .agg(F.min("doc_id").alias("one")).withColumnRenamed("node", "of"))
     items = staged(
         worded.join(one_each, F.col("doc_id").eqNullSafe(F.col("one")) & (F.col("node") == F.col("of")), "left_semi")
@@ -234,22 +256,33 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
         members.filter("n > 2").join(roots, "node", "left").select("bucket", "node", "first", home)
         .join(named, "first", "left").select("bucket", "node", "first", "home", F.coalesce("first_root", "first").alias("first_home"))
     )
-    placed = staged(placed, "placed")
-    left = placed.filter("home != first_home").select("bucket", F.col("node").alias("a"), F.col("home").alias("a_home"))
-    rest = (
-        left.join(placed.filter("node != first"), "bucket").filter("a_home != home")
+    placed = placed.withColumn("left_over", F.col("home") != F.col("first_home"))
+    over = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.count_if("left_over").alias("left"))
+    placed = staged(
+        placed.join(over.filter("left > 0"), "bucket").select("bucket", "node", "home", "left_over", "n"), "placed")
+    signatures = staged(
+        known.join(placed.select("node").distinct(), "node", "left_semi").select("node", "signature")
+        .dropDuplicates(["node"]), "left-signatures")
+    # In small buckets the pairs are few; in large ones blocks are compared and likely links alone come out.
+    few, many = placed.filter(F.col("n") <= FEW), placed.filter(F.col("n") > FEW)
+    pairs = (
+        few.filter("left_over").select("bucket", F.col("node").alias("a"), F.col("home").alias("a_home"))
+        .join(few, "bucket").filter("a_home != home")
         .select(F.greatest("a", "node").alias("u"), F.least("a", "node").alias("v")).distinct()
     )
-    rest = staged(rest, "rest")
-    ends = rest.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    signatures = signed.join(ends, "node", "left_semi").select("node", "signature").dropDuplicates(["node"])
-    likely = _with_sides(rest, signatures, "signature").mapInArrow(_similar(np.uint16, SURELY_LESS), "u binary, v binary")
-    roots = joined(roots, links(likely))
-
-    rows = signed.select("doc_id", "node").join(roots, "node", "left")
-    alone = docs.select("doc_id", word_node(words).alias("node"), F.lit(None).cast("binary").alias("root"))
-    return rows.select("doc_id", "node", F.coalesce("root", "node").alias("root")).unionByName(
-        alone.filter("node IS NULL"))
+    likely = _with_sides(pairs, signatures, "signature").mapInArrow(_similar(np.uint16, SURELY_LESS), "u binary, v binary")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    met = (
+        many.join(signatures, "node").withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        .withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
+        .select("bucket", "lo", "hi", "block", "node", "home", "left_over", "signature")
+        .groupBy("bucket", "lo", "hi").applyInArrow(_compare_block, "u binary, v binary")
+    )
+    roots = joined(roots, links(staged(likely.unionByName(met).distinct(), "likely")))
+
+    found = signed.select("doc_id", "node").join(roots, "node", "left")
+    return found.select("doc_id", "node", F.when(F.col("node").isNotNull(), F.coalesce("root", "node")).alias("root"))
 
 
 def duplicate_classes(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
