@@ -8,10 +8,12 @@ import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
 from check import compare
+from workloads.oracle import oracle_queries
+from workloads.queries import QUERIES
 
 from conftest import SF
 
-QUERIES, SQL = queries(), oracle_sql()
+SQL = oracle_queries()
 # Not expressible in SQL; covered by test_html.py.
 ROWS_ONLY = {"sanitized_pages"}
 # Streams have their own plans; running them is checked in the comparison.
@@ -35,6 +37,7 @@ def test_matches_sql(spark, con, name):
 def test_every_query_has_sql():
     assert set(QUERIES) - set(SQL) == ROWS_ONLY
     assert set(SQL) <= set(QUERIES)
+    assert set(QUERIES) <= set(queries()) and set(SQL) <= set(oracle_sql()) <= set(queries())
 
 
 def test_entry(spark):
