@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from feedspan.functions.text import token_match
 from feedspan.functions.timestamps import interval_seconds
-from feedspan.operators.summaries import count_where, most_common, one_row
-from feedspan.operators.paging import count_of, page_of
+from feedspan.operators.paging import check_page, count_of, page_of, top_per_key
+from feedspan.operators.summaries import count_where, most_common, numbered_facet, one_row
 
 # Label of a user without permissions, and the free-plan quotas.
 NO_PERMISSIONS = "normal user"
@@ -259,25 +259,24 @@ def unread_announcements(
     )
 
 
-def unread_inbox(users: DataFrame, announcements: DataFrame, reads: DataFrame) -> DataFrame:
-    """Every user's unread active announcements as one array per user.
+def unread_inbox(
+    asked: DataFrame, announcements: DataFrame, reads: DataFrame, page_size: int = 20
+) -> DataFrame:
+    """First page of unread active announcements of each asked user (column `user_id`), in id order.
 
-    Readers are reduced to their distinct active announcements; users are never paired
-    with announcements row by row. Users who read nothing get the whole active list, so
-    the list is part of result rows and has to fit one in any case.
+    Who has read s active announcements finds a page of n unread ones among the first s + n, so
+    only those pairs are made: together as many as there are reads and page rows.
     """
+    limit, _ = check_page(1, page_size)
     active = announcements.filter("is_active").select(F.col("id").alias("announcement_id"))
-    everything = active.agg(F.array_sort(F.collect_set("announcement_id")).alias("a")).scalar()
-    seen = (
-        reads.select("user_id", "announcement_id")
-        .join(active, "announcement_id", "left_semi")
-        .groupBy("user_id")
-        .agg(F.collect_set("announcement_id").alias("__seen"))
-    )
-    unread = F.array_except(everything, F.coalesce("__seen", F.array().cast("array<bigint>")))
-    return users.select(F.col("id").alias("user_id")).join(seen, "user_id", "left").select(
-        "user_id", unread.alias("unread_ids")
-    )
+    ranked = numbered_facet(active, "announcement_id", "__rank")
+    seen = reads.select("user_id", "announcement_id").distinct().join(active, "announcement_id", "left_semi")
+    read = seen.groupBy("user_id").agg(F.count(F.lit(1)).alias("__read"))
+    reach = asked.select("user_id").distinct().join(read, "user_id", "left").select(
+        "user_id", F.explode(F.sequence(F.lit(1).cast("bigint"), F.coalesce("__read", F.lit(0)) + limit)).alias("__rank"))
+    unread = reach.join(ranked, "__rank").join(seen, ["user_id", "announcement_id"], "left_anti")
+    return top_per_key(
+        unread.select("user_id", "announcement_id"), ["user_id"], [F.asc("announcement_id")], limit, rank="row_num")
 
 
 def announcement_list(announcements: DataFrame, page: int = 1, page_size: int = 20) -> DataFrame:

@@ -507,19 +507,18 @@ SQL["scraper_error_board_filtered"] = (
 )
 SQL["unread_announcements"] = """
     SELECT a.* FROM announcements a LEFT JOIN announcement_reads r
-      ON a.id = r.announcement_id AND r.user_id = 7 AND r.read_at < TIMESTAMP '2024-01-12'
+      ON a.id = r.announcement_id AND r.user_id = 7
     WHERE a.is_active AND r.id IS NULL"""
 SQL["unread_unexpired_announcements"] = f"""
     SELECT a.* FROM announcements a LEFT JOIN announcement_reads r
-      ON a.id = r.announcement_id AND r.user_id = 7 AND r.read_at < TIMESTAMP '2024-01-12'
+      ON a.id = r.announcement_id AND r.user_id = 7
     WHERE a.is_active AND a.expires_at > {EVENTS} AND r.id IS NULL"""
 SQL["unread_inbox"] = """
-    SELECT u.id AS user_id, coalesce(x.ids, '') AS unread_ids FROM users u LEFT JOIN (
-      SELECT v.id, string_agg(CAST(a.id AS VARCHAR), ',' ORDER BY a.id) AS ids
+    SELECT user_id, announcement_id, row_num FROM (
+      SELECT v.id AS user_id, a.id AS announcement_id, row_number() OVER (PARTITION BY v.id ORDER BY a.id) AS row_num
       FROM users v JOIN announcements a ON a.is_active
-      LEFT JOIN (SELECT DISTINCT user_id, announcement_id FROM announcement_reads) r
-        ON r.announcement_id = a.id AND r.user_id = v.id
-      WHERE r.user_id IS NULL GROUP BY 1) x ON x.id = u.id"""
+      WHERE NOT EXISTS (SELECT 1 FROM announcement_reads r WHERE r.announcement_id = a.id AND r.user_id = v.id))
+    WHERE row_num <= 20"""
 SQL["announcement_list"] = """
     SELECT *, count(*) OVER () AS total_records FROM announcements ORDER BY created_at DESC, id LIMIT 20"""
 SQL["usage_quota"] = f"""
@@ -1074,6 +1073,29 @@ SQL["validate_paging"] = """
     UNION ALL SELECT event_id, 'page_size', CASE WHEN event_id % 150 = 0 THEN 'must be greater than zero'
            ELSE 'must be a maximum of 100' END FROM events WHERE event_id % 150 = 0 OR event_id % 150 > 100
     UNION ALL SELECT event_id, 'sort', 'invalid sort value' FROM events WHERE event_type = 'view'"""
+def _event_errors(*wrong: tuple[str, str, str]) -> str:
+    """Rows (kind of event or condition, field, message)."""
+    return " UNION ALL ".join(
+        f"SELECT event_id AS id, '{field}' AS field, '{message}' AS message FROM events WHERE "
+        + (kind if " " in kind else f"event_type = '{kind}'")
+        for kind, field, message in wrong
+    )
+
+
+_MISSING, _NO_UUID = "must be provided", "must be a valid UUID"
+SQL["validate_follows"] = _event_errors(("view", "feed id", _MISSING), ("click", "feed id", _NO_UUID))
+SQL["validate_favorites"] = _event_errors(("view", "feed id", _NO_UUID), ("click", "feed id", _NO_UUID))
+SQL["validate_comment_updates"] = _event_errors(
+    ("view", "comment id", _NO_UUID), ("click", "comment_text", _MISSING), ("purchase", "version", "must be valid and provided"))
+SQL["validate_subscription_statuses"] = _event_errors(
+    ("view", "id", _NO_UUID), ("click", "status", _MISSING), ("purchase", "status", "must be a valid status"))
+SQL["validate_charges"] = _event_errors(("view", "amount", "must be varied"), ("click", "plan_id", _MISSING))
+SQL["validate_verifications"] = _event_errors(("view", "reference", "must be varied"), ("click", "plan_id", _MISSING))
+SQL["validate_announcement_reads"] = _event_errors(("event_id % 5 = 0", "announcement_id", _MISSING))
+SQL["validate_grants"] = _event_errors(
+    ("view", "permissions", _MISSING), ("click", "permissions", _MISSING), ("purchase", "user_id", _MISSING))
+SQL["validate_revokes"] = _event_errors(("view", "codes", _MISSING), ("click", "user_id", _MISSING))
+SQL["validate_error_notes"] = _event_errors(("view", "resolution_notes", _MISSING), ("click", "resolution_notes", _MISSING))
 SQL["validate_statuses"] = """
     SELECT id, 'ID' AS field, 'must be valid or provided' AS message
     FROM challenged_transactions WHERE id = 0

@@ -379,25 +379,21 @@ def scraper_error_board_filtered(p):
     )
 
 
-def _early_reads(p):
-    return p.announcement_reads.filter("read_at < TIMESTAMP_NTZ'2024-01-12 00:00:00'")
-
-
 @query
 def unread_announcements(p):
-    return moderation.unread_announcements(p.announcements, _early_reads(p), 7)
+    return moderation.unread_announcements(p.announcements, p.announcement_reads, 7)
 
 
 @query
 def unread_unexpired_announcements(p):
     return moderation.unread_announcements(
-        p.announcements, _early_reads(p), 7, as_ntz(EVENTS)
+        p.announcements, p.announcement_reads, 7, as_ntz(EVENTS)
     )
 
 
 @query
 def unread_inbox(p):
-    return moderation.unread_inbox(p.users, p.announcements, p.announcement_reads)
+    return moderation.unread_inbox(p.users.select(F.col("id").alias("user_id")), p.announcements, p.announcement_reads)
 
 
 @query
@@ -1249,6 +1245,78 @@ def validate_statuses(p):
     return _errors(rows, "id", checks.challenge_rules())
 
 
+_UUID = "regexp_replace(md5(CAST(event_id AS STRING)), '^(.{8})(.{4})(.{4})(.{4})(.{12})$', '$1-$2-$3-$4-$5')"
+
+
+def _event_errors(p, rules, **columns):
+    """Rule errors of rows made from events; the kind of event decides what is wrong with a row."""
+    rows = p.raw("events").selectExpr("event_id AS id", *[f"{e} AS {name}" for name, e in columns.items()])
+    return _errors(rows, "id", rules)
+
+
+def _by_kind(default, **kinds):
+    return "CASE event_type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in kinds.items()) + f" ELSE {default} END"
+
+
+@query
+def validate_follows(p):
+    return _event_errors(
+        p, checks.feed_follow_rules(), feed_id=_by_kind(_UUID, view=f"'{checks.NIL_UUID}'", click="'x'"))
+
+
+@query
+def validate_favorites(p):
+    return _event_errors(
+        p, checks.favorite_rules(), post_id=_by_kind(_UUID, view="'x'"), feed_id=_by_kind(_UUID, click="'y'"))
+
+
+@query
+def validate_comment_updates(p):
+    return _event_errors(
+        p, checks.comment_update_rules("comment"), comment=_by_kind(_UUID, view="'x'"),
+        comment_text=_by_kind("'text'", click="''"), version=_by_kind("1", purchase="0"))
+
+
+@query
+def validate_subscription_statuses(p):
+    return _event_errors(
+        p, checks.subscription_status_rules("subscription"), subscription=_by_kind(_UUID, view="'x'"),
+        status=_by_kind("'cancelled'", click="''", purchase="'active'"))
+
+
+@query
+def validate_charges(p):
+    return _event_errors(p, checks.charge_rules(), amount=_by_kind("5", view="0"), plan_id=_by_kind("1", click="0"))
+
+
+@query
+def validate_verifications(p):
+    return _event_errors(
+        p, checks.verification_rules(), reference=_by_kind("'r'", view="''"), plan_id=_by_kind("1", click="0"))
+
+
+@query
+def validate_announcement_reads(p):
+    return _event_errors(p, checks.announcement_read_rules(), announcement_id="event_id % 5")
+
+
+@query
+def validate_grants(p):
+    return _event_errors(
+        p, checks.grant_rules(), codes=_by_kind("array('a:b')", view="NULL", click="array()"),
+        user_id=_by_kind("1", purchase="0"))
+
+
+@query
+def validate_revokes(p):
+    return _event_errors(p, checks.revoke_rules(), code=_by_kind("'a:b'", view="''"), user_id=_by_kind("1", click="0"))
+
+
+@query
+def validate_error_notes(p):
+    return _event_errors(p, checks.error_log_rules(), resolution_notes=_by_kind("'done'", view="NULL", click="''"))
+
+
 @query
 def valid_page_urls(p):
     rows = p.raw("pages").selectExpr(
