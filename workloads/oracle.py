@@ -507,11 +507,11 @@ SQL["scraper_error_board_filtered"] = (
 )
 SQL["unread_announcements"] = """
     SELECT a.* FROM announcements a LEFT JOIN announcement_reads r
-      ON a.id = r.announcement_id AND r.user_id = 7
+      ON a.id = r.announcement_id AND r.user_id = 15
     WHERE a.is_active AND r.id IS NULL"""
 SQL["unread_unexpired_announcements"] = f"""
     SELECT a.* FROM announcements a LEFT JOIN announcement_reads r
-      ON a.id = r.announcement_id AND r.user_id = 7
+      ON a.id = r.announcement_id AND r.user_id = 15
     WHERE a.is_active AND a.expires_at > {EVENTS} AND r.id IS NULL"""
 SQL["unread_inbox"] = """
     SELECT user_id, announcement_id, row_num FROM (

@@ -381,13 +381,13 @@ def scraper_error_board_filtered(p):
 
 @query
 def unread_announcements(p):
-    return moderation.unread_announcements(p.announcements, p.announcement_reads, 7)
+    return moderation.unread_announcements(p.announcements, p.announcement_reads, 15)
 
 
 @query
 def unread_unexpired_announcements(p):
     return moderation.unread_announcements(
-        p.announcements, p.announcement_reads, 7, as_ntz(EVENTS)
+        p.announcements, p.announcement_reads, 15, as_ntz(EVENTS)
     )
 
 
