@@ -8,10 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from feedspan.sources.storage import staged
+
 
 @dataclass(frozen=True)
 class Change:
@@ -285,46 +288,79 @@ CASCADES: dict[str, list[tuple[str, str, str]]] = {
 }
 
 
+# parent table -> [(child table, child column, parent column)]: what loses its reference when a row goes.
+SET_NULL: dict[str, list[tuple[str, str, str]]] = {
+    "users": [("feed_rejections", "rejected_by", "id")],
+    "payment_plans": [("subscriptions", "plan_id", "id")],
+}
+
+
+def _flag(table: DataFrame, keys: Mapping[str, DataFrame], flag: str) -> DataFrame:
+    """The table with a flag for rows whose value of any column is among that column's keys.
+
+    Keys are distinct and come straight from a written table, so a join shuffles plain scans and
+    AQE can split a hot parent.
+    """
+    hit = F.lit(False)
+    for i, (column, wanted) in enumerate(keys.items()):
+        table = table.join(
+            wanted.toDF(f"__d{i}").withColumn(f"__h{i}", F.lit(True)), F.col(column) == F.col(f"__d{i}"), "left")
+        hit = hit | F.coalesce(F.col(f"__h{i}"), F.lit(False))
+    spare = [f"__{x}{i}" for x in "dh" for i in range(len(keys))]
+    return table.withColumn(flag, hit).drop(*spare)
+
+
 def cascade_delete(
     tables: Mapping[str, DataFrame], root: str, doomed: DataFrame, key: str = "id"
 ) -> dict[str, Change]:
-    """Delete root rows and everything that depends on them.
+    """Delete root rows and everything that depends on them; references that may be NULL become so.
 
-    Walks the fixed foreign-key graph parents first. A child row goes when any of its
-    parents goes; each deleted set is only the child's key, read once per edge.
+    Walks the fixed foreign-key graph parents first. A child row goes when any of its parents
+    goes. The keys deleted at one level are written once and read by every child, and each table
+    is flagged in one pass, so no deleted set is derived twice.
     """
-    lost: dict[str, dict[str, list[DataFrame]]] = {root: {key: [doomed.select(key)]}}
+    asked = staged(doomed.select(key).distinct(), "deleted-keys")
+    lost: dict[str, dict[str, list[DataFrame]]] = {root: {key: [asked]}}
+    cleared: dict[str, dict[str, list[DataFrame]]] = {}
     order, seen = [], set()
 
     def visit(name: str) -> None:
         if name in seen:
             return
         seen.add(name)
-        for child, _, _ in CASCADES.get(name, []):
+        for child, _, _ in [*CASCADES.get(name, []), *SET_NULL.get(name, [])]:
             if child in tables:
                 visit(child)
         order.append(name)
 
+    def merged(columns: Mapping[str, list[DataFrame]]) -> dict[str, DataFrame]:
+        """One written list of distinct keys per column; several parents' lists become one."""
+        return {
+            c: frames[0] if len(frames) == 1 else staged(reduce(DataFrame.union, frames).distinct(), "deleted-keys")
+            for c, frames in columns.items()
+        }
+
     visit(root)
     results: dict[str, Change] = {}
     for name in reversed(order):
         table = tables[name]
-        gone, kept = None, table
-        for column, frames in lost.get(name, {}).items():
-            keys = frames[0]
-            for other in frames[1:]:
-                keys = keys.union(other)
-            # Not made distinct: a plain shuffle on both sides lets AQE split a hot parent.
-            asked = keys.toDF("__d")
-            part = kept.join(asked, F.col(column) == F.col("__d"), "left_semi")
-            kept = kept.join(asked, F.col(column) == F.col("__d"), "left_anti")
-            gone = part if gone is None else gone.unionByName(part)
-        if gone is None:
+        if name not in lost and name not in cleared:
             continue
-        results[name] = Change(kept, gone, table.limit(0))
-        for child, child_column, parent_column in CASCADES.get(name, []):
-            if child in tables:
-                lost.setdefault(child, {}).setdefault(child_column, []).append(
-                    gone.select(parent_column)
-                )
+        flagged = _flag(_flag(table, merged(lost.get(name, {})), "__gone"), merged(cleared.get(name, {})), "__cleared")
+        columns = [
+            F.when(F.col("__cleared"), None).otherwise(F.col(c)).alias(c) if c in cleared.get(name, {}) else F.col(c)
+            for c in table.columns
+        ]
+        touched = F.col("__gone") | F.col("__cleared")
+        results[name] = Change(
+            flagged.filter(~F.col("__gone")).select(*columns), flagged.filter(touched).select(*table.columns), table.limit(0))
+        below = [
+            (into, *edge) for edges, into in ((CASCADES, lost), (SET_NULL, cleared))
+            for edge in edges.get(name, []) if edge[0] in tables
+        ]
+        deleted = {
+            c: staged(flagged.filter("__gone").select(c).distinct(), "deleted-keys") for c in {edge[3] for edge in below}
+        }
+        for into, child, child_column, parent_column in below:
+            into.setdefault(child, {}).setdefault(child_column, []).append(deleted[parent_column])
     return results

@@ -20,7 +20,7 @@ from feedspan.plans.ingest import (
     post_rows,
     scrape_error_upsert,
 )
-from feedspan.sources.storage import read_batches, write_batch
+from feedspan.sources.storage import read_batches, staged, write_batch
 
 POST_TEXT = [
     "channeltitle", "channeldescription", "channellanguage",
@@ -108,8 +108,9 @@ def run_post_ingest(
     known = posts.select("itemurl")
 
     def insert(batch: DataFrame, batch_id: int) -> None:
-        # The search for duplicates reads the batch several times; it is parsed once.
-        batch.persist()
+        # The search for duplicates reads the batch several times; it is parsed once, into the
+        # shared folder, so a lost executor costs a re-read.
+        batch = staged(batch, "ingest-batch")
         fresh = insert_unique(known, batch, ["itemurl"], ["document_id", "item_no"]).changed
         if batch_id > 0:
             earlier = read_batches(spark, path, schema, before=batch_id).select("itemurl")
@@ -118,7 +119,6 @@ def run_post_ingest(
         clean = fresh.withColumn("__s", sanitize_fields({c: F.col(c) for c in POST_TEXT}, strict))
         clean = clean.withColumns({c: F.col(f"__s.{c}") for c in POST_TEXT}).drop("__s")
         write_batch(clean, path, batch_id)
-        batch.unpersist()
 
     return (
         rows.writeStream.option("checkpointLocation", checkpoint)

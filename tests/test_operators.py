@@ -204,6 +204,18 @@ def test_cascade_delete_walks_the_graph(spark):
                     "comment_notifications": [1, 3], "favorites": [1, 2]}
 
 
+def test_cascade_clears_references_that_may_be_null(spark):
+    make = spark.createDataFrame
+    tables = {
+        "users": make([(1,), (2,)], "id int"),
+        "feeds": make([(10, 1), (20, 2)], "id int, user_id int"),
+        "feed_rejections": make([(10, 2), (20, 1), (20, 2)], "feed_id int, rejected_by int"),
+    }
+    done = changes.cascade_delete(tables, "users", make([(1,)], "id int"))
+    assert rows(done["feed_rejections"].table) == [(20, 2), (20, None)]
+    assert rows(done["feeds"].table) == [(20, 2)] and done["feed_rejections"].changed.count() == 2
+
+
 # Plans: edge rows
 
 
