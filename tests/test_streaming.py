@@ -61,7 +61,7 @@ def test_ingest_is_exact_across_restarts_and_replays(spark, tmp_path):
     assert run() == [("https://ada.example/1?a=1&b=2",)]
     feed(1, RSS)
     feed(2, ATOM.replace("atom.example/1", "atom.example/new"))
-    want = [("https://atom.example/new",), ("https://ada.example/1?a=1&b=2",)]
+    want = [("https://ada.example/1?a=1&b=2",), ("https://atom.example/new",)]
     assert run() == want
     assert run() == want
     # Replaying a batch overwrites its own folder.
