@@ -27,9 +27,10 @@ SHINGLE = 5
 BANDS, ROWS = 32, 6  # a pair of similarity 0.8 shares no band once in 17,000 times
 SIZE = BANDS * ROWS
 CHUNK = 200_000  # shingles signed at once
-FEW, BLOCK = 32, 1024  # texts of a bucket whose pairs are joined; texts of a larger one on one side of a comparison
-#: Five standard deviations of the estimate below 0.8: sparser candidates can't be links.
-SURELY_LESS = 0.65
+FEW, BLOCK = 32, 256  # texts of a bucket whose pairs are joined; texts of a larger one on one side of a comparison
+#: Three and a half standard deviations of the estimate below 0.8: a pair at 0.8 is less likely once in 4,300
+#: times, more similar ones far more rarely, and a text has other pairs to be joined by.
+SURELY_LESS = 0.7
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -151,22 +152,26 @@ def _itemise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], names=["node", "items"])
 
 
-def _similar(kind: type, least: float) -> Callable:
-    """Rows (u, v, x, y) whose x and y are similar: multisets by overlap, signatures by agreement."""
+def _overlapping(least: float) -> Callable:
+    """Pairs (u, v) of rows (u, v, x, y) whose multisets x and y overlap enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pairs = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
-            arrays = ((np.frombuffer(x, dtype=kind), np.frombuffer(y, dtype=kind)) for x, y in pairs)
-            if kind is np.uint64:
-                keep = [overlap(x, y) >= least for x, y in arrays]
-            else:
-                keep = [(x == y).mean() >= least for x, y in arrays]
+            keep = [overlap(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= least for x, y in pairs]
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
+def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (u, v) of rows (u, v, x, y) whose signatures agree enough."""
+    for batch in batches:
+        pairs = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
+        keep = [(np.frombuffer(x, np.uint16) == np.frombuffer(y, np.uint16)).mean() >= SURELY_LESS for x, y in pairs]
+        yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+
 def _with_sides(pairs: DataFrame, values: DataFrame, column: str) -> DataFrame:
     """pairs (u, v) with the values of both ends."""
     left = values.select(F.col("node").alias("u"), F.col(column).alias("x"))
@@ -174,23 +179,45 @@ def _with_sides(pairs: DataFrame, values: DataFrame, column: str) -> DataFrame:
     return pairs.join(left, "u").join(right, "v").select("u", "v", "x", "y")
 
 
-def _compare_block(key: tuple, group: pa.Table) -> pa.Table:
-    """Likely links of one block of a bucket, or between two of its blocks, that join components."""
-    lo, hi = key[1].as_py(), key[2].as_py()
-    signature = np.stack([np.frombuffer(x, dtype=np.uint16) for x in group.column("signature").to_pylist()])
-    home = np.unique(np.array(group.column("home").to_pylist(), dtype=object), return_inverse=True)[1]
-    left_over = group.column("left_over").to_numpy(zero_copy_only=False)
-    block = group.column("block").to_numpy()
-    nodes = group.column("node").to_pylist()
-    left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
-    us, vs = [], []
-    for i in left.tolist():
-        others = right if left_over[i] else right[left_over[right]]
-        others = others[(home[others] != home[i]) & ((others > i) | (lo != hi))]
-        near = others[(signature[others] == signature[i]).mean(1) >= SURELY_LESS]
-        us += [max(nodes[i], nodes[j]) for j in near.tolist()]
-        vs += [min(nodes[i], nodes[j]) for j in near.tolist()]
-    return pa.table({"u": pa.array(us, pa.binary()), "v": pa.array(vs, pa.binary())})
+def _compare_block(least: float) -> Callable:
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        """Links that join components, of one block of a bucket or between two of its blocks.
+
+        A pair is verified in the first bucket that its texts share, likeliest pairs of a text first,
+        unless its components are joined here already.
+        """
+        bucket, lo, hi = (k.as_py() for k in key)
+        signature = np.stack([np.frombuffer(x, dtype=np.uint16) for x in group.column("signature").to_pylist()])
+        bands = np.array(group.column("bands").to_pylist(), dtype=np.int64)
+        items = [np.frombuffer(x, dtype=np.uint64) for x in group.column("items").to_pylist()]
+        home = np.unique(np.array(group.column("home").to_pylist(), dtype=object), return_inverse=True)[1]
+        left_over = group.column("left_over").to_numpy(zero_copy_only=False)
+        block = group.column("block").to_numpy()
+        nodes = group.column("node").to_pylist()
+        left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+        parent = list(range(int(home.max()) + 1))
+
+        def find(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        us, vs = [], []
+        for i in left.tolist():
+            others = right if left_over[i] else right[left_over[right]]
+            others = others[(home[others] != home[i]) & ((others > i) | (lo != hi))]
+            equal = (signature[others] == signature[i]).sum(1)
+            likely = np.flatnonzero(equal >= SURELY_LESS * SIZE)
+            for j in others[likely[np.argsort(-equal[likely], kind="stable")]].tolist():
+                x, y = find(int(home[i])), find(int(home[j]))
+                if x != y and bands[i][np.argmax(bands[i] == bands[j])] == bucket and overlap(items[i], items[j]) >= least:
+                    parent[max(x, y)] = min(x, y)
+                    us.append(nodes[i])
+                    vs.append(nodes[j])
+        return pa.table({"u": pa.array(us, pa.binary()), "v": pa.array(vs, pa.binary())})
+
+    return run
 
 
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -210,8 +237,8 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
 
     Candidates are linear in the rows: in each bucket every text is compared with the bucket's
     first. Texts that join the first one's component are done with; each other one is compared with
-    the whole bucket, by signatures and in blocks, so no pair that shares a band is lost and only
-    likely links come out. The best candidate of each text is
+    the whole bucket, in blocks, by signatures and then by multisets, so no pair that shares a band is lost and
+    only links come out. The best candidate of each text is
     verified first, and candidates that meanwhile are in one component aren't verified at all.
     """
     words = plain_words()
@@ -239,7 +266,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
 
     def links(pairs: DataFrame) -> DataFrame:
         sides = _with_sides(pairs, items, "items")
-        return staged(sides.mapInArrow(_similar(np.uint64, similarity), "u binary, v binary"), "links")
+        return staged(sides.mapInArrow(_overlapping(similarity), "u binary, v binary"), "links")
 
     def joined(roots: DataFrame, more: DataFrame) -> DataFrame:
         known = roots.filter("node != root").select(F.col("node").alias("u"), F.col("root").alias("v"))
@@ -261,25 +288,26 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     placed = staged(
         placed.join(over.filter("left > 0"), "bucket").select("bucket", "node", "home", "left_over", "n"), "placed")
     signatures = staged(
-        known.join(placed.select("node").distinct(), "node", "left_semi").select("node", "signature")
+        known.join(placed.select("node").distinct(), "node", "left_semi").select("node", "signature", "bands")
         .dropDuplicates(["node"]), "left-signatures")
-    # In small buckets the pairs are few; in large ones blocks are compared and likely links alone come out.
+    # In small buckets the pairs are few; large ones are compared and verified in blocks.
     few, many = placed.filter(F.col("n") <= FEW), placed.filter(F.col("n") > FEW)
     pairs = (
         few.filter("left_over").select("bucket", F.col("node").alias("a"), F.col("home").alias("a_home"))
         .join(few, "bucket").filter("a_home != home")
         .select(F.greatest("a", "node").alias("u"), F.least("a", "node").alias("v")).distinct()
     )
-    likely = _with_sides(pairs, signatures, "signature").mapInArrow(_similar(np.uint16, SURELY_LESS), "u binary, v binary")
+    likely = _with_sides(pairs, signatures, "signature").mapInArrow(_agreeing, "u binary, v binary")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     met = (
-        many.join(signatures, "node").withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+        many.join(signatures, "node").join(items, "node")
+        .withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         .withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
-        .select("bucket", "lo", "hi", "block", "node", "home", "left_over", "signature")
-        .groupBy("bucket", "lo", "hi").applyInArrow(_compare_block, "u binary, v binary")
+        .select("bucket", "lo", "hi", "block", "node", "home", "left_over", "signature", "bands", "items")
+        .groupBy("bucket", "lo", "hi").applyInArrow(_compare_block(similarity), "u binary, v binary")
     )
-    roots = joined(roots, links(staged(likely.unionByName(met).distinct(), "likely")))
+    roots = joined(roots, links(likely).unionByName(staged(met, "block-links")))
 
     found = signed.select("doc_id", "node").join(roots, "node", "left")
     return found.select("doc_id", "node", F.when(F.col("node").isNotNull(), F.coalesce("root", "node")).alias("root"))
