@@ -55,6 +55,6 @@ def numbered_facet(df: DataFrame, column: str, number: str = "id") -> DataFrame:
         .agg(F.collect_list(F.struct("__p", "n")).alias("s")).scalar()
     )
     earlier = F.filter("__sizes", lambda s: s["__p"] < F.col("__p"))
-    shift = F.aggregate(earlier, F.lit(0).cast("bigint"), lambda total, s: total + s["n"])
+    shift = F.reduce(earlier, F.lit(0).cast("bigint"), lambda total, s: total + s["n"])
     within = F.row_number().over(W.partitionBy("__p").orderBy(F.asc_nulls_first(column)))
     return values.withColumn("__sizes", sizes).select((within + shift).cast("bigint").alias(number), column)
