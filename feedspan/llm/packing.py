@@ -10,6 +10,32 @@ from feedspan.llm.common import word_count
 from feedspan.sources.storage import staged
 
 
+def best_cuts(best: np.ndarray, upper: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """min over i <= j of best[i] + upper[j] * rows in bins i..j, for every j, and the least such i.
+
+    The least i never falls as j grows, so the i of a middle j bounds those of both sides: divide
+    and conquer, one level of all sides at a time.
+    """
+    n = len(upper)
+    now, cut = np.empty(n, dtype=np.int64), np.empty(n, dtype=np.int64)
+    lo, hi, first, last = (np.array([x]) for x in (0, n, 0, n - 1))
+    while len(lo):
+        mid = (lo + hi) // 2
+        size = np.minimum(last, mid) - first + 1
+        start = np.cumsum(size) - size
+        part = np.repeat(np.arange(len(mid)), size)
+        i = np.arange(len(part)) - start[part] + first[part]
+        total = best[i] + upper[mid][part] * (rows[mid + 1][part] - rows[i])
+        now[mid] = np.minimum.reduceat(total, start)
+        hits = np.flatnonzero(total == now[mid][part])
+        cut[mid] = i[hits[np.unique(part[hits], return_index=True)[1]]]
+        lo, hi, first, last = (
+            np.concatenate(x) for x in ((lo, mid + 1), (mid, hi), (first, cut[mid]), (cut[mid], last)))
+        some = lo < hi
+        lo, hi, first, last = lo[some], hi[some], first[some], last[some]
+    return now, cut
+
+
 def best_boundaries(upper: np.ndarray, count: np.ndarray, buckets: int) -> list[int]:
     """Bucket upper ends, chosen among `upper` (ascending), with the least padded total.
 
@@ -17,18 +43,14 @@ def best_boundaries(upper: np.ndarray, count: np.ndarray, buckets: int) -> list[
     min over i of (cost of k-1 buckets up to i) + upper[j] * rows in (i, j].
     """
     n = len(upper)
-    rows = np.concatenate([[0], np.cumsum(count)]).astype(np.float64)
-    best = np.full(n + 1, np.inf)
-    best[0] = 0.0
-    cuts = []
-    step = upper[None, :] * (rows[None, 1:] - rows[:-1, None])  # [i, j]: bins i..j padded to upper[j]
-    step[np.tril_indices(n, -1)] = np.inf
-    for _ in range(min(buckets, n)):
-        total = best[:-1, None] + step
-        cut = np.argmin(total, axis=0)
+    upper = np.asarray(upper, dtype=np.int64)
+    rows = np.concatenate([[0], np.cumsum(count, dtype=np.int64)])
+    now = upper * rows[1:]  # one bucket
+    cuts = [np.zeros(n, dtype=np.int64)]
+    for _ in range(min(buckets, n) - 1):
+        # An unused bucket costs nothing: best[0] stays 0.
+        now, cut = best_cuts(np.concatenate([[0], now]), upper, rows)
         cuts.append(cut)
-        now = total[cut, np.arange(n)]
-        best = np.concatenate([[0.0], now])  # an unused bucket costs nothing: best[0] stays 0
     ends, j = [], n
     for cut in reversed(cuts):
         if j == 0:
@@ -43,14 +65,13 @@ def pack(
     tokens: Column | None = None,
     buckets: int = 16,
     token_budget: int = 65_536,
-    bins: int = 1024,
     shard_rows: int = 20_000,
 ) -> DataFrame:
     """Bucket, batch, position and padding of every row.
 
-    docs: doc_id and text (or what `tokens` needs; default: words of text). Lengths are binned
-    to a grain of max/bins tokens, so the histogram on the driver has at most `bins` rows; the
-    boundaries are optimal for that grain. A batch of a bucket has budget // bucket_len rows,
+    docs: doc_id and text (or what `tokens` needs; default: words of text). The boundaries
+    are optimal over all lengths that occur; the driver holds one count for each of them (d
+    lengths take d * d / 2 tokens at least, so even 10^12 tokens have at most 1.5 million). A batch of a bucket has budget // bucket_len rows,
     one at least, so a row longer than the budget is alone in its batch. Rows of no tokens need
     no place: bucket_len 0, batch_id and pos null. Repeated rows and null ids are rows like any
     other. Empty input: no rows. Inside a bucket rows are dealt to shards of about `shard_rows`
@@ -59,15 +80,8 @@ def pack(
     """
     tokens = word_count(F.col("text")) if tokens is None else tokens
     lengths = staged(docs.select("doc_id", F.coalesce(tokens.cast("long"), F.lit(0)).alias("n_tokens")), "lengths")
-    longest = lengths.agg(F.max("n_tokens")).first()[0] or 0
-    grain = max(1, -(-longest // bins))
-    bin_end = F.ceil(F.col("n_tokens") / grain) * grain
-    histogram = (
-        lengths.filter("n_tokens > 0").groupBy(F.least(bin_end, F.lit(longest)).cast("long").alias("upper"))
-        .count().orderBy("upper").collect()
-    )
-    upper = np.array([r["upper"] for r in histogram], dtype=np.int64)
-    count = np.array([r["count"] for r in histogram], dtype=np.int64)
+    histogram = lengths.filter("n_tokens > 0").groupBy("n_tokens").count().orderBy("n_tokens").toArrow()
+    upper, count = (histogram.column(c).to_numpy() for c in ("n_tokens", "count"))
     ends = best_boundaries(upper, count, buckets) if len(upper) else []
 
     bucket_len, shards, per_batch, number = F.when(F.col("n_tokens") <= 0, 0), None, None, None

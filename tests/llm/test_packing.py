@@ -44,3 +44,27 @@ def test_awkward_rows(spark):
     assert pack(documents(spark, [])).count() == 0
     assert pack(documents(spark, [(1, None)])).first().bucket_len == 0
     assert pack(awkward(spark), tokens=F.length("text")).filter("n_tokens > 100000").count() == 1
+
+
+def test_one_huge_text_leaves_the_other_boundaries(spark):
+    lengths = [n for n in range(1, 301) for _ in range(1 + n % 3)] + [200_000]
+    docs = documents(spark, [(i, "x" * n) for i, n in enumerate(lengths)])
+    got = pack(docs, tokens=F.length("text"), buckets=4).agg(F.sum("padding")).first()[0]
+    upper, count = np.unique(lengths, return_counts=True)
+    rows = np.concatenate([[0], np.cumsum(count)])
+    best = np.array([0.0] + [np.inf] * len(upper))
+    for _ in range(4):
+        best = np.array([0.0] + [min(best[i] + upper[j] * (rows[j + 1] - rows[i]) for i in range(j + 1)) for j in range(len(upper))])
+    assert got == best[-1] - sum(lengths)
+
+
+def test_boundaries_of_many_lengths():
+    rng = np.random.default_rng(8)
+    upper = np.unique(rng.integers(1, 3000, 1500))
+    count = rng.integers(1, 50, len(upper))
+    rows = np.concatenate([[0], np.cumsum(count)])
+    best = np.concatenate([[0], upper * rows[1:]])
+    for _ in range(6):
+        best = np.array([0, *((best[: j + 1] + upper[j] * (rows[j + 1] - rows[: j + 1])).min() for j in range(len(upper)))])
+    ends = np.array(best_boundaries(upper, count, 7))
+    assert (ends[np.searchsorted(ends, upper)] * count).sum() == best[-1]
