@@ -9,40 +9,38 @@ from functools import reduce
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: A text without any of these holds no licence sentence.
-TRIGGERS = ("licen", "copyright", "permission", "redistribut", "warrant", "spdx", "public domain", "copying")
-
 # Wording of public licences, as patterns over normalised sentences
 # (lower case, "license", no quotes or comment marks, single spaces). First match wins.
+# The middle names words of which every match holds one: a text without them is not searched.
 SENTENCES = [
-    ("Negated", r"\bnot (?:be )?(?:licensed|released|distributed|available) under\b"),
-    ("Spdx", r"\bspdx-license-identifier: ?(?P<spdx>[a-z0-9.+-]+)"),
-    ("MitGrant", r"^permission is hereby granted, free of charge, to any person obtaining a copy"),
-    ("MitNotice", r"^(?:subject to the following conditions:? )?the above copyright notice and this permission notice shall be included"),
-    ("IscGrant", r"^permission to use, copy, modify, and(?:/or)? distribute this software for any purpose"),
-    ("AsIs", r"\bsoftware is provided (?:by the [a-z ]+ )?as[ -]is\b"),
-    ("NoLiability", r"^in no event shall\b.*\bbe liable\b"),
-    ("BsdGrant", r"^redistribution and use in source and binary forms, with or without modification, are permitted"),
-    ("BsdSource", r"\bredistributions of source code must retain\b"),
-    ("BsdBinary", r"\bredistributions in binary form must reproduce\b"),
-    ("BsdEndorse", r"\bneither the names? of\b.*\bmay be used to endorse\b"),
-    ("BsdAdvert", r"\ball advertising materials mentioning features\b"),
-    ("GplFree", r"\bthis (?:program|library|file) is free software\b.*?\b(?P<gnu>lesser general|library general|affero general|general) public license\b(?:.*\bversion (?P<gnuv>[0-9](?:\.[0-9])?))?(?P<later>.*\bany later version\b)?"),
-    ("GplNoWarranty", r"\bdistributed in the hope that it will be useful\b"),
-    ("GplCopy", r"\byou should have received a copy of the gnu\b"),
-    ("Apache", r"\b(?:licensed|released|distributed|available|made available|provided|published|covered) (?:under|by) (?:the )?(?:terms of )?(?:the )?apache(?: software)?(?: license)?,?(?: (?:version|v\.?))? ?(?P<apache>[12](?:\.[0-9])?)?"),
-    ("ApacheLimits", r"^unless required by applicable law or agreed to in writing, software distributed under the license"),
-    ("ApacheCopy", r"\byou may obtain a copy of the license at\b"),
-    ("Mit", r"\b(?:licensed|released|distributed|available|provided|published|covered) (?:under|by) (?:the )?(?:terms of )?(?:the )?(?:mit|expat)(?:[ /]x11)?(?:-style)? ?license\b|^(?:the )?mit license$"),
-    ("Bsd", r"\b(?:licensed|released|distributed|available|provided|published|covered) (?:under|by) (?:the |a )?(?:terms of )?(?:the )?(?:(?:new |simplified |modified )?bsd|(?P<bsd>[0-4])-clause bsd|bsd (?P<bsd2>[0-4])-clause)(?:-style)? ?(?:license)?\b"),
-    ("Gnu", r"\b(?:licensed|released|distributed|available|provided|published|covered) (?:under|by) (?:the )?(?:terms of )?(?:the )?(?:gnu )?(?P<family>lesser general public license|affero general public license|general public license|free documentation license|agpl|lgpl|gfdl|gpl),?(?: ?\(?(?:l|a)?gpl\)?,?)?(?: (?:version|v\.?) ?| ?-?v?)?(?P<gv>[0-9](?:\.[0-9])?)?(?P<glater>.*\blater\b|\+)?"),
-    ("Mpl", r"\bmozilla public license,?(?: (?:version|v\.?))? ?(?P<mpl>[0-9]\.[0-9])?"),
-    ("CreativeCommons", r"\b(?:licensed|released|distributed|available|provided|published|shared|covered) (?:under|by) (?:the |a )?(?:terms of )?(?:the |a )?(?:cc|creative commons)[ -](?P<cc>zero|0|attribution[a-z -]*|by(?:-nc)?(?:-sa|-nd)?)(?: (?:international|unported|generic))?(?: license)?,?(?: (?:version|v\.?))? ?(?P<ccv>[0-9]\.[0-9])?"),
-    ("PublicDomain", r"\b(?:dedicated|released|placed|donated) (?:to|into|in) the public domain\b|^this (?:work|file|software) is in the public domain\b"),
-    ("AllRights", r"\ball rights reserved\b"),
-    ("Copyright", r"^(?:portions )?copyright\b|^\(c\) (?:copyright )?[0-9]{4}"),
+    ("Negated", "under", r"\bnot (?:be )?(?:licensed|released|distributed|available) under\b"),
+    ("Spdx", "spdx", r"\bspdx-license-identifier: ?(?P<spdx>[a-z0-9.+-]+)"),
+    ("MitGrant", "permission", r"^permission is hereby granted, free of charge, to any person obtaining a copy"),
+    ("MitNotice", "permission", r"^(?:subject to the following conditions:? )?the above copyright notice and this permission notice shall be included"),
+    ("IscGrant", "permission", r"^permission to use, copy, modify, and(?:/or)? distribute this software for any purpose"),
+    ("AsIs", "provided", r"\bsoftware is provided (?:by the [a-z ]+ )?as[ -]is\b"),
+    ("NoLiability", "liable", r"^in no event shall\b.*\bbe liable\b"),
+    ("BsdGrant", "redistribution", r"^redistribution and use in source and binary forms, with or without modification, are permitted"),
+    ("BsdSource", "redistributions", r"\bredistributions of source code must retain\b"),
+    ("BsdBinary", "redistributions", r"\bredistributions in binary form must reproduce\b"),
+    ("BsdEndorse", "endorse", r"\bneither the names? of\b.*\bmay be used to endorse\b"),
+    ("BsdAdvert", "advertising", r"\ball advertising materials mentioning features\b"),
+    ("GplFree", "free", r"\bthis (?:program|library|file) is free software\b.*?\b(?P<gnu>lesser general|library general|affero general|general) public license\b(?:.*\bversion (?P<gnuv>[0-9](?:\.[0-9])?))?(?P<later>.*\bany later version\b)?"),
+    ("GplNoWarranty", "distributed", r"\bdistributed in the hope that it will be useful\b"),
+    ("GplCopy", "gnu", r"\byou should have received a copy of the gnu\b"),
+    ("Apache", "apache", r"\b(?:licensed|released|distributed|available|made available|provided|published|covered) (?:under|by) (?:the )?(?:terms of )?(?:the )?apache(?: software)?(?: license)?,?(?: (?:version|v\.?))? ?(?P<apache>[12](?:\.[0-9])?)?"),
+    ("ApacheLimits", "applicable", r"^unless required by applicable law or agreed to in writing, software distributed under the license"),
+    ("ApacheCopy", "obtain", r"\byou may obtain a copy of the license at\b"),
+    ("Mit", "mit expat", r"\b(?:licensed|released|distributed|available|provided|published|covered) (?:under|by) (?:the )?(?:terms of )?(?:the )?(?:mit|expat)(?:[ /]x11)?(?:-style)? ?license\b|^(?:the )?mit license$"),
+    ("Bsd", "bsd", r"\b(?:licensed|released|distributed|available|provided|published|covered) (?:under|by) (?:the |a )?(?:terms of )?(?:the )?(?:(?:new |simplified |modified )?bsd|(?P<bsd>[0-4])-clause bsd|bsd (?P<bsd2>[0-4])-clause)(?:-style)? ?(?:license)?\b"),
+    ("Gnu", "public gpl gfdl documentation", r"\b(?:licensed|released|distributed|available|provided|published|covered) (?:under|by) (?:the )?(?:terms of )?(?:the )?(?:gnu )?(?P<family>lesser general public license|affero general public license|general public license|free documentation license|agpl|lgpl|gfdl|gpl),?(?: ?\(?(?:l|a)?gpl\)?,?)?(?: (?:version|v\.?) ?| ?-?v?)?(?P<gv>[0-9](?:\.[0-9])?)?(?P<glater>.*\blater\b|\+)?"),
+    ("Mpl", "mozilla", r"\bmozilla public license,?(?: (?:version|v\.?))? ?(?P<mpl>[0-9]\.[0-9])?"),
+    ("CreativeCommons", "cc commons", r"\b(?:licensed|released|distributed|available|provided|published|shared|covered) (?:under|by) (?:the |a )?(?:terms of )?(?:the |a )?(?:cc|creative commons)[ -](?P<cc>zero|0|attribution[a-z -]*|by(?:-nc)?(?:-sa|-nd)?)(?: (?:international|unported|generic))?(?: license)?,?(?: (?:version|v\.?))? ?(?P<ccv>[0-9]\.[0-9])?"),
+    ("PublicDomain", "domain", r"\b(?:dedicated|released|placed|donated) (?:to|into|in) the public domain\b|^this (?:work|file|software) is in the public domain\b"),
+    ("AllRights", "reserved", r"\ball rights reserved\b"),
+    ("Copyright", "copyright (c)", r"^(?:portions )?copyright\b|^\(c\) (?:copyright )?[0-9]{4}"),
 ]
-KNOWN = [(name, re.compile(pattern)) for name, pattern in SENTENCES]
+KNOWN = [(name, tuple(words.split()), re.compile(pattern)) for name, words, pattern in SENTENCES]
 
 #: Ordered rules: the first that matches at a place wins, so longer ones come first.
 RULES = [
@@ -101,8 +99,8 @@ def sentences(text: str) -> list[str]:
     return out
 
 
-def identify_sentence(sentence: str) -> tuple[str, dict] | None:
-    for name, pattern in KNOWN:
+def identify_sentence(sentence: str, patterns: list = KNOWN) -> tuple[str, dict] | None:
+    for name, _, pattern in patterns:
         m = pattern.search(sentence)
         if m:
             return name, {k: v for k, v in m.groupdict().items() if v}
@@ -159,11 +157,12 @@ def scan_text(text: str | None) -> tuple[list[tuple[str, int, int]], int]:
     if not text:
         return [], 0
     low = text.lower()
-    if not any(t in low for t in TRIGGERS):
+    patterns = [k for k in KNOWN if any(w in low for w in k[1])]
+    if not patterns:
         return [], 0
     known = []
     for n, s in enumerate(sentences(text)):
-        found = identify_sentence(s)
+        found = identify_sentence(s, patterns)
         if found:
             known.append((n, *found))
     hits = match_rules(known)

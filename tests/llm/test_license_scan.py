@@ -1,5 +1,6 @@
 import pytest
 
+from feedspan.llm import license_scan as module
 from feedspan.llm.license_scan import license_scan, scan_text, sentences
 
 from helpers import awkward, documents
@@ -66,3 +67,55 @@ def test_awkward_rows(spark):
     assert license_scan(documents(spark, [])).count() == 0
     long = documents(spark, [(1, "word " * 300_000 + ". Released under the MIT License.")])
     assert license_scan(long).first().licenses == ["MIT"]
+
+
+#: One or more sentences for each pattern.
+EXAMPLES = {
+    "Negated": ["not available under"],
+    "Spdx": ["SPDX-License-Identifier: MIT"],
+    "MitGrant": ["Permission is hereby granted, free of charge, to any person obtaining a copy"],
+    "MitNotice": ["The above copyright notice and this permission notice shall be included"],
+    "IscGrant": ["Permission to use, copy, modify, and/or distribute this software for any purpose"],
+    "AsIs": ["software is provided as is"],
+    "NoLiability": ["In no event shall they be liable"],
+    "BsdGrant": ["Redistribution and use in source and binary forms, with or without modification, are permitted"],
+    "BsdSource": ["Redistributions of source code must retain"],
+    "BsdBinary": ["Redistributions in binary form must reproduce"],
+    "BsdEndorse": ["Neither the name of X may be used to endorse"],
+    "BsdAdvert": ["All advertising materials mentioning features"],
+    "GplFree": ["This library is free software, general public license", "This file is free software, lesser general public licence"],
+    "GplNoWarranty": ["Distributed in the hope that it will be useful"],
+    "GplCopy": ["You should have received a copy of the GNU"],
+    "Apache": ["released under Apache 2.0", "covered by the apache"],
+    "ApacheLimits": ["Unless required by applicable law or agreed to in writing, software distributed under the licence"],
+    "ApacheCopy": ["You may obtain a copy of the licence at"],
+    "Mit": ["covered by the expat licence", "MIT license"],
+    "Bsd": ["released under the new BSD", "provided under a 3-clause BSD"],
+    "Gnu": ["distributed under the GPL v3", "available under AGPL", "published under lgpl-3.0", "provided by gfdl",
+            "covered by the free documentation licence", "covered by the general public licence"],
+    "Mpl": ["Mozilla Public Licence 2.0"],
+    "CreativeCommons": ["shared under CC BY-SA 4.0", "available under Creative Commons Attribution 4.0"],
+    "PublicDomain": ["placed into the public domain", "This work is in the public domain"],
+    "AllRights": ["All rights reserved"],
+    "Copyright": ["Portions copyright me", "(c) 1999"],
+}
+
+
+def test_a_text_is_skipped_only_if_no_pattern_matches(monkeypatch):
+    texts = [t for group in EXAMPLES.values() for t in group]
+    assert EXAMPLES.keys() == {name for name, *_ in module.KNOWN}
+    for name, group in EXAMPLES.items():
+        pattern = next(k[-1] for k in module.KNOWN if k[0] == name)
+        assert all(pattern.search(sentences(t)[0]) for t in group)
+    got = [scan_text(t) for t in texts]
+    assert all(hits or unmatched for hits, unmatched in got)
+    monkeypatch.setattr(module, "KNOWN", [(name, ("",), pattern) for name, _, pattern in module.KNOWN])
+    assert [scan_text(t) for t in texts] == got
+
+
+@pytest.mark.parametrize("text, want", [
+    ("It is released under Apache 2.0.", "Apache-2.0"), ("Distributed under the GPL v3.", "GPL-3.0-only"),
+    ("Shared under CC BY-SA 4.0.", "CC-BY-SA-4.0"), ("Available under Creative Commons Attribution 4.0.", "CC-BY-4.0"),
+])
+def test_sentences_without_the_word_licence(text, want):
+    assert [name for name, *_ in scan_text(text)[0]] == [want]
