@@ -10,37 +10,57 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 # Wording of public licences, as patterns over normalised sentences
-# (lower case, "license", no quotes or comment marks, single spaces). First match wins.
+# (lower case, "license", no quotes or comment marks, single spaces). Of matches that overlap the
+# first wins, and of those that begin together the one listed first.
 # The middle names words of which every match holds one: a text without them is not searched.
+GRANT = (
+    r"\b(?:licensed|released|distributed|available|provided|published|shared|covered) (?:under|by) "
+    r"(?:either )?(?:of )?(?:the |a )?(?:terms of )?(?:either )?(?:of )?(?:the |a )?"
+)
+#: What stands between the licences of a list: "or", "and/or", a comma, a slash.
+JOIN = r"(?: license)?(?: ?\([^()]*\))?(?: ?[,;/]? ?(?:and/or|or|and)\b| ?[,;/])(?: ?\(?at your (?:option|choice)\)?,?)?(?: (?:under|by))? ?(?:the |a )?(?:terms of )?(?:the |a )?"
+#: A licence's name without the word, as "MIT" in "the MIT or Apache License".
+BEFORE_NEXT = r"(?=" + JOIN + r"(?:apache|(?:new |simplified |modified |[0-9]-clause )?bsd|gnu|[al]?gpl|mozilla|cc|creative commons)\b)"
+#: The words up to the version, but not into another licence.
+SAME = r"(?:(?!\b(?:apache|mozilla|mit|expat|bsd|creative commons|[al]?gpl)\b).)*?"
+SPDX_TERM = r"\(*[a-z0-9.+:-]*[a-z0-9.+]\)*"
 SENTENCES = [
     ("Negated", "under", r"\bnot (?:be )?(?:licensed|released|distributed|available) under\b"),
-    ("Spdx", "spdx", r"\bspdx-license-identifier: ?(?P<spdx>[a-z0-9.+-]+)"),
-    ("MitGrant", "permission", r"^permission is hereby granted, free of charge, to any person obtaining a copy"),
-    ("MitNotice", "permission", r"^(?:subject to the following conditions:? )?the above copyright notice and this permission notice shall be included"),
-    ("IscGrant", "permission", r"^permission to use, copy, modify, and(?:/or)? distribute this software for any purpose"),
+    ("Spdx", "spdx", r"\bspdx-license-identifier: ?(?P<spdx>" + SPDX_TERM + r"(?: (?:or|and|with) " + SPDX_TERM + r")*)"),
+    ("MitGrant", "permission", r"\bpermission is hereby granted, free of charge, to any person obtaining a copy"),
+    ("MitNotice", "permission", r"\bthe above copyright notice and this permission notice shall be included"),
+    ("IscGrant", "permission", r"\bpermission to use, copy, modify, and(?:/or)? distribute this software for any purpose"),
     ("AsIs", "provided", r"\bsoftware is provided (?:by the [a-z ]+ )?as[ -]is\b"),
-    ("NoLiability", "liable", r"^in no event shall\b.*\bbe liable\b"),
-    ("BsdGrant", "redistribution", r"^redistribution and use in source and binary forms, with or without modification, are permitted"),
+    ("NoLiability", "liable", r"\bin no event shall\b.*?\bbe liable\b"),
+    ("BsdGrant", "redistribution", r"\bredistribution and use in source and binary forms, with or without modification, are permitted"),
     ("BsdSource", "redistributions", r"\bredistributions of source code must retain\b"),
     ("BsdBinary", "redistributions", r"\bredistributions in binary form must reproduce\b"),
-    ("BsdEndorse", "endorse", r"\bneither the names? of\b.*\bmay be used to endorse\b"),
+    ("BsdEndorse", "endorse", r"\bneither the names? of\b.*?\bmay be used to endorse\b"),
     ("BsdAdvert", "advertising", r"\ball advertising materials mentioning features\b"),
-    ("GplFree", "free", r"\bthis (?:program|library|file) is free software\b.*?\b(?P<gnu>lesser general|library general|affero general|general) public license\b(?:.*\bversion (?P<gnuv>[0-9](?:\.[0-9])?))?(?P<later>.*\bany later version\b)?"),
+    ("GplFree", "free", r"\bthis (?:program|library|file) is free software\b.*?\b(?P<gnu>lesser general|library general|affero general|general) public license\b(?:" + SAME + r"\bversion (?P<gnuv>[0-9](?:\.[0-9])?))?(?P<later>" + SAME + r"\bany later version\b)?"),
     ("GplNoWarranty", "distributed", r"\bdistributed in the hope that it will be useful\b"),
     ("GplCopy", "gnu", r"\byou should have received a copy of the gnu\b"),
-    ("Apache", "apache", r"\b(?:licensed|released|distributed|available|made available|provided|published|covered) (?:under|by) (?:the )?(?:terms of )?(?:the )?apache(?: software)?(?: license)?,?(?: (?:version|v\.?))? ?(?P<apache>[12](?:\.[0-9])?)?"),
-    ("ApacheLimits", "applicable", r"^unless required by applicable law or agreed to in writing, software distributed under the license"),
+    ("Apache", "apache", GRANT + r"apache(?: software)?(?: license)?,?(?: (?:version|v\.?))?[ -]?(?P<apache>[12](?:\.[0-9])?)?"),
+    ("ApacheLimits", "applicable", r"\bunless required by applicable law or agreed to in writing, software distributed under the license"),
     ("ApacheCopy", "obtain", r"\byou may obtain a copy of the license at\b"),
-    ("Mit", "mit expat", r"\b(?:licensed|released|distributed|available|provided|published|covered) (?:under|by) (?:the )?(?:terms of )?(?:the )?(?:mit|expat)(?:[ /]x11)?(?:-style)? ?license\b|^(?:the )?mit license$"),
-    ("Bsd", "bsd", r"\b(?:licensed|released|distributed|available|provided|published|covered) (?:under|by) (?:the |a )?(?:terms of )?(?:the )?(?:(?:new |simplified |modified )?bsd|(?P<bsd>[0-4])-clause bsd|bsd (?P<bsd2>[0-4])-clause)(?:-style)? ?(?:license)?\b"),
-    ("Gnu", "public gpl gfdl documentation", r"\b(?:licensed|released|distributed|available|provided|published|covered) (?:under|by) (?:the )?(?:terms of )?(?:the )?(?:gnu )?(?P<family>lesser general public license|affero general public license|general public license|free documentation license|agpl|lgpl|gfdl|gpl),?(?: ?\(?(?:l|a)?gpl\)?,?)?(?: (?:version|v\.?) ?| ?-?v?)?(?P<gv>[0-9](?:\.[0-9])?)?(?P<glater>.*\blater\b|\+)?"),
+    ("Mit", "mit expat", GRANT + r"(?:mit|expat)(?:[ /]x11)?(?:-style)?(?: ?licenses?\b|" + BEFORE_NEXT + r")|^(?:the )?mit license$"),
+    ("Bsd", "bsd", GRANT + r"(?:(?:new |simplified |modified )?bsd|(?P<bsd>[0-4])-clause bsd|bsd (?P<bsd2>[0-4])-clause)(?:-style)? ?(?:license)?\b"),
+    ("Gnu", "public gpl gfdl documentation", GRANT + r"(?:gnu )?(?P<family>lesser general public license|affero general public license|general public license|free documentation license|agpl|lgpl|gfdl|gpl),?(?: ?\(?(?:l|a)?gpl\)?,?)?(?: (?:version|v\.?) ?| ?-?v?)?(?P<gv>[0-9](?:\.[0-9])?)?(?P<glater>" + SAME + r"\blater\b|\+)?"),
     ("Mpl", "mozilla", r"\bmozilla public license,?(?: (?:version|v\.?))? ?(?P<mpl>[0-9]\.[0-9])?"),
-    ("CreativeCommons", "cc commons", r"\b(?:licensed|released|distributed|available|provided|published|shared|covered) (?:under|by) (?:the |a )?(?:terms of )?(?:the |a )?(?:cc|creative commons)[ -](?P<cc>zero|0|attribution[a-z -]*|by(?:-nc)?(?:-sa|-nd)?)(?: (?:international|unported|generic))?(?: license)?,?(?: (?:version|v\.?))? ?(?P<ccv>[0-9]\.[0-9])?"),
-    ("PublicDomain", "domain", r"\b(?:dedicated|released|placed|donated) (?:to|into|in) the public domain\b|^this (?:work|file|software) is in the public domain\b"),
+    ("CreativeCommons", "cc commons", GRANT + r"(?:cc|creative commons)[ -](?P<cc>zero|0|attribution(?:[ -](?:non-?commercial|share-?alike|no-?deriv(?:ative)?s?(?: works)?))*|by(?:-nc)?(?:-sa|-nd)?)(?: (?:international|unported|generic))?(?: license)?,?(?: (?:version|v\.?))? ?(?P<ccv>[0-9]\.[0-9])?"),
+    ("PublicDomain", "domain", r"\b(?:dedicated|released|placed|donated) (?:to|into|in) the public domain\b|\bthis (?:work|file|software) is in the public domain\b"),
     ("AllRights", "reserved", r"\ball rights reserved\b"),
     ("Copyright", "copyright (c)", r"^(?:portions )?copyright\b|^\(c\) (?:copyright )?[0-9]{4}"),
 ]
 KNOWN = [(name, tuple(words.split()), re.compile(pattern)) for name, words, pattern in SENTENCES]
+#: Patterns of licences that may follow another one in a list.
+LISTED = [
+    (name, re.compile(pattern.removeprefix(GRANT).replace(BEFORE_NEXT, r"(?=$| ?[,;/)]| (?:or|and|at)\b)").split("|^")[0]))
+    for name, _, pattern in SENTENCES if pattern.startswith(GRANT) or name == "Mpl"
+]
+LIST_START = {name for name, _ in LISTED}
+NEXT = re.compile(JOIN)
+DENIED = re.compile(r" ?(?:either )?(?:of )?(?:the |a )?(?:terms of )?(?:the |a )?")
 
 #: Ordered rules: the first that matches at a place wins, so longer ones come first.
 RULES = [
@@ -87,24 +107,85 @@ SPDX = {x.lower(): x for x in (
 ).split()}
 SPLIT = re.compile(r"(?<=[.!?])[)\"'»”]*\s+|\n\s*\n")
 MARKS = re.compile(r"^[\s/*#;%!<>-]+|[\"'`“”«»*]+", re.M)
+#: Lines that are sentences of their own: copyright lines begin one, SPDX lines begin and end one.
+OWN_LINE = re.compile(
+    r"^(?P<line>(?:[/*#;%!<>-]|[^\S\n])*(?:(?P<spdx>spdx-license-identifier:)|"
+    r"(?:portions )?copyright\b[^\S\n]*(?:\(c\)|©|&copy;|[0-9]{4}|by\b)|\(c\) ?(?:copyright )?[0-9]{4}|©)[^\n]*)$", re.M | re.I)
+#: A copyright line that the next line goes on with.
+OPEN_END = re.compile(r"\b(?:licen[cs]ed|released|distributed|available|provided|published|shared|covered)\b|(?:,|\b(?:and|or|by|of|the))\s*$", re.I)
+
+
+def _own_line(m: re.Match) -> str:
+    line = m["line"]
+    return f"\n\n{line}" if not m["spdx"] and OPEN_END.search(line) else f"\n\n{line}\n\n"
 
 
 def sentences(text: str) -> list[str]:
-    """Normalised sentences; a line break ends one only after end punctuation or before a blank line."""
+    """Normalised sentences.
+
+    A line break ends one only after end punctuation, before a blank line, and at copyright lines
+    and SPDX lines.
+    """
     out = []
-    for raw in SPLIT.split(text):
+    for raw in SPLIT.split(OWN_LINE.sub(_own_line, text)):
         plain = " ".join(MARKS.sub(" ", raw).lower().replace("licence", "license").split()).rstrip(".;:!? ")
         if plain:
             out.append(plain)
     return out
 
 
-def identify_sentence(sentence: str, patterns: list = KNOWN) -> tuple[str, dict] | None:
-    for name, _, pattern in patterns:
-        m = pattern.search(sentence)
-        if m:
-            return name, {k: v for k, v in m.groupdict().items() if v}
-    return None
+def _found(m: re.Match) -> dict:
+    return {k: v for k, v in m.groupdict().items() if v}
+
+
+def _spdx_parts(expression: str) -> list[str]:
+    """Licences of an expression; an exception stays with its licence, prose behind it ends it."""
+    out, operator = [], "or"
+    for n, word in enumerate(expression.replace("(", "").replace(")", "").split()):
+        if n % 2:
+            operator = word
+        elif n and not (word in SPDX or re.search(r"[0-9.+:-]", word)):
+            break
+        elif operator == "with":
+            out[-1] += f" with {word}"
+        else:
+            out.append(word)
+    return out
+
+
+def _listed(sentence: str, end: int, before: re.Pattern) -> tuple[list[tuple[str, dict]], int]:
+    """The licences of a list that goes on at `end`, the first one behind `before`, and its end."""
+    out = []
+    while joined := before.match(sentence, end):
+        matches = ((name, pattern.match(sentence, joined.end())) for name, pattern in LISTED)
+        name, m = next((x for x in matches if x[1]), (None, None))
+        if not m:
+            break
+        out.append((name, _found(m)))
+        end, before = m.end(), NEXT
+    return out, end
+
+
+def identify_sentence(sentence: str, patterns: list = KNOWN) -> list[tuple[str, dict]]:
+    """All known sentences in a sentence, by position; a list of licences gives one each."""
+    matches = sorted(
+        ((m.start(), k, name, m) for k, (name, _, pattern) in enumerate(patterns) for m in pattern.finditer(sentence)),
+        key=lambda x: x[:2])
+    out, end = [], 0
+    for start, _, name, m in matches:
+        if start < end:
+            continue
+        end = m.end()
+        if name == "Spdx":
+            out += [(name, {"spdx": part}) for part in _spdx_parts(m["spdx"])]
+            continue
+        out.append((name, _found(m)))
+        if name == "Negated":  # what follows is denied too
+            _, end = _listed(sentence, end, DENIED)
+        elif name in LIST_START:
+            more, end = _listed(sentence, end, NEXT)
+            out += more
+    return out
 
 
 def _named(template: str, found: dict) -> str:
@@ -124,12 +205,14 @@ def _named(template: str, found: dict) -> str:
     if template == "{mpl}":
         return f"MPL-{found['mpl']}" if "mpl" in found else "MPL"
     if template == "{cc}":
-        kind = found["cc"].strip().replace(" ", "-")
+        kind = found["cc"].replace(" works", "").replace(" ", "-").replace("non-", "non").replace("no-", "no")
+        kind = kind.replace("share-", "share").replace("noderivs", "noderivatives").replace("noderivative-", "noderivatives-")
         kind = CREATIVE.get(kind, kind)
         name = "CC0" if kind == "0" else f"CC-{kind.upper()}"
         return f"{name}-{found['ccv']}" if "ccv" in found else name
     if template == "{spdx}":
-        return SPDX.get(found["spdx"].rstrip("."), found["spdx"].rstrip("."))
+        name, *exception = found["spdx"].rstrip(".").split(" with ")
+        return " WITH ".join([SPDX.get(name, name), *exception])
     return template
 
 
@@ -162,12 +245,9 @@ def scan_text(text: str | None) -> tuple[list[tuple[str, int, int]], int]:
         return [], 0
     known = []
     for n, s in enumerate(sentences(text)):
-        found = identify_sentence(s, patterns)
-        if found:
-            known.append((n, *found))
+        known += [(n, *found) for found in identify_sentence(s, patterns)]
     hits = match_rules(known)
-    used = sum(1 for n, *_ in known if any(a <= n <= b for _, a, b in hits))
-    return hits, len(known) - used
+    return hits, sum(1 for n in {x[0] for x in known} if not any(a <= n <= b for _, a, b in hits))
 
 
 SCHEMA = "licenses array<string>, spans array<struct<license string, first int, last int>>, n_unmatched int"

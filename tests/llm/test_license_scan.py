@@ -119,3 +119,37 @@ def test_a_text_is_skipped_only_if_no_pattern_matches(monkeypatch):
 ])
 def test_sentences_without_the_word_licence(text, want):
     assert [name for name, *_ in scan_text(text)[0]] == [want]
+
+
+GRANT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software, subject to the\n"
+    "following conditions:\nThe above copyright notice and this permission notice shall be included in all copies."
+)
+
+
+@pytest.mark.parametrize("text, want", [
+    ("Licensed under the MIT license or the Apache License, Version 2.0", ["MIT", "Apache-2.0"]),
+    ("Licensed under either the Apache License, Version 2.0 or the MIT license, at your option.", ["Apache-2.0", "MIT"]),
+    ("Dual licensed under the MIT and GPL v3 or later licenses.", ["MIT", "GPL-3.0-or-later"]),
+    ("Released under the MIT License, the Mozilla Public License 2.0 and the GNU GPL v2.", ["MIT", "MPL-2.0", "GPL-2.0-only"]),
+    ("Licensed under MIT/Apache-2.0.", ["MIT", "Apache-2.0"]),
+    ("Code is licensed under the MIT license, text is licensed under CC BY-SA 4.0.", ["MIT", "CC-BY-SA-4.0"]),
+    ("This is not licensed under the MIT License but released under the Apache License 2.0.", ["Apache-2.0"]),
+    ("This program is free software under the GNU General Public License version 2 and licensed under the Apache License, version 1.1",
+     ["GPL-2.0-only", "Apache-1.1"]),
+    ("SPDX-License-Identifier: MIT OR Apache-2.0", ["MIT", "Apache-2.0"]),
+    ("/* SPDX-License-Identifier: (GPL-2.0-only WITH Linux-syscall-note) OR MIT */", ["GPL-2.0-only WITH linux-syscall-note", "MIT"]),
+    ("# SPDX-License-Identifier: MIT\n# SPDX-License-Identifier: BSD-3-Clause\nand more", ["MIT", "BSD-3-Clause"]),
+    ("SPDX-License-Identifier: MIT and nothing else", ["MIT"]),
+    ("Copyright (c) 2020 Foo\n" + GRANT, ["MIT"]),
+    ("Foo 1.0, Copyright (c) 2020 Foo\n" + GRANT, ["MIT"]),
+    ("Copyright (c) 2020 Foo, licensed under the\nApache License, Version 2.0", ["Apache-2.0"]),
+    ("MIT License\nCopyright (c) 2020 Foo\nand others", ["MIT"]),
+    ("Released under the MIT license and other things, or nothing.", ["MIT"]),
+    ("Licensed by MIT and Stanford.", []), ("Licensed under the BSD license, MIT Press.", ["BSD"]),
+    ("Not licensed under the Mozilla Public License 2.0 or the GPL v2.", []),
+    ("Licensed under Creative Commons Attribution ShareAlike 4.0.", ["CC-BY-SA-4.0"]),
+    ("Licensed under the Creative Commons Attribution-NonCommercial-NoDerivs 3.0 Unported License.", ["CC-BY-NC-ND-3.0"]),
+])
+def test_all_licences_of_a_sentence(text, want):
+    assert [name for name, *_ in scan_text(text)[0]] == want
