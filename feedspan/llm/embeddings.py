@@ -2,13 +2,14 @@
 
 Each half of a vector has a codebook of its own; pairs of codewords form a grid of cells. The
 multi-sequence traversal lists the cells nearest to a vector, and vectors that visit a common
-cell are compared exactly. How many cells are visited is set on a sample by its true pairs: the
-fewest that reach the target recall.
+cell are compared exactly. How many cells are visited is set by true pairs, those inside a
+sample and those of some query vectors with all rows: the fewest that reach the target recall.
 """
 
 from __future__ import annotations
 
 import hashlib
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +21,11 @@ from feedspan.llm.common import bounded_sample
 from feedspan.llm.components import components
 from feedspan.sources.storage import staged
 
-MAX_VISITS = 16
+log = logging.getLogger(__name__)
+
+FIRST_VISITS = 16  # visits weighed at first; four times as many while they don't reach the target
+FEW, SAFE_VISITS = 100, 8  # with fewer queries that have a pair, so many cells are visited at least
+NEEDED = 0.9  # the recall that its lower bound must show
 BLOCK = 1024  # vectors of a cell that one side of a comparison holds
 
 
@@ -80,31 +85,128 @@ def visits(x: np.ndarray, books: tuple[np.ndarray, np.ndarray], n: int) -> np.nd
     return np.take_along_axis(cells, best, axis=1).astype(np.int32)
 
 
-def fit(rows: DataFrame, least: float, target: float = 1.0, sample: int = 8192, words: int = 64) -> dict:
-    """Index of about `sample` vectors: by dimension, codebooks and number of visits."""
+def ranks(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many visits two rows need to meet, row by row; one more than there are if they don't."""
+    out = np.full(len(a), a.shape[1] + 1)
+    for i in range(a.shape[1]):
+        for j in range(b.shape[1]):
+            np.minimum(out, max(i, j) + 1, out=out, where=a[:, i] == b[:, j])
+    return out
+
+
+def lower_bound(share: float, n: int, z: float = 1.645) -> float:
+    """Wilson's lower bound (95 %, one-sided) of a share seen in n trials."""
+    if not n:
+        return 0.0
+    mid, spread = share + z * z / (2 * n), z * np.sqrt(share * (1 - share) / n + z * z / (4 * n * n))
+    return float((mid - spread) / (1 + z * z / n))
+
+
+def _query_pairs(queries: dict, least: float, thin: int = 16):
+    """Pairs of the query vectors with all rows: dimension, query, visits needed, pairs.
+
+    Of the rows of a batch near one query `thin` to twice as many are weighed for all of them.
+    Rows equal to the query are left out: copies always link.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, labels = vectors(batch.column(0)), batch.column(1).to_pylist()
+            for size, (q, names, q_cells, books) in queries.items():
+                mine = [i for i, v in enumerate(found) if v is not None and len(v) == size]
+                for start in range(0, len(mine), BLOCK):
+                    part = mine[start : start + BLOCK]
+                    x = unit(np.stack([found[i] for i in part]))
+                    own = np.array([labels[i] for i in part], dtype=object)
+                    v, u = np.nonzero((q @ x.T >= least) & (names[:, None] == own[None, :]))
+                    if not len(v):
+                        continue
+                    count = np.bincount(v, minlength=len(q))
+                    place = np.arange(len(v)) - (np.cumsum(count) - count)[v]
+                    kept = place % np.maximum(1, count // thin)[v] == 0
+                    v, u = v[kept], u[kept]
+                    weight = (count / np.maximum(1, np.bincount(v, minlength=len(q))))[v]
+                    other = np.abs(x[u] - q[v]).max(axis=1) > 1e-12
+                    v, u, weight = v[other], u[other], weight[other]
+                    rows, back = np.unique(u, return_inverse=True)
+                    cells = visits(x[rows], books, q_cells.shape[1]) if len(rows) else q_cells[:0]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(v), size)), pa.array(v), pa.array(ranks(cells[back], q_cells[v])), pa.array(weight)],
+                        names=["size", "query", "rank", "pairs"])
+
+    return run
+
+
+def recall(found: np.ndarray, visited: int) -> tuple[float, int]:
+    """Least of the recall over pairs and the mean recall of a query, and the queries with a pair.
+
+    found: query, visits needed, pairs.
+    """
+    queries, at = np.unique(found[:, 0], return_inverse=True)
+    if not len(queries):
+        return 1.0, 0
+    total = np.bincount(at, found[:, 2])
+    met = np.bincount(at, found[:, 2] * (found[:, 1] <= visited))
+    return float(min(met.sum() / total.sum(), (met / total).mean())), len(queries)
+
+
+def enough_visits(found: np.ndarray, most: int, target: float) -> int | None:
+    """The fewest visits whose recall reaches the target and, with queries enough, whose bound shows what is needed."""
+    for n in range(1, most + 1):
+        share, queries = recall(found, n)
+        if share >= target - 1e-9 and (queries < FEW or lower_bound(share, queries) >= NEEDED):
+            return max(n, min(SAFE_VISITS, most)) if queries < FEW else n
+    return None
+
+
+def fit(rows: DataFrame, least: float, target: float = 1.0, sample: int = 8192, words: int = 64, queries: int = 1024) -> dict:
+    """Index by dimension: codebooks of about `sample` vectors, and the number of visits.
+
+    The visits reach the target over the pairs inside the sample and over those of `queries` of
+    its vectors with all rows, which grow with the table as the groups do.
+    """
     chosen = bounded_sample(rows.withColumnRenamed("vec_id", "doc_id"), F.lit(1), sample)
     taken = chosen.select("label", "embedding").toArrow()
     labels = np.array(taken.column("label").to_pylist(), dtype=object)
     all_vectors = vectors(taken.column("embedding").combine_chunks()) if taken.num_rows else []
-    index = {}
+    waiting, index, most = {}, {}, FIRST_VISITS
     for size in sorted({len(v) for v in all_vectors if v is not None and len(v) > 1}):
         mine = [i for i, v in enumerate(all_vectors) if v is not None and len(v) == size]
         x = unit(np.stack([all_vectors[i] for i in mine]))
         half, k = size // 2, max(1, min(words, len(mine) // 8))
-        books = codebook(x[:, :half], k), codebook(x[:, half:], k)
-        cells = visits(x, books, MAX_VISITS)
-        own = labels[mine]
-        found, pairs = np.zeros(cells.shape[1]), 0
-        for start in range(0, len(x), BLOCK):
-            part = slice(start, start + BLOCK)
-            a, b = np.nonzero((x[part] @ x.T >= least) & (own[part, None] == own[None, :]))
-            a = a + start
-            a, b = a[a < b], b[a < b]
-            pairs += len(a)
-            for n in range(cells.shape[1]):
-                found[n] += shares(cells[a, : n + 1], cells[b, : n + 1]).sum()
-        enough = np.flatnonzero(found >= target * pairs) if pairs else np.array([3])
-        index[size] = (*books, int(enough[0]) + 1 if len(enough) else MAX_VISITS)
+        waiting[size] = x, labels[mine], (codebook(x[:, :half], k), codebook(x[:, half:], k))
+    while waiting:
+        asked = {}
+        for size, (x, own, books) in waiting.items():
+            some = np.random.default_rng(0).permutation(len(x))[:queries]
+            asked[size] = x[some], own[some], visits(x[some], books, most), books
+        seen = rows.select("embedding", "label").mapInArrow(
+            _query_pairs(asked, least), "size long, query long, rank long, pairs double")
+        pairs = seen.groupBy("size", "query", "rank").agg(F.sum("pairs").alias("pairs")).toPandas()
+        for size, (x, own, books) in list(waiting.items()):
+            found = pairs.loc[pairs["size"] == size, ["query", "rank", "pairs"]].to_numpy(dtype=np.float64)
+            cells = visits(x, books, most)
+            inside = np.zeros(cells.shape[1] + 2)
+            for start in range(0, len(x), BLOCK):
+                part = slice(start, start + BLOCK)
+                a, b = np.nonzero((x[part] @ x.T >= least) & (own[part, None] == own[None, :]))
+                a = a + start
+                a, b = a[a < b], b[a < b]
+                inside += np.bincount(ranks(cells[a], cells[b]), minlength=len(inside))
+            met = np.cumsum(inside)
+            sampled = int(np.flatnonzero(met >= target * inside.sum())[0])
+            grid = len(books[0]) * len(books[1])
+            n = enough_visits(found, cells.shape[1], target)
+            if (n is None or sampled > cells.shape[1]) and cells.shape[1] < grid:
+                continue  # more visits
+            n = max(n or cells.shape[1], min(sampled, cells.shape[1]))
+            share, asking = recall(found, n)
+            log.warning(
+                "%d dimensions: %d cells visited, recall %.4f (lower bound %.4f) over all rows for %d queries with a pair, "
+                "%d pairs in the sample", size, n, share, lower_bound(share, asking), asking, int(inside.sum()))
+            index[size] = (*books, n)
+            del waiting[size]
+        most *= 4
     return index
 
 
@@ -119,10 +221,6 @@ def first_common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def shares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return first_common(a, b) < np.iinfo(np.int32).max
-
-
 def labels_of(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
     """Least index in the component of each of n nodes under the links (u, v)."""
     label = np.arange(n)
@@ -186,7 +284,8 @@ def embedding_duplicates(
     non-finite components link with nothing, nor do rows of a null label. Equal vectors of a label
     are one node with a number of copies, all linked with each other. Repeated rows count as other
     vectors. Other columns are ignored. Empty input: no rows. n_links counts the pairs found;
-    every link counted is true, and `target` of the sample's true pairs share a visited cell.
+    every link counted is true, and `target` of the true pairs inside the sample, and of those that
+    some of its vectors have in the whole table, share a visited cell; `fit` logs the recall.
     """
     rows = rows.select("vec_id", "embedding", "label")
     usable = rows.filter("label IS NOT NULL AND size(embedding) > 0")

@@ -1,6 +1,6 @@
 import numpy as np
 
-from feedspan.llm.embeddings import embedding_duplicates, visits
+from feedspan.llm.embeddings import SAFE_VISITS, embedding_duplicates, enough_visits, fit, lower_bound, ranks, visits
 
 
 def brute(rows, least=0.98):
@@ -81,3 +81,31 @@ def test_awkward_rows(spark):
     assert embedding_duplicates(frame(spark, [(1, None, None)])).first().kept
     twice = embedding_duplicates(frame(spark, [(None, [1.0, 2.0], 1), (3, [1.0, 2.0], 1), (3, [1.0, 2.0], 1)])).collect()
     assert [r.n_links for r in twice] == [2, 2, 2] and {r.component_id for r in twice} == {3}
+
+
+def test_visits_rest_on_pairs_of_the_whole_table(spark):
+    """A small sample holds hardly a pair; the queries' pairs with all rows do."""
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(60, 16))
+    x = np.repeat(centres, 60, axis=0) + 0.12 * rng.normal(size=(3600, 16))
+    rows = [(i, v.astype(np.float32).tolist(), 1) for i, v in enumerate(x[rng.permutation(len(x))])]
+    got = embedding_duplicates(frame(spark, rows), sample=200).agg({"n_links": "sum"}).first()[0]
+    x = np.array([r[1] for r in rows], dtype=np.float32).astype(np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert got >= 0.97 * ((x @ x.T >= 0.98).sum() - len(x))
+
+
+def test_few_pairs_leave_a_safe_number_of_visits(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, rng.normal(size=16).astype(np.float32).tolist(), 1) for i in range(400)]
+    rows.append((400, [v * 1.001 + 1e-6 for v in rows[0][1]], 1))
+    assert fit(frame(spark, rows), 0.98)[16][2] >= SAFE_VISITS
+
+
+def test_more_visits_than_at_first_and_bounds():
+    found = np.array([[q, 40 if q == 3 else 1, 5] for q in range(200)], dtype=float)
+    assert enough_visits(found, 16, 1.0) is None and enough_visits(found, 64, 1.0) == 40
+    assert enough_visits(found, 16, 0.99) == 1
+    assert 0.97 < lower_bound(1.0, 100) < 0.98 and lower_bound(1.0, 0) == 0
+    assert ranks(np.array([[1, 2, 3]]), np.array([[9, 3, 8]])).tolist() == [3]
+    assert ranks(np.array([[1, 2, 3]]), np.array([[7, 8, 9]])).tolist() == [4]
