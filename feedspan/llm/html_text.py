@@ -2,7 +2,8 @@
 
 The parser's events cut a page into lines, one per block element. Lines inside elements that
 never hold article text (navigation, footers, forms, adverts, comments ...) are dropped at
-once. Each other line has a ratio of text to tags; the ratios are smoothed with a Gaussian and
+once, but forms and what is only named like surroundings stay if they wrap most of the page's
+text. Each other line has a ratio of text to tags; the ratios are smoothed with a Gaussian and
 runs above a threshold are content regions. A container whose text lies mostly in regions is
 content as a whole, with the containers inside it, so its short lines stay.
 """
@@ -27,7 +28,7 @@ BLOCK = frozenset(
 CONTAINER = frozenset("article aside body div html main section".split())
 NEVER = frozenset(
     "head title script style noscript template iframe object svg math canvas audio video select option datalist "
-    "textarea button input form nav footer aside menu dialog search fieldset".split()
+    "textarea button input nav footer aside menu dialog search fieldset".split()
 )
 SURROUND = frozenset(
     "ad ads adv advert advertisement adverts adsense banner breadcrumb breadcrumbs byline-links comment comments commentlist "
@@ -42,27 +43,34 @@ IMPLIED_END = {
     "p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
     "th": {"td", "th"}, "option": {"option"},
 }
+HEAD = frozenset("base basefont bgsound link meta title noscript noframes style script template".split())
+#: Parts of a class that say the named thing is beside or missing: has-sidebar, no-sidebar, with-comments.
+BESIDE = frozenset("has no not with without".split())
+THREAD = COMMENT | frozenset("commentlist discussion disqus respond responses".split())
+UNKNOWN, NAMED, THREADED, SURE = range(4)
 NAME = re.compile(r"[a-z0-9]+(?:-[a-z0-9]+)*")
 
 
-def is_surrounding(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+def is_surrounding(tag: str, attrs: list[tuple[str, str | None]]) -> int:
     if tag in NEVER:
-        return True
+        return SURE
+    found = NAMED if tag == "form" else UNKNOWN
     for key, value in attrs:
         value = (value or "").lower()
         if key == "hidden" or (key == "aria-hidden" and value == "true"):
-            return True
-        if key == "role" and value in ROLES:
-            return True
+            return SURE
+        if key == "role" and value in ROLES and value != "form":
+            return SURE
         if key == "style" and "display:none" in value.replace(" ", ""):
-            return True
+            return SURE
         if key in ("class", "id") and tag not in ("html", "body", "main"):
             # An article may well be about adverts or menus; only a comment is one by its class.
             names = COMMENT if tag == "article" else SURROUND
             for name in NAME.findall(value.replace("_", "-")):
-                if name in names or not names.isdisjoint(name.split("-")):
-                    return True
-    return False
+                parts = name.split("-")
+                if name in names or not (names.isdisjoint(parts) or not BESIDE.isdisjoint(parts)):
+                    found = max(found, NAMED if THREAD.isdisjoint(parts) else THREADED)
+    return found
 
 
 class Lines(HTMLParser):
@@ -70,19 +78,23 @@ class Lines(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int]] = []
-        self.stack: list[tuple[str, bool, int]] = []  # element, inside surroundings, container
+        self.found: list[tuple[str, int, int, int]] = []  # a line and its surrounding
+        self.stack: list[tuple[str, bool, int, int]] = []  # element, inside sure surroundings, container, surrounding
         self.parts: list[str] = []
         self.tags = 0
         self.parents = [-1]  # of each container; -1 for what hangs on the page itself
+        self.around = [0]  # the surrounding that each possible one stands in; 0 is none
+        self.thread = [False]
+        self.headed = [False]  # holds a headline, an article or a main part
+        self.plain = [0]  # characters outside links and headlines
 
-    def _where(self) -> tuple[str, bool, int]:
-        return self.stack[-1] if self.stack else ("", False, 0)
+    def _where(self) -> tuple[str, bool, int, int]:
+        return self.stack[-1] if self.stack else ("", False, 0, 0)
 
     def _flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.lines.append((text, self.tags, self._where()[2]))
+            self.found.append((text, self.tags, *self._where()[2:]))
             self.tags = 0
         self.parts = []
 
@@ -90,6 +102,8 @@ class Lines(HTMLParser):
         if tag in BLOCK:
             self._flush()
         self.tags += 1
+        if tag == "body" or tag not in HEAD and self._where()[0] == "head":
+            self._end_head()
         if tag in VOID:
             self.parts.append(" ")
             return
@@ -101,7 +115,7 @@ class Lines(HTMLParser):
                     break
                 if self.stack[i][0] in CONTAINER or self.stack[i][0] in ("ul", "ol", "dl"):
                     break
-        _, inside, container = self._where()
+        _, inside, container, around = self._where()
         if tag in CONTAINER:
             self.parents.append(-1 if any(t in ("html", "body") for t, *_ in self.stack[-1:]) else container)
             container = len(self.parents) - 1
@@ -109,7 +123,22 @@ class Lines(HTMLParser):
         header = tag == "header"
         kept = tag == "h1" and inside and any(t == "header" for t, *_ in self.stack) and any(
             t in ("article", "main") for t, *_ in self.stack)
-        self.stack.append((tag, not kept and (inside or header or is_surrounding(tag, attrs)), container))
+        kind = SURE if header else is_surrounding(tag, attrs)
+        if kind in (NAMED, THREADED) and not kept and not inside:
+            self.around.append(around)
+            self.thread.append(kind == THREADED)
+            self.headed.append(False)
+            self.plain.append(0)
+            around = len(self.around) - 1
+        elif tag in ("h1", "article", "main") and not inside:
+            self.headed[around] = True
+        self.stack.append((tag, not kept and (inside or kind == SURE), container, around))
+
+    def _end_head(self) -> None:
+        for i, entry in enumerate(self.stack):
+            if entry[0] == "head":
+                del self.stack[i:]
+                return
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -129,8 +158,13 @@ class Lines(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
-        if not self._where()[1]:
+        if self._where()[0] == "head" and data.strip():
+            self._end_head()
+        tag, inside, _, around = self._where()
+        if not inside:
             self.parts.append(data)
+            if tag not in ("a", "h1", "h2", "h3", "h4", "h5", "h6"):
+                self.plain[around] += len(data.strip())
 
     def updatepos(self, i: int, j: int) -> int:
         return j  # line numbers are of no use here
@@ -143,6 +177,23 @@ class Lines(HTMLParser):
         self._flush()
 
 
+def page_lines(parser: Lines) -> list[tuple[str, int, int]]:
+    """Lines outside surroundings. Those by name or form stay if they hold most of the page's plain text.
+
+    They also need a headline, an article or a main part inside, or hardly any text outside; a
+    thread of comments needs the former.
+    """
+    size, headed = parser.plain.copy(), parser.headed.copy()
+    for k in range(len(size) - 1, 0, -1):  # inner ones come last
+        size[parser.around[k]] += size[k]
+        headed[parser.around[k]] |= headed[k]
+    stays = [True]
+    for k in range(1, len(size)):
+        wraps = headed[k] or (not parser.thread[k] and parser.plain[0] <= 0.1 * size[k])
+        stays.append(stays[parser.around[k]] and 2 * size[k] > size[0] and wraps)
+    return [line for *line, k in parser.found if stays[k]]
+
+
 def smooth(x: np.ndarray, sigma: float) -> np.ndarray:
     """Gaussian smoothing; at the ends the kernel is cut and weighted anew."""
     radius = max(1, int(round(3 * sigma)))
@@ -186,7 +237,7 @@ def main_text(html: str | None) -> str:
         parser.close()
     except AssertionError:  # the parser gives up on some broken declarations; what it read counts
         parser._flush()
-    return "\n".join(content_lines(parser.lines, parser.parents))
+    return "\n".join(content_lines(page_lines(parser), parser.parents))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

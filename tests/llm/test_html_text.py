@@ -55,3 +55,24 @@ def test_awkward_rows(spark):
     got = extract_pages(frame).collect()
     assert [r.text if r.n_chars < 100 else r.n_chars for r in got] == ["", "", "", "plain", "plain", 799_999, ""]
     assert extract_pages(frame.limit(0)).count() == 0
+
+
+TEXT = " ".join(["word"] * 60)
+
+
+def test_wrappers_named_after_what_is_beside():
+    for name in ("content has-sidebar", "no-sidebar", "with-comments", "page-header-fixed", "comments-open"):
+        page = f"<body><div class='{name}'><h1>Head</h1><p>{TEXT}</p><div class=comments><p>{TEXT} {TEXT} {TEXT}</p></div></div></body>"
+        assert main_text(page) == f"Head\n{TEXT}", name
+    assert main_text(f"<body><article><p>{TEXT}</p></article><div class=cookie-notice><p>{TEXT} {TEXT}</p></div></body>") == TEXT
+
+
+def test_head_without_end():
+    assert main_text(f"<html><head><title>x</title><body><p>{TEXT}</p></body></html>") == TEXT
+    assert main_text(f"<head><title>x</title><p>{TEXT}</p>") == TEXT
+
+
+def test_page_inside_a_form():
+    page = f"<body><form id=aspnet><nav>Menu</nav><p>{TEXT}</p><select><option>1</select></form></body>"
+    assert main_text(page) == TEXT
+    assert main_text(f"<body><p>{TEXT}</p><form><p>Mail</p></form></body>") == TEXT
