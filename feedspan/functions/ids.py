@@ -6,20 +6,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _digest(natural_key: tuple[Column, ...]) -> Column:
-    return F.md5(F.concat_ws("\x1f", *[c.cast("string") for c in natural_key]))
+def _encoded(part: Column) -> Column:
+    """A value with its length before it, so that parts can't run together; NULL has a sign of its own."""
+    text = part.cast("string")
+    return F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("~"))
 
 
-def stable_long(*natural_key: Column) -> Column:
-    """The first 60 bits of the natural key's hash: a positive bigint, the same on a rerun."""
-    return F.conv(F.substring(_digest(natural_key), 1, 15), 16, 10).cast("bigint")
+def stable_uuid(*key: Column) -> Column:
+    """A UUID-shaped hash of a key: the same row gets the same id on a rerun.
 
-
-def stable_uuid(*natural_key: Column) -> Column:
-    """A UUID-shaped hash of the natural key: the same row gets the same id on a rerun.
-
-    Key parts are joined by a unit separator, so ('ab', 'c') and ('a', 'bc') differ.
+    All 128 bits of the hash are kept. Key parts are told apart by their lengths, and NULL differs
+    from every text: ('ab', 'c'), ('a', 'bc'), ('abc', NULL) and (NULL, 'abc') give four ids.
     """
-    digest = _digest(natural_key)
+    digest = F.md5(F.concat(*map(_encoded, key)))
     cuts = [(1, 8), (9, 4), (13, 4), (17, 4), (21, 12)]
     return F.concat_ws("-", *[F.substring(digest, start, n) for start, n in cuts])

@@ -43,7 +43,41 @@ def test_token_match(spark, text, query, expected):
 
 
 def test_tokens(spark):
-    assert one(spark, tokens(F.lit(" A-b a, Ünï 42! "))) == ["a", "b", "ünï", "42"]
+    assert one(spark, tokens(F.lit(" A, b a, Ünï 42! "))) == ["a", "b", "ünï", "42"]
+
+
+@pytest.mark.parametrize("text, want", [
+    ("", ""), ("one", "one"), ("it's here", "it s here"), ("AT&T", "at t"), ("C++", "c"), ("#tag", "tag"),
+    ("foo_bar", "foo bar"), ("5th of May", "5th of may"), ("naïve Straße", "naïve straße"), ("日本 語", "日本 語"),
+    # Hyphenated words and their parts.
+    ("foo-bar", "foo-bar foo bar"), ("state-of-the-art", "state-of-the-art state of the art"),
+    ("foo-beta1", "foo-beta1 foo beta1"), ("Über-Maß", "über-maß über maß"), ("a - b", "a b"), ("trailing- word", "trailing word"),
+    ("Foo-Foo", "foo-foo foo"),
+    # Numbers.
+    ("-12", "-12"), ("+5", "+5"), ("10-20", "10 -20"), ("2024-01-05", "2024 -01 -05"), ("3.14", "3.14"), ("-1.234", "-1.234"),
+    ("-1.234e56", "-1.234e56"), ("1e5", "1e5"), ("8.3.0", "8.3.0"), ("1,000", "1 000"), ("$9.99", "9.99"), ("50%", "50"), ("12:30", "12 30"),
+    # Addresses.
+    ("foo@example.com", "foo@example.com"), ("Ada.Lovelace-2@mail.example.org!", "ada.lovelace-2@mail.example.org"), ("x@y", "x y"),
+    ("www.example.com", "www.example.com"), ("node.js", "node.js"), ("example.com:8080", "example.com:8080"),
+    ("http://example.com", "example.com"),
+    ("https://Example.com/stuff/Index.html", "example.com/stuff/index.html example.com /stuff/index.html"),
+    ("see example.com/a?b=c now", "see example.com/a?b=c example.com /a?b=c now"),
+    ("example.com:80/", "example.com:80/ example.com:80 /"),
+    ("/usr/local/foo.txt", "/usr/local/foo.txt"), ("path/file", "path/file"), ("and/or", "and/or"), ("01/02/2024", "01/02/2024"),
+    # Markup.
+    ('<a href="x.html">go</a>', "go"), ("fish &amp; chips &#33;", "fish chips"), ("<!-- no --> yes", "yes"), ("a < b", "a b"),
+    ("End. Next", "end next"),
+])
+def test_compound_tokens(spark, text, want):
+    assert one(spark, tokens(F.lit(text))) == want.split()
+
+
+def test_compound_queries(spark):
+    match = lambda text, query: one(spark, token_match(F.lit(text), query))
+    assert match("a state-of-the-art thing", "state-of-the-art") and match("a state-of-the-art thing", "art")
+    assert not match("state of the art", "state-of-the-art")
+    assert match("mail foo@example.com", "foo@example.com") and not match("mail foo@example.com", "foo")
+    assert match("at https://example.com/a/b", "example.com")
 
 
 def test_creator_score(spark):
@@ -131,7 +165,9 @@ def test_uuid_and_url(spark):
 
 
 def test_stable_uuid(spark):
-    ids = [one(spark, stable_uuid(*map(F.lit, k))) for k in [("ab", "c"), ("a", "bc"), ("ab", "c")]]
+    keys = [("ab", "c"), ("a", "bc"), ("ab", "c"), ("abc", None), (None, "abc"), ("", "abc"), ("~", "abc")]
+    ids = [one(spark, stable_uuid(*[F.lit(x).cast("string") for x in k])) for k in keys]
+    assert len(set(ids)) == 6
     assert ids[0] == ids[2] != ids[1]
     assert one(spark, checks.is_valid_uuid(F.lit(ids[0])))
 
