@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from feedspan.operators.keys import highest, is_serial, numbered, serial_id
 from feedspan.sources.storage import staged
 
 
@@ -21,6 +22,20 @@ class Change:
     table: DataFrame  # the table after the batch
     changed: DataFrame  # rows written, updated or deleted
     rejected: DataFrame  # changes that did not apply
+    # Every row of the table once, with `__state`: kept, changed, cleared or deleted. The frames above
+    # are filters on it, so a job that wants more than one of them reads this one, or stages it.
+    judged: DataFrame | None = None
+
+
+def _judged(judged: DataFrame, columns: Sequence[str], rejected: DataFrame) -> Change:
+    plain = [F.col(c) for c in columns]
+    return Change(
+        judged.filter("__state <> 'deleted'").select(*plain), judged.filter("__state <> 'kept'").select(*plain),
+        rejected, judged.select(*plain, "__state"))
+
+
+def _state(hit: Column, state: str) -> Column:
+    return F.when(F.coalesce(hit, F.lit(False)), state).otherwise("kept").alias("__state")
 
 
 def _normalised(df: DataFrame, keys: Sequence[str], ignore_case: bool, prefix: str) -> list[Column]:
@@ -55,21 +70,25 @@ def existing_keys(
     return held.join(asked, _matches(names, asked.columns), "left_semi").distinct()
 
 
-def insert_unique(
+def flag_unique(
     table: DataFrame,
     batch: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
     ignore_case: bool = False,
-) -> Change:
-    """Insert rows whose key is new; the first row in `order` wins inside the batch.
+    eligible: Column | None = None,
+    first: int | None = None,
+) -> DataFrame:
+    """The batch with `__ok`, true where a row's key is new and the row is the first in `order`.
 
-    `order` must be unique in the batch. Winners come from one map-side combined
-    grouping and are matched back on (key, order), so a key repeated in a third of
-    the batch is spread over all tasks. A NULL in a key never clashes.
+    Rows that aren't `eligible` take no part and are not ok. `order` must be unique in the batch and never NULL. Winners come from one map-side combined
+    grouping and are matched back on their order, so a key repeated in a third of the batch is
+    spread over all tasks. A NULL in a key never clashes. Where the table numbers its rows, an
+    accepted row also gets its id: consecutive numbers after `first`, or the table's largest, in `order`.
     """
     names = [f"__b{i}" for i in range(len(keys))]
-    keyed = batch.select("*", *_normalised(batch, keys, ignore_case, "__b"))
+    asking = batch if eligible is None else batch.filter(eligible)
+    keyed = asking.select(*order, *_normalised(batch, keys, ignore_case, "__b"))
     any_null = F.lit(False)
     for n in names:
         any_null = any_null | F.col(n).isNull()
@@ -78,25 +97,44 @@ def insert_unique(
     winners = keyed.filter(~any_null).groupBy(*names).agg(F.min(rank).alias("__w"))
     won = [F.col(f"__w.{o}") for o in order] if len(order) > 1 else [F.col("__w")]
     held = existing_keys(table, winners.select(*names), keys, ignore_case)
+    places = [f"__o{i}" for i in range(len(order))]
     fresh = winners.join(held, _matches(names, held.columns), "left_anti").select(
-        *[F.col(n).alias(n.replace("__b", "__f")) for n in names],
-        *[w.alias(f"__o{i}") for i, w in enumerate(won)],
-    )
-    flagged = keyed.join(
-        fresh.withColumn("__fresh", F.lit(True)),
-        _matches(
-            [*names, *order],
-            [*[n.replace("__b", "__f") for n in names], *[f"__o{i}" for i in range(len(order))]],
-        ),
-        "left",
-    ).withColumn("__ok", F.coalesce(F.col("__fresh"), F.lit(False)) | any_null)
-    accepted = flagged.filter("__ok").select(*batch.columns)
-    rejected = flagged.filter(~F.col("__ok")).select(*batch.columns)
+        *[w.alias(o) for w, o in zip(won, places, strict=True)])
+    if any(f.nullable for f in keyed.schema if f.name in names):
+        fresh = fresh.unionAll(keyed.filter(any_null).select(*order).toDF(*places))
+    if not is_serial(table, batch):
+        fresh = fresh.withColumn("__ok", F.lit(True))
+        flagged = batch.join(fresh, _matches(order, places), "left")
+        return flagged.withColumn("__ok", F.coalesce("__ok", F.lit(False))).drop(*places)
+    flagged = batch.join(numbered(fresh, places), _matches(order, places), "left")
+    number = serial_id(table, highest(table) if first is None else first, F.col("__n"))
+    return flagged.select(*batch.columns, number, F.col("__n").isNotNull().alias("__ok"))
+
+
+def insert_unique(
+    table: DataFrame,
+    batch: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    ignore_case: bool = False,
+    first: int | None = None,
+) -> Change:
+    """Insert rows whose key is new; the first row in `order` wins inside the batch (see `flag_unique`)."""
+    flagged = flag_unique(table, batch, keys, order, ignore_case, first=first)
+    accepted = flagged.filter("__ok").drop("__ok")
+    rejected = flagged.filter(~F.col("__ok")).drop("__ok")
     return Change(_with_rows(table, accepted), accepted, rejected)
 
 
-def append_rows(table: DataFrame, batch: DataFrame) -> Change:
-    """Append all rows; columns the batch lacks become NULL."""
+def append_rows(table: DataFrame, batch: DataFrame, order: Sequence[str] = (), first: int | None = None) -> Change:
+    """Append all rows; columns the batch lacks become NULL.
+
+    Where the table numbers its rows, they get consecutive numbers in `order` after `first`, or
+    after the table's largest.
+    """
+    if is_serial(table, batch):
+        rows, start = numbered(batch, order), highest(table) if first is None else first
+        batch = rows.select(*batch.columns, serial_id(table, start, F.col("__n")))
     return Change(_with_rows(table, batch), batch, batch.limit(0))
 
 
@@ -118,49 +156,48 @@ def versioned_update(
     order: Sequence[str],
     version: str = "version",
     fixed: Mapping[str, Column] | None = None,
+    stage: bool = False,
 ) -> Change:
     """Optimistic update: a change applies only where its version is the row's version.
 
     NULL in a change means "keep the old value". Of several changes with the right
     version, the first in `order` applies; the others, and changes with a stale
-    version or unknown key, are rejected as edit conflicts.
+    version or unknown key, are rejected as edit conflicts. With `stage` the judged
+    table is written once and all results read that.
     """
     match_on = [*keys, version]
+    at = [f"__k{i}" for i in range(len(match_on))]
+    places = [f"__o{i}" for i in range(len(order))]
     first = changes.groupBy(*match_on).agg(
         F.min_by(F.struct(*[F.col(c) for c in set_columns]), F.struct(*order)).alias("__set"),
         F.min(F.struct(*order)).alias("__first"),
     )
     picked = first.select(
-        *[F.col(k).alias(f"__k{i}") for i, k in enumerate(match_on)],
+        *[F.col(k).alias(a) for k, a in zip(match_on, at, strict=True)],
+        *[F.col(f"__first.{o}").alias(p) for o, p in zip(order, places, strict=True)],
         F.lit(True).alias("__hit"),
         *[F.col(f"__set.{c}").alias(f"__c_{c}") for c in set_columns],
     )
-    joined = table.join(
-        picked, _matches(match_on, [f"__k{i}" for i in range(len(match_on))]), "left"
-    )
+    joined = table.join(picked, _matches(match_on, at), "left")
     hit = F.coalesce(F.col("__hit"), F.lit(False))
-    result = joined.select(*_updated(table, set_columns, hit), hit.alias("__hit_row"))
+    result = joined.select(*_updated(table, set_columns, hit), _state(hit, "changed"), *at, *places)
     # Fixed values and the version step come after the change's own values.
-    result = result.select(
+    changed = F.col("__state") == "changed"
+    judged = result.select(
         *[
-            (F.when(F.col("__hit_row"), F.col(c) + 1).otherwise(F.col(c)).alias(c)
+            (F.when(changed, F.col(c) + 1).otherwise(F.col(c)).alias(c)
              if c == version
-             else F.when(F.col("__hit_row"), fixed[c]).otherwise(F.col(c)).alias(c)
+             else F.when(changed, fixed[c]).otherwise(F.col(c)).alias(c)
              if fixed and c in fixed
              else F.col(c))
             for c in table.columns
         ],
-        "__hit_row",
-    )
-    held = existing_keys(table, first.select(*match_on), match_on)
-    applied = first.join(held, _matches(match_on, held.columns), "left_semi").select(
-        *[F.col(k).alias(f"__k{i}") for i, k in enumerate(match_on)],
-        *[F.col(f"__first.{o}").alias(f"__o{i}") for i, o in enumerate(order)],
+        "__state", *at, *places,
     )
+    judged = staged(judged, "judged-rows") if stage else judged
+    applied = judged.filter(changed).select(*at, *places)
     rejected = changes.join(applied, _matches([*match_on, *order], applied.columns), "left_anti")
-    return Change(
-        result.drop("__hit_row"), result.filter("__hit_row").drop("__hit_row"), rejected
-    )
+    return _judged(judged, table.columns, rejected)
 
 
 def keyed_update(
@@ -170,20 +207,22 @@ def keyed_update(
     set_columns: Sequence[str],
     order: Sequence[str],
     fixed: Mapping[str, Column] | None = None,
+    stage: bool = False,
 ) -> Change:
     """Unconditional update by key; the last change in `order` wins, NULLs are written."""
     last = changes.groupBy(*keys).agg(
         F.max_by(F.struct(*set_columns), F.struct(*order)).alias("__set")
     )
+    at = [f"__k{i}" for i in range(len(keys))]
     picked = last.select(
-        *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)],
+        *[F.col(k).alias(a) for k, a in zip(keys, at, strict=True)],
         F.lit(True).alias("__hit"),
         *[F.col(f"__set.{c}").alias(f"__c_{c}") for c in set_columns],
     )
-    joined = table.join(picked, _matches(keys, [f"__k{i}" for i in range(len(keys))]), "left")
+    joined = table.join(picked, _matches(keys, at), "left")
     hit = F.coalesce(F.col("__hit"), F.lit(False))
     fixed = dict(fixed or {})
-    result = joined.select(
+    judged = joined.select(
         *[
             F.when(hit, F.col(f"__c_{c}")).otherwise(F.col(c)).alias(c)
             if c in set_columns
@@ -192,13 +231,12 @@ def keyed_update(
             else F.col(c)
             for c in table.columns
         ],
-        hit.alias("__hit_row"),
-    )
-    held = existing_keys(table, changes.select(*keys).distinct(), keys)
-    rejected = changes.join(held, _matches(keys, held.columns), "left_anti")
-    return Change(
-        result.drop("__hit_row"), result.filter("__hit_row").drop("__hit_row"), rejected
+        _state(hit, "changed"), *at,
     )
+    judged = staged(judged, "judged-rows") if stage else judged
+    applied = judged.filter("__state = 'changed'").select(*at).distinct()
+    rejected = changes.join(applied, _matches(keys, at), "left_anti")
+    return _judged(judged, table.columns, rejected)
 
 
 def transition(
@@ -233,16 +271,15 @@ def expire_challenges(challenges: DataFrame, as_of: Column) -> Change:
     return transition(challenges, stale, {"status": F.lit("failed"), "updated_at": as_of})
 
 
-def delete_by_keys(table: DataFrame, doomed: DataFrame, keys: Sequence[str]) -> Change:
+def delete_by_keys(table: DataFrame, doomed: DataFrame, keys: Sequence[str], stage: bool = False) -> Change:
     """Delete rows whose key occurs in `doomed`."""
-    asked = doomed.select(*[F.col(k).alias(f"__d{i}") for i, k in enumerate(keys)])
-    cond = _matches(keys, asked.columns)
-    held = existing_keys(table, asked, keys)
-    return Change(
-        table.join(asked, cond, "left_anti"),
-        table.join(asked, cond, "left_semi"),
-        doomed.join(held, _matches(keys, held.columns), "left_anti"),
-    )
+    at = [f"__d{i}" for i in range(len(keys))]
+    asked = doomed.select(*[F.col(k).alias(a) for k, a in zip(keys, at, strict=True)]).distinct()
+    judged = table.join(asked, _matches(keys, at), "left").select(
+        *[F.col(c) for c in table.columns], _state(F.col(at[0]).isNotNull(), "deleted"))
+    judged = staged(judged, "judged-rows") if stage else judged
+    gone = judged.filter("__state = 'deleted'").select(*[F.col(k).alias(a) for k, a in zip(keys, at, strict=True)]).distinct()
+    return _judged(judged, table.columns, doomed.join(gone, _matches(keys, at), "left_anti"))
 
 
 def purge_older_than(table: DataFrame, as_of: Column, minutes_kept: int) -> Change:
@@ -351,9 +388,12 @@ def cascade_delete(
             F.when(F.col("__cleared"), None).otherwise(F.col(c)).alias(c) if c in cleared.get(name, {}) else F.col(c)
             for c in table.columns
         ]
-        touched = F.col("__gone") | F.col("__cleared")
+        state = F.when(F.col("__gone"), "deleted").when(F.col("__cleared"), "cleared").otherwise("kept")
+        # Deleted and cleared rows are told as they were, the table has them as they are now.
         results[name] = Change(
-            flagged.filter(~F.col("__gone")).select(*columns), flagged.filter(touched).select(*table.columns), table.limit(0))
+            flagged.filter(~F.col("__gone")).select(*columns),
+            flagged.filter(F.col("__gone") | F.col("__cleared")).select(*table.columns), table.limit(0),
+            flagged.select(*columns, state.alias("__state")))
         below = [
             (into, *edge) for edges, into in ((CASCADES, lost), (SET_NULL, cleared))
             for edge in edges.get(name, []) if edge[0] in tables

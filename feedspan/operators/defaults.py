@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedspan.functions.ids import stable_long, stable_uuid
+from feedspan.functions.ids import stable_uuid
+from feedspan.operators.keys import numbered
 
-# What makes a row of a table unique besides its id; the id is a hash of it.
+# What makes a row of a table unique besides its id, in columns that are never NULL.
 NATURAL_KEYS = {
     "feeds": ("url",),
     "feed_follows": ("user_id", "feed_id"),
@@ -15,12 +18,9 @@ NATURAL_KEYS = {
     "favorites": ("user_id", "post_id"),
     "notifications": ("feed_id", "created_at"),
     "comment_notifications": ("comment_id", "user_id"),
-    "subscriptions": ("transaction_id", "authorization_code"),
     "permissions": ("code",),
     "payment_plans": ("name",),
     "users": ("email",),
-    "challenged_transactions": ("reference",),
-    "failed_transactions": ("reference",),
 }
 
 # Defaults of columns that an insert leaves out. NOW stands for the time of the insert.
@@ -60,10 +60,12 @@ DEFAULTS = {
 }
 
 
-def complete(batch: DataFrame, table: DataFrame, name: str, now: Column) -> DataFrame:
-    """The batch with an id and the defaults of table `name`, for columns of `table` it leaves out.
+def complete(batch: DataFrame, table: DataFrame, name: str, now: Column, order: Sequence[str] = ()) -> DataFrame:
+    """The batch with the defaults of table `name`, for columns of `table` it leaves out, and text ids.
 
-    An id has the type of the table's own and is a hash of the row's natural key, so a rerun
+    Numeric ids are numbers above the table's and come with the insert (`insert_unique`,
+    `append_rows`). A text id is a hash of the row's natural key, or, where a table has no key that
+    is unique and never NULL, of the time of the insert and the row's number in `order`. So a rerun
     gives the same row the same id. Columns that the batch has, NULL or not, stay as they are.
     """
     given = {}
@@ -71,8 +73,8 @@ def complete(batch: DataFrame, table: DataFrame, name: str, now: Column) -> Data
         if column in table.columns and column not in batch.columns:
             given[column] = (now if value is NOW else F.lit(value)).cast(table.schema[column].dataType)
     out = batch.withColumns(given) if given else batch
-    if "id" in table.columns and "id" not in batch.columns:
-        make = stable_uuid if table.schema["id"].dataType.simpleString() == "string" else stable_long
-        key = [F.lit(name), *[F.col(k) for k in NATURAL_KEYS[name]]]
-        out = out.withColumn("id", make(*key).cast(table.schema["id"].dataType))
-    return out
+    if "id" not in table.columns or "id" in batch.columns or table.schema["id"].dataType.simpleString() != "string":
+        return out
+    if name in NATURAL_KEYS:
+        return out.withColumn("id", stable_uuid(F.lit(name), *[F.col(k) for k in NATURAL_KEYS[name]]))
+    return numbered(out, order).withColumn("id", stable_uuid(F.lit(name), now, F.col("__n"))).drop("__n")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedspan.functions.checks import is_valid_url
 from feedspan.functions.html import sanitize_fields
 from feedspan.functions.timestamps import parse_any_timestamp
-from feedspan.operators.changes import Change, insert_unique, keyed_update
+from feedspan.operators.changes import Change, flag_unique, keyed_update
 from feedspan.operators.defaults import complete
 from feedspan.sources.storage import staged
 
@@ -35,18 +37,25 @@ ATOM_ENTRY = (
     "updated:string>"
 )
 # RSS 1.0 has its items beside the channel, RSS 2.0 inside it.
-DOCUMENT = (
+RSS = (
     "channel struct<title:string,link:string,description:string,language:string,`dc:language`:string,"
-    f"item:array<{RSS_ITEM}>>, item array<{RSS_ITEM}>, title string, subtitle string, `_xml:lang` string, "
-    f"link {LINKS}, entry array<{ATOM_ENTRY}>"
+    f"item:array<{RSS_ITEM}>>, item array<{RSS_ITEM}>"
 )
+ATOM = f"title string, subtitle string, `_xml:lang` string, link {LINKS}, entry array<{ATOM_ENTRY}>"
 JSON_FEED = (
     "version string, title string, home_page_url string, description string, language string, "
     "items array<struct<url:string,external_url:string,title:string,content_html:string,content_text:string,"
     "summary:string,image:string,banner_image:string,date_published:string,date_modified:string>>"
 )
 # The root element stands after declarations, comments and white space; its prefix is optional.
-ROOT = r"(?s)^\x{FEFF}?(?:\s+|<\?.*?\?>|<!--.*?-->|<![^>]*>)*+<(?:(\w+):)?(rss|RDF|feed)[\s>]"
+PROLOG = r"^\x{FEFF}?(?:\s+|<\?.*?\?>|<!--.*?-->)*+"
+ROOT = rf"(?is){PROLOG}<(?:(\w+):)?(rss|rdf|feed)[\s>]"
+# A document type, with its own declarations or without.
+DOCTYPE = rf"(?is)({PROLOG})<!DOCTYPE(?:[^\[>\"']++|\"[^\"]*+\"|'[^']*+')*+(?:\[(?:[^\]\"']++|\"[^\"]*+\"|'[^']*+')*+\]\s*+)?>"
+# What XML itself reads after an ampersand; anything else would end the whole document.
+REFERENCE = r"&(?:amp|lt|gt|quot|apos|#\d+|#x[0-9A-Fa-f]+);"
+STRAY = r"&(?!(?:amp|lt|gt|quot|apos|#\d+|#x[0-9A-Fa-f]+);)"
+XML_PARTS = r"(?s)<!\[CDATA\[.*?\]\]>|&(?:#?\w+;)?|[^&<]++|<"
 ITEM_FIELDS = ["title", "link", "description", "content", "published", "image_url"]
 
 
@@ -109,63 +118,94 @@ def _json_item(item: Column) -> Column:
     )
 
 
+def readable_xml(text: Column) -> Column:
+    """XML without its document type, and with HTML's entities and stray ampersands as XML can read them.
+
+    Feeds are read as leniently as people write them: `&nbsp;` becomes its number, an unknown name or
+    a bare ampersand becomes text. CDATA sections stay as they are. Texts without such signs pass
+    through after one search.
+    """
+    known = F.create_map(*[
+        F.lit(x) for name, code in sorted(name2codepoint.items()) for x in (f"&{name};", f"&#{code};")])
+    bare = F.when(text.rlike(r"(?i)<!DOCTYPE"), F.regexp_replace(text, DOCTYPE, "$1")).otherwise(text)
+
+    def part(p: Column) -> Column:
+        other = F.coalesce(F.try_element_at(known, p), F.concat(F.lit("&amp;"), F.substring(p, 2, 1 << 30)))
+        return F.when(~p.startswith("&") | p.rlike(REFERENCE), p).otherwise(other)
+
+    mended = F.array_join(F.transform(F.regexp_extract_all(bare, F.lit(XML_PARTS), F.lit(0)), part), "")
+    return F.when(bare.rlike(STRAY), mended).otherwise(bare)
+
+
 def parse_channels(raw: DataFrame, body: str = "body") -> DataFrame:
     """Adds kind ('rss', 'atom', 'json', NULL when none), channel fields and the `items` array.
 
-    RSS 0.9x, 1.0 (RDF) and 2.0, Atom with or without a prefix, and JSON Feed.
+    RSS 0.9x, 1.0 (RDF) and 2.0, Atom with or without a prefix, and JSON Feed. Each shape is parsed
+    with a schema of its own, picked by the root element.
     """
-    text = F.col(body)
-    prefix, root = F.regexp_extract(text, ROOT, 1), F.regexp_extract(text, ROOT, 2)
+    is_json = F.coalesce(F.ltrim(F.col(body)).startswith("{"), F.lit(False))
+    text = F.when(~is_json, readable_xml(F.col(body)))
+    doc = raw.withColumn("__text", F.explode_outer(F.array(text)))
+    text = F.col("__text")
+    root = F.lower(F.regexp_extract(text, ROOT, 2))
+    prefix = F.regexp_extract(text, ROOT, 1)
     plain = F.when(
-        (prefix != "") & (root == "feed"), F.regexp_replace(text, F.concat(F.lit("(</?)"), prefix, F.lit(":")), F.lit("$1"))
+        prefix != "", F.regexp_replace(text, F.concat(F.lit("(</?)"), prefix, F.lit(":")), F.lit("$1"))
     ).otherwise(text)
-    is_json = F.coalesce(F.ltrim(text).startswith("{"), F.lit(False))
-    doc = raw.withColumns({
-        "__root": root,
-        "__d": F.from_xml(F.when(~is_json, plain), DOCUMENT, {"mode": "PERMISSIVE"}),
-        "__j": F.from_json(F.when(is_json, text), JSON_FEED, {"mode": "PERMISSIVE"}),
+    lenient = {"mode": "PERMISSIVE"}
+    doc = doc.withColumns({
+        "__r": F.from_xml(F.when(root.isin("rss", "rdf"), text), RSS, lenient),
+        "__a": F.from_xml(F.when(root == "feed", plain), ATOM, lenient),
+        "__j": F.from_json(F.when(is_json, F.col(body)), JSON_FEED, lenient),
     })
-    d, j = F.col("__d"), F.col("__j")
-    is_rss = (F.col("__root").isin("rss", "RDF")) & d["channel"].isNotNull()
-    is_atom = (F.col("__root") == "feed") & (d["title"].isNotNull() | d["entry"].isNotNull())
+    r, a, j = F.col("__r"), F.col("__a"), F.col("__j")
+    is_rss = r["channel"].isNotNull()
+    is_atom = a["title"].isNotNull() | a["entry"].isNotNull()
     is_feed = j["version"].contains("jsonfeed.org") & (j["title"].isNotNull() | j["items"].isNotNull())
     kind = F.when(is_rss, "rss").when(is_atom, "atom").when(is_feed, "json")
     pick = lambda rss, atom, json: _blank(
         F.when(is_rss, rss).when(is_atom, atom).when(is_feed, F.trim(json)))
     items = (
-        F.when(is_rss, F.transform(F.coalesce(d["channel"]["item"], d["item"]), _rss_item))
-        .when(is_atom, F.transform(d["entry"], _atom_item))
+        F.when(is_rss, F.transform(F.coalesce(r["channel"]["item"], r["item"]), _rss_item))
+        .when(is_atom, F.transform(a["entry"], _atom_item))
         .when(is_feed, F.transform(j["items"], _json_item))
     )
-    language = F.coalesce(d["channel"]["language"], d["channel"]["dc:language"])
+    language = F.coalesce(r["channel"]["language"], r["channel"]["dc:language"])
     return (
         doc.withColumn("kind", kind)
-        .withColumn("channel_title", pick(d["channel"]["title"], d["title"], j["title"]))
-        .withColumn("channel_link", pick(d["channel"]["link"], _page_link(d["link"]), j["home_page_url"]))
-        .withColumn("channel_description", pick(d["channel"]["description"], d["subtitle"], j["description"]))
-        .withColumn("channel_language", pick(language, d["_xml:lang"], j["language"]))
+        .withColumn("channel_title", pick(r["channel"]["title"], a["title"], j["title"]))
+        .withColumn("channel_link", pick(r["channel"]["link"], _page_link(a["link"]), j["home_page_url"]))
+        .withColumn("channel_description", pick(r["channel"]["description"], a["subtitle"], j["description"]))
+        .withColumn("channel_language", pick(language, a["_xml:lang"], j["language"]))
         .withColumn("items", items)
-        .drop("__d", "__j", "__root", body)
+        .drop("__r", "__a", "__j", "__text", body)
     )
 
 
-def parse_feed_documents(raw: DataFrame, body: str = "body") -> DataFrame:
+def parse_feed_documents(raw: DataFrame, body: str = "body", unread: bool = False) -> DataFrame:
     """One row per item of every RSS, Atom or JSON body; bodies that are none give no rows.
 
-    The outer explode matters: an inner one lets Catalyst infer a filter on the array,
-    push it to the scan, and parse every body again for it.
+    With `unread` such a body gives one row, with a NULL kind and item. The outer explode matters: an
+    inner one lets Catalyst infer a filter on the array, push it to the scan, and parse every body
+    again for it.
     """
     parsed = parse_channels(raw, body)
     items = parsed.select(
         *[c for c in parsed.columns if c != "items"],
         F.posexplode_outer("items").alias("item_no", "__i"),
-    ).filter(F.col("item_no").isNotNull())
+    )
+    some = F.col("item_no").isNotNull()
+    items = items.filter(some | F.col("kind").isNull() if unread else some)
     return items.select(
         *[c for c in items.columns if c != "__i"],
         *[F.col(f"__i.{f}").alias(f"item_{f}") for f in ITEM_FIELDS],
     )
 
 
+POST_TEXT = [
+    "channeltitle", "channeldescription", "channellanguage",
+    "itemtitle", "itemdescription", "itemcontent",
+]
 SANITISED = [
     "channel_title", "channel_description", "channel_language",
     "item_title", "item_description", "item_content",
@@ -181,7 +221,7 @@ def sanitize_items(items: DataFrame, strict: bool = False) -> DataFrame:
 
 
 def judged_rows(items: DataFrame, fetched_at: Column, compat: bool = False) -> DataFrame:
-    """Items as post rows with a `reason` why an item can't be one: no valid link, no readable date.
+    """Items as post rows with a `reason` why one can't be: unreadable feed, invalid link, unreadable date.
 
     `compat` keeps an empty item description when the channel has a description.
     """
@@ -194,7 +234,8 @@ def judged_rows(items: DataFrame, fetched_at: Column, compat: bool = False) -> D
     # The date passes through an explode, so filters on it stay above and it is parsed once.
     at = F.array(parse_any_timestamp(F.col("item_published")))
     dated = items.select("*", F.explode_outer(at).alias("__at"))
-    reason = F.when(~F.coalesce(is_valid_url(F.col("item_link")), F.lit(False)), "invalid link").when(
+    unread = F.col("kind").isNull() if "kind" in items.columns else F.lit(False)
+    reason = F.when(unread, "unreadable feed").when(~F.coalesce(is_valid_url(F.col("item_link")), F.lit(False)), "invalid link").when(
         F.col("__at").isNull(), "unreadable date")
     return dated.select(
         "feed_id", "document_id", "item_no",
@@ -224,25 +265,24 @@ def ingest_posts(
 ) -> Change:
     """Fetched bodies (feed_id, document_id, body) to new posts; known item URLs are skipped.
 
-    Parsed items are staged, so bodies are parsed once and the search for duplicates
-    reads keys only. Text is sanitised after the duplicates are gone, so Python sees
-    new items only. `rejected` has every other item with a `reason`: duplicate, invalid
-    link or unreadable date.
+    Parsed items are staged, so bodies are parsed once and the search for duplicates reads keys
+    only. Every item then gets its outcome in one pass that is staged too: text is sanitised there,
+    of new items only. `rejected` has every other item with a `reason`: duplicate, invalid link,
+    unreadable date, or, for a body that is no feed, unreadable feed.
     """
-    rows = complete(judged_rows(parse_feed_documents(raw), fetched_at), posts, "posts", fetched_at)
-    rows = staged(rows, "parsed-items")
-    good = rows.filter("reason IS NULL").drop("reason")
-    fresh = insert_unique(posts, good, ["itemurl"], ["document_id", "item_no"])
-    fields = ["channeltitle", "channeldescription", "channellanguage",
-              "itemtitle", "itemdescription", "itemcontent"]
-    clean = fresh.changed.withColumn(
-        "__s", sanitize_fields({c: F.col(c) for c in fields}, strict)
-    )
-    accepted = clean.withColumns({c: F.col(f"__s.{c}") for c in fields}).drop("__s")
+    parsed = judged_rows(parse_feed_documents(raw, unread=True), fetched_at)
+    rows = staged(complete(parsed, posts, "posts", fetched_at), "parsed-items")
+    good = flag_unique(posts, rows, ["itemurl"], ["document_id", "item_no"], eligible=F.col("reason").isNull())
+    fields = {c: F.when(F.col("__ok"), F.col(c)) for c in POST_TEXT}
+    judged = good.withColumn("__s", sanitize_fields(fields, strict)).withColumns({
+        **{c: F.when(F.col("__ok"), F.col(f"__s.{c}")).otherwise(F.col(c)) for c in POST_TEXT},
+        "reason": F.when(~F.col("__ok"), F.coalesce("reason", F.lit("duplicate"))),
+    })
+    judged = staged(judged.drop("__s", "__ok"), "judged-items")
+    accepted = judged.filter("reason IS NULL").drop("reason")
     shared = [c for c in posts.columns if c in accepted.columns]
     table = posts.unionByName(accepted.select(*shared), allowMissingColumns=True)
-    rejected = fresh.rejected.withColumn("reason", F.lit("duplicate")).unionByName(rows.filter("reason IS NOT NULL"))
-    return Change(table, accepted, rejected)
+    return Change(table, accepted, judged.filter("reason IS NOT NULL"))
 
 
 def fetch_schedule(feeds: DataFrame, k: int) -> DataFrame:

@@ -45,7 +45,7 @@ def user_notifications(
 
 
 def comment_notification_rows(comments: DataFrame, notifications: DataFrame) -> DataFrame:
-    """One notification per new comment, replies included, carrying the commenter, with an id."""
+    """One notification per new comment, replies included, carrying the commenter."""
     rows = comments.select("user_id", "post_id", F.col("id").alias("comment_id"), "created_at")
     return complete(rows, notifications, "comment_notifications", F.col("created_at"))
 

@@ -31,11 +31,10 @@ def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
-def read_batches(spark: SparkSession, path: str, schema: str, before: int | None = None) -> DataFrame:
-    """All micro-batches, or those before a batch (what a replay of it must compare with)."""
+def read_batches(spark: SparkSession, path: str, schema: str, keep_batch: bool = False) -> DataFrame:
+    """All micro-batches, if wanted with the number of each row's batch."""
     df = spark.read.schema(f"{schema}, batch_id bigint").option("basePath", path).parquet(path)
-    df = df if before is None else df.filter(F.col("batch_id") < before)
-    return df.drop("batch_id")
+    return df if keep_batch else df.drop("batch_id")
 
 
 def staged(df: DataFrame, purpose: str) -> DataFrame:
