@@ -6,14 +6,19 @@ itself and results stay exact after a restart.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from feedspan.functions.html import sanitize_fields
-from feedspan.operators.changes import existing_keys, insert_unique, purge_older_than
+from feedspan.operators.changes import append_rows, purge_older_than
 from feedspan.operators.defaults import complete
+from feedspan.operators.keys import highest, is_serial
 from feedspan.plans.ingest import (
+    POST_TEXT,
     classify_scrape_errors,
     error_counters,
     parse_feed_documents,
@@ -22,10 +27,8 @@ from feedspan.plans.ingest import (
 )
 from feedspan.sources.storage import read_batches, staged, write_batch
 
-POST_TEXT = [
-    "channeltitle", "channeldescription", "channellanguage",
-    "itemtitle", "itemdescription", "itemcontent",
-]
+#: Ids that each micro-batch of an ingest stream has for itself.
+IDS_PER_BATCH = 1 << 32
 
 
 def table_stream(spark: SparkSession, root: str, table: str) -> DataFrame:
@@ -63,15 +66,16 @@ def _trigger(every: str | None) -> dict:
 
 def append_to(
     stream: DataFrame, path: str, checkpoint: str, prepare=lambda batch: batch,
-    every: str | None = None,
+    every: str | None = None, mode: str = "append",
 ) -> StreamingQuery:
-    """Write each micro-batch to its own folder.
+    """Write each micro-batch to its own folder: new rows, or with `update` every row that changed.
 
     Runs over all available input and stops, or keeps running with `every` (as in
     "10 minutes") between micro-batches.
     """
     return (
         stream.writeStream.option("checkpointLocation", checkpoint)
+        .outputMode(mode)
         .trigger(**_trigger(every))
         .foreachBatch(lambda batch, batch_id: write_batch(prepare(batch), path, batch_id))
         .start()
@@ -80,12 +84,49 @@ def append_to(
 
 def run_new_post_notifications(
     posts: DataFrame, feeds: DataFrame, path: str, checkpoint: str,
-    interval_minutes: int = 10, lateness: str = "10 minutes", every: str | None = None,
+    interval_minutes: int = 10, lateness: str = "10 minutes", every: str | None = None, open_windows: bool = False,
 ) -> StreamingQuery:
-    """Append one notification per feed and closed window."""
+    """Append one notification per feed and closed window.
+
+    With `open_windows` a micro-batch writes the count so far of every window it changed, closed or
+    not, so a run ends with all windows; `current_notifications` reads the last count of each.
+    """
     names = feeds.select(F.col("id").alias("feed_id"), F.col("name").alias("feed_name"))
     counts = post_counts(posts, interval_minutes, lateness)
-    return append_to(counts, path, checkpoint, lambda batch: batch.join(names, "feed_id"), every)
+    mode = "update" if open_windows else "append"
+    return append_to(counts, path, checkpoint, lambda batch: batch.join(names, "feed_id"), every, mode)
+
+
+def current_notifications(spark: SparkSession, path: str) -> DataFrame:
+    """The last written count of each feed and window; partial maxima per task come before the shuffle."""
+    schema = "feed_id bigint, post_count bigint, created_at timestamp, feed_name string"
+    written = read_batches(spark, path, schema, keep_batch=True)
+    return written.groupBy("feed_id", "created_at").agg(
+        F.max_by("post_count", "batch_id").alias("post_count"), F.max_by("feed_name", "batch_id").alias("feed_name"))
+
+
+class NewLinks(StatefulProcessor):
+    """Passes the first item of every link on and remembers the link for good."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "known boolean")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        if not self.seen.exists():
+            self.seen.update((True,))
+            yield min(rows, key=lambda r: (r["document_id"], r["item_no"]))
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        self.seen.update((True,))
+
+
+def _first_written(spark: SparkSession, path: str, value) -> int:
+    """A number fixed by the first run of a stream; later runs and replays read it back."""
+    try:
+        return spark.read.schema("n bigint").parquet(path).first()[0]
+    except AnalysisException:
+        spark.range(1).select(F.lit(value()).cast("bigint").alias("n")).coalesce(1).write.parquet(path)
+        return _first_written(spark, path, value)
 
 
 def run_post_ingest(
@@ -94,34 +135,33 @@ def run_post_ingest(
 ) -> StreamingQuery:
     """Insert posts from fetched bodies (feed_id, document_id, body, fetched_at).
 
-    A batch is compared with `posts` and with all earlier batches, never with itself, so
-    replays give the same rows. With `lateness`, repeats inside that time are already
-    dropped by keyed state before the batch.
+    Links already seen are keyed state in the state store, begun with the links of `posts`, so a
+    micro-batch looks up its own links and reads no earlier rows, however long the stream runs.
+    With `lateness`, repeats inside that time are dropped before that. Numeric ids come from a range
+    of each micro-batch's own above those of `posts`; replays give the same rows.
     """
     spark = bodies.sparkSession
     rows = complete(post_rows(parse_feed_documents(bodies), F.col("fetched_at")), posts, "posts", F.col("fetched_at"))
     if lateness:
         rows = rows.withWatermark("created_at", lateness).dropDuplicatesWithinWatermark(["itemurl"])
-    schema = ", ".join(
-        f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields
-    )
-    known = posts.select("itemurl")
+    new = rows.groupBy("itemurl").transformWithState(
+        NewLinks(), rows.schema, "Append", "None", initialState=posts.select("itemurl").distinct().groupBy("itemurl"))
+    numbered = is_serial(posts, rows)
+    first = _first_written(spark, f"{path}/_first_id", lambda: highest(posts)) if numbered else None
 
     def insert(batch: DataFrame, batch_id: int) -> None:
-        # The search for duplicates reads the batch several times; it is parsed once, into the
+        # Numbering and writing read the batch several times; it is parsed once, into the
         # shared folder, so a lost executor costs a re-read.
         batch = staged(batch, "ingest-batch")
-        fresh = insert_unique(known, batch, ["itemurl"], ["document_id", "item_no"]).changed
-        if batch_id > 0:
-            earlier = read_batches(spark, path, schema, before=batch_id).select("itemurl")
-            held = existing_keys(earlier, fresh.select("itemurl"), ["itemurl"])
-            fresh = fresh.join(held, F.col("itemurl") == F.col("__e0"), "left_anti")
-        clean = fresh.withColumn("__s", sanitize_fields({c: F.col(c) for c in POST_TEXT}, strict))
+        if numbered:
+            batch = append_rows(posts, batch, ["document_id", "item_no"], first + batch_id * IDS_PER_BATCH).changed
+        clean = batch.withColumn("__s", sanitize_fields({c: F.col(c) for c in POST_TEXT}, strict))
         clean = clean.withColumns({c: F.col(f"__s.{c}") for c in POST_TEXT}).drop("__s")
         write_batch(clean, path, batch_id)
 
     return (
-        rows.writeStream.option("checkpointLocation", checkpoint)
+        new.writeStream.option("checkpointLocation", checkpoint)
+        .outputMode("append")
         .trigger(**_trigger(every))
         .foreachBatch(insert)
         .start()

@@ -1,3 +1,4 @@
+import os
 import pytest
 from pyspark.sql import functions as F
 
@@ -44,6 +45,51 @@ def test_windows_match_batch_and_late_rows_drop(spark, tmp_path):
         [*first, (1, 1, "one")], key=lambda t: tuple(map(str, t)))
 
 
+def test_open_windows_end_with_their_last_count(spark, tmp_path):
+    schema = "feed_id bigint, created_at timestamp"
+    src, out, ck = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "ck")
+    feeds = spark.createDataFrame([(1, "one"), (2, "two")], "id bigint, name string")
+
+    def run():
+        stream = spark.readStream.schema(schema).parquet(str(src))
+        jobs.run_new_post_notifications(stream, feeds, out, ck, open_windows=True).awaitTermination()
+        got = jobs.current_notifications(spark, out).selectExpr("feed_id", "date_format(created_at, 'HH:mm')", "post_count")
+        return rows(got)
+
+    put(spark, src, [(1, "2024-01-01 00:01:00"), (1, "2024-01-01 00:09:59"), (2, "2024-01-01 00:12:00")], schema)
+    assert run() == [(1, "00:10", 2), (2, "00:20", 1)]
+    put(spark, src, [(2, "2024-01-01 00:13:00"), (1, "2024-01-01 02:00:00")], schema)
+    assert run() == [(1, "00:10", 2), (1, "02:10", 1), (2, "00:20", 2)]
+    # Too late for its window: what was counted stays.
+    put(spark, src, [(2, "2024-01-01 00:14:00")], schema)
+    assert run() == [(1, "00:10", 2), (1, "02:10", 1), (2, "00:20", 2)]
+
+
+def test_ingest_knows_links_without_reading_earlier_rows(spark, tmp_path):
+    """Earlier output is gone, the links stay known; ids go on and never meet those of the table."""
+    src, out, ck = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck")
+    posts = spark.createDataFrame([(70, "https://atom.example/1")], "id bigint, itemurl string")
+    schema = "document_id bigint, feed_id bigint, url string, status int, body string"
+
+    def run(i, body):
+        df = spark.createDataFrame([(i, i, "u", 200, body)], schema)
+        df.withColumn("fetched_at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(src)
+        jobs.run_post_ingest(stream_bodies(spark, src), posts, out, ck).awaitTermination()
+        return {tuple(r) for r in read_batches(spark, out, "id bigint, itemurl string").collect()}
+
+    new = lambda *n: "".join(
+        f"<item><link>https://n.example/{i}</link><pubDate>2006-01-02</pubDate></item>" for i in n)
+    rss = "<rss><channel><title>x</title>{}</channel></rss>"
+    first = run(0, rss.format(new(1, 2)))
+    assert first == {(71, "https://n.example/1"), (72, "https://n.example/2")}
+    for name in os.listdir(out):
+        if name.startswith("batch_id="):
+            spark.createDataFrame([], "id bigint, itemurl string").write.mode("overwrite").parquet(f"{out}/{name}")
+    second = run(1, rss.format(new(2, 3, 1)) )
+    assert {u for _, u in second} == {"https://n.example/3"} and min(i for i, _ in second) > 72
+    assert {u for _, u in run(2, ATOM)} == {"https://n.example/3"}
+
+
 def test_ingest_is_exact_across_restarts_and_replays(spark, tmp_path):
     src, out, ck = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck")
     posts = spark.createDataFrame([("https://atom.example/1",)], "itemurl string")

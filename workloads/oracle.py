@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import re
 
+from feedspan.functions.text import CLASSES, HOST, HYPHENATED
+
 EVENTS = "TIMESTAMP '2024-01-30 12:00:00'"
 ORDERS = "TIMESTAMP '2001-08-01 00:00:00'"
 
@@ -214,9 +216,19 @@ SQL: dict[str, str] = {}
 PUBLIC = "NOT is_hidden AND approval_status = 'approved'"
 
 
+def _tokens(column: str) -> str:
+    """The tokens of a text: the classes are tried in order at each place; addresses and hyphenated words add their parts."""
+    host = HOST.replace("'", "''")
+    pattern = "|".join(CLASSES.values()).replace("'", "''")
+    return f"""list_distinct(flatten(list_transform(regexp_extract_all(lower({column}), '{pattern}'), lambda t:
+        CASE WHEN regexp_matches(t, '^[<&]|://$') THEN CAST([] AS VARCHAR[])
+             WHEN regexp_matches(t, '^{host}/') THEN [t, regexp_extract(t, '^{host}'), t[length(regexp_extract(t, '^{host}')) + 1:]]
+             WHEN regexp_full_match(t, '{HYPHENATED}') THEN list_concat([t], string_split(t, '-')) ELSE [t] END)))"""
+
+
 def _has(column: str, *words: str) -> str:
     wanted = ", ".join(f"'{w}'" for w in words)
-    return rf"list_has_all(regexp_split_to_array(lower({column}), '[^\p{{L}}\p{{N}}]+'), [{wanted}])"
+    return f"list_has_all({_tokens(column)}, [{wanted}])"
 
 
 SQL["feed_catalog"] = f"""
@@ -396,15 +408,12 @@ SQL["error_log_by_id"] = """
 SQL["user_by_email"] = """
     SELECT * FROM users WHERE lower(email) IN (
       SELECT 'customer#' || lpad(CAST(s_suppkey * 7 AS VARCHAR), 9, '0') || '@example.com' FROM supplier)"""
-SQL["search_feeds"] = r"""
+SQL["search_feeds"] = f"""
     SELECT s.name AS search_id, f.id
-    FROM (SELECT DISTINCT name FROM feeds) s JOIN feeds f
-      ON list_has_all(regexp_split_to_array(lower(f.name), '[^\p{L}\p{N}]+'),
-                      regexp_split_to_array(lower(s.name), '[^\p{L}\p{N}]+'))"""
-SQL["post_title_tokens"] = r"""
-    SELECT token, id FROM (
-      SELECT id, unnest(list_distinct(regexp_split_to_array(lower(itemtitle), '[^\p{L}\p{N}]+'))) AS token
-      FROM posts) WHERE token <> ''"""
+    FROM (SELECT name, {_tokens("name")} AS t FROM (SELECT DISTINCT name FROM feeds)) s
+    JOIN (SELECT id, {_tokens("name")} AS t FROM feeds) f ON list_has_all(f.t, s.t)"""
+SQL["post_title_tokens"] = f"SELECT id, unnest({_tokens('itemtitle')}) AS token FROM posts"
+SQL["page_tokens"] = f"SELECT page_id, unnest({_tokens('html')}) AS token FROM pages"
 
 # Moderation and platform
 
@@ -647,12 +656,13 @@ SQL["subscription_report"] = f"""
 
 
 def _key(name: str, *columns: str) -> str:
-    return "md5(" + " || chr(31) || ".join([f"'{name}'", *columns]) + ")"
+    parts = [f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '~')" for c in (f"'{name}'", *columns)]
+    return "md5(" + " || ".join(parts) + ")"
 
 
-def _long_id(name: str, *columns: str) -> str:
-    """An id of a bigint table: the first 15 hex digits of the natural key's hash."""
-    return f"CAST('0x' || substr({_key(name, *columns)}, 1, 15) AS BIGINT)"
+def _serial(table: str, order: str) -> str:
+    """The numbers after a table's largest id."""
+    return f"(SELECT max(id) FROM {table}) + row_number() OVER (ORDER BY {order})"
 
 
 def _uuid(name: str, *columns: str) -> str:
@@ -698,9 +708,10 @@ SQL["notifications_bundle"] = """
 SQL["purge_notifications"] = f"""
     SELECT *, CASE WHEN created_at > {EVENTS} - INTERVAL 10000 MINUTE THEN 'kept' ELSE 'purged' END
       AS outcome FROM notifications"""
+SQL["purge_notification_days"] = f"SELECT * FROM notifications WHERE created_at > {EVENTS} - INTERVAL 10000 MINUTE"
 SQL["append_comment_notifications"] = f"""
     SELECT id, user_id, post_id, comment_id, created_at FROM comment_notifications
-    UNION ALL SELECT {_long_id("comment_notifications", "id", "user_id")}, user_id, post_id, id, created_at
+    UNION ALL SELECT {_serial("comment_notifications", "id")}, user_id, post_id, id, created_at
     FROM comments"""
 SQL["delete_read_comment_notifications"] = """
     SELECT *, CASE WHEN post_id IN (SELECT post_id FROM favorites) THEN 'deleted' ELSE 'kept' END
@@ -738,7 +749,8 @@ VIEWS["candidate_items"] = """
               AND row_number() OVER (PARTITION BY link ORDER BY document_id, item_no) = 1 AS fresh
     FROM lines WHERE dated"""
 SQL["ingest_posts"] = f"""
-    SELECT {_long_id("posts", "link")} AS id, document_id, CAST(item_no AS INTEGER) AS item_no, feed_id,
+    SELECT CASE WHEN fresh THEN (SELECT max(id) FROM posts) + row_number() OVER (PARTITION BY fresh ORDER BY document_id, item_no)
+           END AS id, document_id, CAST(item_no AS INTEGER) AS item_no, feed_id,
            source AS channeltitle, CAST(NULL AS VARCHAR) AS itemcontent, '{_IMAGE}' AS img_url,
            {EVENTS} AS created_at, {EVENTS} AS updated_at, 'https://' || source || '.example.com' AS channelurl,
            source || ' channel' AS channeldescription, lang AS channellanguage,
@@ -765,23 +777,32 @@ SQL["scrape_error_upsert"] = "SELECT * FROM errors_after"
 # Change jobs
 
 
-def _insert(batch: str, keys: str, held: str, columns: str, order: str = "seq") -> str:
-    """First row per key wins; `held` is true where the table has the key already."""
-    return f"""
+def _insert(batch: str, keys: str, held: str, columns: str, order: str = "seq", numbered: str = "") -> str:
+    """First row per key wins; `held` is true where the table has the key already.
+
+    Accepted rows of a `numbered` table get the numbers after its largest id.
+    """
+    judged = f"""
     SELECT {columns}, CASE WHEN NOT ({held}) AND row_number() OVER (PARTITION BY {keys} ORDER BY {order}) = 1
                       THEN 'accepted' ELSE 'rejected' END AS outcome
     FROM ({batch}) b"""
+    if not numbered:
+        return judged
+    return f"""
+    SELECT *, CASE WHEN outcome = 'accepted' THEN (SELECT max(id) FROM {numbered})
+                    + row_number() OVER (PARTITION BY outcome ORDER BY {order}) END AS id
+    FROM ({judged})"""
 
 
 _NEW_FEEDS = """SELECT o_orderkey AS seq, 'https://feeds.example.com/' || (o_orderkey // 2) AS url,
     o_custkey AS user_id FROM orders"""
 SQL["insert_feeds"] = _insert(
-    _NEW_FEEDS, "url", "url IN (SELECT url FROM feeds)", f"{_long_id('feeds', 'url')} AS id, seq, url, user_id"
+    _NEW_FEEDS, "url", "url IN (SELECT url FROM feeds)", "seq, url, user_id", numbered="feeds"
 )
 SQL["insert_feeds_table"] = f"""
     SELECT id, url, user_id, version, img_url, feed_type, feed_description, is_hidden, approval_status, priority,
            created_at, last_fetched_at FROM feeds
-    UNION ALL SELECT {_long_id("feeds", "url")}, url, arg_min(user_id, seq), 1,
+    UNION ALL SELECT {_serial("feeds", "min(seq)")}, url, arg_min(user_id, seq), 1,
            'https://cdn.pixabay.com/photo/2017/06/25/14/38/rss-2440955_960_720.png', 'general',
            'An interesting take on modern and latest changes in this field', false, 'pending', 'normal', {EVENTS}, NULL
     FROM ({_NEW_FEEDS}) WHERE url NOT IN (SELECT url FROM feeds) GROUP BY url"""
@@ -798,31 +819,30 @@ SQL["new_follow_ids"] = f"""
 SQL["insert_favorites"] = _insert(
     _PAIR.format("post_id"), "user_id, post_id",
     "(user_id, post_id) IN (SELECT (user_id, post_id) FROM favorites)",
-    f"{_long_id('favorites', 'user_id', 'post_id')} AS id, seq, user_id, post_id, {EVENTS} AS created_at",
+    f"seq, user_id, post_id, {EVENTS} AS created_at", numbered="favorites",
 )
 SQL["insert_subscriptions"] = _insert(
-    """SELECT event_id AS seq, event_id // 3 AS transaction_id,
-       'AUTH_' || (event_id // 3 + event_id % 2) AS authorization_code FROM events""",
-    "transaction_id, authorization_code",
-    "(transaction_id, authorization_code) IN (SELECT (transaction_id, authorization_code) FROM subscriptions)",
-    f"{_long_id('subscriptions', 'transaction_id', 'authorization_code')} AS id, seq, transaction_id, authorization_code,"
-    f" 'USD' AS currency, {EVENTS} AS start_date",
+    """SELECT event_id AS seq, event_id // 3 AS transaction_id, CASE WHEN event_id % 7 > 1
+       THEN 'AUTH_' || (event_id // 3 + event_id % 2) END AS authorization_code FROM events""",
+    "transaction_id, coalesce(authorization_code, 'none ' || seq)",
+    "coalesce((transaction_id, authorization_code) IN (SELECT (transaction_id, authorization_code) FROM subscriptions), false)",
+    f"seq, transaction_id, authorization_code, 'USD' AS currency, {EVENTS} AS start_date", numbered="subscriptions",
 )
 SQL["insert_permissions"] = _insert(
     "SELECT s_suppkey AS seq, 'nation_' || (s_suppkey % 40) || ':read' AS code FROM supplier",
-    "code", "code IN (SELECT code FROM permissions)", f"{_long_id('permissions', 'code')} AS id, seq, code",
+    "code", "code IN (SELECT code FROM permissions)", "seq, code", numbered="permissions",
 )
 SQL["insert_plans"] = _insert(
     """SELECT n_nationkey AS seq, CASE WHEN n_nationkey % 2 = 0 THEN r_name ELSE n_name END AS name
        FROM nation JOIN region ON r_regionkey = n_regionkey""",
     "name", "name IN (SELECT name FROM payment_plans)",
-    f"{_long_id('payment_plans', 'name')} AS id, seq, name, 'free' AS duration, 'active' AS status, 1 AS version",
+    "seq, name, 'free' AS duration, 'active' AS status, 1 AS version", numbered="payment_plans",
 )
 SQL["insert_users"] = _insert(
     """SELECT s_suppkey AS seq, 'CUSTOMER#' || lpad(CAST((s_suppkey // 2) * 40 AS VARCHAR), 9, '0')
        || CASE WHEN s_suppkey % 2 = 0 THEN '@EXAMPLE.com' ELSE '@example.COM' END AS email FROM supplier""",
     "lower(email)", "lower(email) IN (SELECT lower(email) FROM users)",
-    f"{_long_id('users', 'email')} AS id, seq, email, false AS activated, 1 AS version, {EVENTS} AS created_at",
+    f"seq, email, false AS activated, 1 AS version, {EVENTS} AS created_at", numbered="users",
 )
 SQL["grant_permissions"] = _insert(
     """SELECT s_suppkey AS user_id, p.id AS permission_id, p.code FROM supplier JOIN permissions p
@@ -831,27 +851,27 @@ SQL["grant_permissions"] = _insert(
     "(user_id, permission_id) IN (SELECT (user_id, permission_id) FROM users_permissions)",
     "user_id, permission_id", "code",
 )
-SQL["append_comments"] = """
+SQL["append_comments"] = f"""
     SELECT * REPLACE (md5(comment_text) AS comment_text) FROM comments
     UNION ALL BY NAME
-    SELECT 1000000 + event_id AS id, event_id % 200 AS post_id, user_id, md5(props) AS comment_text,
+    SELECT {_serial("comments", "event_id")} AS id, event_id % 200 AS post_id, user_id, md5(props) AS comment_text,
            1 AS version, ts AS created_at FROM events WHERE event_type = 'purchase'"""
 SQL["append_challenges"] = f"""
     SELECT * FROM challenged_transactions UNION ALL BY NAME
-    SELECT {_long_id("challenged_transactions", "'new-' || id")} AS id,
-           {ORDERS} AS updated_at, user_id, id AS referenced_subscription_id, 'new-' || id AS reference, 'pending' AS status,
+    SELECT {_serial("challenged_transactions", "id")} AS id,
+           {ORDERS} AS updated_at, user_id, id AS referenced_subscription_id, 'new-' || (id // 8) AS reference, 'pending' AS status,
            end_date AS created_at FROM subscriptions WHERE status = 'expired'"""
 SQL["append_failed_transactions"] = f"""
     SELECT * FROM failed_transactions UNION ALL BY NAME
-    SELECT {_long_id("failed_transactions", "'new-' || id")} AS id, user_id, id AS subscription_id, 'new-' || id AS reference, 'Declined' AS failure_reason,
+    SELECT {_serial("failed_transactions", "id")} AS id, user_id, id AS subscription_id, 'new-' || (id // 8) AS reference, 'Declined' AS failure_reason,
            end_date AS attempt_date FROM subscriptions WHERE status = 'cancelled'"""
 SQL["append_announcements"] = f"""
     SELECT * FROM announcements UNION ALL BY NAME
-    SELECT {EVENTS} AS created_at, 100 + CAST(n_nationkey AS BIGINT) AS id, n_name AS title, 'hello' AS message,
+    SELECT {EVENTS} AS created_at, {_serial("announcements", "n_nationkey")} AS id, n_name AS title, 'hello' AS message,
            n_nationkey % 2 = 0 AS is_active, 'low' AS urgency FROM nation"""
-SQL["append_announcement_reads"] = """
+SQL["append_announcement_reads"] = f"""
     SELECT * FROM announcement_reads UNION ALL BY NAME
-    SELECT event_id AS id, user_id, event_id % 5 AS announcement_id, ts AS read_at
+    SELECT {_serial("announcement_reads", "event_id")} AS id, user_id, event_id % 5 AS announcement_id, ts AS read_at
     FROM events WHERE event_type = 'view'"""
 
 
@@ -882,6 +902,11 @@ SQL["update_feeds"] = _versioned(
     {"name": "e.name", "feed_type": "e.new_type"}, {"approval_status": "'pending'"},
     ["id", "version", "name", "feed_type", "approval_status"],
 )
+SQL["update_feeds_in_folders"] = f"""
+    SELECT CAST(c0 AS BIGINT) AS id, CAST(c1 AS BIGINT) AS version, c2 AS name, c3 AS feed_type, c4 AS approval_status
+    FROM ({SQL["update_feeds"]}) WHERE outcome = 'table'"""
+SQL["insert_feeds_in_folders"] = f"""
+    SELECT id, url, user_id, version, feed_type, is_hidden, priority, created_at FROM ({SQL["insert_feeds_table"]})"""
 SQL["admin_update_feeds"] = _versioned(
     "feeds",
     """SELECT * REPLACE (upper(new_type) AS new_type),
@@ -958,6 +983,8 @@ SQL["delete_feed_follows"] = f"""
       AS outcome FROM feed_follows
     UNION ALL SELECT id, user_id, 'unknown' FROM ({_UNFOLLOW})
     WHERE id NOT IN (SELECT id FROM feed_follows)"""
+SQL["delete_follows_in_folders"] = f"""
+    SELECT id, user_id FROM feed_follows WHERE (id, user_id) NOT IN (SELECT (id, user_id) FROM ({_UNFOLLOW}))"""
 SQL["delete_comments"] = """
     SELECT id, user_id, parent_comment_id FROM comments WHERE (id, user_id) NOT IN (
       SELECT (conv_id * 100 + turn, (conv_id + CASE WHEN role = 'user' THEN turn ELSE 0 END) % 150)
@@ -973,27 +1000,27 @@ SQL["delete_error_logs"] = """
     WHERE id NOT IN (SELECT event_id FROM events WHERE value > 60)"""
 
 
-def _counts(*tables: tuple[str, str]) -> str:
-    parts = []
-    for table, gone in tables:
-        for state, where in (("deleted", gone), ("kept", f"NOT ({gone})")):
-            parts.append(
-                f"SELECT '{table}' AS table_name, '{state}' AS state, count(*) AS n FROM {table} WHERE {where}"
-            )
-    return " UNION ALL ".join(parts)
+def _states(*tables: tuple[str, str]) -> str:
+    """Table, state and id of every row; `gone` says which rows go."""
+    name = {"users_permissions": "user_id || '-' || permission_id", "feed_rejections": "CAST(feed_id AS VARCHAR)"}
+    return " UNION ALL ".join(
+        f"SELECT '{table}' AS table_name, CASE WHEN {gone} THEN 'deleted' ELSE 'kept' END AS state,"
+        f" {name.get(table, 'CAST(id AS VARCHAR)')} AS id FROM {table}"
+        for table, gone in tables
+    )
 
 
 _LOW = "(SELECT id FROM announcements WHERE urgency = 'low')"
-SQL["delete_announcements"] = _counts(
+SQL["delete_announcements"] = _states(
     ("announcements", "urgency = 'low'"), ("announcement_reads", f"announcement_id IN {_LOW}")
 )
 _THIRDS = "(SELECT r_regionkey * 3 FROM region)"
-SQL["delete_permissions"] = _counts(
+SQL["delete_permissions"] = _states(
     ("permissions", f"id IN {_THIRDS}"), ("users_permissions", f"permission_id IN {_THIRDS}")
 )
 _GONE = "(SELECT id FROM feeds WHERE approval_status = 'rejected')"
 _GONE_POSTS = f"(SELECT id FROM posts WHERE feed_id IN {_GONE})"
-SQL["delete_feeds"] = _counts(
+SQL["delete_feeds"] = _states(
     ("feeds", "approval_status = 'rejected'"),
     *[(t, f"feed_id IN {_GONE}") for t in
       ["feed_follows", "posts", "notifications", "scraper_error_logs", "feed_rejections"]],
@@ -1132,13 +1159,12 @@ SQL["renewal_actions"] = """
 SQL["stream_new_post_notifications"] = """
     SELECT feed_id, post_count, CAST(epoch(slot) + 3600 AS BIGINT) AS created_at, f.name AS feed_name
     FROM (SELECT feed_id, date_trunc('hour', created_at) AS slot, count(*) AS post_count
-          FROM post_arrivals GROUP BY 1, 2) JOIN feeds f ON f.id = feed_id
-    WHERE slot + INTERVAL 1 HOUR <=
-          (SELECT max(created_at) FROM post_arrivals) - INTERVAL 10 MINUTE"""
+          FROM post_arrivals GROUP BY 1, 2) JOIN feeds f ON f.id = feed_id"""
 SQL["stream_scrape_errors"] = "SELECT * FROM errors_after"
 SQL["stream_post_ingest"] = f"""
-    SELECT {_long_id("posts", "link")} AS id, link AS itemurl, CAST(epoch({EVENTS}) AS BIGINT) AS created_at, CAST(1 AS BIGINT) AS n
-    FROM candidate_items WHERE link NOT IN (SELECT itemurl FROM posts) GROUP BY link"""
+    SELECT * EXCLUDE (id, outcome) REPLACE (CAST(epoch(created_at) AS BIGINT) AS created_at, CAST(epoch(updated_at) AS BIGINT) AS updated_at),
+           CAST(1 AS BIGINT) AS n
+    FROM ({SQL["ingest_posts"]}) WHERE outcome = 'accepted'"""
 SQL["stream_timeline"] = """
     SELECT ff.user_id, p.feed_id, p.id AS post_id, p.created_at
     FROM post_arrivals p JOIN feed_follows ff ON ff.feed_id = p.feed_id"""

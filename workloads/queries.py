@@ -7,6 +7,7 @@ that they compare directly with the SQL in `oracle.py`.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,8 +31,9 @@ from feedspan.operators.search import search_all, token_index
 from feedspan.plans import discovery, ingest, moderation, notifications, subscriptions
 from feedspan.session import configure, shared_dir
 from feedspan.sources.documents import page_bodies, rendered_bodies
+from feedspan.sources.keyed import KeyedTable, purge_days
 from feedspan.sources.platform import EVENTS_AS_OF, ORDERS_AS_OF, Platform
-from feedspan.sources.storage import read_batches
+from feedspan.sources.storage import read_batches, write_by_day
 from feedspan.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -304,6 +306,12 @@ def post_title_tokens(p):
     return token_index(p.posts, "id", "itemtitle")
 
 
+@query
+def page_tokens(p):
+    """Tokens of raw web pages, which hold addresses, hyphens, signs, entities and markup."""
+    return token_index(p.raw("pages"), "page_id", "html")
+
+
 # Moderation and platform
 
 
@@ -616,10 +624,18 @@ def purge_notifications(p):
     return outcomes(kept=done.table, purged=done.changed)
 
 
+@query
+def purge_notification_days(p):
+    path = shared_dir(p.spark, "notification-days")
+    write_by_day(p.notifications, path)
+    purge_days(p.spark, path, p.notifications.schema, datetime.fromisoformat(EVENTS), 10000)
+    return p.spark.read.schema(p.notifications.schema).parquet(path).select(*p.notifications.columns)
+
+
 @query
 def append_comment_notifications(p):
     new = notifications.comment_notification_rows(p.comments, p.comment_notifications)
-    return changes.append_rows(p.comment_notifications, new).table
+    return changes.append_rows(p.comment_notifications, new, ["comment_id"]).table
 
 
 @query
@@ -774,7 +790,7 @@ def insert_favorites(p):
 def insert_subscriptions(p):
     batch = p.raw("events").selectExpr(
         "event_id AS seq", "user_id", "event_id DIV 3 AS transaction_id",
-        "'AUTH_' || (event_id DIV 3 + event_id % 2) AS authorization_code",
+        "CASE WHEN event_id % 7 > 1 THEN 'AUTH_' || (event_id DIV 3 + event_id % 2) END AS authorization_code",
     )
     done = changes.insert_unique(
         p.subscriptions, complete(batch, p.subscriptions, "subscriptions", as_ntz(EVENTS)), ["transaction_id", "authorization_code"], ["seq"]
@@ -828,45 +844,44 @@ def grant_permissions(p):
 @query
 def append_comments(p):
     batch = p.raw("events").filter("event_type = 'purchase'").selectExpr(
-        "1000000 + event_id AS id", "event_id % 200 AS post_id", "user_id", "props AS comment_text",
-        "ts AS created_at", "1 AS version",
+        "event_id AS seq", "event_id % 200 AS post_id", "user_id", "props AS comment_text", "ts AS created_at", "1 AS version",
     )
-    return hashed(changes.append_rows(p.comments, batch).table, "comment_text")
+    return hashed(changes.append_rows(p.comments, batch, ["seq"]).table, "comment_text")
 
 
 @query
 def append_challenges(p):
     batch = p.subscriptions.filter("status = 'expired'").selectExpr(
-        "user_id", "id AS referenced_subscription_id", "'new-' || id AS reference",
+        "user_id", "id AS referenced_subscription_id", "'new-' || (id DIV 8) AS reference",
         "'pending' AS status", "end_date AS created_at",
     )
-    return changes.append_rows(p.challenged_transactions, complete(batch, p.challenged_transactions, "challenged_transactions", as_ntz(ORDERS))).table
+    return changes.append_rows(p.challenged_transactions, complete(batch, p.challenged_transactions, "challenged_transactions", as_ntz(ORDERS)), ["referenced_subscription_id"]).table
 
 
 @query
 def append_failed_transactions(p):
     batch = p.subscriptions.filter("status = 'cancelled'").selectExpr(
-        "user_id", "id AS subscription_id", "'new-' || id AS reference",
+        "user_id", "id AS subscription_id", "'new-' || (id DIV 8) AS reference",
         "'Declined' AS failure_reason", "end_date AS attempt_date",
     )
-    return changes.append_rows(p.failed_transactions, complete(batch, p.failed_transactions, "failed_transactions", as_ntz(ORDERS))).table
+    return changes.append_rows(p.failed_transactions, complete(batch, p.failed_transactions, "failed_transactions", as_ntz(ORDERS)), ["subscription_id"]).table
 
 
 @query
 def append_announcements(p):
     batch = p.raw("nation").selectExpr(
-        "100 + CAST(n_nationkey AS BIGINT) AS id", "n_name AS title", "'hello' AS message",
-        "n_nationkey % 2 = 0 AS is_active", "'low' AS urgency",
+        "n_nationkey AS seq", "n_name AS title", "'hello' AS message", "n_nationkey % 2 = 0 AS is_active", "'low' AS urgency",
     )
-    return changes.append_rows(p.announcements, complete(batch, p.announcements, "announcements", as_ntz(EVENTS))).table
+    batch = complete(batch, p.announcements, "announcements", as_ntz(EVENTS))
+    return changes.append_rows(p.announcements, batch, ["seq"]).table
 
 
 @query
 def append_announcement_reads(p):
     batch = p.raw("events").filter("event_type = 'view'").selectExpr(
-        "event_id AS id", "user_id", "event_id % 5 AS announcement_id", "ts AS read_at"
+        "event_id AS seq", "user_id", "event_id % 5 AS announcement_id", "ts AS read_at"
     )
-    return changes.append_rows(p.announcement_reads, batch).table
+    return changes.append_rows(p.announcement_reads, batch, ["seq"]).table
 
 
 def _feed_edits(p):
@@ -878,15 +893,15 @@ def _feed_edits(p):
 
 
 def _update_outcome(done, table_columns, change_columns):
+    """Rows of the table, those updated once more, and rejected changes; the table is judged once."""
     width = max(len(table_columns), len(change_columns))
-    pad = lambda df, cols: df.select(
+    pad = lambda cols: [
         *[F.col(c).cast("string").alias(f"c{i}") for i, c in enumerate(cols)],
         *[F.lit(None).cast("string").alias(f"c{i}") for i in range(len(cols), width)],
-    )
-    return outcomes(
-        table=pad(done.table, table_columns), updated=pad(done.changed, table_columns),
-        conflict=pad(done.rejected, change_columns),
-    )
+    ]
+    both = F.when(F.col("__state") == "changed", F.array(F.lit("table"), F.lit("updated"))).otherwise(F.array(F.lit("table")))
+    rows = done.judged.select(*pad(table_columns), F.explode(both).alias("outcome"))
+    return rows.unionByName(done.rejected.select(*pad(change_columns), F.lit("conflict").alias("outcome")))
 
 
 @query
@@ -901,6 +916,38 @@ def update_feeds(p):
     )
 
 
+def _in_folders(p, name, key):
+    """A table of the platform, kept in folders by its key on the shared storage."""
+    table = getattr(p, name)
+    return KeyedTable(p.spark, shared_dir(p.spark, name), table.schema, key, folders=16).create(table)
+
+
+@query
+def update_feeds_in_folders(p):
+    feeds = _in_folders(p, "feeds", ["id"])
+    edits = ingest.merge_partial_input(_feed_edits(p), p.feeds)
+    feeds.update_versions(
+        edits, ["name", "feed_type"], ["seq"], {"approval_status": F.lit("pending")}, on=["id", "user_id"])
+    return feeds.read().select("id", "version", "name", "feed_type", "approval_status")
+
+
+@query
+def insert_feeds_in_folders(p):
+    feeds = _in_folders(p, "feeds", ["url"])
+    batch = p.raw("orders").selectExpr(
+        "o_orderkey AS seq", "'https://feeds.example.com/' || (o_orderkey DIV 2) AS url", "o_custkey AS user_id")
+    feeds.insert(complete(batch, p.feeds, "feeds", as_ntz(EVENTS)), ["seq"])
+    return feeds.read().select("id", "url", "user_id", "version", "feed_type", "is_hidden", "priority", "created_at")
+
+
+@query
+def delete_follows_in_folders(p):
+    follows = _in_folders(p, "feed_follows", ["id"])
+    doomed = p.raw("events").selectExpr("user_id || '-' || CAST(floor(value) AS BIGINT) AS id", "user_id")
+    follows.delete(doomed, on=["id", "user_id"])
+    return follows.read().select("id", "user_id")
+
+
 @query
 def admin_update_feeds(p):
     edits = _feed_edits(p).selectExpr(
@@ -1020,8 +1067,8 @@ def delete_feed_follows(p):
         "user_id || '-' || CAST(floor(value) AS BIGINT) AS id", "user_id"
     )
     done = changes.delete_by_keys(p.feed_follows, doomed, ["id", "user_id"])
-    return outcomes(kept=done.table.select("id", "user_id"), deleted=done.changed.select("id", "user_id"),
-                    unknown=done.rejected)
+    rows = done.judged.select("id", "user_id", F.col("__state").alias("outcome"))
+    return rows.unionByName(done.rejected.withColumn("outcome", F.lit("unknown")))
 
 
 @query
@@ -1055,17 +1102,19 @@ def delete_error_logs(p):
         "id", "error_type", "feed_id")
 
 
+#: What names a row of a table without an id.
+ROW_KEYS = {"users_permissions": ["user_id", "permission_id"], "feed_rejections": ["feed_id"]}
+
+
 def _cascade(p, root, names, doomed):
+    """Table, state and id of every row of every table, each table judged in one pass."""
     done = changes.cascade_delete({n: getattr(p, n) for n in [root, *names]}, root, doomed)
-    parts = []
-    for name, change in done.items():
-        for state, df in (("kept", change.table), ("deleted", change.changed)):
-            parts.append(
-                df.agg(F.count(F.lit(1)).alias("n")).select(
-                    F.lit(name).alias("table_name"), F.lit(state).alias("state"), "n"
-                )
-            )
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.unionByName, [
+        change.judged.select(
+            F.lit(name).alias("table_name"), F.col("__state").alias("state"),
+            F.concat_ws("-", *[F.col(c).cast("string") for c in ROW_KEYS.get(name, ["id"])]).alias("id"))
+        for name, change in done.items()
+    ])
 
 
 @query
@@ -1413,10 +1462,9 @@ def stream_new_post_notifications(p):
     )
     path, checkpoint = _stream(p.spark, "notifications")
     jobs.run_new_post_notifications(
-        views, p.feeds, path, checkpoint, interval_minutes=60, lateness="10 minutes"
+        views, p.feeds, path, checkpoint, interval_minutes=60, lateness="10 minutes", open_windows=True
     ).awaitTermination()
-    schema = "feed_id bigint, post_count bigint, created_at timestamp, feed_name string"
-    return read_batches(p.spark, path, schema)
+    return jobs.current_notifications(p.spark, path)
 
 
 @query
@@ -1441,20 +1489,24 @@ def stream_scrape_errors(p):
 
 @query
 def stream_post_ingest(p):
-    """Bodies arrive as files over several micro-batches, so later ones meet earlier ones."""
+    """Bodies arrive in three parts, each read by a new run of the stream, so later ones meet earlier links."""
     root = shared_dir(p.spark, "bodies")
-    slots = p.spark.sparkContext.defaultParallelism
-    bodies = rendered_bodies(p).withColumn("fetched_at", F.lit(EVENTS_AS_OF).cast("timestamp"))
-    bodies.repartition(slots).write.parquet(root)
-    stream = (
-        p.spark.readStream.schema(bodies.schema)
-        .option("maxFilesPerTrigger", max(1, slots // 2))
-        .parquet(root)
-    )
     path, checkpoint = _stream(p.spark, "ingest")
-    jobs.run_post_ingest(stream, p.posts, path, checkpoint).awaitTermination()
-    return read_batches(p.spark, path, "id bigint, itemurl string, created_at timestamp").groupBy(
-        "id", "itemurl", "created_at").agg(F.count(F.lit(1)).alias("n"))
+    bodies = rendered_bodies(p).withColumn("fetched_at", F.lit(EVENTS_AS_OF).cast("timestamp"))
+    last = bodies.agg(F.max("document_id")).first()[0]
+    for part in range(3):
+        here = (F.col("document_id") * 3 >= last * part) & (F.col("document_id") * 3 < last * (part + 1) + (part == 2))
+        bodies.filter(here).write.mode("append").parquet(root)
+        stream = p.spark.readStream.schema(bodies.schema).parquet(root)
+        jobs.run_post_ingest(stream, p.posts, path, checkpoint).awaitTermination()
+    columns = [c for c in POST_COLUMNS if c != "id"]
+    schema = ("id bigint, document_id bigint, item_no int, feed_id bigint, itempublished_at timestamp, created_at timestamp,"
+              " updated_at timestamp, " + ", ".join(f"{c} string" for c in columns if c[:4] in ("chan", "item", "img_")
+                                                    and c not in ("item_no", "itempublished_at")))
+    rows = hashed(read_batches(p.spark, path, schema), "itemtitle", "itemdescription")
+    # A shared id would lose a row here and show in n.
+    one = rows.groupBy("id").agg(F.max(F.struct(*columns)).alias("row"), F.count(F.lit(1)).alias("n"))
+    return one.select("row.*", "n")
 
 
 @query
