@@ -13,19 +13,21 @@ import heapq
 import json
 import sys
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
-BLOCK = 2_000_000  # characters of texts whose words are indexed together
-KEPT_WORDS = 400_000  # words whose tokens a task remembers
+BLOCK = 1_000_000  # bytes of texts that are encoded, or decoded, together
+INDEXED = 500_000  # bytes of words whose pairs are indexed together, one word at least
+KEPT_WORDS = 100_000  # words whose tokens a task remembers, and as many of before
 LONG_WORD = 200  # longer words are not remembered
 
 # The word pattern of the vocabulary, with the classes of letters and numbers left open.
@@ -63,6 +65,22 @@ def _ranges(chars: str) -> str:
     return "".join(rf"\U{r[0]:08x}-\U{r[-1]:08x}" for r in runs)
 
 
+class TokenBytes:
+    """The bytes of each token id, joined for many ids at once."""
+
+    def __init__(self, pieces: list[bytes]) -> None:
+        self.lengths = np.array([len(p) for p in pieces])
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.bytes = np.frombuffer(b"".join(pieces), np.uint8)
+
+    def join(self, ids: np.ndarray, counts: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The joined bytes of all ids, and where each text begins and the last ends; counts: ids of each text."""
+        length = self.lengths[ids]
+        ends = np.cumsum(length)
+        at = np.repeat(self.starts[ids] - (ends - length), length) + np.arange(ends[-1] if len(ids) else 0)
+        return self.bytes[at].tobytes(), np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(counts)))]
+
+
 class ByteBpe:
     """Encoder and decoder for one vocabulary file; `specials` says if special strings become their ids."""
 
@@ -114,7 +132,9 @@ class ByteBpe:
             self.wide = regex.compile(rf"[\U{ord(min(younger)):08x}-\U0010ffff]")
             letter, number = rf"[\p{{L}}--[{odd}]]", rf"[\p{{N}}--[{odd}]]"
             self.strict = regex.compile(PATTERN.format(letter=letter, number=number, both=letter + number), regex.V1)
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}  # ids as four bytes each
+        self.older: dict[str, bytes] = {}
+        self.table = TokenBytes(self.pieces)
 
     def split(self, text: str) -> list[str]:
         """The words of a text; special strings stay whole."""
@@ -137,8 +157,8 @@ class ByteBpe:
         starts = np.flatnonzero(np.diff(ranks, prepend=-1))
         return {int(r): p.tolist() for r, p in zip(ranks[starts], np.split(places, starts[1:]), strict=True)} if len(starts) else {}
 
-    def merge(self, words: list[bytes]) -> list[list[int]]:
-        """Token ids of each word (none empty), by the index of pair occurrences over all of them."""
+    def merge(self, words: list[bytes]) -> list[bytes]:
+        """Token ids (int32) of each word (none empty), by the index of pair occurrences over all of them."""
         if not words:
             return []
         ends = np.cumsum([len(w) for w in words])
@@ -185,42 +205,69 @@ class ByteBpe:
         left = np.array(symbols)
         stays = left >= 0
         upto = np.cumsum(stays)[ends - 1].tolist()
-        flat = left[stays].tolist()
-        return [flat[x:y] for x, y in zip([0, *upto], upto)]
+        flat = left[stays].astype(np.int32).tobytes()
+        return [flat[4 * x : 4 * y] for x, y in zip([0, *upto], upto)]
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        """Token ids of each text."""
-        split = [self.split(t) for t in texts]
+    def _learn(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of words that aren't remembered; those too long to be are returned."""
         if len(self.known) > KEPT_WORDS:
-            self.known = {}
-        known, passing = self.known, {}  # words too long to remember pass with their block
-        new = list({w for words in split for w in words if w not in known and w not in self.specials})
+            self.known, self.older = {}, self.known
+        passing = {w: np.int32(i).tobytes() for w, i in self.specials.items() if w in words}
+        new, held = [], 0
+        for w in words.difference(self.known, passing):
+            ids = self.older.get(w)
+            if ids is not None:
+                self.known[w] = ids
+                continue
+            new.append(w)
+            held += len(w)
+            if held >= INDEXED:
+                self._keep(new, passing)
+                new, held = [], 0
+        self._keep(new, passing)
+        return passing
+
+    def _keep(self, new: list[str], passing: dict[str, bytes]) -> None:
         for w, ids in zip(new, self.merge([w.encode("utf-8") for w in new]), strict=True):
-            (known if len(w) <= LONG_WORD else passing)[w] = ids
-        passing.update((w, [i]) for w, i in self.specials.items())
+            (self.known if len(w) <= LONG_WORD else passing)[w] = ids
 
-        def ids_of(word: str) -> list[int]:
-            found = known.get(word)
-            return passing[word] if found is None else found
-
-        return [list(chain.from_iterable(map(ids_of, words))) for words in split]
-
-    def decode(self, ids: Iterable[int]) -> str:
-        """The text of token ids; bytes that aren't UTF-8 become U+FFFD."""
-        return b"".join(map(self.pieces.__getitem__, ids)).decode("utf-8", "replace")
-
-
-def blocks(texts: list[str | None], size: int = BLOCK) -> Iterator[tuple[int, list[str]]]:
-    """Runs of consecutive texts of about `size` characters, each with the place of its first; null is empty."""
-    start, run, held = 0, [], 0
-    for i, t in enumerate(texts):
-        run.append(t or "")
-        held += len(run[-1])
-        if held >= size:
-            yield start, run
-            start, run, held = i + 1, [], 0
-    if run:
-        yield start, run
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids (int32) of the texts one after another, and how many each has."""
+        split = [self.split(t) for t in texts]
+        passing = self._learn({w for words in split for w in words})
+        known = self.known
+        if passing:
+            known = {w: passing.get(w) or known[w] for words in split for w in words}
+        parts = [b"".join(map(known.__getitem__, words)) for words in split]
+        return np.frombuffer(b"".join(parts), np.int32), np.array([len(p) // 4 for p in parts], np.int64)
+
+    def decode(self, ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+        """The texts of token ids; bytes that aren't UTF-8 become U+FFFD."""
+        raw, offsets = self.table.join(ids, counts)
+        column = pa.Array.from_buffers(
+            pa.large_binary(), len(counts), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(raw)])
+        try:
+            return column.cast(pa.string())
+        except pa.ArrowInvalid:
+            return pa.array([raw[x:y].decode("utf-8", "replace") for x, y in zip(offsets, offsets[1:])], pa.string())
+
+
+def blocks(column: pa.Array, size: int = BLOCK) -> Iterator[tuple[int, int]]:
+    """Ranges of consecutive rows of about `size` bytes of text, or `size` list entries, one row at least."""
+    lengths = pc.fill_null(pc.list_value_length(column) if pa.types.is_list(column.type) else pc.binary_length(column), 0)
+    lo = held = 0
+    for i, n in enumerate(lengths.to_pylist()):
+        if i > lo and held + n > size:
+            yield lo, i
+            lo, held = i, 0
+        held += n
+    if len(column) > lo:
+        yield lo, len(column)
+
+
+def id_lists(ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+    offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, pa.int32()))
 
 
 def shared_vocabulary(docs: DataFrame, path: str):
@@ -242,10 +289,10 @@ def bpe_encode(docs: DataFrame, vocabulary: str = VOCABULARY, specials: bool = T
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = ByteBpe(*shared.value, specials)
         for batch in batches:
-            for start, texts in blocks(batch.column(1).to_pylist()):
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(start, len(texts)), pa.array(bpe.encode(texts), pa.list_(pa.int32()))],
-                    names=["doc_id", "ids"])
+            for lo, hi in blocks(batch.column(1)):
+                part = batch.slice(lo, hi - lo)
+                ids = bpe.encode([t or "" for t in part.column(1).to_pylist()])
+                yield pa.RecordBatch.from_arrays([part.column(0), id_lists(*ids)], names=["doc_id", "ids"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(apply, f"doc_id {id_type}, ids array<int>")
@@ -258,10 +305,12 @@ def bpe_decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = ByteBpe(*shared.value)
         for batch in batches:
-            ids = batch.column(1)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([bpe.decode(x or ()) for x in ids.to_pylist()], pa.string())],
-                names=["doc_id", "ids", "decoded"])
+            for lo, hi in blocks(batch.column(1), BLOCK // 4):
+                part = batch.slice(lo, hi - lo)
+                ids = part.column(1)
+                counts = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+                texts = bpe.decode(ids.flatten().to_numpy(zero_copy_only=False), counts)
+                yield pa.RecordBatch.from_arrays([*part.columns, texts], names=["doc_id", "ids", "decoded"])
 
     id_type = encoded.schema["doc_id"].dataType.simpleString()
     return encoded.select("doc_id", "ids").mapInArrow(apply, f"doc_id {id_type}, ids array<int>, decoded string")

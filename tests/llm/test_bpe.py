@@ -4,6 +4,8 @@ import random
 import sys
 import unicodedata
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -20,10 +22,20 @@ LIBRARY = Tokenizer.from_file(VOCABULARY)
 OURS = ByteBpe(DEFINITION, YOUNGER)
 
 
+def lists(bpe, texts):
+    ids, counts = bpe.encode(texts)
+    return [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] if texts else []
+
+
+def texts_of(lists_of_ids):
+    flat = np.array([i for x in lists_of_ids for i in x], np.int32)
+    return OURS.decode(flat, np.array([len(x) for x in lists_of_ids], np.int64)).to_pylist()
+
+
 def same(texts):
-    got = OURS.encode(texts)
+    got = lists(OURS, texts)
     assert got == [e.ids for e in LIBRARY.encode_batch(texts, add_special_tokens=False)]
-    assert [OURS.decode(x) for x in got] == [LIBRARY.decode(x, skip_special_tokens=False) for x in got] == texts
+    assert texts_of(got) == [LIBRARY.decode(x, skip_special_tokens=False) for x in got] == texts
 
 
 def test_corpus_texts(spark):
@@ -68,14 +80,14 @@ def test_index_agrees_with_one_word_at_a_time():
 
     rnd = random.Random(2)
     words = [bytes(rnd.choice(b"abent hers") for _ in range(rnd.randrange(1, 40))) for _ in range(400)] + [b"a" * k for k in range(1, 40)]
-    assert OURS.merge(words) == [slow(w) for w in words]
+    assert [np.frombuffer(x, np.int32).tolist() for x in OURS.merge(words)] == [slow(w) for w in words]
 
 
 def test_ids_that_are_not_a_text():
     rnd = random.Random(4)
-    for _ in range(300):
-        ids = [rnd.randrange(len(OURS.pieces)) for _ in range(rnd.randrange(20))]
-        assert OURS.decode(ids) == LIBRARY.decode(ids, skip_special_tokens=False)
+    ids = [[rnd.randrange(len(OURS.pieces)) for _ in range(rnd.randrange(20))] for _ in range(300)]
+    assert texts_of(ids) == [LIBRARY.decode(x, skip_special_tokens=False) for x in ids]
+    assert texts_of([]) == [] and texts_of([[], [50256], []]) == ["", "<|endoftext|>", ""]
 
 
 def test_forgetting_and_long_words(monkeypatch):
@@ -84,10 +96,17 @@ def test_forgetting_and_long_words(monkeypatch):
     fresh = ByteBpe(DEFINITION, YOUNGER)
     texts = ["some longer words here", "and here some others", "words again and again " * 30]
     for _ in range(3):
-        assert fresh.encode(texts) == OURS.encode(texts)
+        assert lists(fresh, texts) == lists(OURS, texts)
     assert all(len(w) <= 4 for w in fresh.known)
 
 
+def test_small_runs_of_the_index(monkeypatch):
+    texts = ["words of many kinds <|endoftext|> and " + "x" * 500, "others here 12 345"]
+    want = lists(OURS, texts)
+    monkeypatch.setattr(module, "INDEXED", 3)
+    assert lists(ByteBpe(DEFINITION, YOUNGER), texts) == want
+
+
 def test_other_kinds_of_vocabulary_are_refused():
     spec = json.loads(DEFINITION)
     spec["model"]["ignore_merges"] = True
@@ -100,15 +119,17 @@ def test_other_kinds_of_vocabulary_are_refused():
 
 
 def test_blocks_hold_every_text():
-    texts = ["abc", None, "", "d" * 10, "e"]
-    assert [(i, run) for i, run in blocks(texts, 4)] == [(0, ["abc", "", "", "d" * 10]), (4, ["e"])]
+    texts = pa.array(["abc", None, "", "d" * 10, "e", "ff", "é"])
+    assert list(blocks(texts, 4)) == [(0, 3), (3, 4), (4, 6), (6, 7)]
+    assert list(blocks(pa.array([[1, 2], None, [3]], pa.list_(pa.int32())), 2)) == [(0, 2), (2, 3)]
+    assert list(blocks(texts.slice(0, 0), 4)) == []
 
 
 def test_special_strings_as_text(spark):
     docs = documents(spark, [(1, "x<|endoftext|>")])
     assert bpe_encode(docs).first().ids[-1] == 50256
     plain = bpe_encode(docs, specials=False).first().ids
-    assert 50256 not in plain and OURS.decode(plain) == "x<|endoftext|>"
+    assert 50256 not in plain and texts_of([plain]) == ["x<|endoftext|>"]
 
 
 def test_awkward_rows(spark):
