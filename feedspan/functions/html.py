@@ -71,7 +71,50 @@ def _safe_url(url: str | None) -> bool:
     return scheme is None or scheme.group(1).lower() in URL_SCHEMES
 
 
-class _Cleaner(HTMLParser):
+class BoundedParser(HTMLParser):
+    """The standard parser in linear time on broken markup.
+
+    What follows the last `>` can hold no whole tag, so it is data at once instead of one try per
+    `<`. A comment or section that doesn't end is searched for its end once, not at each beginning.
+    """
+
+    tail = ""
+    endless: dict[str, int]
+
+    def feed(self, data: str) -> None:
+        cut = data.rfind(">") + 1
+        self.tail = data[cut:]
+        super().feed(data[:cut])
+
+    def close(self) -> None:
+        super().close()
+        tail, self.tail = self.tail, ""
+        if tail:
+            self.handle_data(tail if self.cdata_elem else unescape(tail))
+
+    def goahead(self, end) -> None:
+        self.endless = {}
+        super().goahead(end)
+
+    def _once(self, kind: str, i: int, parse) -> int:
+        if i >= self.endless.get(kind, i + 1):
+            return -1
+        k = parse()
+        if k < 0:
+            self.endless[kind] = i
+        return k
+
+    def parse_comment(self, i, report=1):
+        return self._once("<!--", i, lambda: super(BoundedParser, self).parse_comment(i, report))
+
+    def parse_marked_section(self, i, report=1):
+        return self._once(self.rawdata[i : i + 9].lower(), i, lambda: super(BoundedParser, self).parse_marked_section(i, report))
+
+    def updatepos(self, i: int, j: int) -> int:
+        return j  # line numbers are of no use here
+
+
+class _Cleaner(BoundedParser):
     def __init__(self, keep_tags: bool):
         super().__init__(convert_charrefs=True)
         self.keep_tags = keep_tags

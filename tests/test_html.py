@@ -1,9 +1,12 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from feedspan.functions.html import clean_html, sanitize_html
 
 
+# The first seven cases are inputs and outputs that the policy must reproduce.
 @pytest.mark.parametrize(
     "text, expected",
     [
@@ -36,6 +39,25 @@ def test_ugc_policy(text, expected):
     assert clean_html(text) == expected
 
 
+@pytest.mark.parametrize("unit", ["<a ", "<a b='", "</a ", "<!-- x>", "<![CDATA[ x>", "<a b=", "&", "<", "<b></i>", "<script>x"])
+def test_broken_markup_takes_linear_time(unit):
+    def spent(n):
+        start = time.perf_counter()
+        clean_html(unit * (n // len(unit)))
+        return time.perf_counter() - start
+
+    once = min(spent(500_000) for _ in range(2))
+    assert min(spent(1_000_000) for _ in range(2)) < max(2.5 * once, 0.5)
+
+
+@pytest.mark.parametrize("text, expected", [
+    ("a <b", "a &lt;b"), ("<p>x</p> y <i", "<p>x</p> y &lt;i"), ("<p>1 &lt; 2</p> &amp; <a href='x", "<p>1 &lt; 2</p> &amp; &lt;a href=&#39;x"),
+    ("x <!-- a> b", "x &lt;!-- a&gt; b"), ("<!-- a -->x<!-- b> c", "x&lt;!-- b&gt; c"), ("<script>a <b", ""),
+])
+def test_unfinished_markup_is_text(text, expected):
+    assert clean_html(text) == expected
+
+
 def test_strict_policy():
     assert clean_html("<p>a <b>b</b> &amp; <script>c</script></p>", strict=True) == "a b &amp; "
 
