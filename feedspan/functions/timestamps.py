@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 # Layouts by the shape of the text, tried in this order. Zones are numeric here:
 # `_with_offset` has turned zone names into offsets, and AM and PM stand after one space.
 CLOCK = "[ H:mm:ss][ H:mm][.SSSSSSSSS][.SSSSSS][.SSS][ XXX][ XX][ X]"
-CLOCK_12 = " h:mm[:ss] a[ XXX][ XX]"
+CLOCK_12 = " h:mm[:ss] a[ XXX][ XX][ X]"
 LAYOUTS = {
     r"^\d{4}-\d{1,2}-\d{1,2}T": ["yyyy-M-d'T'H:mm[:ss][.SSSSSSSSS][.SSSSSS][.SSS][XXX][XX][X][ XXX][ XX]"],
     r"^\d{4}-\d{1,2}-\d{1,2}": ["yyyy-M-d" + CLOCK, "yyyy-M-d[ H:mm:ss][ H:mm][XXX][XX]", "yyyy-M-d" + CLOCK_12],
@@ -88,9 +88,15 @@ def parse_any_timestamp(text: Column) -> Column:
     """
     clean = F.regexp_replace(F.regexp_replace(F.trim(text), r"\s+", " "), WEEKDAY, "")
     clean = F.regexp_replace(clean, r"(?i)\b(\d{1,2})(st|nd|rd|th)\b", "$1")
-    clean = F.regexp_replace(F.regexp_replace(clean, r"\s*\([A-Za-z]+\)$", ""), r",\s*", " ")
+    # A year, month and day by their characters, a comma before a fraction, "at" before the time.
+    clean = F.regexp_replace(clean, r"(\d{4})年(\d{1,2})月(\d{1,2})日\s*", "$1-$2-$3 ")
+    clean = F.regexp_replace(F.rtrim(clean), r"(:\d{2}),(\d{1,9})\b", "$1.$2")
+    clean = F.regexp_replace(clean, r"(?i)\s+at\s+(?=\d)", " ")
+    clean = F.regexp_replace(F.regexp_replace(clean, r"\s*\([A-Za-z ]+\)$", ""), r",\s*", " ")
     clean = F.regexp_replace(clean, r"(?i)(\d)\s?(am|pm)\b", "$1 $2")
     clean = F.regexp_replace(F.regexp_replace(clean, r"(?i)\bam\b", "AM"), r"(?i)\bpm\b", "PM")
+    # GMT+0100, PST-08: the name only introduces the offset.
+    clean = F.regexp_replace(clean, r"\s?\b[A-Z]{3,4}([+-]\d{2}(?::?\d{2})?)$", " $1")
     month = F.initcap(F.substring(F.regexp_extract(clean, MONTH, 0), 1, 3))
     clean = F.when(clean.rlike(MONTH), F.regexp_replace(clean, F.lit(MONTH), month)).otherwise(clean)
     whole = F.transform(F.array(clean), _with_offset)

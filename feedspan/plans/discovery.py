@@ -80,15 +80,15 @@ def feed_catalog_with_follow_flag(
     skip = max(0, offset - (own_totals.agg(F.max("__own")).first()[0] or 0)) if offset else 0
     rows = public.orderBy(*_newest())
     rows = (rows.offset(skip) if skip else rows).limit(limit + offset - skip)
-    shared = rows.agg(F.collect_list(F.struct(*listed.columns)).alias("a")).scalar()
-    sorted_ = F.array_sort("__shared", lambda x, y: F.when(x["created_at"] > y["created_at"], -1).when(
-        x["created_at"] < y["created_at"], 1).when(x["id"] < y["id"], -1).when(x["id"] > y["id"], 1).otherwise(0))
+    # Sorted once, by the age of a feed and its id; a feed without a date is the oldest.
+    age = F.coalesce(-F.unix_micros(F.col("created_at").cast("timestamp")), F.lit((1 << 63) - 1)).alias("age")
+    sorted_ = F.sort_array(F.collect_list(F.struct(age, "id", F.struct(*listed.columns).alias("f"))))
     counted = viewers.join(own_totals, "user_id", "left").withColumns(
-        {"__own": F.coalesce("__own", F.lit(0)), "__shared": shared})
+        {"__own": F.coalesce("__own", F.lit(0)), "__shared": rows.agg(sorted_.alias("a")).scalar()})
     # Public rows before `start` stand before every row of the user's page.
     start = F.greatest(F.lit(0), F.lit(offset - skip) - F.col("__own")).cast("int")
-    reach = counted.select("user_id", "__own", start.alias("__start"), F.slice(sorted_, start + 1, limit + offset).alias("__a"))
-    for_all = reach.select("user_id", "__own", "__start", F.explode("__a").alias("f")).select(
+    reach = counted.select("user_id", "__own", start.alias("__start"), F.slice("__shared", start + 1, limit + offset).alias("__a"))
+    for_all = reach.select("user_id", "__own", "__start", F.explode("__a.f").alias("f")).select(
         "user_id", "__own", "__start", "f", "f.created_at", "f.id")
     nearest = top_per_key(own, ["user_id"], _newest(), offset + limit).join(
         reach.select("user_id", "__own", "__start"), "user_id")

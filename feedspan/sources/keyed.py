@@ -12,7 +12,7 @@ from datetime import date, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import DateType, IntegerType, StructField, StructType
 
 from feedspan.operators import changes
 from feedspan.operators.keys import highest, is_serial
@@ -131,7 +131,8 @@ def purge_days(
     day = cutoff.date().isoformat()
     if day not in _folders(spark, path, "day"):
         return dropped
-    rows = spark.read.schema(schema.add("day", "date")).parquet(path).filter(F.col("day") == F.lit(cutoff.date()))
+    with_day = StructType([*schema.fields, StructField("day", DateType())])
+    rows = spark.read.schema(with_day).parquet(path).filter(F.col("day") == F.lit(cutoff.date()))
     later = staged(rows.filter(F.col(time_column) > F.lit(cutoff).cast(schema[time_column].dataType)), "kept-rows")
     if later.isEmpty():
         return dropped + _drop(spark, path, "day", [day])

@@ -135,6 +135,12 @@ def test_format_timestamp(spark):
         ("some day", None),
         ("99 Jan 2006", None),
         ("", None),
+        ("Fri Jul 03 2015 18:04:07 GMT+0100 (GMT Daylight Time)", "2015-07-03 17:04:07"),
+        ("September 17, 2012 at 10:09am PST-08", "2012-09-17 18:09:00"),
+        ("2013-04-01 22:43:22,213", "2013-04-01 22:43:22"),
+        ("2014年04月08日", "2014-04-08 00:00:00"),
+        ("2014年4月8日 19:17:22", "2014-04-08 19:17:22"),
+        ("Thu Jul 09 2015 04:04:07 UTC-02:30", "2015-07-09 06:34:07"),
         (None, None),
     ],
 )

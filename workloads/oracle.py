@@ -1048,10 +1048,10 @@ SQL["formatted_timestamps"] = """
                           WHEN event_type = 'click' THEN strftime(ts, '%Y-%m-%d 00:00:00')
                           ELSE '' END AS formatted FROM events"""
 SQL["parsed_timestamps"] = """
-    SELECT event_id, CAST(epoch(CASE WHEN k < 20 THEN date_trunc('second', ts) WHEN k < 23 THEN date_trunc('minute', ts)
-                                     WHEN k < 31 THEN date_trunc('day', ts) WHEN k = 31 THEN date_trunc('month', ts)
-                                     WHEN k = 32 THEN date_trunc('year', ts) END) AS BIGINT) AS seconds
-    FROM (SELECT *, event_id % 34 AS k FROM events)"""
+    SELECT event_id, CAST(epoch(CASE WHEN k < 22 THEN date_trunc('second', ts) WHEN k < 26 THEN date_trunc('minute', ts)
+                                     WHEN k < 35 THEN date_trunc('day', ts) WHEN k = 35 THEN date_trunc('month', ts)
+                                     WHEN k = 36 THEN date_trunc('year', ts) END) AS BIGINT) AS seconds
+    FROM (SELECT *, event_id % 38 AS k FROM events)"""
 SQL["merged_feed_edits"] = """
     SELECT e.seq, e.id, e.user_id, e.version, e.name, coalesce(e.new_type, f.feed_type) AS feed_type,
            f.url, f.img_url, f.feed_description, f.is_hidden

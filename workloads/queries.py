@@ -1174,7 +1174,7 @@ def formatted_timestamps(p):
 
 @query
 def parsed_timestamps(p):
-    """Moments written in 33 layouts: 20 to the second, 3 to the minute, 8 to the day, month, year."""
+    """Moments written in 37 layouts: 22 to the second, 4 to the minute, 9 to the day, month, year."""
     formats = [
         "yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd'T'HH:mm:ss'+00:00'", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'", "yyyy-MM-dd'T'HH:mm:ss",
         "EEE, dd MMM yyyy HH:mm:ss '+0000'", "EEE, dd MMM yyyy HH:mm:ss 'GMT'", "d MMM yyyy HH:mm:ss 'UTC'",
@@ -1182,8 +1182,9 @@ def parsed_timestamps(p):
         "EEE MMM d HH:mm:ss 'UTC' yyyy", "EEE MMM dd HH:mm:ss '+0000' yyyy", "yyyy-MM-dd HH:mm:ss'+00:00'",
         "yyyy-MM-dd HH:mm:ss.SSS '+0000 UTC'", "yyyy-MM-dd HH:mm:ss", "yyyy/MM/dd HH:mm:ss", "M/d/yyyy HH:mm:ss",
         "MMMM d, yyyy h:mm:ss a", "yyyyMMddHHmmss", "yyyy-MM-dd hh:mm:ss a",
-        "EEE, dd MMM yy HH:mm 'GMT'", "M/d/yy HH:mm", "d MMM yyyy, HH:mm",
-        "yyyy-MM-dd", "dd-MMM-yyyy", "yyyy.MM.dd", "yyyyMMdd", "MMM d, yyyy", "d MMMM yyyy", "M/d/yyyy", "yyyy-MMM-dd",
+        "EEE MMM dd yyyy HH:mm:ss 'GMT+0000 (Coordinated Universal Time)'", "yyyy-MM-dd HH:mm:ss',000'",
+        "EEE, dd MMM yy HH:mm 'GMT'", "M/d/yy HH:mm", "d MMM yyyy, HH:mm", "MMMM d, yyyy 'at' h:mma 'PST-00'",
+        "yyyy'年'MM'月'dd'日'", "yyyy-MM-dd", "dd-MMM-yyyy", "yyyy.MM.dd", "yyyyMMdd", "MMM d, yyyy", "d MMMM yyyy", "M/d/yyyy", "yyyy-MMM-dd",
         "yyyy-MM", "yyyy",
     ]
     # The second is cut first: a fraction in a layout is zero.
