@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -20,11 +21,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedspan.llm.bpe import VOCABULARY, ByteBpe, blocks, shared_vocabulary
+from feedspan.llm.bpe import VOCABULARY, ByteBpe, TokenBytes, blocks, id_lists, shared_vocabulary
 from feedspan.sources.storage import staged
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
-BLOCK = 1_000_000  # characters of texts aligned together
+BLOCK = 1_000_000  # bytes of texts aligned together
 BLOCK_ROWS, BLOCK_TOKENS = 500, 400_000  # documents and tokens whose pairs are numbered together, one document at least
 
 
@@ -40,9 +41,13 @@ class PieceTokenizer:
             else self.model.id_to_piece(i).replace("▁", " ").encode("utf-8")
             for i in range(self.model.get_piece_size())
         ]
+        self.table = TokenBytes(self.pieces)
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return self.model.encode(texts, num_threads=1)
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of the texts one after another, and how many each has."""
+        ids = self.model.encode(texts, num_threads=1)
+        counts = np.array([len(x) for x in ids], np.int64)
+        return np.fromiter(chain.from_iterable(ids), np.int32, int(counts.sum())), counts
 
 
 def coalesce(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -54,17 +59,17 @@ def coalesce(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def align_ids(
-    a: list[list[int]], b: list[list[int]], size_a: np.ndarray, size_b: np.ndarray
+    a: np.ndarray, count_a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Groups of texts whose tokens cover the same bytes on both sides.
 
-    Returns the number of groups of each text and, for each group, its A tokens, B tokens and bytes.
+    a and b: ids of all texts one after another; count_a: A tokens of each text. Returns the number of
+    groups of each text and, for each group, its A tokens, B tokens and bytes.
     """
-    flat_a, flat_b = (np.fromiter((i for x in side for i in x), np.int64) for side in (a, b))
-    if not len(flat_a):
-        return np.zeros(len(a), np.int64), *(np.empty(0, np.int64),) * 3
-    length = np.concatenate((size_a[flat_a], size_b[flat_b]))
-    n = len(flat_a)
+    if not len(a):
+        return np.zeros(len(count_a), np.int64), *(np.empty(0, np.int64),) * 3
+    length = np.concatenate((size_a[a], size_b[b]))
+    n = len(a)
     end = np.concatenate((np.cumsum(length[:n]), np.cumsum(length[n:])))  # texts follow one another on one axis
     order, group = coalesce(end - length, end)
     side = order >= n
@@ -72,9 +77,15 @@ def align_ids(
     n_a = np.bincount(group[~side], minlength=n_groups)
     n_b = np.bincount(group[side], minlength=n_groups)
     n_bytes = np.bincount(group[~side], weights=length[:n], minlength=n_groups).astype(np.int64)
-    text = np.repeat(np.arange(len(a)), [len(x) for x in a])  # of each A token, which are in order of start
+    text = np.repeat(np.arange(len(count_a)), count_a)  # of each A token, which are in order of start
     first = np.cumsum(n_a) - n_a
-    return np.bincount(text[first], minlength=len(a)), n_a, n_b, n_bytes
+    return np.bincount(text[first], minlength=len(count_a)), n_a, n_b, n_bytes
+
+
+def _whole(side, ids: np.ndarray, counts: np.ndarray, texts: list[bytes]) -> np.ndarray:
+    """Which texts are what their tokens join to."""
+    joined, ends = side.table.join(ids, counts)
+    return np.array([joined[x:y] == t for x, y, t in zip(ends, ends[1:], texts, strict=False)], bool)
 
 
 def _lists(values: np.ndarray, sizes: np.ndarray, kind: pa.DataType) -> pa.Array:
@@ -82,6 +93,31 @@ def _lists(values: np.ndarray, sizes: np.ndarray, kind: pa.DataType) -> pa.Array
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.astype(kind.to_pandas_dtype()), kind))
 
 
+def _aligner(docs: DataFrame, vocabulary: str, pieces: str):
+    """From batches of doc_id and text to batches of their tokens and groups."""
+    shared = shared_vocabulary(docs, vocabulary)
+    with open(pieces, "rb") as f:
+        model = docs.sparkSession.sparkContext.broadcast(f.read())
+
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left, right = ByteBpe(*shared.value, specials=False), PieceTokenizer(model.value)
+        for batch in batches:
+            for lo, hi in blocks(batch.column(1), BLOCK):
+                part = batch.slice(lo, hi - lo)
+                texts = [t or "" for t in part.column(1).to_pylist()]
+                spaced = [f" {t}" if t else "" for t in texts]
+                raw = [t.encode("utf-8") for t in spaced]
+                sides = [(left, *left.encode(spaced)), (right, *right.encode(texts))]
+                good = np.logical_and(*(_whole(*s, raw) for s in sides))
+                (a, count_a), (b, count_b) = ((ids[np.repeat(good, n)], n * good) for _, ids, n in sides)
+                n_groups, *groups = align_ids(a, count_a, b, left.table.lengths, right.table.lengths)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), id_lists(a, count_a), id_lists(b, count_b), *(_lists(g, n_groups, pa.int32()) for g in groups)],
+                    names=["doc_id", "a", "b", "group_a", "group_b", "group_bytes"])
+
+    return align
+
+
 def align_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, pieces: str = PIECES) -> DataFrame:
     """Tokens and groups of every row of `docs` (doc_id, text).
 
@@ -92,29 +128,10 @@ def align_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, pieces: str = PI
     either side, have empty arrays. Repeated rows give equal rows; other columns are ignored. Empty
     input: no rows.
     """
-    shared = shared_vocabulary(docs, vocabulary)
-    with open(pieces, "rb") as f:
-        model = docs.sparkSession.sparkContext.broadcast(f.read())
-
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left, right = ByteBpe(*shared.value, specials=False), PieceTokenizer(model.value)
-        size_a, size_b = (np.array([len(p) for p in side.pieces]) for side in (left, right))
-        for batch in batches:
-            for start, texts in blocks(batch.column(1).to_pylist(), BLOCK):
-                a, b = left.encode([f" {t}" if t else "" for t in texts]), right.encode(texts)
-                for i, t in enumerate(texts):
-                    whole = f" {t}".encode()
-                    if not t or any(b"".join(map(s.pieces.__getitem__, x[i])) != whole for s, x in ((left, a), (right, b))):
-                        a[i], b[i] = [], []
-                n_groups, *groups = align_ids(a, b, size_a, size_b)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(start, len(texts)), pa.array(a, pa.list_(pa.int32())), pa.array(b, pa.list_(pa.int32())),
-                     *(_lists(g, n_groups, pa.int32()) for g in groups)],
-                    names=["doc_id", "a", "b", "group_a", "group_b", "group_bytes"])
-
     id_type = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(
-        apply, f"doc_id {id_type}, a array<int>, b array<int>, group_a array<int>, group_b array<int>, group_bytes array<int>")
+        _aligner(docs, vocabulary, pieces),
+        f"doc_id {id_type}, a array<int>, b array<int>, group_a array<int>, group_b array<int>, group_bytes array<int>")
 
 
 def _links(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -136,8 +153,13 @@ def _links(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> tu
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
-def _written(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, last: np.ndarray) -> list[str]:
-    """Each token in group order with the sign that follows it: , inside a side, | between sides, ; between groups."""
+def _written(
+    a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, last: np.ndarray, words: list[str]
+) -> list[str]:
+    """Each token in group order with the sign that follows it: , inside a side, | between sides, ; between groups.
+
+    `words` holds the ids met so far with their four signs; it grows with the largest id.
+    """
     upto_a, upto_b = np.cumsum(n_a), np.cumsum(n_b)
     group_a, group_b = np.repeat(np.arange(len(n_a)), n_a), np.repeat(np.arange(len(n_b)), n_b)
     place_a = np.arange(len(a)) + (upto_b - n_b)[group_a]
@@ -146,15 +168,14 @@ def _written(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, las
     sign_a[upto_a - 1], sign_b[upto_b - 1] = 1, np.where(last, 3, 2)
     code = np.empty(len(a) + len(b), np.int64)
     code[place_a], code[place_b] = a * 4 + sign_a, b * 4 + sign_b
-    distinct, at = np.unique(code, return_inverse=True)
-    words = [f"{c >> 2}{(',', '|', ';', '')[c & 3]}" for c in distinct.tolist()]
-    return list(map(words.__getitem__, at.tolist()))
+    words += [f"{i}{sign}" for i in range(len(words) // 4, int(code.max()) // 4 + 1) for sign in (",", "|", ";", "")]
+    return list(map(words.__getitem__, code.tolist()))
 
 
 DOC_COLUMNS = "n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
 
 
-def _numbered(batch: pa.RecordBatch, lo: int, hi: int, block: int) -> pa.RecordBatch:
+def _numbered(batch: pa.RecordBatch, lo: int, hi: int, block: int, words: list[str]) -> pa.RecordBatch:
     """Rows lo to hi with their links as numbers of the block's pairs; the last row holds those pairs."""
     def column(name: str) -> tuple[np.ndarray, np.ndarray]:
         part = batch.column(name).slice(lo, hi - lo)
@@ -165,7 +186,7 @@ def _numbered(batch: pa.RecordBatch, lo: int, hi: int, block: int) -> pa.RecordB
     doc = np.repeat(np.arange(rows), n_groups)  # of each group
     links, last = np.zeros(rows, np.int64), np.diff(doc, append=rows) > 0
     np.add.at(links, doc, n_a * n_b)
-    written = _written(a, b, n_a, n_b, last) if len(a) else []
+    written = _written(a, b, n_a, n_b, last, words) if len(a) else []
     digests, place = [], 0
     for size in (len_a + len_b).tolist():
         digests.append(hashlib.sha256("".join(written[place : place + size]).encode()).hexdigest() if size else "")
@@ -195,17 +216,17 @@ def _numbered(batch: pa.RecordBatch, lo: int, hi: int, block: int) -> pa.RecordB
 
 
 def _number_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    block = TaskContext.get().partitionId() << 32
+    block, words = TaskContext.get().partitionId() << 32, []
     for batch in batches:
         tokens = np.diff(batch.column("a").offsets.to_numpy()) + np.diff(batch.column("b").offsets.to_numpy())
         lo = held = 0
         for i, n in enumerate(tokens.tolist()):
             if i > lo and (i - lo >= BLOCK_ROWS or held + n > BLOCK_TOKENS):
-                yield _numbered(batch, lo, i, block)
+                yield _numbered(batch, lo, i, block, words)
                 lo, held, block = i, 0, block + 1
             held += n
         if lo < batch.num_rows:
-            yield _numbered(batch, lo, batch.num_rows, block)
+            yield _numbered(batch, lo, batch.num_rows, block, words)
             block += 1
 
 
@@ -248,9 +269,10 @@ def alignment_digests(docs: DataFrame, vocabulary: str = VOCABULARY, pieces: str
     (see `align_tokens`) have zeros and an empty hash.
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    aligned = staged(align_tokens(docs, vocabulary, pieces), "aligned")
-    numbered = staged(aligned.drop("group_bytes").mapInArrow(
-        _number_pairs, f"block long, is_block boolean, doc_id {id_type}, {DOC_COLUMNS}, "
+    align = _aligner(docs, vocabulary, pieces)
+    # Tokens are numbered where they are made: only the numbers of a document's pairs leave the task.
+    numbered = staged(docs.select("doc_id", "text").mapInArrow(
+        lambda batches: _number_pairs(align(batches)), f"block long, is_block boolean, doc_id {id_type}, {DOC_COLUMNS}, "
         "at array<int>, times array<long>, pairs array<long>, docs array<int>"), "numbered-pairs")
     wanted = numbered.filter("is_block").select(F.col("block").alias("of_block"), F.posexplode("pairs").alias("place", "pair"))
     looked_up = wanted.join(link_counts(numbered), "pair").groupBy("of_block").agg(

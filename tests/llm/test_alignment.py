@@ -105,7 +105,8 @@ def test_coalesced_intervals():
 
 def test_texts_never_share_a_group():
     size = np.array([1, 2])
-    n_groups, n_a, n_b, n_bytes = align_ids([[0, 1], [], [1]], [[1, 0], [], [0, 0]], size, size)
+    n_groups, n_a, n_b, n_bytes = align_ids(
+        np.array([0, 1, 1]), np.array([2, 0, 1]), np.array([1, 0, 0, 0]), size, size)
     assert n_groups.tolist() == [1, 0, 1] and n_a.tolist() == [2, 1] and n_b.tolist() == [2, 2] and n_bytes.tolist() == [3, 2]
 
 
