@@ -56,7 +56,7 @@ def page_of(
     """One page in order, optionally with the count of all rows.
 
     `order` must end in a unique key. Every task keeps its own first rows only, so
-    just `page * page_size` rows per task are merged; for deep pages use `page_after`.
+    just `page * page_size` rows per task are merged; for deep pages use `page_at` or `page_after`.
     """
     limit, offset = check_page(page, page_size)
     rows = df.orderBy(*order)
@@ -81,6 +81,74 @@ def page_after(
     return df.filter(later).orderBy(*order).limit(page_size)
 
 
+BINS, SORTED = 4096, 100_000
+
+
+def _as_long(df: DataFrame, column: str) -> Column:
+    """A date, timestamp or whole number as a number in the same order."""
+    kind = df.schema[column].dataType.simpleString()
+    if kind in ("timestamp", "timestamp_ntz", "date"):
+        return F.unix_micros(F.col(column).cast("timestamp"))
+    if kind in ("bigint", "int", "smallint", "tinyint"):
+        return F.col(column).cast("bigint")
+    raise ValueError(f"{column} is {kind}: pages by range need a date, a timestamp or a whole number")
+
+
+def page_at(
+    df: DataFrame, keys: Sequence[tuple[str, bool]], page: int, page_size: int = 20, total: str | None = "total_records"
+) -> DataFrame:
+    """One page of any depth: only the range of the first key that holds it is sorted.
+
+    `keys` are (column, descending) pairs ending in a unique column; the first is a date, a timestamp
+    or a whole number. Histograms of it, counted in the tasks, narrow the places of the page's first
+    and last row down to bins of at most `SORTED` rows, or to one key value, so the sort merges few
+    rows whatever the page. NULLs of the first key come last if it descends, else first.
+    """
+    limit, offset = check_page(page, page_size)
+    (name, descending), order = keys[0], [F.col(n).desc() if d else F.col(n).asc() for n, d in keys]
+    place = -_as_long(df, name) if descending else _as_long(df, name)
+    placed = df.withColumn("__place", place)
+    low, high, n_all, n_set = placed.agg(
+        F.min("__place"), F.max("__place"), F.count(F.lit(1)), F.count("__place")).first()
+    seen: dict[tuple[int, int], list[tuple[int, int]]] = {}
+
+    def bins(lo: int, hi: int, width: int) -> list[tuple[int, int]]:
+        if (lo, hi) not in seen:
+            number = F.expr(f"(__place - {lo}L) DIV {width}L")
+            counted = placed.filter(F.col("__place").between(lo, hi)).groupBy(number.alias("b")).count()
+            seen[lo, hi] = sorted((r["b"], r["count"]) for r in counted.collect())
+        return seen[lo, hi]
+
+    def find(rank: int) -> tuple[int, int, int]:
+        """First and last key value of a bin that holds the row with this rank, and the rows before it."""
+        lo, hi, before = low, high, 0
+        while True:
+            width = (hi - lo) // BINS + 1
+            for b, n in bins(lo, hi, width):
+                if before + n > rank:
+                    break
+                before += n
+            lo, hi = lo + b * width, min(hi, lo + (b + 1) * width - 1)
+            if n <= SORTED or lo == hi:
+                return lo, hi, before
+
+    nulls = n_all - n_set
+    first = offset if descending else offset - nulls  # ranks among the rows with a key
+    last = min(first + limit, n_set) - 1
+    if last < max(first, 0):  # nothing but NULLs, or past the end
+        start, kept = (first - n_set if descending else offset), F.col("__place").isNull()
+    else:
+        start_lo, _, before = find(max(first, 0))
+        kept = F.col("__place").between(start_lo, find(last)[1])
+        start = max(first, 0) - before
+        if first < 0:
+            start, kept = offset, kept | F.col("__place").isNull()
+        elif descending and first + limit > n_set:
+            kept = kept | F.col("__place").isNull()
+    rows = placed.filter(kept).drop("__place").orderBy(*order).offset(start).limit(limit)
+    return rows.withColumn(total, F.lit(n_all).cast("bigint")) if total else rows
+
+
 def top_per_key(
     df: DataFrame,
     keys: Sequence[str],

@@ -12,6 +12,7 @@ from feedspan.functions.timestamps import interval_seconds
 from feedspan.operators.paging import check_page, count_of, page_of, top_per_key
 from feedspan.operators.skew import join_sliced
 from feedspan.operators.summaries import count_where, latest_per_key
+from feedspan.sources.storage import staged
 
 
 def _newest(created: str = "created_at", key: str = "id") -> list[Column]:
@@ -176,6 +177,63 @@ def user_timeline(
     )
 
 
+def _ranked(found: DataFrame, cursors: DataFrame) -> DataFrame:
+    """Posts and cursors (feed_id, created_at, id) with `rank`: posts of the feed up to there, newest first.
+
+    Ranks are counted within a day of a feed and days are added up, so no task sorts a whole feed.
+    """
+    key = ["feed_id", "created_at", "id"]
+    both = found.select(*key, F.lit(1).alias("__post")).unionByName(cursors.select(*key, F.lit(0).alias("__post")))
+    both = both.withColumn("__day", F.to_date("created_at"))
+    in_day = W.partitionBy("feed_id", "__day").orderBy(
+        F.desc("created_at"), "id", F.desc("__post")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    days = both.groupBy("feed_id", "__day").agg(F.sum("__post").alias("__n"))
+    newer = F.sum("__n").over(W.partitionBy("feed_id").orderBy(F.desc("__day"))) - F.col("__n")
+    days = days.select("feed_id", "__day", newer.alias("__newer"))
+    return both.withColumn("rank", F.sum("__post").over(in_day)).join(days, ["feed_id", "__day"]).select(
+        *key, "__post", (F.col("rank") + F.col("__newer")).alias("rank"))
+
+
+def user_timeline_after(
+    posts: DataFrame,
+    follows: DataFrame,
+    favorites: DataFrame,
+    cursors: DataFrame,
+    search: str = "",
+    feed_id: int | str | None = None,
+    page_size: int = 20,
+) -> DataFrame:
+    """The page of each user's timeline that follows the user's cursor, at any depth.
+
+    `cursors`: user_id, created_at and post_id of the last row seen; a NULL time stands for the
+    beginning. Every feed's posts are numbered once; a cursor is a place among them, and a user needs
+    the next `page_size` numbers of each followed feed. So a deep page costs what the first one does.
+    """
+    limit, _ = check_page(1, page_size)
+    found = posts.filter(token_match(F.col("itemtitle"), search))
+    at = cursors.select(
+        "user_id", F.coalesce("created_at", F.lit("9999-12-31").cast(posts.schema["created_at"].dataType)).alias("created_at"),
+        F.coalesce("post_id", F.lit(-1)).cast(posts.schema["id"].dataType).alias("id"))
+    mine = follows.select("user_id", "feed_id").join(at, "user_id")
+    if feed_id is not None:
+        found, mine = found.filter(F.col("feed_id") == feed_id), mine.filter(F.col("feed_id") == feed_id)
+    ranked = staged(_ranked(found, mine.select("feed_id", "created_at", "id").distinct()), "ranked-posts")
+    place = ranked.filter("__post = 0").select("feed_id", "created_at", "id", F.col("rank").alias("__seen"))
+    wanted = mine.join(place, ["feed_id", "created_at", "id"]).select(
+        "user_id", "feed_id", F.explode(F.sequence(F.col("__seen") + 1, F.col("__seen") + limit)).alias("rank"))
+    numbers = ranked.filter("__post = 1").select("feed_id", "rank", F.col("id").alias("post_id"), "created_at")
+    page = top_per_key(
+        wanted.join(numbers, ["feed_id", "rank"]).drop("rank"), ["user_id"], _newest(key="post_id"), limit, rank="row_num")
+    liked = favorites.select("user_id", "post_id").distinct().withColumn("__liked", F.lit(True))
+    detail = found.drop("feed_id", "created_at").withColumnRenamed("id", "post_id")
+    return (
+        page.join(liked, ["user_id", "post_id"], "left")
+        .join(detail, "post_id")
+        .withColumn("is_favorite", F.coalesce("__liked", F.lit(False)))
+        .drop("__liked")
+    )
+
+
 def favorite_timeline(
     posts: DataFrame,
     follows: DataFrame,

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from feedspan.functions.timestamps import as_ntz
-from feedspan.operators import changes
+from feedspan.operators import changes, paging
 from feedspan.operators.summaries import latest_per_key, most_common, numbered_facet, one_row
 from feedspan.operators.lookup import key_lookup
 from feedspan.operators.paging import check_page, page_after, page_metadata, page_of, top_per_key
@@ -395,3 +395,47 @@ def test_view_sizes_at_sf001(spark):
     assert p.feeds.filter("approval_status = 'approved'").count() == 1200
     assert p.feeds.filter("last_fetched_at IS NULL").count() == 182
     assert p.comments.filter("parent_comment_id IS NOT NULL").count() == 412
+
+
+@pytest.mark.parametrize("descending", [True, False])
+def test_pages_by_range_equal_offsets(spark, monkeypatch, descending):
+    monkeypatch.setattr(paging, "SORTED", 5)
+    monkeypatch.setattr(paging, "BINS", 4)
+    df = spark.range(300).selectExpr(
+        "id", "CASE WHEN id % 11 = 0 THEN NULL WHEN id < 40 THEN -7 ELSE (id * id) % 1009 - 500 END AS k")
+    keys = [("k", descending), ("id", False)]
+    order = [F.col("k").desc() if descending else F.col("k").asc(), F.col("id")]
+    whole = [r["id"] for r in df.orderBy(*order).collect()]
+    for page in (1, 2, 3, 9, 15, 24, 28, 30, 31, 40):
+        got = paging.page_at(df, keys, page, 10)
+        assert [r["id"] for r in got.collect()] == whole[10 * (page - 1) : 10 * page], page
+        assert {r["total_records"] for r in got.collect()} <= {300}
+    assert paging.page_at(df.limit(0), keys, 1, 10).collect() == []
+    assert [r["id"] for r in paging.page_at(df.filter("k IS NULL"), keys, 2, 10).collect()] == list(range(110, 220, 11))
+
+
+def test_a_deep_page_sorts_one_range(spark):
+    """The first key of a page far down is filtered to a range of few rows before the sort."""
+    df = spark.range(2_000_000).selectExpr("id", "timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, 0, id * 3) AS at")
+    page = paging.page_at(df, [("at", True), ("id", False)], 90_000, 20)
+    assert [r["id"] for r in page.collect()] == list(range(2_000_000 - 1_799_980 - 1, 2_000_000 - 1_800_000 - 1, -1))
+    below = page.queryExecution if hasattr(page, "queryExecution") else page._jdf.queryExecution()
+    assert "Filter" in below.optimizedPlan().toString()
+
+
+def test_timeline_cursors_walk_the_whole_timeline(spark):
+    posts = spark.range(60).selectExpr(
+        "id", "id % 3 AS feed_id", "timestamp_ntz'2024-01-01' + make_dt_interval(0, 5 * (id DIV 4)) AS created_at", "'t' AS itemtitle")
+    follows = spark.createDataFrame([(1, 0), (1, 2), (2, 1), (3, 9)], "user_id bigint, feed_id bigint")
+    liked = spark.createDataFrame([(1, 3)], "user_id bigint, post_id bigint")
+    cursor = spark.createDataFrame([(u, None, None) for u in (1, 2, 3)], "user_id bigint, created_at timestamp_ntz, post_id bigint")
+    seen = {1: [], 2: [], 3: []}
+    for _ in range(6):
+        rows_ = discovery.user_timeline_after(posts, follows, liked, cursor, page_size=9).orderBy("user_id", "row_num").collect()
+        for r in rows_:
+            seen[r["user_id"]].append(r["post_id"])
+            assert r["is_favorite"] == (r["user_id"] == 1 and r["post_id"] == 3)
+        last = {r["user_id"]: (r["user_id"], r["created_at"], r["post_id"]) for r in rows_}
+        cursor = spark.createDataFrame(list(last.values()), cursor.schema) if last else cursor.limit(0)
+    order = sorted(range(60), key=lambda i: (-(i // 4), i))
+    assert seen == {1: [i for i in order if i % 3 != 1], 2: [i for i in order if i % 3 == 1], 3: []}

@@ -283,6 +283,16 @@ def _timeline(where: str, rows: str) -> str:
 
 
 SQL["user_timeline"] = _timeline("true", "row_num <= 20")
+SQL["user_timeline_after"] = f"""
+    SELECT * EXCLUDE (total_records) REPLACE (row_num - 20 AS row_num) FROM ({_timeline("true", "row_num BETWEEN 21 AND 40")})"""
+SQL["user_timeline_from_start"] = f"""SELECT * EXCLUDE (total_records) FROM ({_timeline(
+    _has("p.itemtitle", "the") + " AND ff.user_id IN (SELECT user_id FROM favorites)", "row_num <= 7")})"""
+SQL["posts_deep_page"] = """
+    SELECT id, created_at, feed_id, (SELECT count(*) FROM posts) AS total_records FROM posts
+    ORDER BY created_at DESC, id LIMIT 17 OFFSET 510"""
+SQL["never_fetched_page"] = """
+    SELECT id, last_fetched_at, (SELECT count(*) FROM feeds) AS total_records FROM feeds
+    ORDER BY last_fetched_at DESC NULLS LAST, id DESC LIMIT 100 OFFSET 1800"""
 SQL["user_timeline_search"] = _timeline(_has("p.itemtitle", "the", "of"), "row_num BETWEEN 4 AND 6")
 SQL["user_timeline_one_feed"] = _timeline(
     "p.feed_id = 17 AND ff.user_id IN (SELECT user_id FROM favorites)", "row_num <= 20"

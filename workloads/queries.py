@@ -26,7 +26,7 @@ from feedspan.operators import changes
 from feedspan.operators.summaries import facet_values, numbered_facet
 from feedspan.operators.defaults import complete
 from feedspan.operators.lookup import key_lookup
-from feedspan.operators.paging import page_after, page_metadata
+from feedspan.operators.paging import page_after, page_at, page_metadata
 from feedspan.operators.search import search_all, token_index
 from feedspan.plans import discovery, ingest, moderation, notifications, subscriptions
 from feedspan.session import configure, shared_dir
@@ -105,6 +105,18 @@ def feed_catalog_metadata(p):
     )
 
 
+@query
+def posts_deep_page(p):
+    """A page from the middle of all posts, by ranges."""
+    return page_at(p.posts, [("created_at", True), ("id", False)], 31, 17).select("id", "created_at", "feed_id", "total_records")
+
+
+@query
+def never_fetched_page(p):
+    """A page that begins among dated feeds and ends among those never fetched."""
+    return page_at(p.feeds, [("last_fetched_at", True), ("id", True)], 19, 100).select("id", "last_fetched_at", "total_records")
+
+
 @query
 def feed_catalog_page_after(p):
     shown = p.feeds.filter("NOT is_hidden AND approval_status = 'approved'")
@@ -142,6 +154,23 @@ def user_timeline(p):
     return hashed(rows.select(*TIMELINE), "itemtitle", "itemcontent")
 
 
+@query
+def user_timeline_after(p):
+    """The page that follows each user's first one."""
+    first = discovery.user_timeline(p.posts, p.feed_follows, p.favorites)
+    last = first.groupBy("user_id").agg(F.max_by(F.struct("created_at", "post_id"), "row_num").alias("at"))
+    rows = discovery.user_timeline_after(p.posts, p.feed_follows, p.favorites, last.select("user_id", "at.*"))
+    return hashed(rows.select(*[c for c in TIMELINE if c != "total_records"]), "itemtitle", "itemcontent")
+
+
+@query
+def user_timeline_from_start(p):
+    cursors = p.favorites.selectExpr("user_id", "CAST(NULL AS TIMESTAMP_NTZ) AS created_at", "CAST(NULL AS BIGINT) AS post_id")
+    rows = discovery.user_timeline_after(
+        p.posts, p.feed_follows, p.favorites, cursors.distinct(), search="the", page_size=7)
+    return hashed(rows.select(*[c for c in TIMELINE if c != "total_records"]), "itemtitle", "itemcontent")
+
+
 @query
 def user_timeline_search(p):
     rows = discovery.user_timeline(
