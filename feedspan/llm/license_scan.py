@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import reduce
 
@@ -21,8 +22,11 @@ GRANT = (
 JOIN = r"(?: license)?(?: ?\([^()]*\))?(?: ?[,;/]? ?(?:and/or|or|and)\b| ?[,;/])(?: ?\(?at your (?:option|choice)\)?,?)?(?: (?:under|by))? ?(?:the |a )?(?:terms of )?(?:the |a )?"
 #: A licence's name without the word, as "MIT" in "the MIT or Apache License".
 BEFORE_NEXT = r"(?=" + JOIN + r"(?:apache|(?:new |simplified |modified |[0-9]-clause )?bsd|gnu|[al]?gpl|mozilla|cc|creative commons)\b)"
-#: The words up to the version, but not into another licence.
-SAME = r"(?:(?!\b(?:apache|mozilla|mit|expat|bsd|creative commons|[al]?gpl)\b).)*?"
+#: What follows at any distance may not lie beyond the name of another licence.
+OTHER = re.compile(r"\b(?:apache|mozilla|mit|expat|bsd|creative commons|[al]?gpl)\b")
+VERSION = re.compile(r"\bversion (?P<gnuv>[0-9](?:\.[0-9])?)")
+ANY_LATER = re.compile(r"\bany (?P<later>later) version\b")
+LATER = re.compile(r"\b(?P<glater>later)\b")
 SPDX_TERM = r"\(*[a-z0-9.+:-]*[a-z0-9.+]\)*"
 SENTENCES = [
     ("Negated", "under", r"\bnot (?:be )?(?:licensed|released|distributed|available) under\b"),
@@ -30,14 +34,14 @@ SENTENCES = [
     ("MitGrant", "permission", r"\bpermission is hereby granted, free of charge, to any person obtaining a copy"),
     ("MitNotice", "permission", r"\bthe above copyright notice and this permission notice shall be included"),
     ("IscGrant", "permission", r"\bpermission to use, copy, modify, and(?:/or)? distribute this software for any purpose"),
-    ("AsIs", "provided", r"\bsoftware is provided (?:by the [a-z ]+ )?as[ -]is\b"),
-    ("NoLiability", "liable", r"\bin no event shall\b.*?\bbe liable\b"),
+    ("AsIs", "provided", r"\bsoftware is provided (?=as[ -]is\b|by the [a-z ])"),
+    ("NoLiability", "liable", r"\bin no event shall\b"),
     ("BsdGrant", "redistribution", r"\bredistribution and use in source and binary forms, with or without modification, are permitted"),
     ("BsdSource", "redistributions", r"\bredistributions of source code must retain\b"),
     ("BsdBinary", "redistributions", r"\bredistributions in binary form must reproduce\b"),
-    ("BsdEndorse", "endorse", r"\bneither the names? of\b.*?\bmay be used to endorse\b"),
+    ("BsdEndorse", "endorse", r"\bneither the names? of\b"),
     ("BsdAdvert", "advertising", r"\ball advertising materials mentioning features\b"),
-    ("GplFree", "free", r"\bthis (?:program|library|file) is free software\b.*?\b(?P<gnu>lesser general|library general|affero general|general) public license\b(?:" + SAME + r"\bversion (?P<gnuv>[0-9](?:\.[0-9])?))?(?P<later>" + SAME + r"\bany later version\b)?"),
+    ("GplFree", "free", r"\bthis (?:program|library|file) is free software\b"),
     ("GplNoWarranty", "distributed", r"\bdistributed in the hope that it will be useful\b"),
     ("GplCopy", "gnu", r"\byou should have received a copy of the gnu\b"),
     ("Apache", "apache", GRANT + r"apache(?: software)?(?: license)?,?(?: (?:version|v\.?))?[ -]?(?P<apache>[12](?:\.[0-9])?)?"),
@@ -45,17 +49,92 @@ SENTENCES = [
     ("ApacheCopy", "obtain", r"\byou may obtain a copy of the license at\b"),
     ("Mit", "mit expat", GRANT + r"(?:mit|expat)(?:[ /]x11)?(?:-style)?(?: ?licenses?\b|" + BEFORE_NEXT + r")|^(?:the )?mit license$"),
     ("Bsd", "bsd", GRANT + r"(?:(?:new |simplified |modified )?bsd|(?P<bsd>[0-4])-clause bsd|bsd (?P<bsd2>[0-4])-clause)(?:-style)? ?(?:license)?\b"),
-    ("Gnu", "public gpl gfdl documentation", GRANT + r"(?:gnu )?(?P<family>lesser general public license|affero general public license|general public license|free documentation license|agpl|lgpl|gfdl|gpl),?(?: ?\(?(?:l|a)?gpl\)?,?)?(?: (?:version|v\.?) ?| ?-?v?)?(?P<gv>[0-9](?:\.[0-9])?)?(?P<glater>" + SAME + r"\blater\b|\+)?"),
+    ("Gnu", "public gpl gfdl documentation", GRANT + r"(?:gnu )?(?P<family>lesser general public license|affero general public license|general public license|free documentation license|agpl|lgpl|gfdl|gpl),?(?: ?\(?(?:l|a)?gpl\)?,?)?(?: (?:version|v\.?) ?| ?-?v?)?(?P<gv>[0-9](?:\.[0-9])?)?"),
     ("Mpl", "mozilla", r"\bmozilla public license,?(?: (?:version|v\.?))? ?(?P<mpl>[0-9]\.[0-9])?"),
     ("CreativeCommons", "cc commons", GRANT + r"(?:cc|creative commons)[ -](?P<cc>zero|0|attribution(?:[ -](?:non-?commercial|share-?alike|no-?deriv(?:ative)?s?(?: works)?))*|by(?:-nc)?(?:-sa|-nd)?)(?: (?:international|unported|generic))?(?: license)?,?(?: (?:version|v\.?))? ?(?P<ccv>[0-9]\.[0-9])?"),
     ("PublicDomain", "domain", r"\b(?:dedicated|released|placed|donated) (?:to|into|in) the public domain\b|\bthis (?:work|file|software) is in the public domain\b"),
     ("AllRights", "reserved", r"\ball rights reserved\b"),
     ("Copyright", "copyright (c)", r"^(?:portions )?copyright\b|^\(c\) (?:copyright )?[0-9]{4}"),
 ]
-KNOWN = [(name, tuple(words.split()), re.compile(pattern)) for name, words, pattern in SENTENCES]
+#: The end of a known sentence that begins as above, at any distance, and what may not stand between.
+ENDS = {
+    "AsIs": (r"\bas[ -]is\b", r"[^a-z ]"),
+    "NoLiability": (r"\bbe liable\b", None),
+    "BsdEndorse": (r"\bmay be used to endorse\b", None),
+    "GplFree": (r"\b(?P<gnu>lesser general|library general|affero general|general) public license\b", None),
+}
+#: What may follow at any distance, in this order, if no other licence is named before it.
+TAILS = {"GplFree": [VERSION, ANY_LATER], "Gnu": [LATER]}
+
+
+class Sentence:
+    """A sentence and the places of patterns in it, each searched once."""
+
+    def __init__(self, text: str) -> None:
+        self.text = text
+        self.places: dict[re.Pattern, tuple[list[int], list[re.Match]]] = {}
+
+    def first(self, pattern: re.Pattern, at: int) -> re.Match | None:
+        """The first match that begins at `at` or later."""
+        if pattern not in self.places:
+            matches = list(pattern.finditer(self.text))
+            self.places[pattern] = [m.start() for m in matches], matches
+        starts, matches = self.places[pattern]
+        i = bisect_left(starts, at)
+        return matches[i] if i < len(starts) else None
+
+
+class Phrase:
+    """A known sentence: a beginning, perhaps an end at any distance, and what may follow that.
+
+    A pattern that ran over the distance would be tried anew from each beginning, which takes
+    quadratic time where beginnings repeat; here each part is searched once in a sentence.
+    """
+
+    def __init__(self, name: str, head: str) -> None:
+        end, apart = ENDS.get(name, (None, None))
+        self.head, self.tails = re.compile(head), TAILS.get(name, [])
+        self.end, self.apart = end and re.compile(end), apart and re.compile(apart)
+
+    def _whole(self, sentence: Sentence, m: re.Match) -> tuple[int, int, dict] | None:
+        """Start, end and named parts of the phrase that begins with `m`."""
+        found, at = {k: v for k, v in m.groupdict().items() if v}, m.end()
+        if self.end:
+            end = sentence.first(self.end, at)
+            between = self.apart and sentence.first(self.apart, at)
+            if not end or (between and between.start() < end.start()):
+                return None
+            found, at = found | end.groupdict(), end.end()
+        for tail in self.tails:
+            follows, other = sentence.first(tail, at), sentence.first(OTHER, at)
+            if follows and not (other and other.start() < follows.start()):
+                found, at = found | follows.groupdict(), follows.end()
+            elif tail is LATER and sentence.text.startswith("+", at):
+                found, at = found | {"glater": "+"}, at + 1
+        return m.start(), at, found
+
+    def find_all(self, sentence: Sentence) -> Iterator[tuple[int, int, dict]]:
+        at = 0
+        while m := self.head.search(sentence.text, at):
+            whole = self._whole(sentence, m)
+            if whole:
+                yield whole
+            elif self.end and not sentence.first(self.end, m.end()):
+                return  # none that begins later has an end either
+            at = max(whole[1] if whole else m.end(), m.start() + 1)
+
+    def search(self, text: str) -> tuple[int, int, dict] | None:
+        return next(self.find_all(Sentence(text)), None)
+
+    def match(self, sentence: Sentence, at: int) -> tuple[int, int, dict] | None:
+        m = self.head.match(sentence.text, at)
+        return self._whole(sentence, m) if m else None
+
+
+KNOWN = [(name, tuple(words.split()), Phrase(name, pattern)) for name, words, pattern in SENTENCES]
 #: Patterns of licences that may follow another one in a list.
 LISTED = [
-    (name, re.compile(pattern.removeprefix(GRANT).replace(BEFORE_NEXT, r"(?=$| ?[,;/)]| (?:or|and|at)\b)").split("|^")[0]))
+    (name, Phrase(name, pattern.removeprefix(GRANT).replace(BEFORE_NEXT, r"(?=$| ?[,;/)]| (?:or|and|at)\b)").split("|^")[0]))
     for name, _, pattern in SENTENCES if pattern.startswith(GRANT) or name == "Mpl"
 ]
 LIST_START = {name for name, _ in LISTED}
@@ -134,10 +213,6 @@ def sentences(text: str) -> list[str]:
     return out
 
 
-def _found(m: re.Match) -> dict:
-    return {k: v for k, v in m.groupdict().items() if v}
-
-
 def _spdx_parts(expression: str) -> list[str]:
     """Licences of an expression; an exception stays with its licence, prose behind it ends it."""
     out, operator = [], "or"
@@ -153,37 +228,38 @@ def _spdx_parts(expression: str) -> list[str]:
     return out
 
 
-def _listed(sentence: str, end: int, before: re.Pattern) -> tuple[list[tuple[str, dict]], int]:
+def _listed(sentence: Sentence, end: int, before: re.Pattern) -> tuple[list[tuple[str, dict]], int]:
     """The licences of a list that goes on at `end`, the first one behind `before`, and its end."""
     out = []
-    while joined := before.match(sentence, end):
-        matches = ((name, pattern.match(sentence, joined.end())) for name, pattern in LISTED)
+    while joined := before.match(sentence.text, end):
+        matches = ((name, phrase.match(sentence, joined.end())) for name, phrase in LISTED)
         name, m = next((x for x in matches if x[1]), (None, None))
         if not m:
             break
-        out.append((name, _found(m)))
-        end, before = m.end(), NEXT
+        out.append((name, m[2]))
+        end, before = m[1], NEXT
     return out, end
 
 
 def identify_sentence(sentence: str, patterns: list = KNOWN) -> list[tuple[str, dict]]:
     """All known sentences in a sentence, by position; a list of licences gives one each."""
+    here = Sentence(sentence)
     matches = sorted(
-        ((m.start(), k, name, m) for k, (name, _, pattern) in enumerate(patterns) for m in pattern.finditer(sentence)),
-        key=lambda x: x[:2])
+        ((*m, k, name) for k, (name, _, phrase) in enumerate(patterns) for m in phrase.find_all(here)),
+        key=lambda x: (x[0], x[3]))
     out, end = [], 0
-    for start, _, name, m in matches:
+    for start, stop, found, _, name in matches:
         if start < end:
             continue
-        end = m.end()
+        end = stop
         if name == "Spdx":
-            out += [(name, {"spdx": part}) for part in _spdx_parts(m["spdx"])]
+            out += [(name, {"spdx": part}) for part in _spdx_parts(found["spdx"])]
             continue
-        out.append((name, _found(m)))
+        out.append((name, found))
         if name == "Negated":  # what follows is denied too
-            _, end = _listed(sentence, end, DENIED)
+            _, end = _listed(here, end, DENIED)
         elif name in LIST_START:
-            more, end = _listed(sentence, end, NEXT)
+            more, end = _listed(here, end, NEXT)
             out += more
     return out
 
@@ -247,7 +323,13 @@ def scan_text(text: str | None) -> tuple[list[tuple[str, int, int]], int]:
     for n, s in enumerate(sentences(text)):
         known += [(n, *found) for found in identify_sentence(s, patterns)]
     hits = match_rules(known)
-    return hits, sum(1 for n in {x[0] for x in known} if not any(a <= n <= b for _, a, b in hits))
+    starts = [a for _, a, _ in hits]  # runs from left to right, so their ends ascend too
+
+    def covered(n: int) -> bool:
+        i = bisect_right(starts, n)
+        return i > 0 and n <= hits[i - 1][2]
+
+    return hits, sum(1 for n in {x[0] for x in known} if not covered(n))
 
 
 SCHEMA = "licenses array<string>, spans array<struct<license string, first int, last int>>, n_unmatched int"

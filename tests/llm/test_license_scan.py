@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from feedspan.llm import license_scan as module
@@ -153,3 +155,37 @@ GRANT = (
 ])
 def test_all_licences_of_a_sentence(text, want):
     assert [name for name, *_ in scan_text(text)[0]] == want
+
+
+@pytest.mark.parametrize("unit", [
+    "this program is free software ", "this program is free software under the general public license ", "in no event shall ",
+    "neither the name of ", "the software is provided by the ", "licensed under the general public license ",
+    "licensed under the gpl version 3 ", "released under mit (", "spdx-license-identifier: mit or ", "copyright (c) 2020\n",
+    "Released under the MIT License. ", "\n \n", "// ", "All rights reserved. ",
+])
+def test_repeated_beginnings_take_linear_time(unit):
+    def spent(n):
+        start = time.perf_counter()
+        scan_text(unit * (n // len(unit)))
+        return time.perf_counter() - start
+
+    once = min(spent(150_000) for _ in range(2))
+    assert min(spent(300_000) for _ in range(2)) < max(2.6 * once, 0.5)
+
+
+@pytest.mark.parametrize("text, want", [
+    ("this program is free software and " * 3 + "comes under the GNU General Public License version 2 or any later version",
+     ["GPL-2.0-or-later"]),
+    ("This library is free software under the GNU Lesser General Public License, and see the MIT licence, version 3.", ["LGPL"]),
+    ("Licensed under the GPL v2 or later.", ["GPL-2.0-or-later"]),
+    ("Licensed under the GPL-3.0+.", ["GPL-3.0-or-later"]),
+    ("Licensed under the GPL v2, parts under the Apache License 2.0 or later.", ["Apache-2.0", "GPL-2.0-only"]),
+])
+def test_what_follows_at_a_distance(text, want):
+    found = {name for name, *_ in scan_text(text)[0]}
+    assert set(want) - {"Apache-2.0"} <= found and not found & {"GPL-3.0-only", "LGPL-3.0-only", "GPL-2.0"}
+
+
+def test_unmatched_sentences_are_those_outside_every_run():
+    hits, unmatched = scan_text("Redistributions in binary form must reproduce it. " * 2 + "Released under the MIT License. All rights reserved.")
+    assert [h[0] for h in hits] == ["MIT"] and unmatched == 3
