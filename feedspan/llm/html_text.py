@@ -12,12 +12,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from feedspan.functions.html import BoundedParser
+
 # Element names of HTML, and names that pages give to their surroundings.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
@@ -73,13 +74,16 @@ def is_surrounding(tag: str, attrs: list[tuple[str, str | None]]) -> int:
     return found
 
 
-class Lines(HTMLParser):
+class Lines(BoundedParser):
     """Collects (text, tags, container) for each block outside the surroundings."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.found: list[tuple[str, int, int, int]] = []  # a line and its surrounding
-        self.stack: list[tuple[str, bool, int, int]] = []  # element, inside sure surroundings, container, surrounding
+        # Element, inside sure surroundings, container, surrounding, and the places of the last element
+        # that ends a search for an implied end, and of the last block.
+        self.stack: list[tuple[str, bool, int, int, int, int]] = []
+        self.places: dict[str, list[int]] = {}  # of the open elements of each name
         self.parts: list[str] = []
         self.tags = 0
         self.parents = [-1]  # of each container; -1 for what hangs on the page itself
@@ -88,13 +92,22 @@ class Lines(HTMLParser):
         self.headed = [False]  # holds a headline, an article or a main part
         self.plain = [0]  # characters outside links and headlines
 
-    def _where(self) -> tuple[str, bool, int, int]:
-        return self.stack[-1] if self.stack else ("", False, 0, 0)
+    def _where(self) -> tuple[str, bool, int, int, int, int]:
+        return self.stack[-1] if self.stack else ("", False, 0, 0, -1, -1)
+
+    def _open(self, *tags: str) -> int:
+        """Place of the innermost open element of these names, -1 if there is none."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
+    def _cut(self, place: int) -> None:
+        """Close the element at a place and all inside it."""
+        while len(self.stack) > place:
+            self.places[self.stack.pop()[0]].pop()
 
     def _flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.found.append((text, self.tags, *self._where()[2:]))
+            self.found.append((text, self.tags, *self._where()[2:4]))
             self.tags = 0
         self.parts = []
 
@@ -109,20 +122,16 @@ class Lines(HTMLParser):
             return
         ends = IMPLIED_END.get(tag)
         if ends:
-            for i in range(len(self.stack) - 1, -1, -1):
-                if self.stack[i][0] in ends:
-                    del self.stack[i:]
-                    break
-                if self.stack[i][0] in CONTAINER or self.stack[i][0] in ("ul", "ol", "dl"):
-                    break
-        _, inside, container, around = self._where()
+            place = self._open(*ends)
+            if place > self._where()[4]:
+                self._cut(place)
+        above, inside, container, around, stop, block = self._where()
         if tag in CONTAINER:
-            self.parents.append(-1 if any(t in ("html", "body") for t, *_ in self.stack[-1:]) else container)
+            self.parents.append(-1 if above in ("html", "body") else container)
             container = len(self.parents) - 1
         # A header names the page, but the headline in the header of an article belongs to it.
         header = tag == "header"
-        kept = tag == "h1" and inside and any(t == "header" for t, *_ in self.stack) and any(
-            t in ("article", "main") for t, *_ in self.stack)
+        kept = tag == "h1" and inside and self._open("header") >= 0 and self._open("article", "main") >= 0
         kind = SURE if header else is_surrounding(tag, attrs)
         if kind in (NAMED, THREADED) and not kept and not inside:
             self.around.append(around)
@@ -132,13 +141,15 @@ class Lines(HTMLParser):
             around = len(self.around) - 1
         elif tag in ("h1", "article", "main") and not inside:
             self.headed[around] = True
-        self.stack.append((tag, not kept and (inside or kind == SURE), container, around))
+        here = len(self.stack)
+        self.places.setdefault(tag, []).append(here)
+        self.stack.append((
+            tag, not kept and (inside or kind == SURE), container, around,
+            here if tag in CONTAINER or tag in ("ul", "ol", "dl") else stop, here if tag in BLOCK else block))
 
     def _end_head(self) -> None:
-        for i, entry in enumerate(self.stack):
-            if entry[0] == "head":
-                del self.stack[i:]
-                return
+        if self.places.get("head"):
+            self._cut(self.places["head"][0])
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -149,26 +160,20 @@ class Lines(HTMLParser):
         if tag in BLOCK:
             self._flush()
         self.tags += 1
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                del self.stack[i:]
-                return
-            # A stray end tag of an inline element doesn't close the blocks around it.
-            if tag not in BLOCK and self.stack[i][0] in BLOCK:
-                return
+        place = self._open(tag)
+        # A stray end tag of an inline element doesn't close the blocks around it.
+        if place >= 0 and (tag in BLOCK or place >= self._where()[5]):
+            self._cut(place)
 
     def handle_data(self, data: str) -> None:
         if self._where()[0] == "head" and data.strip():
             self._end_head()
-        tag, inside, _, around = self._where()
+        tag, inside, _, around, *_ = self._where()
         if not inside:
             self.parts.append(data)
             if tag not in ("a", "h1", "h2", "h3", "h4", "h5", "h6"):
                 self.plain[around] += len(data.strip())
 
-    def updatepos(self, i: int, j: int) -> int:
-        return j  # line numbers are of no use here
-
     def unknown_decl(self, data: str) -> None:
         pass
 

@@ -1,4 +1,7 @@
 import random
+import time
+
+import pytest
 
 from feedspan.llm.html_text import extract_pages, main_text
 
@@ -76,3 +79,20 @@ def test_page_inside_a_form():
     page = f"<body><form id=aspnet><nav>Menu</nav><p>{TEXT}</p><select><option>1</select></form></body>"
     assert main_text(page) == TEXT
     assert main_text(f"<body><p>{TEXT}</p><form><p>Mail</p></form></body>") == TEXT
+
+
+@pytest.mark.parametrize("unit", [
+    "<a ", "<a b='", "<!-- x>", "<b></i>", "<b>", "<b><dd></dd>", "</p>", "<li><b>", "<td><div>", "<header><h1>", "&amp", "<p>x<b>",
+])
+def test_broken_pages_take_linear_time(unit):
+    def spent(n):
+        start = time.perf_counter()
+        main_text("<body><p>" + unit * (n // len(unit)))
+        return time.perf_counter() - start
+
+    once = min(spent(300_000) for _ in range(2))
+    assert min(spent(600_000) for _ in range(2)) < max(2.5 * once, 0.7)
+
+
+def test_many_stray_end_tags():
+    assert main_text("<p>" + "<b>" * 100_000 + "x" + "</i>" * 100_000) == "x"
