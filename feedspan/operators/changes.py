@@ -81,8 +81,9 @@ def flag_unique(
 ) -> DataFrame:
     """The batch with `__ok`, true where a row's key is new and the row is the first in `order`.
 
-    Rows that aren't `eligible` take no part and are not ok. `order` must be unique in the batch and never NULL. Winners come from one map-side combined
-    grouping and are matched back on their order, so a key repeated in a third of the batch is
+    Rows that aren't `eligible` take no part and are not ok. `order` must be unique in a key and never
+    NULL, and unique in the batch if it numbers rows. Winners come from one map-side combined
+    grouping and are matched back on (key, order), so a key repeated in a third of the batch is
     spread over all tasks. A NULL in a key never clashes. Where the table numbers its rows, an
     accepted row also gets its id: consecutive numbers after `first`, or the table's largest, in `order`.
     """
@@ -97,16 +98,20 @@ def flag_unique(
     winners = keyed.filter(~any_null).groupBy(*names).agg(F.min(rank).alias("__w"))
     won = [F.col(f"__w.{o}") for o in order] if len(order) > 1 else [F.col("__w")]
     held = existing_keys(table, winners.select(*names), keys, ignore_case)
-    places = [f"__o{i}" for i in range(len(order))]
+    places, found = [f"__o{i}" for i in range(len(order))], [f"__f{i}" for i in range(len(keys))]
     fresh = winners.join(held, _matches(names, held.columns), "left_anti").select(
-        *[w.alias(o) for w, o in zip(won, places, strict=True)])
-    if any(f.nullable for f in keyed.schema if f.name in names):
-        fresh = fresh.unionAll(keyed.filter(any_null).select(*order).toDF(*places))
+        *[F.col(n).alias(f) for n, f in zip(names, found, strict=True)], *[w.alias(o) for w, o in zip(won, places, strict=True)])
+    may_be_null = any(f.nullable for f in keyed.schema if f.name in names)
+    if may_be_null:
+        fresh = fresh.unionAll(keyed.filter(any_null).select(*names, *order).toDF(*found, *places))
+    same = _matches(order, places)
+    for n, f in zip(names, found, strict=True):
+        same = same & (F.col(n).eqNullSafe(F.col(f)) if may_be_null else F.col(n) == F.col(f))
+    asked = batch.select("*", *_normalised(batch, keys, ignore_case, "__b"))
     if not is_serial(table, batch):
-        fresh = fresh.withColumn("__ok", F.lit(True))
-        flagged = batch.join(fresh, _matches(order, places), "left")
-        return flagged.withColumn("__ok", F.coalesce("__ok", F.lit(False))).drop(*places)
-    flagged = batch.join(numbered(fresh, places), _matches(order, places), "left")
+        flagged = asked.join(fresh.withColumn("__ok", F.lit(True)), same, "left")
+        return flagged.select(*batch.columns, F.coalesce("__ok", F.lit(False)).alias("__ok"))
+    flagged = asked.join(numbered(fresh, places), same, "left")
     number = serial_id(table, highest(table) if first is None else first, F.col("__n"))
     return flagged.select(*batch.columns, number, F.col("__n").isNotNull().alias("__ok"))
 
