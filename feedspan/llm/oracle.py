@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from feedspan.llm.quality_rules import FIRST, GROWTH, SIGNALS
+from feedspan.llm.quality_rules import ERRORS, FIRST, GROWTH, SIGNALS
 
 SQL: dict[str, str] = {}
 
@@ -64,11 +64,13 @@ def _quality_rules(min_rows: int = 100) -> str:
         for k, (top, below, *_) in SIGNALS.items()
     )
     rule = "CASE WHEN base_failed THEN 'base'"
-    for k, (top, below, width, above, under) in SIGNALS.items():
-        x, spread = ratio(top, below), f"(f_{k}.q3 - f_{k}.q1)"
-        rule += f" WHEN {x} > f_{k}.q3 + {width} * {spread} + {above} THEN '{k}_high'"
-        if under is not None:
-            rule += f" WHEN {x} < f_{k}.q1 - {width} * {spread} - {under} THEN '{k}_low'"
+    for k, (top, below, _, _, width, both) in SIGNALS.items():
+        x, spread = ratio(top, below), f"(f_{k}.upper_q - f_{k}.lower_q)"
+        error = f"{ERRORS} * sqrt(CAST({top} AS DOUBLE)) / CAST(greatest({below}, 1) AS DOUBLE)"
+        rule += f" WHEN {x} > f_{k}.upper_q + {width} * {spread} + {error} THEN '{k}_high'"
+        if both:
+            rule += f" WHEN {x} < f_{k}.lower_q - {width} * {spread} - {error} THEN '{k}_low'"
+    percent = lambda i: "CASE signal " + " ".join(f"WHEN '{k}' THEN {v[i]}" for k, v in SIGNALS.items()) + " END"
     joins = " ".join(
         f"LEFT JOIN fences f_{k} ON f_{k}.signal = '{k}' AND f_{k}.lang IS NOT DISTINCT FROM c.lang"
         f" AND f_{k}.source IS NOT DISTINCT FROM c.source"
@@ -115,11 +117,11 @@ def _quality_rules(min_rows: int = 100) -> str:
     ),
     quartiles AS (
         SELECT level, lang, source, signal, max(total) AS total,
-               min(b) FILTER (upto * 4 >= total) AS b1, min(b) FILTER (upto * 4 >= total * 3) AS b3
+               min(b) FILTER (upto * 100 >= total * {percent(2)}) AS b1, min(b) FILTER (upto * 100 >= total * {percent(3)}) AS b3
         FROM ranked GROUP BY ALL
     ),
     fences AS (
-        SELECT g.lang, g.source, q2.signal, {value("coalesce(q0.b1, q1.b1, q2.b1)")} AS q1, {value("coalesce(q0.b3, q1.b3, q2.b3)")} AS q3
+        SELECT g.lang, g.source, q2.signal, {value("coalesce(q0.b1, q1.b1, q2.b1)")} AS lower_q, {value("coalesce(q0.b3, q1.b3, q2.b3)")} AS upper_q
         FROM (SELECT DISTINCT lang, source FROM counts) g
         JOIN quartiles q2 ON q2.level = 2
         LEFT JOIN quartiles q1 ON q1.level = 1 AND q1.lang IS NOT DISTINCT FROM g.lang AND q1.signal = q2.signal AND q1.total >= {min_rows}

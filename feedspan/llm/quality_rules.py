@@ -4,6 +4,10 @@
 the base rules into mergeable relative-error quantile sketches (counts per logarithmic bin:
 two sketches merge by adding counts), and `quality_rules` joins every row with the fences of
 its group. Groups of few rows take the sketch merged over their language, then over all rows.
+
+No cutoff is fixed: a fence lies beyond a quantile of the group's own sketch by a multiple of the
+distance between two of its quantiles, and a text is out only if it passes the fence by more than
+the sampling error of its own count, so a short text isn't judged on one or two symbols.
 """
 
 from __future__ import annotations
@@ -24,13 +28,17 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_rep
 #: Sketch: bins grow by 2 %, the first one holds all below a thousandth.
 FIRST, GROWTH = 1e-3, 1.02
 
-#: signal: (numerator, denominator, fence width in interquartile ranges, slack above, slack below or None).
+#: signal: (numerator, denominator, lower and upper quantile in percent, fence width in their distances,
+#: whether small values are out too). Symbols mark junk where most texts have none; repeated lines and
+#: words occur in good texts too, so their quantile lies further out. The first rule broken is told.
 SIGNALS = {
-    "word_len": ("word_chars", "n_words", 3.0, 2.0, 1.5),
-    "symbols": ("n_symbols", "n_words", 3.0, 0.1, None),
-    "dup_lines": ("n_dup_lines", "n_lines", 3.0, 0.5, None),
-    "repeats": ("n_repeat_words", "n_words", 3.0, 0.35, None),
+    "symbols": ("n_symbols", "n_words", 50, 90, 3.0, False),
+    "dup_lines": ("n_dup_lines", "n_lines", 75, 99, 1.0, False),
+    "repeats": ("n_repeat_words", "n_words", 75, 99, 1.0, False),
+    "word_len": ("word_chars", "n_words", 25, 75, 3.0, True),
 }
+#: Standard errors of a text's count by which it must pass a fence.
+ERRORS = 3.0
 
 
 def count_text(text: str | None) -> tuple[int, ...]:
@@ -97,8 +105,8 @@ def _value(bin_: Column) -> Column:
 def adaptive_fences(signals: DataFrame, min_rows: int = 100) -> DataFrame:
     """`low_<signal>` and `high_<signal>` of every (lang, source), from sketches of passing rows.
 
-    A fence lies `width` interquartile ranges plus a slack beyond a quartile, so a group whose
-    rows agree still tolerates small differences. Null languages and sources are groups.
+    A fence lies `width` distances between the two quantiles of a signal beyond the upper or lower
+    one. Null languages and sources are groups.
     """
     passing = signals.filter(~base_failed())
     long = passing.select(
@@ -117,18 +125,21 @@ def adaptive_fences(signals: DataFrame, min_rows: int = 100) -> DataFrame:
     group = Window.partitionBy("level", "lang", "source", "signal")
     below = group.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     ranked = sketches.withColumn("upto", F.sum("n").over(below)).withColumn("rows", F.sum("n").over(group))
-    quartiles = ranked.groupBy("level", "lang", "source", "signal").agg(
+    percent = [F.lit(None).cast("int")] * 2
+    for k, (_, _, lower, upper, _, _) in SIGNALS.items():
+        percent = [F.when(F.col("signal") == k, q).otherwise(p) for q, p in zip((lower, upper), percent, strict=True)]
+    quantiles = ranked.groupBy("level", "lang", "source", "signal").agg(
         F.first("rows").alias("rows"),
-        _value(F.min(F.when(F.col("upto") * 4 >= F.col("rows"), F.col("bin")))).alias("q1"),
-        _value(F.min(F.when(F.col("upto") * 4 >= F.col("rows") * 3, F.col("bin")))).alias("q3"),
+        *(_value(F.min(F.when(F.col("upto") * 100 >= F.col("rows") * p, F.col("bin")))).alias(name)
+          for name, p in zip(("lower", "upper"), percent, strict=True)),
     )
-    spread, columns = F.col("q3") - F.col("q1"), []
-    for k, (_, _, width, above, under) in SIGNALS.items():
+    spread, columns = F.col("upper") - F.col("lower"), []
+    for k, (_, _, _, _, width, both) in SIGNALS.items():
         mine = F.col("signal") == k
-        columns.append(F.max(F.when(mine, F.col("q3") + width * spread + above)).alias(f"high_{k}"))
-        if under is not None:
-            columns.append(F.max(F.when(mine, F.col("q1") - width * spread - under)).alias(f"low_{k}"))
-    wide = staged(quartiles.groupBy("level", "lang", "source").agg(F.max("rows").alias("rows"), *columns), "fences")
+        columns.append(F.max(F.when(mine, F.col("upper") + width * spread)).alias(f"high_{k}"))
+        if both:
+            columns.append(F.max(F.when(mine, F.col("lower") - width * spread)).alias(f"low_{k}"))
+    wide = staged(quantiles.groupBy("level", "lang", "source").agg(F.max("rows").alias("rows"), *columns), "fences")
     names = [c for c in wide.columns if c.startswith(("high_", "low_"))]
 
     level = {
@@ -163,11 +174,12 @@ def quality_rules(docs: DataFrame, min_rows: int = 100) -> DataFrame:
     judged = signals.join(
         fences, F.col("lang").eqNullSafe(F.col("f_lang")) & F.col("source").eqNullSafe(F.col("f_source")), "left")
     failed, rule = base_failed(), F.when(base_failed(), F.lit("base"))
-    for k, (top, below, _, _, under) in SIGNALS.items():
-        x = F.col(top) / F.greatest(F.col(below), F.lit(1))
-        rule = rule.when(x > F.col(f"high_{k}"), F.lit(f"{k}_high"))
-        if under is not None:
-            rule = rule.when(x < F.col(f"low_{k}"), F.lit(f"{k}_low"))
+    for k, (top, below, _, _, _, both) in SIGNALS.items():
+        n = F.greatest(F.col(below), F.lit(1))
+        x, error = F.col(top) / n, ERRORS * F.sqrt(F.col(top)) / n
+        rule = rule.when(x > F.col(f"high_{k}") + error, F.lit(f"{k}_high"))
+        if both:
+            rule = rule.when(x < F.col(f"low_{k}") - error, F.lit(f"{k}_low"))
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"), rule.isNull().alias("kept"), rule.alias("rule"),

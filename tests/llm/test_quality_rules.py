@@ -47,6 +47,37 @@ def test_fences_follow_the_group(spark):
     assert not got[5000].kept and got[5000].rule == "symbols_high"
 
 
+def test_repeats_below_the_base_limit(spark):
+    """Planted repeats that the base rules pass: lines copied often, and passages found twice."""
+    rows = [(i, "\n".join(prose(31 * i + k, 20) for k in range(40))) for i in range(300)]
+    line = prose(9, 20).split()
+    # Word pairs change from line to line, so no window of three words repeats, but short lines do.
+    copied = "\n".join(["a b"] * 300 + [prose(7000 + k, 30) for k in range(40)])
+    passage = prose(11, 900)
+    doubled = " ".join([passage[: len(passage) * 2 // 10], prose(12, 900), passage[: len(passage) * 2 // 10], *line])
+    rows += [(1000, copied), (1001, doubled)]
+    got = {r.doc_id: r for r in quality_rules(documents(spark, rows)).collect()}
+    assert all(got[i].kept for i in range(300))
+    assert not got[1000].base_failed and got[1000].rule == "dup_lines_high"
+    assert not got[1001].base_failed and got[1001].rule == "repeats_high"
+
+
+def test_one_symbol_is_no_outlier(spark):
+    """Where no text has symbols, a few stay; a text full of them goes."""
+    rows = [(i, prose(i, 80)) for i in range(120)]
+    rows += [(500, prose(500, 80) + " # &"), (501, prose(501, 80) + " #" * 30)]
+    got = {r.doc_id: r for r in quality_rules(documents(spark, rows)).collect()}
+    assert got[500].kept and got[501].rule == "symbols_high"
+
+
+def test_labelled_good_texts_stay_and_bad_ones_go(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    rows = quality_rules(docs).join(labels, "doc_id").filter("NOT base_failed").collect()
+    good, bad = ([r.kept for r in rows if r.quality == q] for q in (1, 0))
+    assert all(good) and not any(bad) and len(good) > 200 and len(bad) > 10
+
+
 def test_awkward_rows(spark):
     got = quality_rules(awkward(spark)).collect()
     assert len(got) == 12
