@@ -22,8 +22,9 @@ class Change:
     table: DataFrame  # the table after the batch
     changed: DataFrame  # rows written, updated or deleted
     rejected: DataFrame  # changes that did not apply
-    # Every row of the table once, with `__state`: kept, changed, cleared or deleted. The frames above
-    # are filters on it, so a job that wants more than one of them reads this one, or stages it.
+    # Every row of the table once, with `__state`: kept, changed, cleared or deleted; of an insert every
+    # row of the batch, accepted or rejected. The frames above are filters on it, so a job that wants
+    # more than one of them reads this one, or stages it.
     judged: DataFrame | None = None
 
 
@@ -128,7 +129,8 @@ def insert_unique(
     flagged = flag_unique(table, batch, keys, order, ignore_case, first=first)
     accepted = flagged.filter("__ok").drop("__ok")
     rejected = flagged.filter(~F.col("__ok")).drop("__ok")
-    return Change(_with_rows(table, accepted), accepted, rejected)
+    state = F.when(F.col("__ok"), "accepted").otherwise("rejected").alias("__state")
+    return Change(_with_rows(table, accepted), accepted, rejected, flagged.select("*", state).drop("__ok"))
 
 
 def append_rows(table: DataFrame, batch: DataFrame, order: Sequence[str] = (), first: int | None = None) -> Change:
@@ -200,7 +202,11 @@ def versioned_update(
         "__state", *at, *places,
     )
     judged = staged(judged, "judged-rows") if stage else judged
-    applied = judged.filter(changed).select(*at, *places)
+    if stage:
+        applied = judged.filter(changed).select(*at, *places)
+    else:  # the keys of the table are cheaper to read again than to judge it twice
+        held = existing_keys(table, first.select(*match_on), match_on)
+        applied = picked.join(held, _matches(at, held.columns), "left_semi").select(*at, *places)
     rejected = changes.join(applied, _matches([*match_on, *order], applied.columns), "left_anti")
     return _judged(judged, table.columns, rejected)
 
@@ -239,7 +245,10 @@ def keyed_update(
         _state(hit, "changed"), *at,
     )
     judged = staged(judged, "judged-rows") if stage else judged
-    applied = judged.filter("__state = 'changed'").select(*at).distinct()
+    if stage:
+        applied = judged.filter("__state = 'changed'").select(*at).distinct()
+    else:
+        applied = existing_keys(table, changes.select(*keys).distinct(), keys).toDF(*at)
     rejected = changes.join(applied, _matches(keys, at), "left_anti")
     return _judged(judged, table.columns, rejected)
 

@@ -265,24 +265,20 @@ def ingest_posts(
 ) -> Change:
     """Fetched bodies (feed_id, document_id, body) to new posts; known item URLs are skipped.
 
-    Parsed items are staged, so bodies are parsed once and the search for duplicates reads keys
-    only. Every item then gets its outcome in one pass that is staged too: text is sanitised there,
-    of new items only. `rejected` has every other item with a `reason`: duplicate, invalid link,
-    unreadable date, or, for a body that is no feed, unreadable feed.
+    Parsed items are staged, so bodies are parsed once and the search for duplicates reads keys only;
+    its winners are staged with their numbers. Text is sanitised after the duplicates are gone, so
+    Python sees new items only. `rejected` has every other item with a `reason`: duplicate, invalid
+    link, unreadable date, or, for a body that is no feed, unreadable feed.
     """
     parsed = judged_rows(parse_feed_documents(raw, unread=True), fetched_at)
     rows = staged(complete(parsed, posts, "posts", fetched_at), "parsed-items")
-    good = flag_unique(posts, rows, ["itemurl"], ["document_id", "item_no"], eligible=F.col("reason").isNull())
-    fields = {c: F.when(F.col("__ok"), F.col(c)) for c in POST_TEXT}
-    judged = good.withColumn("__s", sanitize_fields(fields, strict)).withColumns({
-        **{c: F.when(F.col("__ok"), F.col(f"__s.{c}")).otherwise(F.col(c)) for c in POST_TEXT},
-        "reason": F.when(~F.col("__ok"), F.coalesce("reason", F.lit("duplicate"))),
-    })
-    judged = staged(judged.drop("__s", "__ok"), "judged-items")
-    accepted = judged.filter("reason IS NULL").drop("reason")
+    flagged = flag_unique(posts, rows, ["itemurl"], ["document_id", "item_no"], eligible=F.col("reason").isNull())
+    fresh = flagged.filter("__ok").drop("__ok", "reason")
+    clean = fresh.withColumn("__s", sanitize_fields({c: F.col(c) for c in POST_TEXT}, strict))
+    accepted = staged(clean.withColumns({c: F.col(f"__s.{c}") for c in POST_TEXT}).drop("__s"), "new-posts")
+    rejected = flagged.filter(~F.col("__ok")).drop("__ok").withColumn("reason", F.coalesce("reason", F.lit("duplicate")))
     shared = [c for c in posts.columns if c in accepted.columns]
-    table = posts.unionByName(accepted.select(*shared), allowMissingColumns=True)
-    return Change(table, accepted, judged.filter("reason IS NOT NULL"))
+    return Change(posts.unionByName(accepted.select(*shared), allowMissingColumns=True), accepted, rejected)
 
 
 def fetch_schedule(feeds: DataFrame, k: int) -> DataFrame:

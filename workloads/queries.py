@@ -755,9 +755,7 @@ def scrape_error_upsert(p):
 
 
 def _split(done: changes.Change, *columns: str) -> DataFrame:
-    return outcomes(
-        accepted=done.changed.select(*columns), rejected=done.rejected.select(*columns)
-    )
+    return done.judged.select(*columns, F.col("__state").alias("outcome"))
 
 
 @query
