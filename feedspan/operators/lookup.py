@@ -17,12 +17,13 @@ def key_lookup(
 ) -> DataFrame:
     """Rows of `table` whose key columns occur in `keys`.
 
-    A semi join: repeated keys do not repeat rows, a small batch is broadcast by size
-    estimate, and a large one is shuffled with the table. With `ignore_case` text keys
-    are compared in lower case.
+    A semi join on distinct keys: each task keeps a repeated key once before the shuffle, so a key
+    that most of the batch asks for is one row a task and not one large group. A small batch is
+    broadcast by size, and a large one is shuffled with the table. With `ignore_case` text keys are
+    compared in lower case.
     """
     norm = (lambda c: F.lower(c)) if ignore_case else (lambda c: c)
-    wanted = keys.select(*[norm(F.col(c)).alias(f"__k{i}") for i, c in enumerate(on)])
+    wanted = keys.select(*[norm(F.col(c)).alias(f"__k{i}") for i, c in enumerate(on)]).distinct()
     match = F.lit(True)
     for i, c in enumerate(on):
         match = match & (norm(F.col(c)) == F.col(f"__k{i}"))

@@ -105,6 +105,18 @@ def test_key_lookup(spark):
     assert rows(key_lookup(table, keys, ["email"], F.col("n") > 1, True)) == [("c@x", 3)]
 
 
+def test_key_lookup_holds_a_repeated_key_once(spark):
+    """Neither the broadcast side of the join nor a shuffle of it has one row per request."""
+    table = spark.range(5)
+    keys = spark.range(10_000).select((F.col("id") % 3).alias("id"))
+    found = key_lookup(table, keys, ["id"])
+    join = found._jdf.queryExecution().optimizedPlan()
+    assert join.nodeName() == "Join" and join.right().nodeName() == "Aggregate"
+    assert rows(found) == [(0,), (1,), (2,)]
+    none = keys.select(F.lit(None).cast("bigint").alias("id"))
+    assert rows(key_lookup(table, none, ["id"])) == []
+
+
 @pytest.mark.parametrize("rows_per_slice", [1, 7, 1_000_000])
 def test_search_all_equals_brute_force(spark, rows_per_slice):
     rng = random.Random(5)
