@@ -39,7 +39,7 @@ def rendered_bodies(platform: Platform) -> DataFrame:
     German documents are Atom, those of odd ids with a prefix and behind a comment that names
     another root; of the others ids decide on RSS 2.0, RSS 1.0 or JSON Feed. The first line links to the document's known post URL,
     other lines to the hash of their text, so repeated lines collide. Every tenth item
-    has no readable date.
+    has no readable date. Documents are spread by id, so that a file of one row group isn't one task.
     """
     at = "TIMESTAMP_NTZ'2024-01-01 00:00:00' + INTERVAL '1' MINUTE * doc_id"
     link = (
@@ -95,6 +95,7 @@ def rendered_bodies(platform: Platform) -> DataFrame:
     )
     return (
         platform.raw("documents")
+        .repartition("doc_id")
         .selectExpr(
             "*",
             f"date_format({at}, 'd MMM yyyy HH:mm:ss') || ' +0000' AS rfc",

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from feedspan.functions.timestamps import as_ntz
 from feedspan.plans import ingest, notifications
+from feedspan.sources.documents import rendered_bodies
 
 RSS = """<?xml version="1.0" encoding="UTF-8"?>
 <rss version="2.0" xmlns:content="http://purl.org/rss/1.0/modules/content/" xmlns:atom="http://www.w3.org/2005/Atom">
@@ -170,3 +171,19 @@ def test_partial_input(spark):
     edits = spark.createDataFrame([(1, "NEW")], "id int, feed_type string")
     row = ingest.merge_partial_input(edits, feeds).first()
     assert (row["name"], row["feed_type"], row["is_hidden"]) == ("n", "new", False)
+
+
+def test_bodies_of_one_file_are_spread_before_they_are_parsed(spark, platform, monkeypatch):
+    """A file of one row group is one task, however many bodies it holds."""
+    seen, parsed = [], ingest.parse_feed_documents
+
+    def parse(raw, **options):
+        seen.append(raw)
+        return parsed(raw, **options)
+
+    monkeypatch.setattr(ingest, "parse_feed_documents", parse)
+    raw = spark.createDataFrame([(1, 1, RSS)], "feed_id bigint, document_id bigint, body string").coalesce(1)
+    posts = spark.createDataFrame([], "itemurl string")
+    assert ingest.ingest_posts(raw, posts, as_ntz("2024-01-01")).changed.count() == 1
+    for spread, key in ((seen[0], "document_id"), (rendered_bodies(platform), "doc_id")):
+        assert f"RepartitionByExpression [{key}" in spread._jdf.queryExecution().optimizedPlan().toString()
