@@ -37,12 +37,13 @@ def read_batches(spark: SparkSession, path: str, schema: str, keep_batch: bool =
     return df if keep_batch else df.drop("batch_id")
 
 
-def staged(df: DataFrame, purpose: str) -> DataFrame:
+def staged(df: DataFrame, purpose: str, spark: SparkSession | None = None) -> DataFrame:
     """Write a frame to the shared folder once and read it back.
 
     For results that are costly to compute and read several times: later readers take
     only the columns they need, and a lost executor costs a re-read, not a recompute.
+    A micro-batch belongs to a session without AQE; `spark` reads it back in another one.
     """
     path = shared_dir(df.sparkSession, purpose)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return (spark or df.sparkSession).read.schema(df.schema).parquet(path)

@@ -6,15 +6,16 @@ itself and results stay exact after a restart.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from feedspan.functions.html import sanitize_fields
-from feedspan.operators.changes import append_rows, purge_older_than
+from feedspan.operators.changes import append_rows, flag_unique, purge_older_than
 from feedspan.operators.defaults import complete
 from feedspan.operators.keys import highest, is_serial
 from feedspan.plans.ingest import (
@@ -105,21 +106,6 @@ def current_notifications(spark: SparkSession, path: str) -> DataFrame:
         F.max_by("post_count", "batch_id").alias("post_count"), F.max_by("feed_name", "batch_id").alias("feed_name"))
 
 
-class NewLinks(StatefulProcessor):
-    """Passes the first item of every link on and remembers the link for good."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "known boolean")
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        if not self.seen.exists():
-            self.seen.update((True,))
-            yield min(rows, key=lambda r: (r["document_id"], r["item_no"]))
-
-    def handleInitialState(self, key, initialState, timerValues) -> None:
-        self.seen.update((True,))
-
-
 def _first_written(spark: SparkSession, path: str, value) -> int:
     """A number fixed by the first run of a stream; later runs and replays read it back."""
     try:
@@ -129,41 +115,70 @@ def _first_written(spark: SparkSession, path: str, value) -> int:
         return _first_written(spark, path, value)
 
 
+def _pass_new_links(
+    first_items: DataFrame, checkpoint: str, insert: Callable[[DataFrame, int], None]
+) -> StreamingQuery:
+    """Passes the items of links never met on to `insert`; the state store keeps every link for good, and only links."""
+    return (
+        first_items.dropDuplicates(["itemurl"])
+        .writeStream.option("checkpointLocation", checkpoint)
+        .outputMode("append")
+        .trigger(availableNow=True)
+        .foreachBatch(insert)
+        .start()
+    )
+
+
 def run_post_ingest(
     bodies: DataFrame, posts: DataFrame, path: str, checkpoint: str,
     strict: bool = False, lateness: str | None = None, every: str | None = None,
 ) -> StreamingQuery:
     """Insert posts from fetched bodies (feed_id, document_id, body, fetched_at).
 
-    Links already seen are keyed state in the state store, begun with the links of `posts`, so a
-    micro-batch looks up its own links and reads no earlier rows, however long the stream runs.
-    With `lateness`, repeats inside that time are dropped before that. Numeric ids come from a range
-    of each micro-batch's own above those of `posts`; replays give the same rows.
+    Each micro-batch of bodies is parsed once and the first item of each of its links appended to a
+    folder. A second stream reads that folder to its end before the micro-batch counts as done; links
+    already seen are its state, begun with the links of `posts`, so a micro-batch looks up its own
+    links and reads no earlier rows, however long the stream runs. A replay appends the same items
+    again, whose links are known by then or fall together, so each still comes once. With `lateness`,
+    repeats inside that time are dropped before that. Numeric ids come from a range of each
+    micro-batch's own above those of `posts`; replays give the same rows.
     """
     spark = bodies.sparkSession
-    rows = complete(post_rows(parse_feed_documents(bodies), F.col("fetched_at")), posts, "posts", F.col("fetched_at"))
+    items = parse_feed_documents(bodies.repartition("document_id"))  # parsing costs far more than the shuffle
+    rows = complete(post_rows(items, F.col("fetched_at")), posts, "posts", F.col("fetched_at"))
     if lateness:
         rows = rows.withWatermark("created_at", lateness).dropDuplicatesWithinWatermark(["itemurl"])
-    new = rows.groupBy("itemurl").transformWithState(
-        NewLinks(), rows.schema, "Append", "None", initialState=posts.select("itemurl").distinct().groupBy("itemurl"))
     numbered = is_serial(posts, rows)
     first = _first_written(spark, f"{path}/_first_id", lambda: highest(posts)) if numbered else None
+    folder, order = f"{path}/_first_items", ["document_id", "item_no"]
+    known = posts.select("itemurl").filter("itemurl IS NOT NULL")
+    schema = StructType([*rows.schema.fields, StructField("known", BooleanType())])
 
     def insert(batch: DataFrame, batch_id: int) -> None:
-        # Numbering and writing read the batch several times; it is parsed once, into the
-        # shared folder, so a lost executor costs a re-read.
-        batch = staged(batch, "ingest-batch")
+        # Numbering and writing read the batch several times; its links are looked up once.
+        batch = staged(batch.filter("NOT known").drop("known"), "ingest-batch", spark)
         if numbered:
-            batch = append_rows(posts, batch, ["document_id", "item_no"], first + batch_id * IDS_PER_BATCH).changed
+            batch = append_rows(posts, batch, order, first + batch_id * IDS_PER_BATCH).changed
         clean = batch.withColumn("__s", sanitize_fields({c: F.col(c) for c in POST_TEXT}, strict))
         clean = clean.withColumns({c: F.col(f"__s.{c}") for c in POST_TEXT}).drop("__s")
         write_batch(clean, path, batch_id)
 
+    def admit(batch: DataFrame, batch_id: int) -> None:
+        # Parsed once, into the shared folder, so a lost executor costs a re-read.
+        batch = staged(batch, "parsed-items", spark)
+        held = known if batch_id == 0 else known.limit(0)
+        new = flag_unique(held, batch, ["itemurl"], order).filter("__ok").drop("__ok").withColumn("known", F.lit(False))
+        if batch_id == 0:
+            new = new.unionByName(known.distinct().withColumn("known", F.lit(True)), allowMissingColumns=True)
+        new.write.mode("append").parquet(folder)
+        first_items = spark.readStream.schema(schema).parquet(folder)
+        _pass_new_links(first_items, f"{checkpoint.rstrip('/')}-links", insert).awaitTermination()
+
     return (
-        new.writeStream.option("checkpointLocation", checkpoint)
+        rows.writeStream.option("checkpointLocation", checkpoint)
         .outputMode("append")
         .trigger(**_trigger(every))
-        .foreachBatch(insert)
+        .foreachBatch(admit)
         .start()
     )
 

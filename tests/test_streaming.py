@@ -1,4 +1,5 @@
 import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,6 +119,41 @@ def test_ingest_is_exact_across_restarts_and_replays(spark, tmp_path):
     assert read_bodies(spark, src).count() == 3
 
 
+def test_ingest_replays_a_lost_batch_and_keeps_links_outside_python(spark, tmp_path, monkeypatch):
+    """A batch lost after its links were appended comes once; the state is the engine's own and holds links only."""
+    src, out, ck = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck")
+    posts = spark.createDataFrame([(7, "https://atom.example/1"), (8, None)], "id bigint, itemurl string")
+    item = "<item><title>{}</title><link>https://n.example/{}</link><pubDate>2006-01-02</pubDate></item>"
+
+    def feed(*bodies):
+        data = [(i, i, "u", 200, f"<rss><channel><title>x</title>{b}</channel></rss>") for i, b in bodies]
+        df = spark.createDataFrame(data, "document_id bigint, feed_id bigint, url string, status int, body string")
+        df.withColumn("fetched_at", F.current_timestamp()).write.mode("append").parquet(src)
+
+    def run():
+        jobs.run_post_ingest(stream_bodies(spark, src), posts, out, ck).awaitTermination()
+        got = read_batches(spark, out, "id bigint, document_id bigint, itemurl string, itemtitle string")
+        return {r["itemurl"]: r for r in got.collect()}, got.count()
+
+    feed((5, item.format("five", 1)), (3, item.format("three", 1) + item.format("again", 1)), (4, item.format("x", 2)))
+
+    def lost(*_):
+        raise RuntimeError("lost")
+
+    for part in ("append_rows", "write_batch"):
+        with monkeypatch.context() as m, pytest.raises(Exception, match="lost"):
+            m.setattr(jobs, part, lost)
+            run()
+    got, n = run()
+    assert n == len(got) == 2 and got["https://n.example/1"]["itemtitle"] == "three"
+    assert {r["id"] for r in got.values()} == {9, 10}
+    feed((1, item.format("late", 1) + item.format("y", 3)), (2, ATOM))
+    got, n = run()
+    assert n == len(got) == 3 and got["https://n.example/1"]["document_id"] == 3
+    state = spark.read.format("state-metadata").load(f"{ck}-links").first()
+    assert state["operatorName"] == "dedupe"
+
+
 def test_ingest_with_keyed_state_gives_the_same(spark, tmp_path):
     src, out, ck = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck")
     df = spark.createDataFrame([(i, i, "u", 200, RSS) for i in range(5)],
