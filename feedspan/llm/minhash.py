@@ -13,6 +13,7 @@ Texts that agree in a band of components are candidates; the multisets themselve
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -268,7 +269,10 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
         sides = _with_sides(pairs, items, "items")
         return staged(sides.mapInArrow(_overlapping(similarity), "u binary, v binary"), "links")
 
-    def joined(roots: DataFrame, more: DataFrame) -> DataFrame:
+    def joined(roots: DataFrame, *found: DataFrame) -> DataFrame:
+        if all(pairs.isEmpty() for pairs in found):
+            return roots
+        more = reduce(DataFrame.unionByName, found)
         known = roots.filter("node != root").select(F.col("node").alias("u"), F.col("root").alias("v"))
         return staged(components(known.unionByName(more)), "roots")
 
@@ -307,7 +311,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
         .select("bucket", "lo", "hi", "block", "node", "home", "left_over", "signature", "bands", "items")
         .groupBy("bucket", "lo", "hi").applyInArrow(_compare_block(similarity), "u binary, v binary")
     )
-    roots = joined(roots, links(likely).unionByName(staged(met, "block-links")))
+    roots = joined(roots, links(likely), staged(met, "block-links"))
 
     found = signed.select("doc_id", "node").join(roots, "node", "left")
     return found.select("doc_id", "node", F.when(F.col("node").isNotNull(), F.coalesce("root", "node")).alias("root"))

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from feedspan.llm.components import components
+from feedspan.sources.storage import staged
 from feedspan.llm.minhash import SIZE, copies, drop_duplicates, duplicate_classes, overlap, shingles, sign
 
 from helpers import awkward, documents, prose
@@ -108,3 +109,21 @@ def test_components(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {**{i: 0 for i in range(31)}, **{k: 100 for k in range(100, 150)}, 200: 200}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_components_end_when_only_stars_are_left(spark, monkeypatch):
+    """Stars need no round of contraction, and a chain of three none to find out that it is done."""
+    written = []
+
+    def counted(df, purpose):
+        written.append(purpose)
+        return staged(df, purpose)
+
+    monkeypatch.setattr("feedspan.llm.components.staged", counted)
+    stars = spark.createDataFrame([(1, 5), (9, 1), (2, 3), (4, 4)], "u long, v long")
+    got = {r.node: r.root for r in components(stars).collect()}
+    assert got == {1: 1, 5: 1, 9: 1, 2: 2, 3: 2, 4: 4} and len(written) == 1
+    chain = spark.createDataFrame([(1, 2), (2, 3), (3, 4)], "u long, v long")
+    written.clear()
+    assert {r.node: r.root for r in components(chain).collect()} == {1: 1, 2: 1, 3: 1, 4: 1}
+    assert (len(written) - 1) % 4 == 0 and len(written) <= 9
