@@ -11,6 +11,8 @@ and the most frequent pair costs one row a block.
 from __future__ import annotations
 
 import hashlib
+import re
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -21,11 +23,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedspan.llm.bpe import VOCABULARY, ByteBpe, TokenBytes, blocks, id_lists, shared_vocabulary
+from feedspan.llm.bpe import KEPT_WORDS, LONG_WORD, VOCABULARY, ByteBpe, TokenBytes, blocks, id_lists, shared_vocabulary
 from feedspan.sources.storage import staged
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 BLOCK = 1_000_000  # bytes of texts aligned together
+WORDS = re.compile("[ ▁]+[^ ▁]*")  # a word with the spaces before it; the model takes U+2581 for one
 BLOCK_ROWS, BLOCK_TOKENS = 500, 400_000  # documents and tokens whose pairs are numbered together, one document at least
 
 
@@ -42,12 +45,46 @@ class PieceTokenizer:
             for i in range(self.model.get_piece_size())
         ]
         self.table = TokenBytes(self.pieces)
+        # Where no piece holds a space after another character, no token reaches from a word into the next
+        # word's spaces, and words are encoded one by one.
+        self.by_word = not any(b" " in p.lstrip(b" ") for p in self.pieces) and self._keeps_spaces()
+        self.space = self.model.piece_to_id("▁")
+        self.known: dict[str, bytes] = {}  # ids as four bytes each
+        self.older: dict[str, bytes] = {}
+
+    def _keeps_spaces(self) -> bool:
+        """Whether the model adds one space before a text and changes nothing else in it."""
+        probe = " a  b\u3000\ufb01 e\u0301 "
+        return b"".join(self.pieces[i] for i in self.model.encode(probe)) == f" {probe}".encode()
+
+    def _learn(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of words that aren't remembered; those too long to be are returned."""
+        if len(self.known) > KEPT_WORDS:
+            self.known, self.older = {}, self.known
+        new, passing = [], {}
+        for w in words.difference(self.known):
+            ids = self.older.get(w)
+            if ids is None:
+                new.append(w)
+            else:
+                self.known[w] = ids
+        for w, ids in zip(new, self.model.encode([w[1:] for w in new], num_threads=1), strict=True):
+            (self.known if len(w) <= LONG_WORD else passing)[w] = array("i", ids if len(w) > 1 else [self.space]).tobytes()
+        return passing
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of the texts one after another, and how many each has."""
-        ids = self.model.encode(texts, num_threads=1)
-        counts = np.array([len(x) for x in ids], np.int64)
-        return np.fromiter(chain.from_iterable(ids), np.int32, int(counts.sum())), counts
+        if not self.by_word:
+            ids = self.model.encode(texts, num_threads=1)
+            counts = np.array([len(x) for x in ids], np.int64)
+            return np.fromiter(chain.from_iterable(ids), np.int32, int(counts.sum())), counts
+        split = [WORDS.findall(f" {t}") if t else [] for t in texts]
+        passing = self._learn({w for words in split for w in words})
+        known = self.known
+        if passing:
+            known = {w: passing.get(w) or known[w] for words in split for w in words}
+        parts = [b"".join(map(known.__getitem__, words)) for words in split]
+        return np.frombuffer(b"".join(parts), np.int32), np.array([len(p) // 4 for p in parts], np.int64)
 
 
 def coalesce(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

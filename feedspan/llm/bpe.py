@@ -171,10 +171,11 @@ class ByteBpe:
         where = self._first_places(raw, ends)
         active = sorted(where)
         none: dict[int, int] = {}
+        push, rules, right, left_of = heapq.heappush, self.rules, self.right, self.left
         while active:
             r = heapq.heappop(active)
-            a, b, c = self.rules[r]
-            follows, precedes = self.right.get(c, none), self.left.get(c, none)
+            a, b, c = rules[r]
+            follows, precedes = right.get(c, none), left_of.get(c, none)
             places = where.pop(r)
             if a == b:
                 places.sort()  # occurrences may overlap: from the left
@@ -186,22 +187,24 @@ class ByteBpe:
                 k = after[i] = after[j]
                 if k >= 0:
                     before[k] = i
-                    s = follows.get(symbols[k])
-                    if s is not None:
+                    s = symbols[k]
+                    if s in follows:
+                        s = follows[s]
                         if s in where:
                             where[s].append(i)
                         else:
                             where[s] = [i]
-                            heapq.heappush(active, s)
+                            push(active, s)
                 h = before[i]
                 if h >= 0:
-                    s = precedes.get(symbols[h])
-                    if s is not None:
+                    s = symbols[h]
+                    if s in precedes:
+                        s = precedes[s]
                         if s in where:
                             where[s].append(h)
                         else:
                             where[s] = [h]
-                            heapq.heappush(active, s)
+                            push(active, s)
         left = np.array(symbols)
         stays = left >= 0
         upto = np.cumsum(stays)[ends - 1].tolist()

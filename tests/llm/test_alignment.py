@@ -8,7 +8,7 @@ import sentencepiece
 from tokenizers import Tokenizer
 
 from feedspan.llm import alignment as module
-from feedspan.llm.alignment import PIECES, align_ids, align_tokens, alignment_digests, coalesce
+from feedspan.llm.alignment import PIECES, PieceTokenizer, align_ids, align_tokens, alignment_digests, coalesce
 from feedspan.llm.bpe import VOCABULARY, byte_alphabet
 
 from helpers import awkward, documents
@@ -118,3 +118,18 @@ def test_awkward_rows(spark):
     assert alignment_digests(docs.limit(0)).count() == 0
     nothing = documents(spark, [(1, None), (2, "")])
     assert [tuple(r)[1:] for r in alignment_digests(nothing).collect()] == [(0, 0, 0, 0, 0, 0, "")] * 2
+
+
+def test_pieces_word_by_word_equal_whole_texts():
+    """Words are encoded once and remembered; runs of spaces, U+2581 and words too long to be remembered stay exact."""
+    side = PieceTokenizer(open(PIECES, "rb").read())
+    assert side.by_word
+    rng, parts = random.Random(3), [*" 　\n▁aé́ß1<>/😀\x00", "   ", "th", "ing", " ", "x" * 201]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 30))) for _ in range(3000)]
+    texts += ["", " ", "a ", "▁", "▁ ", " ▁x", "a▁ b", " " * 300, "y" * 500 + " " + "y" * 500]
+    for lo in range(0, len(texts), 100):
+        block = texts[lo : lo + 100]
+        ids, counts = side.encode(block)
+        want = side.model.encode(block)
+        assert counts.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+    assert not any(len(w) > 200 for w in side.known) and side.known
