@@ -3,6 +3,9 @@
 The tokens of both sides are byte intervals. All intervals of a block of texts are sorted by start;
 a group ends where a start reaches the running maximum of the ends. Tokens of a group are linked.
 
+Both sides end a token before a run of spaces that follows other text, so texts are cut there into
+units, each new unit is aligned once, and a text has the groups of its units one after another.
+
 Counts of linked ids need every document and are needed in every document. Pairs are numbered inside
 a block of documents, so only a block's distinct pairs meet the corpus counts, not every occurrence,
 and the most frequent pair costs one row a block.
@@ -14,7 +17,8 @@ import hashlib
 import re
 from array import array
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
+from typing import NamedTuple
 
 import numpy as np
 import public_tokenizers
@@ -29,9 +33,77 @@ from feedspan.sources.storage import staged
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 BLOCK = 1_000_000  # bytes of texts aligned together
 WORDS = re.compile("[ ▁]+[^ ▁]*")  # a word with the spaces before it; the model takes U+2581 for one
+UNITS = re.compile(r" +[^ ]*(?:(?<=[\s▁]) +[^ ]*)*")  # words up to a space that follows neither white space nor U+2581
+SHORT_WORD = 64  # bytes of words that are merged in rounds; longer ones by the index of pairs
+NO_RANK = np.iinfo(np.int32).max
 BLOCK_ROWS, BLOCK_TOKENS = 500, 400_000  # documents and tokens whose pairs are numbered together, one document at least
 
 
+class WordBpe(ByteBpe):
+    """The byte-level encoder for many short words: in each round every word makes its merge of lowest rank."""
+
+    def __init__(self, definition: bytes, younger: str = "", specials: bool = True) -> None:
+        super().__init__(definition, younger, specials)
+        first, second, self.made = np.array(self.rules, np.int64).reshape(-1, 3).T
+        key = first << 32 | second
+        self.rank_of = np.argsort(key)
+        self.keys = key[self.rank_of]
+
+    def _ranks(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        key = first << 32 | second
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.rank_of[at], NO_RANK)
+
+    def merge(self, words: list[bytes]) -> list[bytes]:
+        short = [w for w in words if len(w) <= SHORT_WORD]
+        if not short or not len(self.keys):
+            return super().merge(words)
+        done = iter(self._rounds(short))
+        rest = iter(super().merge([w for w in words if len(w) > SHORT_WORD]))
+        return [next(done if len(w) <= SHORT_WORD else rest) for w in words]
+
+    def _rounds(self, words: list[bytes]) -> list[bytes]:
+        """Token ids (int32) of each word (none empty); a round costs as much as the words with a merge left are long."""
+        size = np.array([len(w) for w in words])
+        raw = np.frombuffer(b"".join(words), np.uint8)
+        symbol, last = np.array(self.byte_ids, np.int64)[raw], np.cumsum(size) - 1
+        rank = np.append(self.byte_rank[raw[:-1], raw[1:]], -1)  # of each symbol with the next one of its word
+        rank[rank < 0] = NO_RANK
+        rank[last] = NO_RANK
+        of, out = np.arange(len(words)), []  # the words at work; (word, size, symbols) of those that are done
+        while len(of):
+            start = np.cumsum(size) - size
+            lowest = np.minimum.reduceat(rank, start)
+            on = lowest < NO_RANK
+            if not on.all():
+                stays = np.repeat(on, size)
+                out.append((of[~on], size[~on], symbol[~stays]))
+                of, size, lowest, symbol, rank = of[on], size[on], lowest[on], symbol[stays], rank[stays]
+                if not len(of):
+                    break
+                start = np.cumsum(size) - size
+            word = np.repeat(np.arange(len(of)), size)
+            at = np.flatnonzero(rank == lowest[word])
+            at = at[np.diff(word[at], prepend=-1) > 0]  # the leftmost of each word
+            symbol[at] = self.made[lowest]
+            end = at + 2 == start + size  # the pair was the word's last
+            stays = np.ones(len(symbol), bool)
+            stays[at + 1] = False
+            symbol, rank = symbol[stays], rank[stays]
+            at = at - np.arange(len(at))
+            size = size - 1
+            start = start - np.arange(len(of))
+            rank[at] = np.where(end, NO_RANK, self._ranks(symbol[at], symbol[np.minimum(at + 1, len(symbol) - 1)]))
+            prior = at[at > start]
+            rank[prior - 1] = self._ranks(symbol[prior - 1], symbol[prior])
+        of, size, symbol = (np.concatenate(c) for c in zip(*out, strict=True))
+        flat, upto = symbol.astype(np.int32).tobytes(), (4 * np.cumsum(size)).tolist()
+        made = [b""] * len(words)
+        for w, x, y in zip(of.tolist(), [0, *upto], upto):
+            made[w] = flat[x:y]
+        return made
+
+
 class PieceTokenizer:
     """A sentencepiece model: ids of texts, and the bytes of each id."""
 
@@ -68,10 +140,15 @@ class PieceTokenizer:
                 new.append(w)
             else:
                 self.known[w] = ids
-        for w, ids in zip(new, self.model.encode([w[1:] for w in new], num_threads=1), strict=True):
-            (self.known if len(w) <= LONG_WORD else passing)[w] = array("i", ids if len(w) > 1 else [self.space]).tobytes()
+        for w, ids in zip(new, self.each(new), strict=True):
+            (self.known if len(w) <= LONG_WORD else passing)[w] = array("i", ids).tobytes()
         return passing
 
+    def each(self, words: list[str]) -> list[list[int]]:
+        """Token ids of each word; the space that the model adds is the first one before it."""
+        ids = self.model.encode([w[1:] for w in words], num_threads=1)
+        return [x if len(w) > 1 else [self.space] for w, x in zip(words, ids, strict=True)]
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of the texts one after another, and how many each has."""
         if not self.by_word:
@@ -130,31 +207,161 @@ def _lists(values: np.ndarray, sizes: np.ndarray, kind: pa.DataType) -> pa.Array
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.astype(kind.to_pandas_dtype()), kind))
 
 
+def _places(sizes: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Where the values of the chosen lists stand among the values of all lists, which follow one another."""
+    length = sizes[chosen]
+    ends = np.cumsum(length)
+    return np.repeat((np.cumsum(sizes) - sizes)[chosen] - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The sum of each run of values; counts: values of each run."""
+    upto, ends = np.concatenate(([0], np.cumsum(values))), np.cumsum(counts)
+    return upto[ends] - upto[ends - counts]
+
+
+class Aligned(NamedTuple):
+    """Tokens and groups of units one after another; a unit that isn't what its tokens join to has none."""
+
+    n_a: np.ndarray  # tokens and groups of each unit
+    n_b: np.ndarray
+    n_groups: np.ndarray
+    a: np.ndarray
+    b: np.ndarray
+    group_a: np.ndarray  # tokens and bytes of each group
+    group_b: np.ndarray
+    group_bytes: np.ndarray
+
+    def take(self, chosen: np.ndarray) -> Aligned:
+        group = _places(self.n_groups, chosen)
+        return Aligned(
+            self.n_a[chosen], self.n_b[chosen], self.n_groups[chosen], self.a[_places(self.n_a, chosen)],
+            self.b[_places(self.n_b, chosen)], self.group_a[group], self.group_b[group], self.group_bytes[group])
+
+    def and_then(self, more: Aligned) -> Aligned:
+        return Aligned(*map(np.concatenate, zip(self, more, strict=True)))
+
+
+NOTHING = Aligned(*[np.empty(0, np.int64)] * 3, *[np.empty(0, np.int32)] * 5)
+
+
+class Aligner:
+    """Both encoders, and the units a task remembers."""
+
+    def __init__(self, vocabulary: tuple[bytes, str], pieces: bytes) -> None:
+        self.left, self.right = WordBpe(*vocabulary, specials=False), PieceTokenizer(pieces)
+        self.known: dict[str, int] = {}  # unit -> its number in `aligned`
+        self.aligned = NOTHING
+        self.older: tuple[dict[str, int], Aligned] = {}, NOTHING
+
+    def _encoded(self, units: list[str]) -> list[tuple]:
+        """Both sides' encoder, ids, and number of ids of each unit; those without white space at their end come first."""
+        joined = [u for u in units if not u[-1].isspace()]
+        sizes = np.array([len(u.encode("utf-8")) for u in joined], np.int64)
+        ids, counts = self.left.encode(["".join(joined), *units[len(joined):]])
+        upto = np.searchsorted(np.cumsum(self.left.table.lengths[ids[: counts[0]]]), np.cumsum(sizes), side="right")
+        pieces = self.right.each(units)
+        return [
+            (self.left, ids, np.concatenate((np.diff(upto, prepend=0), counts[1:]))),
+            (self.right, np.fromiter(chain.from_iterable(pieces), np.int32), np.array([len(x) for x in pieces], np.int64))]
+
+    def _align(self, units: list[str], whole: bool) -> Aligned:
+        raw = [u.encode("utf-8") for u in units]
+        if whole:
+            sides = [(self.left, *self.left.encode(units)), (self.right, *self.right.encode([u[1:] for u in units]))]
+        else:
+            sides = self._encoded(units)
+        good = np.logical_and(*(_whole(*s, raw) for s in sides))
+        (a, n_a), (b, n_b) = ((ids[np.repeat(good, n)], n * good) for _, ids, n in sides)
+        n_groups, *groups = align_ids(a, n_a, b, self.left.table.lengths, self.right.table.lengths)
+        return Aligned(n_a, n_b, n_groups, a, b, *(g.astype(np.int32) for g in groups))
+
+    def _learn(self, units: set[str]) -> dict[str, int]:
+        """Numbers of the units, none known, that are too long to be remembered; the others are in `known` afterwards."""
+        old, aligned = self.older
+        again = [u for u in units if u in old]
+        found = aligned.take(np.array([old[u] for u in again], np.int64))
+        new = sorted(units.difference(again), key=lambda u: u[-1].isspace())
+        n = len(self.aligned.n_a)
+        self.aligned = self.aligned.and_then(found)
+        if new:
+            self.aligned = self.aligned.and_then(self._align(new, False))
+        passing = {}
+        for i, u in enumerate(chain(again, new), n):
+            (self.known if len(u) <= LONG_WORD else passing)[u] = i
+        return passing
+
+    def numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers in `aligned` of the units of the texts one after another, and how many each has.
+
+        They hold until the next call.
+        """
+        if len(self.known) > KEPT_WORDS:
+            self.older, self.known, self.aligned = (self.known, self.aligned), {}, NOTHING
+        spaced = [f" {t}" if t else "" for t in texts]
+        if not self.right.by_word:
+            return self._whole_texts(spaced)
+        split = list(map(UNITS.findall, spaced))
+        counts = np.array([len(units) for units in split], np.int64)
+        flat = list(chain.from_iterable(split))
+        numbers = np.fromiter(map(self.known.get, flat, repeat(-1)), np.int64, len(flat))
+        missing = np.flatnonzero(numbers < 0)
+        new = [flat[i] for i in missing.tolist()]
+        passing = self._learn(set(new))
+        numbers[missing] = [passing[u] if u in passing else self.known[u] for u in new]
+        failed = _sums(self.aligned.n_a[numbers] == 0, counts) > 0
+        if failed.any():  # only the whole text tells if its tokens join to it
+            instead, _ = self._whole_texts([t for t, f in zip(spaced, failed.tolist(), strict=True) if f])
+            first = (np.cumsum(counts) - counts)[failed]
+            numbers[first] = instead
+            stays = ~np.repeat(failed, counts)
+            stays[first] = True
+            numbers, counts = numbers[stays], np.where(failed, 1, counts)
+        return numbers, counts
+
+    def _whole_texts(self, spaced: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same with each text for one unit; these are not remembered."""
+        some = [t for t in spaced if t]
+        n = len(self.aligned.n_a)
+        if some:
+            self.aligned = self.aligned.and_then(self._align(some, True))
+        return np.arange(n, n + len(some)), np.array([bool(t) for t in spaced], np.int64)
+
+    def forget(self) -> None:
+        """Drop what no remembered unit needs."""
+        kept = np.fromiter(self.known.values(), np.int64, len(self.known))
+        if len(kept) < len(self.aligned.n_a):
+            self.aligned = self.aligned.take(kept)
+            self.known = {u: i for i, u in enumerate(self.known)}
+
+
 def _aligner(docs: DataFrame, vocabulary: str, pieces: str):
-    """From batches of doc_id and text to batches of their tokens and groups."""
+    """From batches of doc_id and text to their ids, the aligned units, the numbers of each text's units and how many it has."""
     shared = shared_vocabulary(docs, vocabulary)
     with open(pieces, "rb") as f:
         model = docs.sparkSession.sparkContext.broadcast(f.read())
 
-    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left, right = ByteBpe(*shared.value, specials=False), PieceTokenizer(model.value)
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, Aligned, np.ndarray, np.ndarray]]:
+        aligner = Aligner(shared.value, model.value)
         for batch in batches:
             for lo, hi in blocks(batch.column(1), BLOCK):
                 part = batch.slice(lo, hi - lo)
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                spaced = [f" {t}" if t else "" for t in texts]
-                raw = [t.encode("utf-8") for t in spaced]
-                sides = [(left, *left.encode(spaced)), (right, *right.encode(texts))]
-                good = np.logical_and(*(_whole(*s, raw) for s in sides))
-                (a, count_a), (b, count_b) = ((ids[np.repeat(good, n)], n * good) for _, ids, n in sides)
-                n_groups, *groups = align_ids(a, count_a, b, left.table.lengths, right.table.lengths)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), id_lists(a, count_a), id_lists(b, count_b), *(_lists(g, n_groups, pa.int32()) for g in groups)],
-                    names=["doc_id", "a", "b", "group_a", "group_b", "group_bytes"])
+                numbers, counts = aligner.numbers([t or "" for t in part.column(1).to_pylist()])
+                yield part.column(0), aligner.aligned, numbers, counts
+                aligner.forget()
 
     return align
 
 
+def _tokens(blocks: Iterator[tuple[pa.Array, Aligned, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    for ids, aligned, numbers, counts in blocks:
+        x = aligned.take(numbers)
+        n_a, n_b, n_groups = (_sums(n, counts) for n in (x.n_a, x.n_b, x.n_groups))
+        yield pa.RecordBatch.from_arrays(
+            [ids, id_lists(x.a, n_a), id_lists(x.b, n_b), *(_lists(g, n_groups, pa.int32()) for g in x[5:])],
+            names=["doc_id", "a", "b", "group_a", "group_b", "group_bytes"])
+
+
 def align_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, pieces: str = PIECES) -> DataFrame:
     """Tokens and groups of every row of `docs` (doc_id, text).
 
@@ -166,8 +373,9 @@ def align_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, pieces: str = PI
     input: no rows.
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
+    align = _aligner(docs, vocabulary, pieces)
     return docs.select("doc_id", "text").mapInArrow(
-        _aligner(docs, vocabulary, pieces),
+        lambda batches: _tokens(align(batches)),
         f"doc_id {id_type}, a array<int>, b array<int>, group_a array<int>, group_b array<int>, group_bytes array<int>")
 
 
@@ -212,32 +420,50 @@ def _written(
 DOC_COLUMNS = "n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
 
 
-def _numbered(batch: pa.RecordBatch, lo: int, hi: int, block: int, words: list[str]) -> pa.RecordBatch:
-    """Rows lo to hi with their links as numbers of the block's pairs; the last row holds those pairs."""
-    def column(name: str) -> tuple[np.ndarray, np.ndarray]:
-        part = batch.column(name).slice(lo, hi - lo)
-        return part.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.diff(part.offsets.to_numpy())
-
-    (a, len_a), (b, len_b), (n_a, n_groups), (n_b, _) = (column(c) for c in ("a", "b", "group_a", "group_b"))
-    rows = hi - lo
-    doc = np.repeat(np.arange(rows), n_groups)  # of each group
-    links, last = np.zeros(rows, np.int64), np.diff(doc, append=rows) > 0
-    np.add.at(links, doc, n_a * n_b)
-    written = _written(a, b, n_a, n_b, last, words) if len(a) else []
-    digests, place = [], 0
-    for size in (len_a + len_b).tolist():
-        digests.append(hashlib.sha256("".join(written[place : place + size]).encode()).hexdigest() if size else "")
-        place += size
+def _totals(key: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sum of the times of each."""
+    order = np.argsort(key)
+    key = key[order]
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    return key[first], np.add.reduceat(times[order], first) if len(first) else np.zeros(0, np.int64)
+
+
+def _numbered(ids: pa.Array, aligned: Aligned, numbers: np.ndarray, counts: np.ndarray, block: int, words: list[str]) -> pa.RecordBatch:
+    """Rows of documents with their links as numbers of the block's pairs; the last row holds those pairs.
+
+    `aligned` has the units, `numbers` those of the documents one after another, `counts` how many each has.
+    """
+    rows = len(ids)
+    met = np.zeros(len(aligned.n_a), bool)
+    met[numbers] = True
+    place = (np.cumsum(met) - 1)[numbers]  # of each unit of a document among the block's units
+    units = aligned.take(np.flatnonzero(met))
+    a, b = units.a.astype(np.int64), units.b.astype(np.int64)
+    n_a, n_b = units.group_a.astype(np.int64), units.group_b.astype(np.int64)
+    n_units = len(units.n_a)
+    unit = np.repeat(np.arange(n_units), units.n_groups)  # of each group
+    len_a, len_b, n_groups, links = (
+        _sums(n[place], counts) for n in (units.n_a, units.n_b, units.n_groups, _sums(n_a * n_b, units.n_groups)))
+    written = _written(a, b, n_a, n_b, np.diff(unit, append=n_units) > 0, words) if len(a) else []
+    ends = np.cumsum(units.n_a + units.n_b).tolist()
+    written = ["".join(written[x:y]) for x, y in zip([0, *ends], ends)]
+    digests, lo, places = [], 0, place.tolist()
+    for size, n in zip(counts.tolist(), len_a.tolist(), strict=True):
+        text = ";".join(map(written.__getitem__, places[lo : lo + size]))
+        digests.append(hashlib.sha256(text.encode()).hexdigest() if n else "")
+        lo += size
     group, ids_a, ids_b, times = _links(a, b, n_a, n_b)
-    pair, number = np.unique((ids_a << 32) | ids_b, return_inverse=True)
-    key, at = np.unique(doc[group] * max(1, len(pair)) + number, return_inverse=True)
-    total = np.zeros(len(key), np.int64)
-    np.add.at(total, at, times)
+    order = np.argsort(unit[group], kind="stable")
+    pair, number = np.unique(((ids_a << 32) | ids_b)[order], return_inverse=True)
+    times, n_links = times[order], np.bincount(unit[group], minlength=n_units)
+    key, repeats = _totals(np.repeat(np.arange(rows), counts) * max(1, n_units) + place, np.ones(len(place), np.int64))
+    doc, place = np.divmod(key, max(1, n_units))
+    at, doc = _places(n_links, place), np.repeat(doc, n_links[place])
+    key, total = _totals(doc * max(1, len(pair)) + number[at], times[at] * np.repeat(repeats, n_links[place]))
     owner, number = np.divmod(key, max(1, len(pair)))
     n_pairs = np.bincount(owner, minlength=rows)
     last_row = np.array([len(pair)])
     sizes, none = np.concatenate((n_pairs, [0])), np.zeros(rows + 1, np.int64)
-    ids = batch.column("doc_id").slice(lo, rows)
     return pa.RecordBatch.from_arrays(
         [
             pa.array([block] * (rows + 1), pa.int64()), pa.array([False] * rows + [True]),
@@ -252,19 +478,17 @@ def _numbered(batch: pa.RecordBatch, lo: int, hi: int, block: int, words: list[s
     )
 
 
-def _number_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _number_pairs(blocks: Iterator[tuple[pa.Array, Aligned, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
     block, words = TaskContext.get().partitionId() << 32, []
-    for batch in batches:
-        tokens = np.diff(batch.column("a").offsets.to_numpy()) + np.diff(batch.column("b").offsets.to_numpy())
+    for ids, aligned, numbers, counts in blocks:
+        tokens = _sums((aligned.n_a + aligned.n_b)[numbers], counts)
+        ends = [0, *np.cumsum(counts).tolist()]
         lo = held = 0
-        for i, n in enumerate(tokens.tolist()):
-            if i > lo and (i - lo >= BLOCK_ROWS or held + n > BLOCK_TOKENS):
-                yield _numbered(batch, lo, i, block, words)
+        for i, n in enumerate([*tokens.tolist(), 0]):
+            if i > lo and (i == len(ids) or i - lo >= BLOCK_ROWS or held + n > BLOCK_TOKENS):
+                yield _numbered(ids.slice(lo, i - lo), aligned, numbers[ends[lo] : ends[i]], counts[lo:i], block, words)
                 lo, held, block = i, 0, block + 1
             held += n
-        if lo < batch.num_rows:
-            yield _numbered(batch, lo, batch.num_rows, block, words)
-            block += 1
 
 
 RESULT = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]

@@ -8,8 +8,8 @@ import sentencepiece
 from tokenizers import Tokenizer
 
 from feedspan.llm import alignment as module
-from feedspan.llm.alignment import PIECES, PieceTokenizer, align_ids, align_tokens, alignment_digests, coalesce
-from feedspan.llm.bpe import VOCABULARY, byte_alphabet
+from feedspan.llm.alignment import PIECES, Aligner, PieceTokenizer, WordBpe, align_ids, align_tokens, alignment_digests, coalesce
+from feedspan.llm.bpe import VOCABULARY, ByteBpe, byte_alphabet, younger_characters
 
 from helpers import awkward, documents
 
@@ -133,3 +133,58 @@ def test_pieces_word_by_word_equal_whole_texts():
         want = side.model.encode(block)
         assert counts.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
     assert not any(len(w) > 200 for w in side.known) and side.known
+
+
+def vocabulary():
+    definition = open(VOCABULARY, "rb").read()
+    return definition, younger_characters(definition)
+
+
+def aligned_texts(aligner, block):
+    """Groups of (A ids, B ids) of each text, by the aligner's units."""
+    numbers, counts = aligner.numbers(block)
+    x = aligner.aligned.take(numbers)
+    a, b, n_a, n_b = (c.tolist() for c in (x.a, x.b, x.group_a, x.group_b))
+    groups = [(a[i - p : i], b[j - q : j]) for p, q, i, j in zip(n_a, n_b, np.cumsum(n_a).tolist(), np.cumsum(n_b).tolist())]
+    out, upto = [], [0, *np.cumsum(x.n_groups).tolist()]
+    for lo, n in zip(np.cumsum(counts) - counts, counts):
+        out.append(groups[upto[lo] : upto[lo + n]])
+    aligner.forget()
+    return out
+
+
+@pytest.mark.parametrize("kept", [100_000, 20, 0])
+@pytest.mark.parametrize("by_word", [True, False])
+def test_units_equal_whole_texts(monkeypatch, kept, by_word):
+    """Units met again, forgotten, too long to be remembered or not what their tokens join to; white space of all kinds between them."""
+    monkeypatch.setattr(module, "KEPT_WORDS", kept)
+    aligner = Aligner(vocabulary(), open(PIECES, "rb").read())
+    assert aligner.right.by_word
+    aligner.right.by_word = by_word
+    rng, parts = random.Random(4), [*"  \u3000\n\t\r\x1c\x85\u2028▁aé́ß1'</\ufeff😀\x00", "   ", "th", "'s", "ing", " the", "x" * 201, " \n "]
+    some = [t or "" for t in texts()] + ["".join(rng.choices(parts, k=rng.randint(0, 30))) for _ in range(400)]
+    for lo in range(0, len(some), 60):
+        block = some[lo : lo + 60]
+        assert aligned_texts(aligner, block) == [[(a, b) for a, b in groups_of(t)] for t in block]
+    assert not any(len(u) > 200 for u in aligner.known) and len(aligner.known) == len(aligner.aligned.n_a)
+
+
+def test_repeated_words_are_aligned_once(monkeypatch):
+    """The tokens that meet the sort grow with the distinct words, not with the texts."""
+    met, whole = [], align_ids
+    monkeypatch.setattr(module, "align_ids", lambda a, *rest: met.append(len(a)) or whole(a, *rest))
+    text = "It was the best of times, it was the worst of times."
+    aligner = Aligner(vocabulary(), open(PIECES, "rb").read())
+    assert aligned_texts(aligner, [text] * 300) == [groups_of(text)] * 300
+    assert aligned_texts(aligner, [text + " It was"] * 300) == [groups_of(text + " It was")] * 300
+    assert 0 < sum(met) < 20
+
+
+def test_rounds_equal_the_index_of_pairs():
+    """The same tokens whichever way words are merged, at and around the length where the way changes."""
+    rng, definition = random.Random(6), vocabulary()
+    words = ["".join(rng.choices("etaoinshr =-é漢", k=rng.randint(1, 30))).encode() for _ in range(3000)]
+    words += [c * n for c in (b"=", b" ", b"a", b"-", b"\xc3") for n in (1, 2, 3, 31, 63, 64, 65, 300)] + [bytes([i]) for i in range(256)]
+    rng.shuffle(words)
+    assert WordBpe(*definition).merge(words) == ByteBpe(*definition).merge(words)
+    assert WordBpe(*definition).merge([]) == [] and WordBpe(*definition).merge([b"="]) == ByteBpe(*definition).merge([b"="])
