@@ -199,6 +199,8 @@ def align_ids(
 def _whole(side, ids: np.ndarray, counts: np.ndarray, texts: list[bytes]) -> np.ndarray:
     """Which texts are what their tokens join to."""
     joined, ends = side.table.join(ids, counts)
+    if joined == b"".join(texts) and np.diff(ends).tolist() == list(map(len, texts)):
+        return np.ones(len(texts), bool)
     return np.array([joined[x:y] == t for x, y, t in zip(ends, ends[1:], texts, strict=False)], bool)
 
 
@@ -254,23 +256,23 @@ class Aligner:
         self.aligned = NOTHING
         self.older: tuple[dict[str, int], Aligned] = {}, NOTHING
 
-    def _encoded(self, units: list[str]) -> list[tuple]:
-        """Both sides' encoder, ids, and number of ids of each unit; those without white space at their end come first."""
-        joined = [u for u in units if not u[-1].isspace()]
-        sizes = np.array([len(u.encode("utf-8")) for u in joined], np.int64)
-        ids, counts = self.left.encode(["".join(joined), *units[len(joined):]])
-        upto = np.searchsorted(np.cumsum(self.left.table.lengths[ids[: counts[0]]]), np.cumsum(sizes), side="right")
+    def _encoded(self, units: list[str], raw: list[bytes], joined: int) -> list[tuple]:
+        """Both sides' encoder, ids, and number of ids of each unit; the first `joined` don't end in white space."""
+        ids, counts = self.left.encode(["".join(units[:joined]), *units[joined:]])
+        ends = np.cumsum(np.fromiter(map(len, raw[:joined]), np.int64, joined))
+        upto = np.searchsorted(np.cumsum(self.left.table.lengths[ids[: counts[0]]]), ends, side="right")
         pieces = self.right.each(units)
         return [
             (self.left, ids, np.concatenate((np.diff(upto, prepend=0), counts[1:]))),
             (self.right, np.fromiter(chain.from_iterable(pieces), np.int32), np.array([len(x) for x in pieces], np.int64))]
 
-    def _align(self, units: list[str], whole: bool) -> Aligned:
+    def _align(self, units: list[str], joined: int | None = None) -> Aligned:
+        """Units, the first `joined` of them without white space at their end; without that number, whole texts."""
         raw = [u.encode("utf-8") for u in units]
-        if whole:
+        if joined is None:
             sides = [(self.left, *self.left.encode(units)), (self.right, *self.right.encode([u[1:] for u in units]))]
         else:
-            sides = self._encoded(units)
+            sides = self._encoded(units, raw, joined)
         good = np.logical_and(*(_whole(*s, raw) for s in sides))
         (a, n_a), (b, n_b) = ((ids[np.repeat(good, n)], n * good) for _, ids, n in sides)
         n_groups, *groups = align_ids(a, n_a, b, self.left.table.lengths, self.right.table.lengths)
@@ -281,11 +283,13 @@ class Aligner:
         old, aligned = self.older
         again = [u for u in units if u in old]
         found = aligned.take(np.array([old[u] for u in again], np.int64))
-        new = sorted(units.difference(again), key=lambda u: u[-1].isspace())
+        new = units.difference(again)
+        at_end = [u for u in new if u[-1].isspace()]
+        new = [*new.difference(at_end), *at_end]
         n = len(self.aligned.n_a)
         self.aligned = self.aligned.and_then(found)
         if new:
-            self.aligned = self.aligned.and_then(self._align(new, False))
+            self.aligned = self.aligned.and_then(self._align(new, len(new) - len(at_end)))
         passing = {}
         for i, u in enumerate(chain(again, new), n):
             (self.known if len(u) <= LONG_WORD else passing)[u] = i
@@ -324,7 +328,7 @@ class Aligner:
         some = [t for t in spaced if t]
         n = len(self.aligned.n_a)
         if some:
-            self.aligned = self.aligned.and_then(self._align(some, True))
+            self.aligned = self.aligned.and_then(self._align(some))
         return np.arange(n, n + len(some)), np.array([bool(t) for t in spaced], np.int64)
 
     def forget(self) -> None:
