@@ -20,6 +20,8 @@ SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.streaming.stateStore.providerClass": ROCKSDB_PROVIDER,
+    # Each partition's store of each run would set 4 MB and more of disk aside, however few keys it has.
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     # Deep pages per key still get cut in every task before the shuffle.
     "spark.sql.optimizer.windowGroupLimitThreshold": "100000",
 }

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,13 +40,37 @@ def read_batches(spark: SparkSession, path: str, schema: str, keep_batch: bool =
     return df if keep_batch else df.drop("batch_id")
 
 
-def staged(df: DataFrame, purpose: str, spark: SparkSession | None = None) -> DataFrame:
+def staged(df: DataFrame, purpose: str) -> DataFrame:
     """Write a frame to the shared folder once and read it back.
 
     For results that are costly to compute and read several times: later readers take
     only the columns they need, and a lost executor costs a re-read, not a recompute.
-    A micro-batch belongs to a session without AQE; `spark` reads it back in another one.
     """
-    path = shared_dir(df.sparkSession, purpose)
-    df.write.parquet(path)
-    return (spark or df.sparkSession).read.schema(df.schema).parquet(path)
+    return restaged(df, shared_dir(df.sparkSession, purpose))
+
+
+def restaged(df: DataFrame, path: str) -> DataFrame:
+    """Write a frame to a folder in place of what it held, and read it back: a stream keeps one micro-batch there."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def sparing_disk(spark: SparkSession) -> Iterator[None]:
+    """Writes of the session compress harder, and their shuffle files go when they end.
+
+    Otherwise shuffle files stay until the driver happens to collect its garbage, which a job of
+    several writes may never see.
+    """
+    settings = {
+        "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+        "spark.sql.parquet.compression.codec": "zstd",
+    }
+    before = {key: spark.conf.get(key) for key in settings}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)

@@ -7,15 +7,16 @@ itself and results stay exact after a restart.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import BooleanType, StructField, StructType
+from pyspark.sql.types import StructType
 
 from feedspan.functions.html import sanitize_fields
-from feedspan.operators.changes import append_rows, flag_unique, purge_older_than
+from feedspan.operators.changes import append_rows, purge_older_than
 from feedspan.operators.defaults import complete
 from feedspan.operators.keys import highest, is_serial
 from feedspan.plans.ingest import (
@@ -26,7 +27,7 @@ from feedspan.plans.ingest import (
     post_rows,
     scrape_error_upsert,
 )
-from feedspan.sources.storage import read_batches, staged, write_batch
+from feedspan.sources.storage import read_batches, restaged, sparing_disk, write_batch
 
 #: Ids that each micro-batch of an ingest stream has for itself.
 IDS_PER_BATCH = 1 << 32
@@ -116,11 +117,11 @@ def _first_written(spark: SparkSession, path: str, value) -> int:
 
 
 def _pass_new_links(
-    first_items: DataFrame, checkpoint: str, insert: Callable[[DataFrame, int], None]
+    links: DataFrame, checkpoint: str, insert: Callable[[DataFrame, int], None]
 ) -> StreamingQuery:
-    """Passes the items of links never met on to `insert`; the state store keeps every link for good, and only links."""
+    """Passes links never met on to `insert`; the state store keeps every link for good, and only links."""
     return (
-        first_items.dropDuplicates(["itemurl"])
+        links.dropDuplicates(["itemurl"])
         .writeStream.option("checkpointLocation", checkpoint)
         .outputMode("append")
         .trigger(availableNow=True)
@@ -135,47 +136,60 @@ def run_post_ingest(
 ) -> StreamingQuery:
     """Insert posts from fetched bodies (feed_id, document_id, body, fetched_at).
 
-    Each micro-batch of bodies is parsed once and the first item of each of its links appended to a
-    folder. A second stream reads that folder to its end before the micro-batch counts as done; links
-    already seen are its state, begun with the links of `posts`, so a micro-batch looks up its own
-    links and reads no earlier rows, however long the stream runs. A replay appends the same items
-    again, whose links are known by then or fall together, so each still comes once. With `lateness`,
-    repeats inside that time are dropped before that. Numeric ids come from a range of each
-    micro-batch's own above those of `posts`; replays give the same rows.
+    Each micro-batch of bodies is parsed once into a folder that the next one overwrites, and its links
+    are appended to another. A second stream reads those links to their end before the micro-batch
+    counts as done; links already seen are its state, begun with the links of `posts`, so a micro-batch
+    looks up its own links and reads no earlier rows, however long the stream runs. Only links, row
+    numbers and ids pass through the look-up and the numbering; the first item of each new link is then
+    fetched by its row number, and links that were looked up leave their folder while the next ones are.
+    So disk holds the posts, the state and the numbers of all micro-batches, but items and links of one.
+    A replay parses the same bodies and appends the same links again, which are known by then or fall
+    together, so each still comes once. With `lateness`, repeats inside that time are dropped before
+    that. Numeric ids come from a range of each micro-batch's own above those of `posts`; replays give
+    the same rows.
     """
     spark = bodies.sparkSession
-    items = parse_feed_documents(bodies.repartition("document_id"))  # parsing costs far more than the shuffle
-    rows = complete(post_rows(items, F.col("fetched_at")), posts, "posts", F.col("fetched_at"))
-    if lateness:
-        rows = rows.withWatermark("created_at", lateness).dropDuplicatesWithinWatermark(["itemurl"])
-    numbered = is_serial(posts, rows)
+
+    def parsed(raw: DataFrame) -> DataFrame:
+        items = parse_feed_documents(raw.repartition("document_id"))  # parsing costs far more than the shuffle
+        return complete(post_rows(items, F.col("fetched_at")), posts, "posts", F.col("fetched_at"))
+
+    numbered = is_serial(posts, parsed(bodies))
     first = _first_written(spark, f"{path}/_first_id", lambda: highest(posts)) if numbered else None
-    folder, order = f"{path}/_first_items", ["document_id", "item_no"]
-    known = posts.select("itemurl").filter("itemurl IS NOT NULL")
-    schema = StructType([*rows.schema.fields, StructField("known", BooleanType())])
-
-    def insert(batch: DataFrame, batch_id: int) -> None:
-        # Numbering and writing read the batch several times; its links are looked up once.
-        batch = staged(batch.filter("NOT known").drop("known"), "ingest-batch", spark)
-        if numbered:
-            batch = append_rows(posts, batch, order, first + batch_id * IDS_PER_BATCH).changed
-        clean = batch.withColumn("__s", sanitize_fields({c: F.col(c) for c in POST_TEXT}, strict))
-        clean = clean.withColumns({c: F.col(f"__s.{c}") for c in POST_TEXT}).drop("__s")
-        write_batch(clean, path, batch_id)
+    links_folder, items_folder, order = f"{path}/_first_items", f"{path}/_parsed_items", ["document_id", "item_no", "__row"]
+    known = posts.select("itemurl", F.lit(True).alias("known")).filter("itemurl IS NOT NULL")
+
+    def insert(schema: StructType, batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        with sparing_disk(session):
+            # The state is asked once; numbering reads its answer several times.
+            links = restaged(batch.filter("NOT known").select("itemurl"), f"{path}/_new_links")
+            items = session.read.schema(schema).parquet(items_folder)
+            firsts = items.groupBy("itemurl").agg(F.min(F.struct(*order)).alias("__w"))
+            new = firsts.join(links, "itemurl", "left_semi").select("__w.*")
+            if numbered:
+                new = append_rows(posts, new, order, first + batch_id * IDS_PER_BATCH).changed
+            fresh = items.join(new.drop("document_id", "item_no"), "__row").drop("__row")
+            clean = fresh.withColumn("__s", sanitize_fields({c: F.col(c) for c in POST_TEXT}, strict))
+            clean = clean.withColumns({c: F.col(f"__s.{c}") for c in POST_TEXT}).drop("__s")
+            write_batch(clean, path, batch_id)
 
     def admit(batch: DataFrame, batch_id: int) -> None:
-        # Parsed once, into the shared folder, so a lost executor costs a re-read.
-        batch = staged(batch, "parsed-items", spark)
-        held = known if batch_id == 0 else known.limit(0)
-        new = flag_unique(held, batch, ["itemurl"], order).filter("__ok").drop("__ok").withColumn("known", F.lit(False))
-        if batch_id == 0:
-            new = new.unionByName(known.distinct().withColumn("known", F.lit(True)), allowMissingColumns=True)
-        new.write.mode("append").parquet(folder)
-        first_items = spark.readStream.schema(schema).parquet(folder)
-        _pass_new_links(first_items, f"{checkpoint.rstrip('/')}-links", insert).awaitTermination()
-
+        # Parsed once, into a shared folder, so a lost executor costs a re-read.
+        with sparing_disk(batch.sparkSession):
+            items = (batch if lateness else parsed(batch)).withColumn("__row", F.monotonically_increasing_id())
+            items = restaged(items, items_folder)
+            links = items.select("itemurl", F.lit(False).alias("known"))
+            links = links.unionByName(known) if batch_id == 0 else links
+            links.groupBy("itemurl").agg(F.max("known").alias("known")).write.mode("append").parquet(links_folder)
+        links = spark.readStream.schema("itemurl string, known boolean").option("cleanSource", "delete").parquet(links_folder)
+        _pass_new_links(links, f"{checkpoint.rstrip('/')}-links", partial(insert, items.schema)).awaitTermination()
+
+    stream = bodies
+    if lateness:
+        stream = parsed(bodies).withWatermark("created_at", lateness).dropDuplicatesWithinWatermark(["itemurl"])
     return (
-        rows.writeStream.option("checkpointLocation", checkpoint)
+        stream.writeStream.option("checkpointLocation", checkpoint)
         .outputMode("append")
         .trigger(**_trigger(every))
         .foreachBatch(admit)

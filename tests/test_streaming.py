@@ -1,12 +1,17 @@
+import glob
 import os
+import time
+import uuid
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from feedspan.operators.changes import purge_older_than
 from feedspan.plans import ingest
+from feedspan.sources import storage
 from feedspan.sources.documents import read_bodies, stream_bodies
-from feedspan.sources.storage import read_batches, staged, write_batch, write_bucketed, write_by_day
+from feedspan.sources.storage import read_batches, sparing_disk, staged, write_batch, write_bucketed, write_by_day
 from feedspan.streaming import jobs
 
 from conftest import SF, rows
@@ -154,6 +159,68 @@ def test_ingest_replays_a_lost_batch_and_keeps_links_outside_python(spark, tmp_p
     assert state["operatorName"] == "dedupe"
 
 
+def test_ingest_keeps_items_once_and_one_batch_of_parsed_ones(spark, tmp_path, monkeypatch):
+    """Look-up, state and numbering carry links and row numbers, so items lie in the table and in the last batch's folder."""
+    src, out, ck = (str(tmp_path / name) for name in ("in", "out", "ck"))
+    monkeypatch.setattr(storage, "shared_dir", lambda spark, purpose: str(tmp_path / f"{purpose}-{uuid.uuid4().hex}"))
+    posts = spark.createDataFrame([(7, "https://n.example/0")], "id bigint, itemurl string")
+    item = "<item><title>{0}</title><link>https://n.example/{0}</link><pubDate>2006-01-02</pubDate></item>"
+    n, batches = 20, 3
+    for b in range(batches):
+        body = "".join(item.format(i) for i in range(b * n, (b + 1) * n))
+        df = spark.createDataFrame([(b, b, "u", 200, f"<rss><channel><title>x</title>{body}</channel></rss>")],
+                                   "document_id bigint, feed_id bigint, url string, status int, body string")
+        df.withColumn("fetched_at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(src)
+        jobs.run_post_ingest(stream_bodies(spark, src), posts, out, ck).awaitTermination()
+    got = read_batches(spark, out, "id bigint, itemurl string, itemtitle string").collect()
+    assert {r["itemtitle"] for r in got} == {str(i) for i in range(1, batches * n)}
+    assert len(got) == len({r["id"] for r in got}) == batches * n - 1
+    kept = {"items": 0, "links": 0}
+    for file in glob.glob(f"{tmp_path}/**/*.parquet", recursive=True):
+        held = pq.ParquetFile(file)
+        kind = "items" if "itemtitle" in held.schema_arrow.names else "links" if "known" in held.schema_arrow.names else None
+        if kind:
+            kept[kind] += held.metadata.num_rows
+    assert kept["items"] == len(got) + n  # the table and one micro-batch of parsed items
+    assert kept["links"] <= n
+
+
+def test_ingest_takes_a_document_twice_in_a_batch(spark, tmp_path):
+    """Two fetches of one document give equal places; each link still comes once, with an id of its own."""
+    src, out, ck = (str(tmp_path / name) for name in ("in", "out", "ck"))
+    posts = spark.createDataFrame([], "id bigint, itemurl string")
+    item = "<item><title>t</title><link>https://n.example/{}</link><pubDate>2006-01-02</pubDate></item>"
+    bodies = ["".join(item.format(i) for i in links) for links in ((1, 2), (1, 2), (1, 3))]
+    df = spark.createDataFrame([(5, 1, "u", 200, f"<rss><channel><title>x</title>{b}</channel></rss>") for b in bodies],
+                               "document_id bigint, feed_id bigint, url string, status int, body string")
+    df.withColumn("fetched_at", F.current_timestamp()).write.parquet(src)
+    jobs.run_post_ingest(stream_bodies(spark, src), posts, out, ck).awaitTermination()
+    got = read_batches(spark, out, "id bigint, itemurl string").collect()
+    assert sorted(r["itemurl"][-1] for r in got) == ["1", "2", "3"]
+    assert {r["id"] for r in got} == {1, 2, 3}
+
+
+def test_sparing_disk_drops_shuffle_files_with_the_write(spark, tmp_path):
+    """Shuffle files would stay until the driver collects its garbage."""
+    disk = spark._jsc.sc().env().blockManager().diskBlockManager()
+    codec = spark.conf.get("spark.sql.parquet.compression.codec")
+
+    def added(path):
+        before = disk.getAllFiles().size()
+        spark.range(1000).repartition(3, "id").write.parquet(path)
+        for _ in range(50):  # removal runs beside the driver
+            if disk.getAllFiles().size() <= before:
+                break
+            time.sleep(0.1)
+        return disk.getAllFiles().size() - before
+
+    with sparing_disk(spark):
+        assert added(str(tmp_path / "spared")) <= 0
+    assert spark.conf.get("spark.sql.parquet.compression.codec") == codec
+    assert rows(spark.read.parquet(str(tmp_path / "spared"))) == rows(spark.range(1000))
+    assert glob.glob(f"{tmp_path}/spared/*.zstd.parquet")
+
+
 def test_ingest_with_keyed_state_gives_the_same(spark, tmp_path):
     src, out, ck = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck")
     df = spark.createDataFrame([(i, i, "u", 200, RSS) for i in range(5)],

@@ -33,7 +33,7 @@ from feedspan.session import configure, shared_dir
 from feedspan.sources.documents import page_bodies, rendered_bodies
 from feedspan.sources.keyed import KeyedTable, purge_days
 from feedspan.sources.platform import EVENTS_AS_OF, ORDERS_AS_OF, Platform
-from feedspan.sources.storage import read_batches, write_by_day
+from feedspan.sources.storage import read_batches, sparing_disk, write_by_day
 from feedspan.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1524,8 +1524,10 @@ def stream_post_ingest(p):
     last = bodies.agg(F.max("document_id")).first()[0]
     for part in range(3):
         here = (F.col("document_id") * 3 >= last * part) & (F.col("document_id") * 3 < last * (part + 1) + (part == 2))
-        bodies.filter(here).write.mode("append").parquet(root)
-        stream = p.spark.readStream.schema(bodies.schema).parquet(root)
+        with sparing_disk(p.spark):
+            bodies.filter(here).write.mode("append").parquet(root)
+        # Files of a part that is done go while the next one is read.
+        stream = p.spark.readStream.schema(bodies.schema).option("cleanSource", "delete").parquet(root)
         jobs.run_post_ingest(stream, p.posts, path, checkpoint).awaitTermination()
     columns = [c for c in POST_COLUMNS if c != "id"]
     schema = ("id bigint, document_id bigint, item_no int, feed_id bigint, itempublished_at timestamp, created_at timestamp,"
